@@ -1,7 +1,62 @@
-"""A training-corpus pipeline of five stages over documents."""
-STAGES = []
+"""A training-corpus pipeline of five stages over documents.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and is
+written as Parquet and read again before the next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelode.llm import decontam, jaccard, language, mixing, quality, sharding
+from tracelode.llm.common import table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = docs.select(*docs.columns, language.held_out(3, 1).alias("__held_out"))
+    model = quality.fit(scored.filter(~F.col("__held_out")), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity of 0.8) the document with the smallest id."""
+    groups = jaccard.join(docs, words=5, percent=80)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(written(keep, "kept"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    leaks = written(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose tokens follow the target weights of sources, languages and topics."""
+    return mixing.mix(docs).filter("kept").select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in shuffled order, with their shard and their slot in it."""
+    return sharding.shuffled(docs, shards=40, seed=1)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mixing", mixed_sources),
+    ("sharding", sharded),
+]
+#: A trained classifier decides the first stage; SQL can't express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, pii, quality, sharding, topk
+from . import decontam, html, jaccard, language, mixing, pii, quality, sharding, suffix, topk
 from .common import table
 
 
@@ -16,6 +16,23 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -42,10 +59,15 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": language_id,
+    "op2_suffix_dedup": suffix_dedup,
     "op3_pii_anchors": pii_spans,
     "op4_exact_top_k": exact_top_k,
+    "op5_ngram_jaccard": jaccard_join,
+    "op6_source_mixing": source_mixing,
     "op7_external_shuffle": external_shuffle,
     "op8_html_text": html_text,
+    "op9_benchmark_leaks": benchmark_leaks,
     "op10_quality_mil": quality_score,
 }
-ORACLE: dict[str, str] = {}
+#: The other queries can't be said in SQL; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.mix_sql()}
