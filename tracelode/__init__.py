@@ -1,0 +1 @@
+"""Evidence-graph analytics on PySpark: files and tables become entities and relations, queries run over them."""

@@ -2,5 +2,666 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.identity import platform
+from ..operators import changes, coverage, graph, model, ordering, search
+from ..sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+CALL_SHARE = 1.6
+ENTITIES = """e AS (
+  SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS name, NULL::VARCHAR AS parent, 1.0::DOUBLE AS confidence, false AS inferred FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, 'region:' || n_regionkey, 1.0, false FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, 'nation:' || c_nationkey, 0.9, c_acctbal < 0 FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'nation:' || s_nationkey, 0.9, s_acctbal < 0 FROM supplier
+  UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, NULL, 0.8, p_size < 5 FROM part
+  UNION ALL SELECT 'order:' || o_orderkey, 'order', 'order:' || o_orderkey, 'customer:' || o_custkey, 0.7, o_orderstatus = 'P' FROM orders)"""
+ACCESSES = """a AS (SELECT CASE l_returnflag WHEN 'R' THEN 'READS' WHEN 'A' THEN 'WRITES' ELSE 'UPDATES' END AS rel, 'supplier:' || l_suppkey AS from_id,
+  'part:' || l_partkey AS to_id, round(1 - l_discount * 7, 2) AS confidence, l_orderkey || ':' || l_linenumber AS evidence, l_shipdate FROM lineitem)"""
+CALLS = f"""g AS (SELECT 'nation:' || s_nationkey AS from_id, 'nation:' || c_nationkey AS to_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+c AS (SELECT 'CALLS' AS rel, from_id, to_id, n FROM g WHERE n > (SELECT avg(n) FROM g) * {CALL_SHARE})"""
+IMPACT = f"""{CALLS}, {ACCESSES}, {ENTITIES},
+m AS (SELECT rel, from_id, to_id FROM c UNION ALL SELECT 'CONTAINS', parent, id FROM e WHERE type IN ('nation', 'supplier') UNION ALL SELECT DISTINCT rel, from_id, to_id FROM a)"""
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def impact_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations call nations, contain suppliers, and suppliers access parts."""
+    inside = T.contains(spark, sf, orders=False).filter(F.startswith("to_id", F.lit("nation:")) | F.startswith("to_id", F.lit("supplier:")))
+    return T.calls(spark, sf, CALL_SHARE).select("rel", "from_id", "to_id").union(inside.select("rel", "from_id", "to_id")).union(T.accesses(spark, sf).select("rel", "from_id", "to_id").distinct())
+
+
+def seeds(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Accesses merged into one edge for each (rel, from_id, to_id)."""
+    return T.accesses(spark, sf).groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.count_distinct("evidence").alias("n_evidence"))
+
+
+# --- graph -------------------------------------------------------------------------------------
+
+
+def walk_sql(seed: str, depth: int, edges: str = "m", direction: str = "downstream") -> str:
+    moves = {"downstream": f"SELECT from_id AS src, to_id AS nxt FROM {edges}", "upstream": f"SELECT to_id, from_id FROM {edges}"}
+    moves = moves.get(direction, f"{moves['downstream']} UNION SELECT to_id, from_id FROM {edges}").replace("SELECT to_id, from_id", "SELECT to_id AS src, from_id AS nxt")
+    return f"""mv AS (SELECT DISTINCT src, nxt FROM ({moves})), w AS (SELECT '{seed}' AS id, 0 AS depth UNION SELECT nxt, depth + 1 FROM w JOIN mv ON w.id = mv.src WHERE depth < {depth}),
+v AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {IMPACT}, {walk_sql('nation:7', 3)} SELECT m.rel, m.from_id, m.to_id, v.depth::INT AS depth FROM m JOIN v ON m.from_id = v.id")
+def impact_downstream(spark, sf):
+    return graph.traverse(seeds(spark, "nation:7"), impact_edges(spark, sf), "downstream", 3)
+
+
+@query(f"WITH RECURSIVE {IMPACT}, {walk_sql('part:20', 2, direction='upstream')} SELECT m.rel, m.from_id, m.to_id, v.depth::INT AS depth FROM m JOIN v ON m.to_id = v.id")
+def impact_upstream(spark, sf):
+    return graph.traverse(seeds(spark, "part:20"), impact_edges(spark, sf), "upstream", 2)
+
+
+@query(f"WITH RECURSIVE {IMPACT}, {walk_sql('supplier:3', 1, direction='both')} SELECT rel, from_id, to_id, min(depth)::INT AS depth FROM (SELECT m.*, depth FROM m JOIN v ON m.from_id = v.id UNION ALL SELECT m.*, depth FROM m JOIN v ON m.to_id = v.id) GROUP BY ALL")
+def impact_both(spark, sf):
+    return graph.traverse(seeds(spark, "supplier:3"), impact_edges(spark, sf), "both", 1)
+
+
+@query(f"WITH RECURSIVE {IMPACT}, {walk_sql('nation:7', 2)} SELECT DISTINCT id FROM (SELECT m.from_id AS id FROM m JOIN v ON m.from_id = v.id UNION ALL SELECT m.to_id FROM m JOIN v ON m.from_id = v.id) WHERE id <> 'nation:7'")
+def impact_affected(spark, sf):
+    return graph.affected(seeds(spark, "nation:7"), impact_edges(spark, sf), "downstream", 2)
+
+
+@query(f"""WITH RECURSIVE {CALLS}, {ACCESSES}, {ENTITIES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence FROM a GROUP BY ALL), {walk_sql('supplier:3', 1, direction='both')}
+SELECT from_id, to_id, rel, min(depth)::INT AS depth FROM (SELECT m.*, depth FROM m JOIN v ON m.from_id = v.id UNION ALL SELECT m.*, depth FROM m JOIN v ON m.to_id = v.id) WHERE rel IN ('READS', 'WRITES') AND confidence >= 0.6 GROUP BY from_id, to_id, rel ORDER BY depth, from_id, to_id, rel LIMIT 5000""")
+def neighborhood(spark, sf):
+    return graph.neighborhood(seeds(spark, "supplier:3"), merged(spark, sf), 1, ["READS", "WRITES"], 0.6)
+
+
+@query(f"WITH RECURSIVE {IMPACT}, u AS (SELECT * FROM m WHERE rel IN ('READS', 'WRITES', 'CONTAINS', 'CALLS')), {walk_sql('part:11', 20, 'u', 'upstream')} SELECT id, depth::INT AS depth, id NOT IN (SELECT to_id FROM u) AS is_entry FROM v")
+def reverse_trace(spark, sf):
+    nodes, entries = graph.reverse_trace(seeds(spark, "part:11"), impact_edges(spark, sf), ["READS", "WRITES", "CONTAINS", "CALLS"], 20)
+    return nodes.join(entries.select("id", F.lit(True).alias("e")), "id", "left").select("id", "depth", F.coalesce("e", F.lit(False)).alias("is_entry"))
+
+
+@query(f"""WITH RECURSIVE {ACCESSES}, {ENTITIES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence FROM a GROUP BY ALL UNION ALL SELECT 'CONTAINS', parent, id, confidence FROM e WHERE type IN ('nation', 'supplier')),
+p AS (SELECT to_id, from_id AS parent, rel FROM m QUALIFY row_number() OVER (PARTITION BY to_id ORDER BY CASE rel WHEN 'WRITES' THEN 3 WHEN 'UPDATES' THEN 2 ELSE 1 END DESC, confidence DESC, from_id, rel) = 1),
+t AS (SELECT id AS terminal, 0 AS hop, id, NULL::VARCHAR AS rel FROM e WHERE type = 'part' UNION ALL SELECT terminal, hop + 1, parent, p.rel FROM t JOIN p ON t.id = p.to_id WHERE hop < 8)
+SELECT terminal, hop::INT AS hop, id, rel FROM t""")
+def trace_back(spark, sf):
+    inside = T.contains(spark, sf, orders=False).filter(F.startswith("to_id", F.lit("nation:")) | F.startswith("to_id", F.lit("supplier:")))
+    edges = merged(spark, sf).drop("n_evidence").unionByName(inside)
+    parts = T.table(spark, sf, "part").select(T.key("part", "p_partkey").alias("id"))
+    return graph.trace_back(parts, edges, F.when(F.col("rel") == "WRITES", 3).when(F.col("rel") == "UPDATES", 2).otherwise(1), 8)
+
+
+@query(f"WITH {CALLS} SELECT DISTINCT from_id AS id FROM c WHERE from_id NOT IN (SELECT to_id FROM c WHERE from_id <> to_id)")
+def find_roots(spark, sf):
+    return graph.roots(T.calls(spark, sf, CALL_SHARE))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, m AS (SELECT * FROM c), {walk_sql('nation:7', 3)}, x AS (SELECT from_id, to_id, depth FROM m JOIN v ON m.from_id = v.id),
+r AS (SELECT DISTINCT to_id AS start, to_id AS id, 0 AS d FROM x UNION SELECT r.start, x.to_id, d + 1 FROM r JOIN x ON r.id = x.from_id WHERE d < 4)
+SELECT from_id, to_id, depth::INT AS depth, EXISTS (SELECT 1 FROM r WHERE r.start = x.to_id AND r.id = x.from_id) AS is_back_edge FROM x""")
+def get_chain(spark, sf):
+    return graph.chain(seeds(spark, "nation:7"), T.calls(spark, sf, CALL_SHARE), 3)
+
+
+@query(f"""WITH RECURSIVE {CALLS}, r AS (SELECT from_id AS start, to_id AS id FROM c UNION SELECT r.start, c.to_id FROM r JOIN c ON r.id = c.from_id),
+k AS (SELECT a.start AS id, min(a.id) AS component FROM r a JOIN r b ON a.start = b.id AND a.id = b.start GROUP BY a.start) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM k""")
+def find_cycles(spark, sf):
+    return graph.cycle_nodes(T.calls(spark, sf, CALL_SHARE))
+
+
+@query(f"WITH RECURSIVE {IMPACT}, u AS (SELECT * FROM m WHERE rel IN ('CALLS', 'CONTAINS')), {walk_sql('nation:3', 2, 'u', 'both')} SELECT id, depth::INT AS depth FROM v ORDER BY depth, id LIMIT 36")
+def expand_subjects(spark, sf):
+    return graph.expand(seeds(spark, "nation:3"), impact_edges(spark, sf), ["CALLS", "CONTAINS"], 2, 36)
+
+
+@query(f"WITH {ACCESSES} SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM a UNION ALL SELECT to_id FROM a) GROUP BY id")
+def degree(spark, sf):
+    return graph.degree(T.accesses(spark, sf))
+
+
+@query(f"WITH {IMPACT} SELECT id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM m UNION ALL SELECT to_id, 0, 1 FROM m) GROUP BY id")
+def adjacency(spark, sf):
+    return graph.adjacency(impact_edges(spark, sf))
+
+
+@query(f"""WITH {ACCESSES}, {ENTITIES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence FROM a GROUP BY ALL), d AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM m UNION ALL SELECT to_id FROM m) GROUP BY id),
+k AS (SELECT e.id FROM e LEFT JOIN d USING (id) WHERE type <> 'order' ORDER BY coalesce(degree, 0) DESC, e.id LIMIT 500) SELECT rel, from_id, to_id, confidence FROM m WHERE from_id IN (FROM k) AND to_id IN (FROM k)""")
+def topk_degree_graph(spark, sf):
+    _, edges = graph.top_degree(T.entities(spark, sf, orders=False), merged(spark, sf).drop("n_evidence"), 500)
+    return edges.select("rel", "from_id", "to_id", "confidence")
+
+
+@query(f"WITH {ACCESSES}, {ENTITIES}, k AS (SELECT id FROM e WHERE NOT inferred) SELECT DISTINCT rel, from_id, to_id FROM a WHERE from_id IN (FROM k) AND to_id IN (FROM k)")
+def induced_subgraph(spark, sf):
+    nodes = T.entities(spark, sf, orders=False).filter(~F.col("inferred"))
+    return graph.induced(T.accesses(spark, sf).select("rel", "from_id", "to_id").distinct(), nodes)
+
+
+@query(f"""WITH {ACCESSES}, {ENTITIES}, d AS (SELECT id, count(*) AS n FROM (SELECT from_id AS id FROM a UNION ALL SELECT to_id FROM a) GROUP BY id), n AS (SELECT e.id, type, coalesce(n, 0) AS w FROM e LEFT JOIN d USING (id) WHERE type IN ('supplier', 'part')),
+k AS (SELECT id FROM n ORDER BY w DESC, id LIMIT 28), p AS (SELECT id, CASE WHEN id IN (FROM k) THEN id ELSE 'summary:' || type END AS node FROM n),
+l AS (SELECT f.node AS from_id, t.node AS to_id, rel, count(*) AS n FROM a JOIN p f ON a.from_id = f.id JOIN p t ON a.to_id = t.id WHERE f.node <> t.node GROUP BY ALL) SELECT * FROM l ORDER BY n DESC, from_id, to_id, rel LIMIT 84""")
+def reduce_graph(spark, sf):
+    edges = T.accesses(spark, sf).select("rel", "from_id", "to_id")
+    nodes = T.entities(spark, sf, orders=False).filter(F.col("type").isin("supplier", "part")).join(graph.degree(edges), "id", "left")
+    return graph.reduce_graph(nodes, edges, F.coalesce("degree", F.lit(0)), 28)[1]
+
+
+@query(f"WITH {CALLS}, d AS (SELECT DISTINCT from_id, to_id FROM c) SELECT id, sum(o)::BIGINT AS n_callees, sum(i)::BIGINT AS n_callers FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM d UNION ALL SELECT to_id, 0, 1 FROM d) GROUP BY id")
+def call_graph(spark, sf):
+    return graph.call_graph(T.calls(spark, sf, CALL_SHARE))
+
+
+def closure_graph(spark, sf):
+    """Nations call nations; a nation reads the parts that its suppliers read, in one edge each."""
+    own = T.table(spark, sf, "supplier").select(T.key("supplier", "s_suppkey").alias("from_id"), T.key("nation", "s_nationkey").alias("n"))
+    io = T.accesses(spark, sf).filter("l_shipdate < '1995-09-01'").join(own, "from_id").groupBy("rel", F.col("n").alias("from_id"), "to_id").agg(F.max("confidence").alias("confidence"))
+    calls = T.calls(spark, sf, CALL_SHARE).select("rel", "from_id", "to_id", F.lit(1.0).alias("confidence"))
+    return calls.unionByName(io)
+
+
+CLOSURE = f"""{CALLS}, {ACCESSES}, {ENTITIES}, io AS (SELECT rel, 'nation:' || s_nationkey AS from_id, to_id, max(confidence) AS confidence FROM a JOIN supplier ON from_id = 'supplier:' || s_suppkey WHERE l_shipdate < '1995-09-01' GROUP BY ALL),
+w AS (SELECT 'nation:' || n_nationkey AS start, 'nation:' || n_nationkey AS id, 0 AS depth FROM nation UNION SELECT start, to_id, depth + 1 FROM w JOIN c ON id = from_id WHERE depth < 2), v AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT start, to_id AS id, arg_min(rel, struct_pack(depth, from_id, rel)) AS op FROM v JOIN io ON v.id = io.from_id GROUP BY ALL")
+def program_closure(spark, sf):
+    start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
+    return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["data"]
+
+
+@query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT rel, from_id, to_id, 1.0 AS confidence FROM c UNION ALL SELECT * FROM io) SELECT start, round(sum(confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY start")
+def flow_confidence(spark, sf):
+    start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
+    c = graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["confidence"]
+    return c.select("start", F.round(F.col("total") / F.col("n"), 6).alias("confidence"), F.col("n").alias("n_edges"))
+
+
+# --- model -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, max(confidence) AS confidence, count(DISTINCT evidence) AS n_evidence FROM a GROUP BY rel, from_id, to_id")
+def merge_relation(spark, sf):
+    return merged(spark, sf)
+
+
+@query("""SELECT p_name AS name, min(p_partkey)::BIGINT AS first_key, arg_min(p_brand, p_partkey) AS first_brand, max(p_retailprice) AS top_price, bool_or(p_size < 5) AS inferred, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS types FROM part GROUP BY p_name""")
+def merge_entity(spark, sf):
+    p = T.table(spark, sf, "part")
+    return p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_key"), F.min_by("p_brand", "p_partkey").alias("first_brand"), F.max("p_retailprice").alias("top_price"), F.max(F.col("p_size") < 5).alias("inferred"), F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("types"))
+
+
+@query(f"WITH {ACCESSES} SELECT rel, to_id AS target, max(confidence) AS confidence, count(DISTINCT evidence) AS n_evidence, max(confidence) < 0.5 AS low FROM a GROUP BY rel, to_id")
+def dedupe_relation_group(spark, sf):
+    d = T.accesses(spark, sf).select("rel", F.col("to_id").alias("to_label"), "confidence", F.array("evidence").alias("evidence"))
+    return model.dedupe_relations(d).select("rel", "target", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"), "low")
+
+
+@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1995-05-01'),
+n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
+SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
+def resolve_endpoint(spark, sf):
+    li, p = T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-05-01'"), T.table(spark, sf, "part")
+    ends = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("GHOST"), F.col("l_partkey").cast("string"))).otherwise(F.col("p_name")).alias("name"))
+    known = T.entities(spark, sf, orders=False).filter("type = 'part'").groupBy("name").agg(F.min("id").alias("id"))
+    out = ends.groupBy("name").agg(F.count("*").alias("n")).join(known, "name", "left")
+    return out.select("name", F.coalesce("id", F.concat(F.lit("part:"), F.upper("name"))).alias("to_id"), F.col("id").isNull().alias("inferred"), "n")
+
+
+@query("""WITH u AS (SELECT event_id, user_id, event_type AS var FROM events WHERE value > 50), d AS (SELECT DISTINCT user_id, event_type AS var, json_extract_string(props, '$.k') AS lit FROM events WHERE value < 5)
+SELECT event_id, CASE WHEN lit IS NULL THEN 'CALL-DYNAMIC' ELSE 'CALLS' END AS rel, coalesce(lit, var) AS target, CASE WHEN lit IS NULL THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM u LEFT JOIN d USING (user_id, var)""")
+def resolve_dynamic_calls(spark, sf):
+    ev = T.table(spark, sf, "events")
+    d = ev.filter("value < 5").select("user_id", F.col("event_type").alias("var"), F.get_json_object("props", "$.k").alias("lit")).distinct()
+    u = ev.filter("value > 50").select("event_id", "user_id", F.col("event_type").alias("var")).join(d, ["user_id", "var"], "left")
+    return u.select("event_id", F.when(F.col("lit").isNull(), "CALL-DYNAMIC").otherwise("CALLS").alias("rel"), F.coalesce("lit", "var").alias("target"), F.when(F.col("lit").isNull(), 0.6).otherwise(0.95).alias("confidence"))
+
+
+@query(f"WITH {ENTITIES}, {ACCESSES} SELECT e.* FROM e WHERE type = 'part' AND (NOT inferred OR id IN (SELECT to_id FROM a WHERE l_shipdate < '1995-04-01'))")
+def prune_inferred(spark, sf):
+    rel = T.accesses(spark, sf).filter("l_shipdate < '1995-04-01'").select("from_id", "to_id")
+    return model.prune_inferred(T.entities(spark, sf, orders=False).filter("type = 'part'"), rel)
+
+
+@query("""WITH k AS (SELECT s_suppkey, ps, array_agg(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS f, max(1 - l_discount) AS c FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS ps, l_orderkey, l_discount FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT s_suppkey, ps AS partkey, array_to_string(f, ',') AS fields, round(c, 4) AS confidence FROM k WHERE len(f) > 1""")
+def merge_contracts(spark, sf):
+    li, o = T.table(spark, sf, "lineitem"), T.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    g = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("partkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("f"), F.round(F.max(1 - F.col("l_discount")), 4).alias("confidence"))
+    return g.filter(F.size("f") > 1).select("s_suppkey", "partkey", F.array_join("f", ",").alias("fields"), "confidence")
+
+
+@query(f"""WITH {ENTITIES} SELECT n.id AS job, count(DISTINCT s.id) AS n_steps, count(DISTINCT l_partkey) AS n_parts, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n_reads
+FROM e n LEFT JOIN e s ON s.parent = n.id AND s.type = 'supplier' LEFT JOIN lineitem ON s.id = 'supplier:' || l_suppkey WHERE n.type = 'nation' GROUP BY n.id""")
+def batch_join(spark, sf):
+    n = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("job"), "n_nationkey")
+    li = T.table(spark, sf, "lineitem")
+    per = li.groupBy("l_suppkey", "l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    s = T.table(spark, sf, "supplier").join(per, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    g = s.groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("n_steps"), F.count_distinct("l_partkey").alias("n_parts"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_reads"))
+    return n.join(g, n["n_nationkey"] == g["s_nationkey"], "left").select("job", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
+
+
+@query("""SELECT DISTINCT r_name, n_name, s_suppkey FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_partkey = 17""")
+def lineage_join(spark, sf):
+    t = lambda n: T.table(spark, sf, n)
+    s = t("supplier").join(t("lineitem").filter("l_partkey = 17").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
+    return s.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "s_suppkey").distinct()
+
+
+@query("""WITH f AS (SELECT l_suppkey, list(DISTINCT l_partkey) AS ids FROM lineitem GROUP BY l_suppkey), q AS (SELECT unnest([1, 5, 9, 13, 40]) AS id)
+SELECT l_suppkey AS entry, count(*) AS n_matched, string_agg(q.id::VARCHAR, ',' ORDER BY q.id) AS matched FROM f JOIN q ON list_contains(ids, q.id) GROUP BY l_suppkey""")
+def related_flows(spark, sf):
+    flows = T.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entry_id")).agg(F.collect_set("l_partkey").alias("subject_ids"))
+    out = search.related_flows(flows, spark.createDataFrame([(x,) for x in (1, 5, 9, 13, 40)], "id bigint"))
+    return out.select(F.col("entry_id").alias("entry"), "n_matched", F.array_join("matched_ids", ",").alias("matched"))
+
+
+# --- anti joins, coverage ------------------------------------------------------------------------
+
+
+@query(f"WITH {CALLS}, {ENTITIES} SELECT id, name FROM e WHERE type = 'nation' AND id NOT IN (SELECT to_id FROM c)")
+def anti_entrypoints(spark, sf):
+    return coverage.entrypoints(T.entities(spark, sf, orders=False).filter("type = 'nation'"), T.calls(spark, sf, CALL_SHARE)).select("id", "name")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_isolated(spark, sf):
+    rel = T.table(spark, sf, "lineitem").select(F.lit("READS").alias("rel"), F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"))
+    return coverage.isolated(T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), rel)
+
+
+@query("SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_no_entities(spark, sf):
+    found = T.table(spark, sf, "labels").select(F.array("doc_id").alias("files"))
+    return coverage.files_without_entities(T.table(spark, sf, "documents").select(F.col("doc_id").alias("path")), found)
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate < '1995-03-01' AND (l_partkey = p_partkey OR l_suppkey = p_partkey))")
+def lib_not_exists(spark, sf):
+    li = T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-03-01'")
+    out = T.table(spark, sf, "part").select("p_partkey").join(li.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return out.join(li.select(F.col("l_suppkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey = 42 OR l_suppkey = 42 GROUP BY ALL")
+def lib_or_join(spark, sf):
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.filter("l_partkey = 42").union(li.filter("l_suppkey = 42 and l_partkey <> 42")).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def lib_left_join_files(spark, sf):
+    both = T.table(spark, sf, "documents").select("doc_id", "source").join(T.table(spark, sf, "labels"), "doc_id", "left")
+    return both.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query(f"WITH {ENTITIES} SELECT type, count(*) AS n FROM e GROUP BY type")
+def count_by_type(spark, sf):
+    return coverage.histogram(T.entities(spark, sf), "type")
+
+
+@query(f"WITH {ACCESSES} SELECT rel, count(*) AS n FROM a GROUP BY rel")
+def count_by_rel(spark, sf):
+    return coverage.histogram(T.accesses(spark, sf), "rel")
+
+
+@query(f"WITH {ACCESSES} SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n FROM a GROUP BY 1")
+def confidence_buckets(spark, sf):
+    return coverage.confidence_buckets(T.accesses(spark, sf))
+
+
+@query("SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, floor(100.0 * count(l.doc_id) / count(*) + 0.5)::BIGINT AS pct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def coverage_pct(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "source").join(T.table(spark, sf, "labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "left")
+    return d.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("l").alias("n_labelled")).withColumn("pct", X.percent(F.col("n_labelled"), F.col("n_docs")))
+
+
+@query("""WITH x AS (SELECT source, count(l.doc_id)::DOUBLE / count(*) AS f, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS ev, avg(CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.0 END) AS r FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source)
+SELECT source, round(0.3 * f + 0.4 * ev + 0.3 * r, 6) AS score, CASE WHEN 0.3 * f + 0.4 * ev + 0.3 * r >= 0.9 THEN 'high' WHEN 0.3 * f + 0.4 * ev + 0.3 * r >= 0.6 THEN 'medium' ELSE 'low' END AS grade FROM x""")
+def coverage_score(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(T.table(spark, sf, "labels"), "doc_id", "left")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    g = d.groupBy("source").agg(share(F.col("quality").isNotNull()).alias("f"), share(F.col("quality") == 1).alias("ev"), share(F.col("n_chars") > 500).alias("r"))
+    score, grade = coverage.weighted_score(F.col("f"), F.col("ev"), F.col("r"))
+    return g.select("source", F.round(score, 6).alias("score"), grade.alias("grade"))
+
+
+@query("""SELECT 'part:' || l_partkey AS to_id, count(*) AS n, min(l_orderkey || ':' || l_linenumber) AS first_evidence FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 25) GROUP BY l_partkey ORDER BY n DESC, to_id LIMIT 50""")
+def unresolved_topn(spark, sf):
+    known = T.table(spark, sf, "part").filter("p_size >= 25").select(T.key("part", "p_partkey").alias("id"))
+    return coverage.unresolved(T.accesses(spark, sf), known, 50)
+
+
+@query(f"WITH {ACCESSES} SELECT rel, count(DISTINCT to_id) AS n_targets, count(DISTINCT evidence) AS n_evidence FROM a GROUP BY rel")
+def distinct_evidence(spark, sf):
+    return T.accesses(spark, sf).groupBy("rel").agg(F.count_distinct("to_id").alias("n_targets"), F.count_distinct("evidence").alias("n_evidence"))
+
+
+@query("SELECT 'nation:' || c_nationkey AS id, count(*) AS fan_in FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY fan_in DESC, id LIMIT 10")
+def hotspots_fan_in(spark, sf):
+    o, c = T.table(spark, sf, "orders").select("o_custkey"), T.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    rel = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.lit("CALLS").alias("rel"), T.key("nation", "c_nationkey").alias("to_id"))
+    return coverage.hotspots(rel, T.entities(spark, sf, orders=False).filter("type = 'nation'"))
+
+
+@query(f"WITH {ACCESSES} SELECT from_id, coalesce(round(avg(CASE WHEN rel = 'READS' THEN confidence END), 2), 1.0) AS confidence FROM a GROUP BY from_id")
+def average_round2(spark, sf):
+    return T.accesses(spark, sf).groupBy("from_id").agg(F.coalesce(F.round(F.avg(F.when(F.col("rel") == "READS", F.col("confidence"))), 2), F.lit(1.0)).alias("confidence"))
+
+
+@query(f"""WITH {ACCESSES}, {ENTITIES} SELECT s.parent AS cluster, count(*) FILTER (rel = 'READS') AS n_inputs, count(*) FILTER (rel IN ('WRITES', 'UPDATES')) AS n_outputs, round(avg(a.confidence), 2) AS relation_confidence, count(DISTINCT s.id) AS n_active
+FROM a JOIN e s ON a.from_id = s.id GROUP BY s.parent""")
+def cluster_metrics(spark, sf):
+    members = T.table(spark, sf, "supplier").select(T.key("nation", "s_nationkey").alias("cluster"), T.key("supplier", "s_suppkey").alias("from_id"))
+    r = T.accesses(spark, sf).groupBy("from_id").agg(F.count_if(F.col("rel") == "READS").alias("i"), F.count_if(F.col("rel") != "READS").alias("o"), F.sum("confidence").alias("c"), F.count("*").alias("n"))
+    return r.join(members, "from_id").groupBy("cluster").agg(F.sum("i").alias("n_inputs"), F.sum("o").alias("n_outputs"), F.round(F.sum("c") / F.sum("n"), 2).alias("relation_confidence"), F.count_distinct("from_id").alias("n_active"))
+
+
+@query("""WITH d AS (SELECT doc_id AS name, CASE WHEN quality = 1 THEN 'approve' ELSE 'reject' END AS action FROM labels) SELECT action, count(*) AS n, min(name) AS first FROM d GROUP BY action""")
+def review_report(spark, sf):
+    d = T.table(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("action"), F.lit(0).alias("at"))
+    return coverage.review_report(d).select("action", "n", F.element_at("names", 1).alias("first"))
+
+
+@query(f"""WITH {ENTITIES}, ok AS (SELECT DISTINCT 'order:' || l_orderkey AS name FROM lineitem WHERE l_quantity > 45) SELECT 'entity' AS kind, name FROM e WHERE (confidence < 0.8 OR inferred) AND type = 'order' AND name NOT IN (FROM ok)""")
+def pending_filter(spark, sf):
+    ok = T.table(spark, sf, "lineitem").filter("l_quantity > 45").select(T.key("order", "l_orderkey").alias("name"), F.lit("approve").alias("action")).distinct()
+    none = T.accesses(spark, sf).limit(0).select(F.col("from_id").alias("from"), "rel", F.col("to_id").alias("to"), "confidence")
+    return coverage.pending(T.entities(spark, sf).filter("type = 'order'"), none, ok)
+
+
+@query("SELECT p_brand AS parent, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS columns FROM part GROUP BY p_brand")
+def columns_by_table(spark, sf):
+    return T.table(spark, sf, "part").groupBy(F.col("p_brand").alias("parent")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("columns"))
+
+
+# --- filters and scalar functions -----------------------------------------------------------------
+
+
+@query(f"WITH {ENTITIES} SELECT id, name FROM e WHERE type IN ('nation', 'supplier')")
+def filter_type(spark, sf):
+    return T.entities(spark, sf, orders=False).filter(F.col("type").isin("nation", "supplier")).select("id", "name")
+
+
+@query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, evidence FROM a WHERE confidence >= 0.9 AND rel IN ('READS', 'UPDATES')")
+def filter_min_conf(spark, sf):
+    return T.accesses(spark, sf).filter((F.coalesce("confidence", F.lit(0.0)) >= 0.9) & F.col("rel").isin("READS", "UPDATES")).select("rel", "from_id", "to_id", "evidence")
+
+
+@query(f"WITH {ENTITIES} SELECT id FROM e WHERE NOT inferred AND type = 'part'")
+def filter_no_inferred(spark, sf):
+    return T.entities(spark, sf, orders=False).filter(~F.coalesce("inferred", F.lit(False)) & (F.col("type") == "part")).select("id")
+
+
+@query(f"WITH {ENTITIES} SELECT id, name, type FROM e WHERE id = 'NATION_7' OR upper(name) = 'NATION_7' ORDER BY id LIMIT 1")
+def get_entity(spark, sf):
+    return search.get_entity(T.entities(spark, sf, orders=False), "NATION_7").select("id", "name", "type")
+
+
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents WHERE regexp_matches(strip_accents(substr(text, 1, 40)), '[A-Za-z0-9]') AND NOT contains(text, 'ß')""")
+def slugify(spark, sf):
+    d = T.table(spark, sf, "documents").withColumn("head", F.substring("text", 1, 40))
+    return d.filter(X.fold_accents(F.col("head")).rlike("[A-Za-z0-9]") & ~F.contains("text", F.lit("ß"))).select("doc_id", X.slugify(F.col("head")).alias("slug"))
+
+
+@query("""WITH r AS (SELECT 'SOURCE_' || k AS alias, root FROM (VALUES (1, 'http://'), (2, 'https://'), (3, 'https://www.')) t(k, root)) SELECT page_id, arg_max(r.alias || '/' || substr(url, length(root) + 1), length(root)) AS path FROM pages JOIN r ON starts_with(url, root) GROUP BY page_id""")
+def sanitize_paths(spark, sf):
+    from ..sources import files
+
+    roots = spark.createDataFrame([("SOURCE_1", "http://"), ("SOURCE_2", "https://"), ("SOURCE_3", "https://www.")], "alias string, root string")
+    return files.sanitize(T.table(spark, sf, "pages").select("page_id", "url"), roots, "url").select("page_id", F.col("alias_path").alias("path"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS hash FROM documents")
+def hash_file(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("hash"))
+
+
+@query("SELECT substr(sha256(text), 1, 12) AS hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_hashes(spark, sf):
+    return T.table(spark, sf, "documents").groupBy(F.substring(F.sha2("text", 256), 1, 12).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IS NOT NULL")
+def json_get(spark, sf):
+    return T.table(spark, sf, "events").filter("event_type is not null").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, n::BIGINT AS line_no, length(line)::BIGINT AS size FROM l""")
+def read_lines(spark, sf):
+    from ..sources import files
+
+    lines = files.lines(T.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return lines.select("doc_id", F.col("line").cast("bigint").alias("line_no"), F.length("code").cast("bigint").alias("size"))
+
+
+@query("""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def extract_links(spark, sf):
+    p = T.table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    return p.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_distinct"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)/en/') THEN 'en' WHEN regexp_matches(url, '(?i)utm_') THEN 'tracked' ELSE 'other' END AS kind FROM pages""")
+def exclude_globs(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", F.when(F.col("url").rlike(X.glob_regex("/en/")), "en").when(F.col("url").rlike(X.glob_regex("utm_")), "tracked").otherwise("other").alias("kind"))
+
+
+@query(f"WITH {ENTITIES} SELECT CASE WHEN type = 'table' THEN 'database' ELSE 'legacy' END AS platform, count(*) AS n FROM e GROUP BY 1")
+def platform_of(spark, sf):
+    return T.entities(spark, sf).groupBy(platform(F.col("type")).alias("platform")).agg(F.count("*").alias("n"))
+
+
+# --- windows, order, sets --------------------------------------------------------------------------
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events")
+def carry_forward(spark, sf):
+    return T.table(spark, sf, "events").select("event_id", ordering.carry_forward(F.when(F.col("event_type") == "purchase", F.col("value")), ["user_id"], ["ts", "event_id"]).alias("last_purchase"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS seq FROM conversations")
+def step_seq(spark, sf):
+    return T.table(spark, sf, "conversations").select("conv_id", "turn", ordering.sequence(["conv_id"], ["turn"]).alias("seq"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS phase FROM m) SELECT user_id, phase::BIGINT AS phase, event_type, count(*) AS n_rows FROM r WHERE phase <= 12 GROUP BY ALL""")
+def phase_merge(spark, sf):
+    return ordering.merge_adjacent(T.table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", 12).select("user_id", F.col("phase").cast("bigint").alias("phase"), "event_type", "n_rows")
+
+
+@query("SELECT conv_id, turn, role, nxt AS next FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt <> role")
+def adjacent_pairs(spark, sf):
+    return ordering.adjacent(T.table(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", True).select("conv_id", "turn", "role", "next")
+
+
+@query("SELECT conv_id, turn AS from_step, nxt AS to_step FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL")
+def step_chain(spark, sf):
+    return ordering.adjacent(T.table(spark, sf, "conversations"), ["conv_id"], ["turn"], "turn").select("conv_id", F.col("turn").alias("from_step"), F.col("next").alias("to_step"))
+
+
+@query("SELECT conv_id, turn, 'CIT-' || lpad(row_number() OVER (PARTITION BY conv_id ORDER BY role, turn)::VARCHAR, 3, '0') AS citation_id FROM conversations")
+def citation_id(spark, sf):
+    return ordering.citation_ids(T.table(spark, sf, "conversations"), ["conv_id"], ["role", "turn"]).select("conv_id", "turn", "citation_id")
+
+
+@query("WITH t AS (SELECT p_partkey AS id, p_size AS score FROM part ORDER BY score DESC, id LIMIT 6) SELECT * FROM t WHERE score >= (SELECT max(score) FROM t) - 18")
+def score_window(spark, sf):
+    return search.score_window(T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("score")))
+
+
+@query(f"""WITH {ACCESSES}, t AS (SELECT rel, from_id, to_id, max(confidence) AS c FROM a GROUP BY ALL), b AS (SELECT rel, from_id, to_id, max(confidence) AS c FROM a WHERE l_shipdate < '1998-06-01' GROUP BY ALL)
+SELECT rel, from_id, to_id, CASE WHEN b.c IS NULL THEN 'added' WHEN t.c IS NULL THEN 'removed' ELSE 'changed' END AS change FROM t FULL JOIN b USING (rel, from_id, to_id) WHERE b.c IS NULL OR t.c IS NULL OR b.c <> t.c""")
+def snapshot_diff(spark, sf):
+    one = lambda d: d.groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"))
+    a = T.accesses(spark, sf)
+    return changes.snapshot_diff(one(a.filter("l_shipdate < '1998-06-01'")), one(a), ["rel", "from_id", "to_id"], "confidence")
+
+
+@query("""WITH o AS (SELECT doc_id, substr(sha256(text), 1, 12) AS h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, substr(sha256(CASE WHEN n_chars < 300 THEN text || '!' ELSE text END), 1, 12) AS h FROM documents WHERE doc_id % 10 <> 4)
+SELECT doc_id AS path, CASE WHEN n.h IS NULL THEN 'deleted' WHEN o.h IS NULL THEN 'new' WHEN n.h = o.h THEN 'unchanged' ELSE 'modified' END AS status FROM n FULL JOIN o USING (doc_id)""")
+def incremental_status(spark, sf):
+    d = T.table(spark, sf, "documents")
+    sha = lambda c: F.substring(F.sha2(c, 256), 1, 12).alias("hash")
+    # two snapshots that differ: the operator's input, not a cut of the table
+    new = d.filter("doc_id % 10 <> 4").select(F.col("doc_id").alias("path"), sha(F.when(F.col("n_chars") < 300, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), F.col("n_chars").alias("size"))
+    return changes.status(new, d.filter("doc_id % 10 <> 3").select(F.col("doc_id").alias("path"), sha(F.col("text"))))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def dedupe_by_key(spark, sf):
+    return changes.first_by(T.table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT coalesce(p, f) AS p_brand, CASE WHEN p IS NOT NULL AND f IS NOT NULL THEN 'implemented' WHEN p IS NOT NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT DISTINCT p_brand AS p FROM part WHERE p_size < 4) FULL JOIN (SELECT DISTINCT p_brand AS f FROM part WHERE p_size > 47) ON p = f")
+def adherence_sets(spark, sf):
+    p = T.table(spark, sf, "part")
+    return changes.adherence(p.filter("p_size < 4"), p.filter("p_size > 47"), "p_brand")
+
+
+@query("SELECT conv_id, string_agg(role, '>' ORDER BY coalesce(turn, 9999), role) AS steps FROM conversations GROUP BY conv_id")
+def sort_steps(spark, sf):
+    steps = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(9999)).alias("s"), "role")))
+    return T.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda s: s["role"]), ">").alias("steps"))
+
+
+# --- search -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ENTITIES} SELECT id, score FROM (SELECT id, CASE WHEN upper(id) = 'NATION_1' OR upper(name) = 'NATION_1' THEN 100 WHEN starts_with(upper(name), 'NATION_1') OR starts_with(upper(coalesce(parent, '')), 'NATION_1') OR starts_with(upper(type), 'NATION_1') THEN 70
+WHEN contains(upper(id), 'NATION_1') OR contains(upper(name), 'NATION_1') OR contains(upper(coalesce(parent, '')), 'NATION_1') THEN 40 ELSE 0 END AS score FROM e) WHERE score > 0""")
+def entity_search(spark, sf):
+    return search.entities(T.entities(spark, sf), "nation_1").select("id", "score")
+
+
+@query(f"WITH {ACCESSES} SELECT DISTINCT rel, from_id, to_id FROM a WHERE contains(upper(from_id), 'PART:77') OR contains(upper(to_id), 'PART:77')")
+def relation_search(spark, sf):
+    return search.relations(T.accesses(spark, sf).select("rel", "from_id", "to_id").distinct(), "part:77")
+
+
+@query("""WITH f AS (SELECT n_name AS entry_label, 'nation:' || n_nationkey AS entry_id, upper(n_name) AS u, n_name || ' of ' || r_name AS summary FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT entry_id, score FROM (SELECT entry_id, (CASE WHEN u = 'NATION_2' THEN 100 ELSE 0 END) + (CASE WHEN starts_with(u, 'NATION_2') OR starts_with(upper(summary), 'NATION_2') THEN 35 ELSE 0 END) + (CASE WHEN u = 'NATION_2' THEN 25 ELSE 0 END) + (CASE WHEN contains(u, 'NATION_2') OR contains(upper(summary), 'NATION_2') THEN 15 ELSE 0 END) AS score FROM f) WHERE score > 0""")
+def flow_search(spark, sf):
+    n, r = T.table(spark, sf, "nation"), T.table(spark, sf, "region")
+    f = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(T.key("nation", "n_nationkey").alias("entry_id"), F.col("n_name").alias("entry_label"), F.col("n_name").alias("entry_name"), F.concat("n_name", F.lit(" of "), "r_name").alias("summary"), F.array(T.key("nation", "n_nationkey")).alias("subject_ids"), F.array(F.upper("n_name")).alias("tokens"))
+    return search.flows(f, "nation_2").select("entry_id", "score")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a AS a, y.a AS b FROM n x JOIN n y ON x.a < y.a) SELECT a, b, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM p WHERE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.72""")
+def name_similarity(spark, sf):
+    n = T.table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
+    # names of the vocabulary meet where they share a letter pair: 1 - d / m >= 0.72 leaves one in common
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(F.col(c), i, F.lit(2))))
+    x = n.withColumn("g", F.explode(pairs("a")))
+    y = x.withColumnRenamed("a", "b")
+    both = x.join(y, "g").filter("a < b").select("a", "b").distinct().withColumn("similarity", X.similarity(F.col("a"), F.col("b")))
+    return both.filter("similarity >= 0.72").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g')), ' ')) AS token FROM part) SELECT token, count(*) AS n FROM t WHERE token <> '' GROUP BY token""")
+def token_index(spark, sf):
+    p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return search.token_index(p, ["name"]).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_name, CASE WHEN upper(p_name) = 'SMALL' THEN 1 WHEN contains(upper(p_name), 'SM') THEN 2 ELSE 0 END AS tier FROM part) SELECT p_partkey AS id, tier::INT AS tier FROM b WHERE tier > 0""")
+def name_tiers(spark, sf):
+    u = F.upper("p_name")
+    return T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(u == "SMALL", 1).when(F.contains(u, F.lit("SM")), 2).otherwise(0).alias("tier")).filter("tier > 0")
+
+
+@query("""SELECT source, max(CASE WHEN contains(text, 'License') THEN 1 ELSE 0 END)::INT + max(CASE WHEN contains(text, 'token') THEN 1 ELSE 0 END)::INT + max(CASE WHEN contains(text, '@mail') THEN 1 ELSE 0 END)::INT AS n_terms FROM documents GROUP BY source""")
+def domain_pack_resolve(spark, sf):
+    hit = lambda t: F.max(F.contains("text", F.lit(t)).cast("int"))
+    return T.table(spark, sf, "documents").groupBy("source").agg((hit("License") + hit("token") + hit("@mail")).alias("n_terms"))
+
+
+@query("""SELECT doc_id, least(100, 28 * h + 12) AS score FROM (SELECT doc_id, regexp_matches(text, 'License')::INT + regexp_matches(text, '[0-9]{3}-[0-9]{4}')::INT + regexp_matches(text, '@mail')::INT + regexp_matches(text, 'token = ')::INT AS h FROM documents) WHERE h > 0""")
+def rank_terminals(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", search.pattern_score(F.col("text"), ["License", "[0-9]{3}-[0-9]{4}", "@mail", "token = "]).alias("score"))
+    return d.filter("score > 0")
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
+def contained_passages(spark, sf):
+    """Benchmark texts inside documents: a theta join made an equi-join on the item's longest word."""
+    b = T.table(spark, sf, "benchmark").withColumn("w", F.element_at(F.array_sort(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda t: F.length(t) > 0), lambda x, y: F.length(y) - F.length(x)), 1))
+    d = T.table(spark, sf, "documents").select("doc_id", "text", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")).alias("ws"))
+    words = b.select("w").distinct()
+    hit = d.select("doc_id", F.explode("ws").alias("w")).join(words, "w", "left_semi").join(b.select("item_id", "w", F.col("text").alias("item")), "w")
+    return hit.join(d.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+
+
+# --- claims, phases, exports ---------------------------------------------------------------------------
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'fact' WHEN l.doc_id IS NOT NULL THEN 'inference' ELSE 'hypothesis' END AS claim FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def claims(spark, sf):
+    from ..operators import dossier
+
+    d = T.table(spark, sf, "documents").select("doc_id").join(T.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select("doc_id", dossier.claim_type(F.lit(True), F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("quality").isNotNull()).alias("claim"))
+
+
+@query("""SELECT source, floor(100 * avg((a::INT + b::INT + c::INT) / 3.0) + 0.5)::BIGINT AS pct, CASE WHEN avg((a::INT + b::INT + c::INT) / 3.0) >= 0.85 THEN 'complete' WHEN avg((a::INT + b::INT + c::INT) / 3.0) >= 0.55 THEN 'partial' ELSE 'draft' END AS status
+FROM (SELECT source, n_chars > 400 AS a, lang = 'en' AS b, l.doc_id IS NOT NULL AS c FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY source""")
+def completeness_score(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(T.table(spark, sf, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left")
+    n = (F.col("n_chars") > 400).cast("int") + (F.col("lang") == "en").cast("int") + F.coalesce("l", F.lit(False)).cast("int")
+    g = d.groupBy("source").agg(F.avg(n / 3.0).alias("m"))
+    return g.select("source", F.floor(100 * F.col("m") + 0.5).alias("pct"), F.when(F.col("m") >= 0.85, "complete").when(F.col("m") >= 0.55, "partial").otherwise("draft").alias("status"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'output' WHEN event_type IN ('click', 'view') THEN 'intake' WHEN value > 50 THEN 'persistence' ELSE 'validation' END AS phase FROM events""")
+def phase_classify(spark, sf):
+    return T.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "purchase", "output").when(F.col("event_type").isin("click", "view"), "intake").when(F.col("value") > 50, "persistence").otherwise("validation").alias("phase"))
+
+
+@query(f"""WITH {ACCESSES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence, list_sort(list_distinct(list(evidence))) AS ev FROM a WHERE l_shipdate < '1995-06-01' GROUP BY ALL) SELECT rel, from_id, to_id, unnest(ev) AS evidence FROM m""")
+def csv_edges_expanded(spark, sf):
+    from ..operators import export
+
+    m = T.accesses(spark, sf).filter("l_shipdate < '1995-06-01'").groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.collect_set("evidence").alias("evidence"))
+    return export.csv_edges(m, expanded=True).select("rel", "from_id", "to_id", "evidence")
+
+
+@query("""SELECT 'nation:' || n_nationkey AS id, '  <node id="nation:' || n_nationkey || '"><data key="label">' || replace(n_name, '&', '&amp;') || '</data><data key="type">nation</data></node>' AS line FROM nation""")
+def graphml_nodes(spark, sf):
+    from ..operators import export
+
+    return export.graphml_nodes(T.entities(spark, sf, orders=False).filter("type = 'nation'").withColumn("label", F.col("name"))).select("id", "line")
+
+
+@query(f"""WITH {CALLS} SELECT '  "' || from_id || '" -> "' || to_id || '" [label="CALLS"];' AS line FROM c""")
+def dot_edges(spark, sf):
+    from ..operators import export
+
+    return export.dot_edges(T.calls(spark, sf, CALL_SHARE)).select("line")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS t FROM part), b AS (SELECT item, unnest(string_split(item, '-')) AS t FROM (VALUES ('blue-widget-service'), ('gear-api'), ('rod-store')) x(item))
+SELECT DISTINCT p_partkey, item FROM p JOIN b USING (t) WHERE length(t) >= 3 AND t NOT IN ('service', 'api', 'store')""")
+def service_match(spark, sf):
+    from ..operators import modernize
+
+    services = spark.createDataFrame([("blue-widget-service",), ("gear-api",), ("rod-store",)], "item string")
+    return modernize.token_match(T.table(spark, sf, "part").select("p_partkey", "p_name"), services, "p_name", "item").select("p_partkey", "item")
