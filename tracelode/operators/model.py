@@ -182,3 +182,11 @@ def lineage(field: DataFrame, entities: DataFrame, relations: DataFrame) -> Data
     for kind, d in (("program", programs), ("data", data), ("step", runs), ("job", jobs)):
         out = out.union(d.select(F.lit(kind), "id"))
     return out
+
+
+def merge_relations_again(relations: DataFrame) -> DataFrame:
+    """Canonical relations that have come to share a key (rel, from_id, to_id), as one."""
+    rows = relations.withColumn("__k", F.xxhash64("evidence", "confidence", "extractor"))
+    keep = ("from", "to", "from_type", "to_type", "from_label", "to_label", "extractor", "resolvedFrom")
+    out = rows.groupBy("rel", "from_id", "to_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(-F.coalesce("confidence", F.lit(0.0)), "__k"))).alias(c) for c in keep], F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("evidence", F.array().cast("array<string>")))))).alias("evidence"), F.max("dynamic").alias("dynamic"), F.min_by("fields", F.when(F.col("fields").isNotNull(), F.col("__k"))).alias("fields"))
+    return schema.shaped(out, schema.RELATION)
