@@ -2,12 +2,14 @@
 
 Documents become sets of 64-bit hashes of word n-grams. Documents with equal sets are one class.
 Two sets with similarity of at least t share one of the first n - ceil(t n) + 1 hashes in
-ascending order (n: set size), so these hashes are the keys. The classes under one key, cut where
-sizes drop by more than t, are a tile; keys of the same classes give the same tile once. In a
-tile, bit counts of the exclusive or of hashed bitmaps bound the overlap of two sets from above;
-pairs that pass and aren't linked through others yet are decided by intersecting sorted arrays.
-
-A tile of more than TILE classes is split: blocks that each also hold its pivots (the first few
+ascending order (n: set size), so these hashes are the keys, and the classes under one key are a
+tile; keys of the same classes give the same tile once, and a tile of more than TILE classes is
+cut into overlapping size bands. In a tile, only sizes within a factor of t meet, and bit counts
+of the exclusive or of hashed bitmaps bound the overlap of two sets from above; classes that are
+connected by pairs under the bound stay together in a refined tile. There, pairs that aren't
+linked through others yet are decided by intersecting sorted arrays.
+
+A refined tile of more than BLOCK classes is split: blocks that each also hold its pivots (a few
 classes) are verified first; classes that the pivots don't reach then meet every block. So links
 are complete, and a large group of near copies costs about its size times the pivots.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import longs, mixed, runs_of, text_of, utf8, whole, within, written
 from .components import components
 
-TILE, PIVOTS = 1000, 4
+TILE, BLOCK, PIVOTS = 8000, 1000, 4
 #: Bytes of text whose keys one bucket of keys holds, on average.
 KEY_BUCKET_BYTES = 16 << 20
 #: Members of tiles that one task holds, on average.
@@ -101,7 +103,7 @@ def set_hash(s: np.ndarray) -> int:
     return int((mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)) if len(s) else 0
 
 
-ENTRY = np.dtype([("key", "<u8"), ("set", "<i8"), ("size", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<i8")])
 
 
 def _profiles(k: int, num: int, den: int, buckets: int):
@@ -109,54 +111,130 @@ def _profiles(k: int, num: int, den: int, buckets: int):
         values, names = byte_values(), ["bucket", "doc_id", "n", "h", "blob"]
         for batch in batches:
             raw, at = utf8(batch.column(1))
-            sizes, hashes, entries, seen = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [], set()
+            sizes, hashes, entries, seen, signs = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [], set(), [None] * len(batch)
             for i, j in runs_of(at):
                 for r, s in enumerate(shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k, values), i):
                     sizes[r], hashes[r] = len(s), set_hash(s)
                     if len(s) and hashes[r] not in seen:
                         seen.add(int(hashes[r]))
+                        signs[r] = signature(s)
                         prefix = s[: len(s) + (-len(s) * num) // den + 1]
                         e = np.empty(len(prefix), ENTRY)
-                        e["key"], e["set"], e["size"] = prefix, hashes[r], len(s)
+                        e["key"], e["set"] = mixed(prefix), hashes[r]
                         entries.append(e)
-            none = pa.nulls(len(batch), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), -1, np.int32)), batch.column(0), pa.array(sizes), pa.array(hashes), none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), -1, np.int32)), batch.column(0), pa.array(sizes), pa.array(hashes), pa.array(signs, pa.binary())], names)
             if entries:
                 e = np.concatenate(entries)
-                to = (mixed(e["key"]) % np.uint64(buckets)).astype(np.int32)
+                to = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 e, to = e[order], to[order]
                 cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-                blobs = [e["key"][a:b].tobytes() + e["set"][a:b].tobytes() + e["size"][a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
+                low = e["key"].astype(np.uint32)  # the rest of a key names its bucket; keys that still agree only make a tile larger
+                blobs = [low[a:b].tobytes() + e["set"][a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
                 zero = pa.nulls(len(cut), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(to[cut]), zero, zero, zero, pa.array(blobs, pa.binary())], names)
 
     return run
 
 
-def _tiles(num: int, den: int):
-    def run(bucket: pa.Table) -> pa.Table:
-        keys, sets, sizes = [], [], []
-        for blob in bucket.column("blob"):
-            b = blob.as_py()
-            n = len(b) // 20
-            keys.append(np.frombuffer(b, "<u8", n))
-            sets.append(np.frombuffer(b, "<i8", n, 8 * n))
-            sizes.append(np.frombuffer(b, "<u4", n, 16 * n))
-        key, own, size = np.concatenate(keys), np.concatenate(sets), np.concatenate(sizes).astype(np.int64)
-        order = np.lexsort((own, size, key))
-        key, own, size = key[order], own[order], size[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
-        key, own, size = key[new], own[new], size[new]
-        apart = np.concatenate(([True], (key[1:] != key[:-1]) | (size[:-1] * den < size[1:] * num)))
-        start = np.flatnonzero(apart)
-        count = np.diff(np.append(start, len(key)))
-        mark = mixed(own.view(np.uint64))
-        tile = mixed(np.add.reduceat(mark, start) ^ mixed(count.astype(np.uint64))).view(np.int64)
-        some = np.flatnonzero(count >= 2)
-        _, first = np.unique(tile[some], return_index=True)
-        some = some[first]
-        return pa.table({"tile": pa.array(np.repeat(tile[some], count[some])), "h": pa.array(own[within(start[some], count[some])])})
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set: bit h mod size for each hash h, with two to four bits for each element."""
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(s >> np.uint64(17)) % np.uint64(bits)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(sign: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits (size in words)."""
+    while len(sign) > size:
+        sign = sign[: len(sign) // 2] | sign[len(sign) // 2 :]
+    return sign
+
+
+def _tiles(bucket: pa.Table) -> pa.Table:
+    """The distinct groups of classes that share a key of this bucket."""
+    keys, sets = [], []
+    for blob in bucket.column("blob"):
+        b = blob.as_buffer()
+        n = b.size // 12
+        keys.append(np.frombuffer(b, "<u4", n))
+        sets.append(np.frombuffer(b, "<i8", n, 4 * n))
+    key, own = np.concatenate(keys), np.concatenate(sets)
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
+    key, own = key[new], own[new]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(start, len(key)))
+    tile = tile_ids(own, start, count)
+    some = np.flatnonzero(count >= 2)
+    _, first = np.unique(tile[some], return_index=True)
+    some = some[first]
+    return pa.table({"tile": pa.array(np.repeat(tile[some], count[some])), "h": pa.array(own[within(start[some], count[some])])})
+
+
+def tile_ids(own: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A name for each group of classes that only depends on which they are."""
+    return mixed(np.add.reduceat(mixed(own.view(np.uint64)), start) ^ mixed(count.astype(np.uint64))).view(np.int64) if len(start) else np.zeros(0, np.int64)
+
+
+def _refine(num: int, den: int):
+    """Of each tile, the groups of classes that are connected by pairs whose bitmaps allow enough overlap."""
+
+    def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        most = (n + m - apart) // 2
+        return most * den >= (n + m - most) * num
+
+    def run(part: pa.Table) -> pa.Table:
+        h, tiles, n = longs(part.column("h")), longs(part.column("tile")), longs(part.column("n"))
+        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        n = n[first]
+        raw, at = utf8(whole(part.column("sig")).take(pa.array(first)))
+        raw = np.ascontiguousarray(raw)
+        sign = [raw[a:b].view(np.uint64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        words = np.diff(at) // 8
+        order = np.lexsort((n[back], tiles))
+        own, cut = back[order], np.flatnonzero(np.concatenate(([True], tiles[order][1:] != tiles[order][:-1])))
+        size = np.diff(np.append(cut, len(own)))
+        groups: list[np.ndarray] = []
+        two = cut[size == 2]
+        i, j = own[two], own[two + 1]
+        close = n[i] * den >= n[j] * num
+        i, j = i[close], j[close]
+        for w in np.unique(words[i]).tolist():  # pairs, all of one width at once
+            some = np.flatnonzero(words[i] == w)
+            a, b = i[some], j[some]
+            for k in range(0, len(a), 4096):
+                x, y = np.stack([sign[q] for q in a[k : k + 4096]]), np.stack([folded(sign[q], w) for q in b[k : k + 4096]])
+                good = may_link(n[a[k : k + 4096]], n[b[k : k + 4096]], np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+                groups += [np.array(p) for p in zip(a[k : k + 4096][good].tolist(), b[k : k + 4096][good].tolist(), strict=True)]
+        for c in np.flatnonzero(size > 2).tolist():
+            members = own[cut[c] : cut[c] + size[c]]
+            found, m, wide = Sets(len(members)), n[members], words[members]
+            for w in np.unique(wide).tolist():  # sizes rise, and so do widths; a row meets its own width and the next
+                lo = int(np.searchsorted(wide, w))
+                hi = int(np.searchsorted(wide, w, "right"))
+                top = int(np.searchsorted(m, m[hi - 1] * den // num, "right"))
+                block = np.stack([folded(sign[q], w) for q in members[lo:top]])
+                for x in range(lo, hi):
+                    last = int(np.searchsorted(m, m[x] * den // num, "right"))
+                    if last > x + 1:
+                        apart = np.bitwise_count(block[x + 1 - lo : last - lo] ^ block[x - lo]).sum(1, dtype=np.int64)
+                        for y in (np.flatnonzero(may_link(m[x + 1 : last], m[x], apart)) + x + 1).tolist():
+                            if found.find(x) != found.find(y):
+                                found.join(x, y)
+            root = np.array([found.find(x) for x in range(len(members))])
+            for r in np.flatnonzero(np.bincount(root, minlength=len(members)) > 1).tolist():
+                groups.append(members[root == r])
+        if not groups:
+            return pa.table({"tile": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
+        groups = [np.sort(uniq[g]) for g in groups]
+        flat, count = np.concatenate(groups), np.array([len(g) for g in groups])
+        start = np.concatenate(([0], np.cumsum(count)[:-1]))
+        tile = tile_ids(flat, start, count)
+        _, keep = np.unique(tile, return_index=True)
+        return pa.table({"tile": pa.array(np.repeat(tile[keep], count[keep])), "h": pa.array(flat[within(start[keep], count[keep])])})
 
     return run
 
@@ -255,27 +333,38 @@ def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id
     num, den = percent, 100
     profiles = written(docs.mapInArrow(_profiles(words, num, den, buckets), "bucket int, doc_id bigint, n bigint, h bigint, blob binary"), "profiles")
     sets = profiles.filter("bucket = -1").select("doc_id", "n", "h")
-    classes = written(sets.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
-    members = profiles.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_tiles(num, den), "tile bigint, h bigint").distinct()
-    members = written(members.join(classes.filter("rep is not null"), "h").select("tile", F.col("rep").alias("doc_id")), "members")
+    classes = written(profiles.filter("bucket = -1 and n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("blob").alias("sig")), "classes")
+    known = classes.filter("rep is not null")
+    tiles = written(profiles.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_tiles, "tile bigint, h bigint").distinct(), "tiles")
+    rows = tiles.join(known.select("h", "n", "sig"), "h")
+    wide = tiles.groupBy("tile").agg(F.count("*").alias("m")).filter(F.col("m") > TILE)
+    if not wide.isEmpty():  # size bands: two sets that can link are in one band or in neighbouring ones
+        wide = written(wide.select("tile"), "wide")
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
+        cut_ = rows.join(wide, "tile").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("tile", F.xxhash64("tile", "band")).select(*rows.columns)
+        rows = rows.join(wide, "tile", "left_anti").select(*rows.columns).unionByName(cut_)
+    n_rows = tiles.count()
+    groups = max(LEAST_BUCKETS, -(-n_rows // (10 * MEMBERS)))
+    refined = rows.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
+    members = written(refined.join(known.select("h", "rep"), "h").select("tile", F.col("rep").alias("doc_id")), "members")
     n_members = members.count()
     wanted = members.select("doc_id").distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def verified(rows: DataFrame, n: int) -> DataFrame:
         groups = max(LEAST_BUCKETS, -(-n // MEMBERS))
         placed = rows.join(texts, "doc_id").select(F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("g"), "tile", "doc_id", "text")
         return written(placed.groupBy("g").applyInArrow(_verify(words, num, den), "a bigint, b bigint"), "links")
 
-    big = written(members.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(PIVOTS)]).alias("pivots")).filter(F.col("m") > TILE), "big")
+    big = written(members.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(PIVOTS)]).alias("pivots")).filter(F.col("m") > BLOCK), "big")
     split = lambda rows, n: F.pmod(F.xxhash64(rows, F.lit(5)), n).cast("int")
     if not (n_big := big.count()):
         edges = verified(members, n_members)
     else:
         small = members.join(big.select("tile"), "tile", "left_anti")
-        large = members.join(big, "tile").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).withColumn("block", split("doc_id", F.col("blocks")))
+        large = members.join(big, "tile").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", split("doc_id", F.col("blocks")))
         large = written(large.select("tile", "doc_id", "block", "blocks"), "large")
-        pivots = big.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / TILE).cast("int") - 1))).select("tile", F.explode("pivots").alias("doc_id"), "block")
+        pivots = big.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1))).select("tile", F.explode("pivots").alias("doc_id"), "block")
         own = lambda *c: F.xxhash64("tile", *c).alias("tile")
         blocks = large.select("tile", "doc_id", "block").union(pivots.select("tile", "doc_id", "block")).distinct().select(own("block"), "doc_id")
         edges = verified(small.unionByName(blocks), n_members)
@@ -285,13 +374,13 @@ def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id
         main = named.groupBy("tile", "c").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"))
         rest = written(named.join(main, "tile").filter("c <> main").select("tile", "doc_id", "blocks"), "rest")
         if n_rest := rest.count():  # what the pivots don't reach meets every block of its tile
-            parts = rest.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+            parts = rest.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
             rest = rest.join(parts, "tile").withColumn("part", split("doc_id", F.col("parts")))
             meets = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "doc_id", "block", "part")
             held = named.join(parts, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tile", "doc_id", "block", "part")
             pairs = meets.union(held).distinct().select(own("block", "part"), "doc_id")
             edges = edges.unionByName(verified(pairs, n_members + n_rest * (n_big + 1)))
     labels = components(edges)
-    placed = sets.join(classes, "h", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    placed = sets.join(classes.select("h", "rep"), "h", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = placed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
