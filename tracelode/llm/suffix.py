@@ -106,6 +106,11 @@ def segments(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def pieces(first: np.ndarray, n: int):
+    """(from, to) of the stretches that begin at first and end where the next begins, or at n."""
+    return zip(first.tolist(), [*first[1:].tolist(), n][: len(first)], strict=True)
+
+
 def keyed(least: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of a hash, and 32 further bits of it."""
     return ((least >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), (least & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -140,9 +145,9 @@ def _offer(buckets: int):
         doc = ids[np.searchsorted(at, start, "right") - 1]
         bucket, key, many = distinct_keys(least, doc, buckets)
         first = cuts(bucket)
-        blobs = [key[a:b].tobytes() + np.packbits(many[a:b]).tobytes() for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
+        blobs = [key[a:b].tobytes() + np.packbits(many[a:b]).tobytes() for a, b in pieces(first, len(key))]
         group = docs.column("grp")[0].as_py()
-        return pa.table({"bucket": pa.array(bucket[first], pa.int32()), "grp": pa.array([group] * len(first), pa.int32()), "n": pa.array(np.diff(np.append(first, len(key))), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[first], pa.int32()), "grp": pa.array([group] * len(first), pa.int32()), "n": pa.array([b - a for a, b in pieces(first, len(key))], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -177,7 +182,7 @@ def _send(buckets: int, shards: int):
         bucket, key, _ = distinct_keys(least, doc, buckets)
         flag, bits = np.zeros(len(key), bool), dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
         first = cuts(bucket)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+        for a, b in pieces(first, len(key)):
             flag[a:b] = np.unpackbits(np.frombuffer(bits[int(bucket[a])], np.uint8), count=b - a) > 0
         bk, ky = keyed(least, buckets)
         mine = flag[np.searchsorted((bucket.astype(np.uint64) << np.uint64(32)) | key, (bk.astype(np.uint64) << np.uint64(32)) | ky)]
@@ -188,9 +193,9 @@ def _send(buckets: int, shards: int):
         order = np.argsort(to, kind="stable")
         start, size, doc, to = start[order], size[order] + WINDOW - 1, doc[order], to[order]
         first = cuts(to)
-        blobs = [doc[a:b].tobytes() + size[a:b].astype(np.uint8).tobytes() + raw[within(start[a:b], size[a:b])].tobytes() for a, b in zip(first, np.append(first[1:], len(to)), strict=True)]
+        blobs = [doc[a:b].tobytes() + size[a:b].astype(np.uint8).tobytes() + raw[within(start[a:b], size[a:b])].tobytes() for a, b in pieces(first, len(to))]
         group = docs.column("grp")[0].as_py()
-        return pa.table({"shard": pa.array(to[first], pa.int32()), "grp": pa.array([group] * len(first), pa.int32()), "n": pa.array(np.diff(np.append(first, len(to))), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"shard": pa.array(to[first], pa.int32()), "grp": pa.array([group] * len(first), pa.int32()), "n": pa.array([b - a for a, b in pieces(first, len(to))], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -264,7 +269,7 @@ def least_documents(text: np.ndarray, start: np.ndarray, count: np.ndarray, doc:
     piece = (ends - 1) // piece_bytes
     first = cuts(piece)
     least, sorted_windows = [], []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(start)], strict=True):
+    for a, b in pieces(first, len(start)):
         lo, hi = int(start[a]), int(start[b - 1] + count[b - 1] + WINDOW - 1)
         part = text[lo:hi]
         wide = np.concatenate((part, np.zeros(8, np.uint8))).astype(np.uint64)
