@@ -3,8 +3,9 @@
 Vectors are integer after scaling. Queries are read in blocks of QUERY_BLOCK and broadcast (64
 dimensions: 10 MB); every candidate meets a block where it lies, without a shuffle. The longest
 vectors of the table give each query a first threshold. A batch of candidates is sorted by
-descending length; blocks whose length cannot reach the threshold are left out, then vectors
-whose first rotated components and residual lengths cannot; the rest are scored in integers.
+descending length; blocks whose length cannot reach the threshold are left out, then pairs
+whose first rotated components and residual lengths cannot; the products of the rest are finished
+in integers, and the k-th best of a block raises the threshold.
 Each batch hands on the k best of a query, and a window over these picks the k best of all.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
@@ -67,8 +68,7 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best entries of each query: by score downwards, then by id."""
-    order = np.lexsort((ids, -score.astype(float), query))
-    order = order[np.lexsort((ids[order], -score[order], query[order]))]
+    order = np.lexsort((ids, ~score, query))  # ~ falls as a score rises, at the bounds too
     q = query[order]
     start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
@@ -83,6 +83,7 @@ class Scan:
         self.first = max(1, q.shape[1] // 4)
         turned = q @ rotation
         self.head, self.rest, self.norm = turned[:, : self.first], np.linalg.norm(turned[:, self.first :], axis=1), np.linalg.norm(q, axis=1)
+        self.safe = float(self.norm.max(initial=0))
         self.least = np.full(len(ids), -np.inf)
 
     def meet(self, ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,17 +103,28 @@ class Scan:
             live = np.flatnonzero(self.norm * norm[0] + slack >= least)
             if not len(live):
                 continue
-            for j in range(0, len(live), 4096):
-                who = live[j : j + 4096]
-                bound = self.head[who] @ turned[:, : self.first].T + self.rest[who][:, None] * rest
-                a, b = np.nonzero(bound + slack[who][:, None] >= least[who][:, None])
-                for t in range(0, len(a), 200_000):
-                    qa, cb = who[a[t : t + 200_000]], b[t : t + 200_000]
-                    keep = self.ids[qa] != own[cb]
-                    qa, cb = qa[keep], cb[keep]
-                    got = [np.concatenate(z) for z in zip(found, (qa, own[cb], exact(self.q[qa], x[cb])), strict=True)]
-                    top = best(*got, self.k)
-                    found = tuple(z[top] for z in got)
+            for j in range(0, len(live), 2048):
+                who = live[j : j + 2048]
+                bound = self.head[who] @ turned[:, : self.first].T + self.rest[who][:, None] * rest + slack[who][:, None]
+                may = bound >= least[who][:, None]
+                rows = np.flatnonzero(may.any(1))
+                if not len(rows):
+                    continue
+                who, may = who[rows], may[rows]
+                if self.safe * norm[0] < SAFE:  # sums of integers that doubles hold exactly: finish the products, then raise the thresholds by what this block has
+                    score = self.q[who] @ x.T
+                    may &= self.ids[who][:, None] != own
+                    if len(some) > self.k:
+                        kth = np.partition(np.where(may, score, -np.inf), -self.k, axis=1)[:, -self.k]
+                        least[who] = np.maximum(least[who], kth)
+                    a, b = np.nonzero(may & (score >= least[who][:, None]))
+                    got = who[a], own[b], score[a, b].astype(np.int64)
+                else:
+                    a, b = np.nonzero(may & (self.ids[who][:, None] != own))
+                    got = who[a], own[b], exact(self.q[who[a]], x[b])
+                got = [np.concatenate(z) for z in zip(found, got, strict=True)]
+                top = best(*got, self.k)
+                found = tuple(z[top] for z in got)
             count = np.bincount(found[0], minlength=len(self.ids))
             full = np.flatnonzero(count >= self.k)
             low = np.full(len(self.ids), np.inf)
