@@ -49,15 +49,19 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.count = 0
-        self.dead = 0
+        self.dead = 0  # open elements that are no content
+        self.hidden = False  # whether such an element has had text since the last line
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             articles = [n for tag, _, n in self.stack if tag == "article"] or [n for tag, _, n in self.stack if tag == "main"]
             near = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
-            self.lines.append((text, max(1, self.tags), (0, articles[0]) if articles else (1, near), self.dead > 0))
+            self.lines.append((text, max(1, self.tags), (0, articles[0]) if articles else (1, near), False))
+        elif self.hidden:
+            self.lines.append(("", 1, (1, 0), True))
         self.parts.clear()
+        self.hidden = False
         self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -107,7 +111,10 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if self.dead:
+            self.hidden = self.hidden or not data.isspace()
+        else:
+            self.parts.append(data)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
