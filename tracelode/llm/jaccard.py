@@ -1,8 +1,10 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 Documents become sets of 64-bit hashes of word n-grams. Documents with equal sets are one class.
-Two sets with similarity of at least t share one of the first n - ceil(t n) + 1 hashes in
-ascending order (n: set size), so these hashes are the keys, and the classes under one key are a
+Two sets with similarity of at least t share one of the first n - ceil(t n) + 1 hashes in any
+order that all sets keep (n: set size). The order here puts hashes that are frequent in a bounded
+sample last, so that rare ones come first; how good the sample is changes the cost and not the
+links. These first hashes are the keys, and the classes under one key are a
 tile; keys of the same classes give the same tile once, and a tile of more than TILE classes is
 cut into overlapping size bands. In a tile, only sizes within a factor of t meet, and bit counts
 of the exclusive or of hashed bitmaps bound the overlap of two sets from above; classes that are
@@ -37,6 +39,8 @@ KEY_BUCKET_BYTES = 16 << 20
 #: Members of tiles that one task holds, on average.
 MEMBERS = 1500
 LEAST_BUCKETS = 48
+#: Documents whose hashes are counted for the order, and frequent hashes that it has at most (16 bytes each, broadcast).
+SAMPLE, FREQUENT = 4000, 200_000
 BASE = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -106,7 +110,43 @@ def set_hash(s: np.ndarray) -> int:
 ENTRY = np.dtype([("key", "<u8"), ("set", "<i8")])
 
 
-def _profiles(k: int, num: int, den: int, buckets: int):
+def first_hashes(s: np.ndarray, count: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first count hashes of a set: those that aren't frequent, ascending, then the others by their frequency."""
+    names, often = frequent
+    if not len(names):
+        return s[:count]
+    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+    n = np.where(names[at] == s, often[at], 0)
+    rare = s[n == 0]
+    if len(rare) >= count:
+        return rare[:count]
+    order = np.lexsort((s, n))
+    return s[order[:count]]
+
+
+def _hashes(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = byte_values()
+        for batch in batches:
+            raw, at = utf8(batch.column(1))
+            for i, j in runs_of(at):
+                sets = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k, values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["x"])
+
+    return run
+
+
+def frequent_hashes(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur in three documents of a sample or more, ascending, with their numbers."""
+    n = docs.count()
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n))))
+    top = sample.mapInArrow(_hashes(k), "x bigint").groupBy("x").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
+    names, often = top["x"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(names)
+    return names[order], often[order]
+
+
+def _profiles(k: int, num: int, den: int, buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, names = byte_values(), ["bucket", "doc_id", "n", "h", "blob"]
         for batch in batches:
@@ -118,7 +158,7 @@ def _profiles(k: int, num: int, den: int, buckets: int):
                     if len(s) and hashes[r] not in seen:
                         seen.add(int(hashes[r]))
                         signs[r] = signature(s)
-                        prefix = s[: len(s) + (-len(s) * num) // den + 1]
+                        prefix = first_hashes(s, len(s) + (-len(s) * num) // den + 1, frequent.value)
                         e = np.empty(len(prefix), ENTRY)
                         e["key"], e["set"] = mixed(prefix), hashes[r]
                         entries.append(e)
@@ -331,7 +371,8 @@ def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-int(total) // KEY_BUCKET_BYTES))
     num, den = percent, 100
-    profiles = written(docs.mapInArrow(_profiles(words, num, den, buckets), "bucket int, doc_id bigint, n bigint, h bigint, blob binary"), "profiles")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs, words))
+    profiles = written(docs.mapInArrow(_profiles(words, num, den, buckets, frequent), "bucket int, doc_id bigint, n bigint, h bigint, blob binary"), "profiles")
     sets = profiles.filter("bucket = -1").select("doc_id", "n", "h")
     classes = written(profiles.filter("bucket = -1 and n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("blob").alias("sig")), "classes")
     known = classes.filter("rep is not null")
