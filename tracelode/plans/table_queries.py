@@ -188,7 +188,7 @@ def program_closure(spark, sf):
     return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["data"]
 
 
-@query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT rel, from_id, to_id, 1.0 AS confidence FROM c UNION ALL SELECT * FROM io) SELECT start, round(sum(confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY start")
+@query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT rel, from_id, to_id, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT rel, from_id, to_id, confidence FROM io) SELECT v.start, round(sum(x.confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY v.start")
 def flow_confidence(spark, sf):
     start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
     c = graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["confidence"]
