@@ -190,3 +190,22 @@ def test_token_search_tiers(spark):
     aliases = spark.createDataFrame([("PAY", "2")], "alias string, canonical_id string")
     got = {r["id"]: r["tier"] for r in search.token_search(df, search.token_index(df, ["name"]), aliases, "pay").collect()}
     assert got == {"4": 1, "2": 2, "1": 3, "3": 4}
+
+
+def test_catalog(spark):
+    from tracelode.operators import catalog
+
+    e = spark.createDataFrame([("dataset:A.B+1", "dataset", "A.B+1", False), ("table:S.T", "table", "S.T", False), ("program:P", "program", "P", False)], "id string, type string, name string, inferred boolean")
+    known = catalog.aliases(e)
+    assert {(r["alias"], r["canonical_id"]) for r in known.collect()} == {("A.B", "dataset:A.B+1"), ("T", "table:S.T"), ("P", "program:P")}
+    got = {r["name"]: (r["id"], r["how"]) for r in catalog.canonical(spark.createDataFrame([("t", "table"), ("S.T", "table"), ("x", None)], "name string, type string"), e, known).collect()}
+    assert got == {"T": ("table:S.T", "alias"), "S.T": ("table:S.T", "typed"), "X": (None, None)}
+    lines = spark.createDataFrame([("f", 1, "EXEC CICS LINK PROGRAM('SUB1') END-EXEC"), ("f", 2, "EXEC SQL")], "path string, line int, code string")
+    calls, flags = catalog.transactions(lines)
+    assert [(r["verb"], r["target"]) for r in calls.collect()] == [("LINK", "SUB1")] and flags.first()["db2"] and not flags.first()["ims"]
+
+
+def test_resolve(spark):
+    e = spark.createDataFrame([("program:PAY", "program", "PAY", "PAY", None, False, 1.0), ("table:PAYTAB", "table", "PAYTAB", "PAYTAB", None, False, 0.9)], "id string, type string, name string, label string, description string, inferred boolean, confidence double")
+    f = spark.createDataFrame([("job:X", "XJOB", "XJOB", "x", ["A"], ["B"])], "entry_id string, entry_label string, entry_name string, summary string, programs array<string>, data_objects array<string>")
+    assert [(r["id"], r["status"]) for r in search.resolve(e, f, "pay").collect()] == [("program:PAY", "resolved")]

@@ -133,3 +133,14 @@ def pattern_score(value: Column, patterns: list[str], each: int = 28, base: int
     for p in patterns:
         hits = hits + F.coalesce(value.rlike(p), F.lit(False)).cast("int")
     return F.when(hits > 0, F.least(F.lit(cap), hits * each + base)).otherwise(0)
+
+
+def resolve(df: DataFrame, flows_: DataFrame, query: str, strong: int = 100, least: int = 40) -> DataFrame:
+    """(id, category, score, status): the best entity or flow for a query. A flow goes first if the best entity is weak and within 18, or if it leads by more than 12; status is resolved, weak or blocked."""
+    e = rank_seed(df, query).select("id", F.lit("entity").alias("category"), "score", F.col("type").isin("step", "field", "column", "table", "control", "paragraph").alias("weak")).orderBy(F.desc("score"), "id").limit(1)
+    f = fuzzy(flows_, query, ["entry_label", "entry_name", "summary"]).select(F.col("entry_id").alias("id"), F.lit("flow").alias("category"), (F.col("score") + F.least(F.lit(40), F.size("programs") * 4 + F.size("data_objects") * 2)).alias("score"), F.lit(False).alias("weak")).orderBy(F.desc("score"), "id").limit(1)
+    both = cut(e.union(f))  # two rows at most
+    best = both.agg(F.max(F.when(F.col("category") == "entity", F.col("score"))).alias("e"), F.max(F.when(F.col("category") == "flow", F.col("score"))).alias("f"), F.max(F.when(F.col("category") == "entity", F.col("weak"))).alias("w"))
+    pick = F.when(F.col("e").isNull() | (F.col("f") > F.col("e") + 12) | (F.col("w") & (F.col("f") >= F.col("e") - 18)), "flow").otherwise("entity")
+    out = both.join(F.broadcast(best.select(pick.alias("category"))), "category")  # one row
+    return out.select("id", "category", "score", F.when(F.col("score") < least, "blocked").when(F.col("weak") | (F.col("score") < strong), "weak").otherwise("resolved").alias("status"))

@@ -665,3 +665,43 @@ def service_match(spark, sf):
 
     services = spark.createDataFrame([("blue-widget-service",), ("gear-api",), ("rod-store",)], "item string")
     return modernize.token_match(T.table(spark, sf, "part").select("p_partkey", "p_name"), services, "p_name", "item").select("p_partkey", "item")
+
+
+# --- catalog -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {IMPACT}, u AS (SELECT * FROM m), {walk_sql('part:33', 2, 'u', 'upstream')} SELECT id, depth::INT AS depth FROM v UNION ALL SELECT DISTINCT to_id, -1 FROM u WHERE from_id = 'part:33' AND to_id NOT IN (SELECT id FROM v)""")
+def lib_impact_chain(spark, sf):
+    from ..operators import catalog
+
+    return catalog.impact_chain(seeds(spark, "part:33"), impact_edges(spark, sf), 2)
+
+
+@query(f"""WITH {ACCESSES} SELECT DISTINCT to_id AS subject, CASE WHEN rel = 'READS' THEN 'reader' ELSE 'writer' END AS side, from_id AS id, rel FROM a WHERE to_id IN (SELECT 'part:' || p_partkey FROM part WHERE upper(p_name) = 'NEW PLATE' ORDER BY 'part:' || p_partkey LIMIT 10)""")
+def lib_lineage_chain(spark, sf):
+    from ..operators import catalog
+
+    return catalog.lineage_chain("new plate", T.entities(spark, sf, orders=False), T.accesses(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {IMPACT}, u AS (SELECT * FROM m WHERE rel <> 'CONTAINS'), {walk_sql('nation:7', 1, 'u')} SELECT DISTINCT rel, from_id, to_id, depth FROM (SELECT u.rel, u.from_id, u.to_id, v.depth::INT AS depth FROM u JOIN v ON u.from_id = v.id UNION ALL SELECT rel, from_id, to_id, 0 FROM u WHERE rel = 'CALLS' AND to_id = 'nation:7')""")
+def lib_program_subgraph(spark, sf):
+    from ..operators import catalog
+
+    return catalog.subgraph(seeds(spark, "nation:7"), impact_edges(spark, sf), 1)
+
+
+@query(f"WITH {IMPACT} SELECT CASE WHEN rel = 'CALLS' THEN 'calls' WHEN rel = 'CONTAINS' THEN 'batch' ELSE 'data' END AS kind, count(*) AS n FROM m GROUP BY 1")
+def lib_dependency_counts(spark, sf):
+    from ..operators import catalog
+
+    return catalog.dependency_counts(impact_edges(spark, sf))
+
+
+@query(f"""WITH {ENTITIES}, n AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT 'NOBODY'), k AS (SELECT upper(name) AS name, min(id) AS id FROM e WHERE type = 'part' GROUP BY 1) SELECT n.name, 'part' AS type, k.id, CASE WHEN k.id IS NOT NULL THEN 'typed' END AS how FROM n LEFT JOIN k USING (name)""")
+def lib_find_canonical(spark, sf):
+    from ..operators import catalog
+
+    names = T.table(spark, sf, "part").select(F.upper("p_name").alias("name")).union(spark.createDataFrame([("NOBODY",)], "name string")).withColumn("type", F.lit("part"))
+    none = spark.createDataFrame([], "alias string, canonical_id string")
+    return catalog.canonical(names, T.entities(spark, sf, orders=False).filter("type = 'part'"), none)
