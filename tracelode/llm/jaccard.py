@@ -39,6 +39,8 @@ KEY_BUCKET_BYTES = 16 << 20
 #: Members of tiles that one task holds, on average.
 MEMBERS = 1500
 LEAST_BUCKETS = 48
+#: Ids (8 bytes) that pick out texts where these lie, without a shuffle of all texts; more of them are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Documents whose hashes are counted for the order, and frequent hashes that it has at most (16 bytes each, broadcast).
 SAMPLE, FREQUENT = 4000, 200_000
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -365,6 +367,11 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has BROADCAST_IDS rows at most; else Spark shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when 100 x intersection >= percent x union."""
     docs = text_of(df, id_col, text_col)
@@ -389,8 +396,8 @@ def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id
     refined = rows.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
     members = written(refined.join(known.select("h", "rep"), "h").select("tile", F.col("rep").alias("doc_id")), "members")
     n_members = members.count()
-    wanted = members.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = written(members.select("doc_id").distinct(), "wanted")
+    texts = docs.join(sized(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def verified(rows: DataFrame, n: int) -> DataFrame:
         groups = max(LEAST_BUCKETS, -(-n // MEMBERS))
