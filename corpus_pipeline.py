@@ -22,15 +22,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity of 0.8) the document with the smallest id."""
-    groups = jaccard.join(docs, words=5, percent=80)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(written(keep, "kept"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    groups = written(jaccard.join(docs, words=5, percent=80), "groups")
+    drop = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    kept = docs.join(jaccard.sized(drop), "doc_id", "left_anti").select(*docs.columns)
+    again = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return kept if again.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     leaks = written(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(jaccard.sized(leaks), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
