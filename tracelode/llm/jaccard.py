@@ -109,7 +109,7 @@ def set_hash(s: np.ndarray) -> int:
     return int((mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64)) if len(s) else 0
 
 
-ENTRY = np.dtype([("key", "<u8"), ("set", "<i8")])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<i8"), ("size", "<u4")])
 
 
 def first_hashes(s: np.ndarray, count: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -162,7 +162,7 @@ def _profiles(k: int, num: int, den: int, buckets: int, frequent):
                         signs[r] = signature(s)
                         prefix = first_hashes(s, len(s) + (-len(s) * num) // den + 1, frequent.value)
                         e = np.empty(len(prefix), ENTRY)
-                        e["key"], e["set"] = mixed(prefix), hashes[r]
+                        e["key"], e["set"], e["size"] = mixed(prefix), hashes[r], len(s)
                         entries.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), -1, np.int32)), batch.column(0), pa.array(sizes), pa.array(hashes), pa.array(signs, pa.binary())], names)
             if entries:
@@ -172,7 +172,7 @@ def _profiles(k: int, num: int, den: int, buckets: int, frequent):
                 e, to = e[order], to[order]
                 cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
                 low = e["key"].astype(np.uint32)  # the rest of a key names its bucket; keys that still agree only make a tile larger
-                blobs = [low[a:b].tobytes() + e["set"][a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
+                blobs = [low[a:b].tobytes() + e["set"][a:b].tobytes() + e["size"][a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
                 zero = pa.nulls(len(cut), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(to[cut]), zero, zero, zero, pa.array(blobs, pa.binary())], names)
 
@@ -194,26 +194,31 @@ def folded(sign: np.ndarray, size: int) -> np.ndarray:
     return sign
 
 
-def _tiles(bucket: pa.Table) -> pa.Table:
-    """The distinct groups of classes that share a key of this bucket."""
-    keys, sets = [], []
-    for blob in bucket.column("blob"):
-        b = blob.as_buffer()
-        n = b.size // 12
-        keys.append(np.frombuffer(b, "<u4", n))
-        sets.append(np.frombuffer(b, "<i8", n, 4 * n))
-    key, own = np.concatenate(keys), np.concatenate(sets)
-    order = np.lexsort((own, key))
-    key, own = key[order], own[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
-    key, own = key[new], own[new]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    count = np.diff(np.append(start, len(key)))
-    tile = tile_ids(own, start, count)
-    some = np.flatnonzero(count >= 2)
-    _, first = np.unique(tile[some], return_index=True)
-    some = some[first]
-    return pa.table({"tile": pa.array(np.repeat(tile[some], count[some])), "h": pa.array(own[within(start[some], count[some])])})
+def _tiles(num: int, den: int):
+    """The distinct groups of classes that share a key of this bucket, cut where sizes drop by more than the threshold."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        keys, sets, sizes = [], [], []
+        for blob in bucket.column("blob"):
+            b = blob.as_buffer()
+            n = b.size // 16
+            keys.append(np.frombuffer(b, "<u4", n))
+            sets.append(np.frombuffer(b, "<i8", n, 4 * n))
+            sizes.append(np.frombuffer(b, "<u4", n, 12 * n))
+        key, own, size = np.concatenate(keys), np.concatenate(sets), np.concatenate(sizes).astype(np.int64)
+        order = np.lexsort((own, size, key))
+        key, own, size = key[order], own[order], size[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
+        key, own, size = key[new], own[new], size[new]
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (size[:-1] * den < size[1:] * num))))
+        count = np.diff(np.append(start, len(key)))
+        tile = tile_ids(own, start, count)
+        some = np.flatnonzero(count >= 2)
+        _, first = np.unique(tile[some], return_index=True)
+        some = some[first]
+        return pa.table({"tile": pa.array(np.repeat(tile[some], count[some])), "h": pa.array(own[within(start[some], count[some])])})
+
+    return run
 
 
 def tile_ids(own: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -229,10 +234,12 @@ def _refine(num: int, den: int):
         return most * den >= (n + m - most) * num
 
     def run(part: pa.Table) -> pa.Table:
-        h, tiles, n = longs(part.column("h")), longs(part.column("tile")), longs(part.column("n"))
+        lists = whole(part.column("tiles"))
+        row = np.repeat(np.arange(len(part)), np.array(lists.value_lengths(), np.int64))
+        h, n, tiles = longs(part.column("h"))[row], longs(part.column("n"))[row], longs(lists.flatten())
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         n = n[first]
-        raw, at = utf8(whole(part.column("sig")).take(pa.array(first)))
+        raw, at = utf8(whole(part.column("sig")).take(pa.array(row[first])))
         raw = np.ascontiguousarray(raw)
         sign = [raw[a:b].view(np.uint64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         words = np.diff(at) // 8
@@ -383,17 +390,18 @@ def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id
     sets = profiles.filter("bucket = -1").select("doc_id", "n", "h")
     classes = written(profiles.filter("bucket = -1 and n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("blob").alias("sig")), "classes")
     known = classes.filter("rep is not null")
-    tiles = written(profiles.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_tiles, "tile bigint, h bigint").distinct(), "tiles")
-    rows = tiles.join(known.select("h", "n", "sig"), "h")
+    tiles = written(profiles.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_tiles(num, den), "tile bigint, h bigint").distinct(), "tiles")
+    rows = tiles
     wide = tiles.groupBy("tile").agg(F.count("*").alias("m")).filter(F.col("m") > TILE)
     if not wide.isEmpty():  # size bands: two sets that can link are in one band or in neighbouring ones
         wide = written(wide.select("tile"), "wide")
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-        cut_ = rows.join(wide, "tile").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("tile", F.xxhash64("tile", "band")).select(*rows.columns)
-        rows = rows.join(wide, "tile", "left_anti").select(*rows.columns).unionByName(cut_)
+        banded = tiles.join(wide, "tile").join(known.select("h", "n"), "h").withColumn("band", F.explode(F.array(band, band + 1)))
+        rows = tiles.join(wide, "tile", "left_anti").select("tile", "h").unionByName(banded.select(F.xxhash64("tile", "band").alias("tile"), "h"))
     n_rows = tiles.count()
     groups = max(LEAST_BUCKETS, -(-n_rows // (10 * MEMBERS)))
-    refined = rows.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
+    placed = rows.groupBy(F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("g"), "h").agg(F.collect_list("tile").alias("tiles"))
+    refined = placed.join(known.select("h", "n", "sig"), "h").groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
     members = written(refined.join(known.select("h", "rep"), "h").select("tile", F.col("rep").alias("doc_id")), "members")
     n_members = members.count()
     wanted = written(members.select("doc_id").distinct(), "wanted")
