@@ -13,7 +13,7 @@ EXTENSIONS = {
     ".ddl": ("sql", "script"), ".vbp": ("vb6", "project"), ".frm": ("vb6", "form"), ".cls": ("vb6", "class"), ".bas": ("vb6", "module"), ".ctl": ("vb6", "control"),
 }
 ROLE_BY_DIALECT = {"cobol": "program", "copybook": "copybook", "jcl": "job", "sql": "script", "vb6": "module", "messaging": "layout"}
-SKIP_NAMES = (".git", "node_modules", ".uai")
+SKIP_NAMES = (".git", "node_modules", ".workspace")
 HEAD_BYTES, HEAD_LINES, UTF8_SAMPLE = 2048, 30, 512
 
 
