@@ -34,6 +34,25 @@ def test_regions(page):
     assert html.main_text(page) == WANT
 
 
+LONG = "A sentence of the text that goes on for a while. " * 3
+TEXT = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div id=content><p>One. {LONG}</p><section><p>Two. {LONG}</p></section><blockquote>Three. {LONG}</blockquote></div>", [f"One. {TEXT}", f"Two. {TEXT}", f"Three. {TEXT}"]),
+        (f"<body><article><p>One. {LONG}</p></article><article><p>Two. {LONG * 3}</p></article><article><p>Short.</p></article></body>", [f"One. {TEXT}", f"Two. {' '.join((LONG * 3).split())}", "Short."]),
+        (f"<body><div id=a><section><p>{LONG * 20}</p></section><section><p>{LONG}</p><p>Short.</p></section></div></body>", [" ".join((LONG * 20).split()), TEXT, "Short."]),
+        (f"<body><div><a>Home</a><ul><li><a>More</a></li></ul></div><div><h2>Title</h2><p>{LONG}</p></div><div><p>{LONG}</p></div></body>", ["Title", TEXT, TEXT]),
+        (f"<body><div><a>Home</a></div><div><p>{LONG}</p></div></body>", [TEXT]),
+        (f"<main><p>Lead of the page.</p><article><p>{LONG}</p></article></main>", ["Lead of the page.", TEXT]),
+    ],
+)
+def test_text_of_several_containers(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "<", "<p", "plain text", "<p>a&am", "<![bad", "<nav>x</nav>", "<p>" * 2000 + "deep", "<p>a b\n c</p>"]
     df = spark.createDataFrame([(i, "u", h, "t", 1) for i, h in enumerate(odd)], "page_id int, url string, html string, text string, n_chars int")

@@ -2,9 +2,10 @@
 
 A streaming parser turns a page into lines, one for each block element. Each line has the ratio
 of its characters to its tags. The ratios are smoothed by a Gaussian, and a threshold between
-two clusters tells content lines from others. The region (article, main, or else the container)
-with the most content is the main text; all its lines are kept, short ones too, but those inside
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+two clusters, at most TEXTUAL, tells content lines from others. The main text is all articles and
+main elements, or else the smallest container around all content lines; all its lines are kept,
+short ones too, but those inside menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments, and articles or containers of links only without content.
 
 Defined results: null or empty html, or a page with no text outside boilerplate, gives an empty
 text with n_chars 0; a tag or reference cut off at the end of the page is dropped or kept as
@@ -32,6 +33,7 @@ NAMED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comments comment discussion disqus replies reply share sharing social related recommended toolbar pagination pager login search form complementary contentinfo".split()
 )
 CONTAINERS = frozenset("div section td body blockquote main article".split())
+TEXTUAL = 20.0  # characters a tag from which a line is content, however long others are
 CLOSES_P = BLOCKS - {"html", "body", "head", "title"}
 CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 WORDS = re.compile(r"[a-z0-9]+")
@@ -40,30 +42,37 @@ KERNEL /= KERNEL.sum()
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region, is boilerplate) of each block. region: (0 for article or main, 1 for another container; its number)."""
+    """Collects (text, tags, article, container, is links only, is boilerplate) of each block. article: number of the outermost article or main, or 0; container: number of the innermost."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, int], bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
         self.stack: list[tuple[str, bool, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.count = 0
+        self.up = [0]  # of each element by number, the container around it
+        self.link = False
+        self.plain = False  # whether text outside links came since the last line
         self.dead = 0  # open elements that are no content
         self.hidden = False  # whether such an element has had text since the last line
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            articles = [n for tag, _, n in self.stack if tag == "article"] or [n for tag, _, n in self.stack if tag == "main"]
-            near = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
-            self.lines.append((text, max(1, self.tags), (0, articles[0]) if articles else (1, near), False))
+            article = next((n for tag, _, n in self.stack if tag in ("article", "main")), 0)
+            self.lines.append((text, max(1, self.tags), article, self.container(), not self.plain, False))
         elif self.hidden:
-            self.lines.append(("", 1, (1, 0), True))
+            self.lines.append(("", 1, 0, 0, False, True))
         self.parts.clear()
-        self.hidden = False
+        self.hidden = self.link = self.plain = False
         self.tags = 0
 
+    def container(self) -> int:
+        if not self.stack:
+            return 0
+        tag, _, n = self.stack[-1]
+        return n if tag in CONTAINERS else self.up[n]
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
@@ -75,6 +84,7 @@ class Lines(HTMLParser):
             if tag == "li" and self.stack and self.stack[-1][0] == "li":
                 self.pop()
         self.tags += 1
+        self.link = self.link or tag == "a"
         if tag in VOID:
             self.parts.append(" ")
             return
@@ -84,8 +94,8 @@ class Lines(HTMLParser):
                 if (name in ("class", "id", "role") and value and not NAMED.isdisjoint(WORDS.findall(value.lower()))) or name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                     dead = True
         if tag in BLOCKS or dead:
-            self.count += 1
-            self.stack.append(("main" if ("role", "main") in attrs or ("itemprop", "articleBody") in attrs else tag, dead, self.count))
+            self.up.append(self.container())
+            self.stack.append(("main" if ("role", "main") in attrs or ("itemprop", "articleBody") in attrs else tag, dead, len(self.up) - 1))
             self.dead += dead
 
     def pop(self) -> str:
@@ -102,6 +112,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        self.link = self.link and tag != "a"
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag or (self.stack[k][0] == "main" and tag in CONTAINERS):
                 while len(self.stack) > k:
@@ -115,6 +126,7 @@ class Lines(HTMLParser):
             self.hidden = self.hidden or not data.isspace()
         else:
             self.parts.append(data)
+            self.plain = self.plain or not (self.link or data.isspace())
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -140,6 +152,21 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def around(up: list[int], a: int, b: int) -> int:
+    """The smallest container around both; one around another has the smaller number."""
+    while a != b:
+        a, b = (up[a], b) if a > b else (a, up[b])
+    return a
+
+
+def below(up: list[int], root: int, n: int) -> int | None:
+    """The container directly in root that holds n; root for itself, None for one outside."""
+    part = n
+    while n > root:
+        part, n = n, up[n]
+    return part if n == root else None
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -154,19 +181,21 @@ def main_text(html: str | None) -> str:
         parser.close()
     parser.flush()
     lines = parser.lines
-    live = [k for k, x in enumerate(lines) if not x[3]]
+    live = [k for k, x in enumerate(lines) if not x[5]]
     if not live:
         return ""
-    smooth = smoothed(np.array([0.0 if dead else len(text) / tags for text, tags, _, dead in lines]))
-    cut = threshold(smooth)
-    regions: dict[tuple[int, int], float] = {}
-    for k in live:
-        text, _, region, _ = lines[k]
-        regions[region] = regions.get(region, 0.0) + len(text) * (1.0 if smooth[k] >= cut else 1e-3)
-    if any(kind == 0 for kind, _ in regions):
-        regions = {r: mass for r, mass in regions.items() if r[0] == 0}
-    best = max(regions, key=lambda r: (regions[r], -r[1]))
-    return "\n\n".join(lines[k][0] for k in live if lines[k][2] == best)
+    ratios = np.array([0.0 if dead else len(text) / tags for text, tags, _, _, _, dead in lines])
+    smooth = smoothed(ratios)
+    cut = min(threshold(smooth), TEXTUAL)
+    content = [k for k in live if (ratios if lines[k][4] else smooth)[k] >= cut] or live  # a menu beside text is none
+    groups = {k: lines[k][2] for k in live if lines[k][2]}
+    if not groups:
+        root = lines[content[0]][3]
+        for k in content:
+            root = around(parser.up, root, lines[k][3])
+        groups = {k: part for k in live if (part := below(parser.up, root, lines[k][3])) is not None}
+    texts = {groups[k] for k in content if k in groups} | {part for k, part in groups.items() if not lines[k][4]}
+    return "\n\n".join(lines[k][0] for k, part in groups.items() if part in texts or not texts)
 
 
 def extract(df: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
