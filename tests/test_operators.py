@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import identity, text
 from tracelode.operators import changes, coverage, dossier, export, graph, model, ordering, search
-from tracelode.operators.extract import copybook, using
+from tracelode.operators.extract import copybook, messaging, using
 from tracelode.sources import files
 
 
@@ -209,3 +209,11 @@ def test_resolve(spark):
     e = spark.createDataFrame([("program:PAY", "program", "PAY", "PAY", None, False, 1.0), ("table:PAYTAB", "table", "PAYTAB", "PAYTAB", None, False, 0.9)], "id string, type string, name string, label string, description string, inferred boolean, confidence double")
     f = spark.createDataFrame([("job:X", "XJOB", "XJOB", "x", ["A"], ["B"])], "entry_id string, entry_label string, entry_name string, summary string, programs array<string>, data_objects array<string>")
     assert [(r["id"], r["status"]) for r in search.resolve(e, f, "pay").collect()] == [("program:PAY", "resolved")]
+
+
+def test_messaging_reads_all_lines(spark):
+    code = ["LAYOUT: FEED"] + ["x"] * 249 + ["header of CNAB 240", "SENDS PAYMAIN", "DESTINO:", "  PAYOUT"]
+    df = spark.createDataFrame([("/m/feed.txt", "h", "feed.txt", i + 1, c) for i, c in enumerate(code)], "path string, hash string, name string, line int, code string")
+    e, r = messaging.extract(df)
+    assert [(x["name"], x["semantic_tags"], x["confidence"]) for x in e.collect()] == [("FEED", ["cnab"], 0.9)]
+    assert {(x["rel"], x["from"], x["to"]) for x in r.collect()} == {("SENDS", "FEED", "PAYMAIN"), ("SENDS", "FEED", "PAYOUT")}

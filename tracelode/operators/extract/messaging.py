@@ -9,16 +9,20 @@ from . import records
 
 # What tells a protocol, in order.
 PROTOCOLS = ((r"\bCIP\b|\bC3\b|ACCC[0-9]{3}", "cip-c3"), (r"CNAB ?[0-9]{3}|CNAB", "cnab"), (r"CVM ?351|CVM351", "cvm351-b3"), (r"GARQ|SCC3", "garq-scc3"))
+#: Lines that may name the layout; protocol and targets are sought in all lines, and a match may go over a line end.
+HEAD_LINES = 200
 
 
 def extract(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = F.upper(F.regexp_replace(F.regexp_extract("path", r"([^/\\]+)$", 1), r"\.[^.]*$", ""))
-    t = lines.filter("line <= 200").groupBy("path", "hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda z: z["code"]), "\n").alias("t")).withColumn("base", base)
+    joined = lambda a: F.array_join(F.transform(a, lambda z: z["code"]), "\n")
+    t = lines.groupBy("path", "hash").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("a"))
+    t = t.select("path", "hash", joined(F.col("a")).alias("t"), joined(F.filter("a", lambda z: z["line"] <= HEAD_LINES)).alias("head"), base.alias("base"))
     text = F.concat_ws("\n", "base", F.upper("t"))
     protocol = F.lit("messaging")
     for p, name in reversed(PROTOCOLS):
         protocol = F.when(text.rlike(p), name).otherwise(protocol)
-    named = F.upper(F.regexp_extract("t", r"(?im)^\s*(?:LAYOUT|MENSAGEM|MESSAGE)\s*[:=-]?\s*([A-Za-z][\w-]{2,})", 1))
+    named = F.upper(F.regexp_extract("head", r"(?im)^\s*(?:LAYOUT|MENSAGEM|MESSAGE)\s*[:=-]?\s*([A-Za-z][\w-]{2,})", 1))
     x = t.withColumn("protocol", protocol).withColumn("layout", F.when(F.length(named) > 0, named).otherwise(F.col("base"))).withColumn("sure", F.col("protocol") != "messaging")
     common = [F.col("path").alias("file"), F.col("hash").alias("fileHash"), F.lit("messaging").alias("extractor"), F.lit(1).alias("line"), F.lit(0).cast("bigint").alias("ordinal"), F.when(F.col("sure"), 0.9).otherwise(0.75).alias("confidence")]
     e = x.select(F.lit("message_layout").alias("type"), F.col("layout").alias("name"), F.array("protocol").alias("semantic_tags"), *common)
