@@ -170,10 +170,11 @@ def call_graph(spark, sf):
     return graph.call_graph(T.calls(spark, sf, CALL_SHARE))
 
 
-def closure_graph(spark, sf):
-    """Nations call nations; a nation reads the parts that its suppliers read, in one edge each."""
+def closure_graph(spark, sf, whole=False):
+    """Nations call nations; a nation reads the parts that its suppliers read, in one edge each. Without whole, of the lines before '1995-09-01'."""
     own = T.table(spark, sf, "supplier").select(T.key("supplier", "s_suppkey").alias("from_id"), T.key("nation", "s_nationkey").alias("n"))
-    io = T.accesses(spark, sf).filter("l_shipdate < '1995-09-01'").join(own, "from_id").groupBy("rel", F.col("n").alias("from_id"), "to_id").agg(F.max("confidence").alias("confidence"))
+    lines = T.accesses(spark, sf) if whole else T.accesses(spark, sf).filter("l_shipdate < '1995-09-01'")
+    io = lines.join(own, "from_id").groupBy("rel", F.col("n").alias("from_id"), "to_id").agg(F.max("confidence").alias("confidence"))
     calls = T.calls(spark, sf, CALL_SHARE).select("rel", "from_id", "to_id", F.lit(1.0).alias("confidence"))
     return calls.unionByName(io)
 
@@ -182,17 +183,38 @@ CLOSURE = f"""{CALLS}, {ACCESSES}, {ENTITIES}, io AS (SELECT rel, 'nation:' || s
 w AS (SELECT 'nation:' || n_nationkey AS start, 'nation:' || n_nationkey AS id, 0 AS depth FROM nation UNION SELECT start, to_id, depth + 1 FROM w JOIN c ON id = from_id WHERE depth < 2), v AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY ALL)"""
 
 
+CLOSURE_ALL = CLOSURE.replace(" WHERE l_shipdate < '1995-09-01'", "")
+
+
+def closures(spark, sf, whole=False):
+    start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
+    return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf, whole), 2)
+
+
+def mean_confidence(c):
+    return c.select("start", F.round(F.col("total") / F.col("n"), 6).alias("confidence"), F.col("n").alias("n_edges"))
+
+
 @query(f"WITH RECURSIVE {CLOSURE} SELECT start, to_id AS id, arg_min(rel, struct_pack(depth, from_id, rel)) AS op FROM v JOIN io ON v.id = io.from_id GROUP BY ALL")
 def program_closure(spark, sf):
-    start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
-    return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["data"]
+    return closures(spark, sf)["data"]
+
+
+@query(f"WITH RECURSIVE {CLOSURE_ALL} SELECT start, to_id AS id, arg_min(rel, struct_pack(depth, from_id, rel)) AS op FROM v JOIN io ON v.id = io.from_id GROUP BY ALL")
+def program_closure_all(spark, sf):
+    """As program_closure, over all lines."""
+    return closures(spark, sf, whole=True)["data"]
 
 
 @query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT rel, from_id, to_id, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT rel, from_id, to_id, confidence FROM io) SELECT v.start, round(sum(x.confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY v.start")
 def flow_confidence(spark, sf):
-    start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
-    c = graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)["confidence"]
-    return c.select("start", F.round(F.col("total") / F.col("n"), 6).alias("confidence"), F.col("n").alias("n_edges"))
+    return mean_confidence(closures(spark, sf)["confidence"])
+
+
+@query(f"WITH RECURSIVE {CLOSURE_ALL}, x AS (SELECT rel, from_id, to_id, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT rel, from_id, to_id, confidence FROM io) SELECT v.start, round(sum(x.confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY v.start")
+def flow_confidence_all(spark, sf):
+    """As flow_confidence, over all lines."""
+    return mean_confidence(closures(spark, sf, whole=True)["confidence"])
 
 
 # --- model -------------------------------------------------------------------------------------
