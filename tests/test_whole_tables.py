@@ -32,3 +32,8 @@ def rows(spark, name, small, *columns):
 def test_closure_of_all_lines(spark, small):
     assert rows(spark, "program_closure_all", small, "start", "id", "op") == [("nation:0", "part:1", "READS"), ("nation:0", "part:2", "WRITES"), ("nation:1", "part:3", "READS")]
     assert rows(spark, "flow_confidence_all", small, "start", "confidence", "n_edges") == [("nation:0", 0.65, 2), ("nation:1", 0.825, 2)]
+
+
+def test_export_and_endpoints_of_all_lines(spark, small):
+    assert rows(spark, "csv_edges_all", small, "rel", "to_id", "evidence") == [("READS", "part:1", "1:1"), ("READS", "part:3", "2:2"), ("UPDATES", "part:3", "2:1"), ("WRITES", "part:2", "1:2")]
+    assert rows(spark, "resolve_endpoint_all", small, "name", "to_id", "n") == [("P1", "part:1", 1), ("P2", "part:2", 1), ("P3", "part:3", 2)]

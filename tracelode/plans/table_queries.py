@@ -237,17 +237,29 @@ def dedupe_relation_group(spark, sf):
     return model.dedupe_relations(d).select("rel", "target", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"), "low")
 
 
-@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1995-05-01'),
-n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
-SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
-def resolve_endpoint(spark, sf):
-    li, p = T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-05-01'"), T.table(spark, sf, "part")
+def resolved(spark, sf, li):
+    p = T.table(spark, sf, "part")
     ends = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("GHOST"), F.col("l_partkey").cast("string"))).otherwise(F.col("p_name")).alias("name"))
     known = T.entities(spark, sf, orders=False).filter("type = 'part'").groupBy("name").agg(F.min("id").alias("id"))
     out = ends.groupBy("name").agg(F.count("*").alias("n")).join(known, "name", "left")
     return out.select("name", F.coalesce("id", F.concat(F.lit("part:"), F.upper("name"))).alias("to_id"), F.col("id").isNull().alias("inferred"), "n")
 
 
+@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1995-05-01'),
+n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
+SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
+def resolve_endpoint(spark, sf):
+    return resolved(spark, sf, T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-05-01'"))
+
+
+@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
+SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
+def resolve_endpoint_all(spark, sf):
+    """As resolve_endpoint, over all lines."""
+    return resolved(spark, sf, T.table(spark, sf, "lineitem"))
+
+
 @query("""WITH u AS (SELECT event_id, user_id, event_type AS var FROM events WHERE value > 50), d AS (SELECT DISTINCT user_id, event_type AS var, json_extract_string(props, '$.k') AS lit FROM events WHERE value < 5)
 SELECT event_id, CASE WHEN lit IS NULL THEN 'CALL-DYNAMIC' ELSE 'CALLS' END AS rel, coalesce(lit, var) AS target, CASE WHEN lit IS NULL THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM u LEFT JOIN d USING (user_id, var)""")
 def resolve_dynamic_calls(spark, sf):
@@ -666,6 +678,15 @@ def csv_edges_expanded(spark, sf):
     return export.csv_edges(m, expanded=True).select("rel", "from_id", "to_id", "evidence")
 
 
+@query(f"""WITH {ACCESSES}, m AS (SELECT rel, from_id, to_id, list_distinct(list(evidence)) AS ev FROM a GROUP BY ALL) SELECT rel, from_id, to_id, unnest(ev) AS evidence FROM m""")
+def csv_edges_all(spark, sf):
+    """As csv_edges_expanded, over all lines."""
+    from ..operators import export
+
+    m = T.accesses(spark, sf).groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.collect_set("evidence").alias("evidence"))
+    return export.csv_edges(m, expanded=True).select("rel", "from_id", "to_id", "evidence")
+
+
 @query("""SELECT 'nation:' || n_nationkey AS id, '  <node id="nation:' || n_nationkey || '"><data key="label">' || replace(n_name, '&', '&amp;') || '</data><data key="type">nation</data></node>' AS line FROM nation""")
 def graphml_nodes(spark, sf):
     from ..operators import export
