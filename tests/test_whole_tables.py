@@ -37,3 +37,8 @@ def test_closure_of_all_lines(spark, small):
 def test_export_and_endpoints_of_all_lines(spark, small):
     assert rows(spark, "csv_edges_all", small, "rel", "to_id", "evidence") == [("READS", "part:1", "1:1"), ("READS", "part:3", "2:2"), ("UPDATES", "part:3", "2:1"), ("WRITES", "part:2", "1:2")]
     assert rows(spark, "resolve_endpoint_all", small, "name", "to_id", "n") == [("P1", "part:1", 1), ("P2", "part:2", 1), ("P3", "part:3", 2)]
+
+
+def test_anti_joins_with_all_lines(spark, small):
+    assert rows(spark, "lib_not_exists_all", small, "p_partkey") == [(4,), (5,)]
+    assert rows(spark, "prune_inferred_all", small, "id") == [("part:1",), ("part:2",), ("part:3",), ("part:5",)]

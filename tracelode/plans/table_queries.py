@@ -275,6 +275,12 @@ def prune_inferred(spark, sf):
     return model.prune_inferred(T.entities(spark, sf, orders=False).filter("type = 'part'"), rel)
 
 
+@query(f"WITH {ENTITIES}, {ACCESSES} SELECT e.* FROM e WHERE type = 'part' AND (NOT inferred OR id IN (SELECT to_id FROM a))")
+def prune_inferred_all(spark, sf):
+    """As prune_inferred, over all lines."""
+    return model.prune_inferred(T.entities(spark, sf, orders=False).filter("type = 'part'"), T.accesses(spark, sf).select("from_id", "to_id"))
+
+
 @query("""WITH k AS (SELECT s_suppkey, ps, array_agg(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS f, max(1 - l_discount) AS c FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS ps, l_orderkey, l_discount FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT s_suppkey, ps AS partkey, array_to_string(f, ',') AS fields, round(c, 4) AS confidence FROM k WHERE len(f) > 1""")
 def merge_contracts(spark, sf):
@@ -329,13 +335,22 @@ def anti_no_entities(spark, sf):
     return coverage.files_without_entities(T.table(spark, sf, "documents").select(F.col("doc_id").alias("path")), found)
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate < '1995-03-01' AND (l_partkey = p_partkey OR l_suppkey = p_partkey))")
-def lib_not_exists(spark, sf):
-    li = T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-03-01'")
+def unreferenced(spark, sf, li):
     out = T.table(spark, sf, "part").select("p_partkey").join(li.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
     return out.join(li.select(F.col("l_suppkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate < '1995-03-01' AND (l_partkey = p_partkey OR l_suppkey = p_partkey))")
+def lib_not_exists(spark, sf):
+    return unreferenced(spark, sf, T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-03-01'"))
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = p_partkey)")
+def lib_not_exists_all(spark, sf):
+    """As lib_not_exists, over all lines."""
+    return unreferenced(spark, sf, T.table(spark, sf, "lineitem"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey = 42 OR l_suppkey = 42 GROUP BY ALL")
 def lib_or_join(spark, sf):
     li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
