@@ -6,6 +6,7 @@ import pytest
 from tracelode.plans import table_queries
 
 TABLES = {
+    "documents": "SELECT * FROM (VALUES (1::BIGINT, 'Ein Satz mit mehr als vierzig Zeichen, dann Straße und Ende.'), (2, '--'), (3, NULL)) t(doc_id, text)",
     "region": "SELECT 0::BIGINT AS r_regionkey, 'R' AS r_name",
     "nation": "SELECT * FROM (VALUES (0::BIGINT, 'N0', 0::BIGINT), (1, 'N1', 0)) t(n_nationkey, n_name, n_regionkey)",
     "customer": "SELECT 1::BIGINT AS c_custkey, 'C1' AS c_name, 1::BIGINT AS c_nationkey, -5.0::DOUBLE AS c_acctbal",
@@ -42,3 +43,7 @@ def test_export_and_endpoints_of_all_lines(spark, small):
 def test_anti_joins_with_all_lines(spark, small):
     assert rows(spark, "lib_not_exists_all", small, "p_partkey") == [(4,), (5,)]
     assert rows(spark, "prune_inferred_all", small, "id") == [("part:1",), ("part:2",), ("part:3",), ("part:5",)]
+
+
+def test_slug_of_whole_text(spark, small):
+    assert rows(spark, "slugify_all", small, "doc_id", "slug") == [(1, "ein-satz-mit-mehr-als-vierzig-zeichen-dann-stra-e-und-ende"), (2, "query"), (3, "query")]

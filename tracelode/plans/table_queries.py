@@ -472,6 +472,12 @@ def slugify(spark, sf):
     return d.filter(X.fold_accents(F.col("head")).rlike("[A-Za-z0-9]") & ~F.contains("text", F.lit("ß"))).select("doc_id", X.slugify(F.col("head")).alias("slug"))
 
 
+@query("""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, 'ß', '-'), 'ẞ', '-'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents) SELECT doc_id, CASE WHEN slug <> '' THEN slug ELSE 'query' END AS slug FROM s""")
+def slugify_all(spark, sf):
+    """As slugify, of the whole text of every document."""
+    return T.table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+
+
 @query("""WITH r AS (SELECT 'SOURCE_' || k AS alias, root FROM (VALUES (1, 'http://'), (2, 'https://'), (3, 'https://www.')) t(k, root)) SELECT page_id, arg_max(r.alias || '/' || substr(url, length(root) + 1), length(root)) AS path FROM pages JOIN r ON starts_with(url, root) GROUP BY page_id""")
 def sanitize_paths(spark, sf):
     from ..sources import files
