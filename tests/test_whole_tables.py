@@ -47,3 +47,8 @@ def test_anti_joins_with_all_lines(spark, small):
 
 def test_slug_of_whole_text(spark, small):
     assert rows(spark, "slugify_all", small, "doc_id", "slug") == [(1, "ein-satz-mit-mehr-als-vierzig-zeichen-dann-stra-e-und-ende"), (2, "query"), (3, "query")]
+
+
+def test_pending_of_all_kinds(spark, small):
+    want = [("entity", n) for n in ("C1", "P2", "P3", "P4", "S2", "order:2")] + [("relation", "supplier:1|WRITES|part:2")]
+    assert rows(spark, "pending_all", small, "kind", "name") == want

@@ -438,6 +438,15 @@ def pending_filter(spark, sf):
     return coverage.pending(T.entities(spark, sf).filter("type = 'order'"), none, ok)
 
 
+@query(f"""WITH {ENTITIES}, {ACCESSES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence FROM a GROUP BY ALL), ok AS (SELECT DISTINCT 'order:' || l_orderkey AS name FROM lineitem WHERE l_quantity > 45),
+p AS (SELECT 'entity' AS kind, name FROM e WHERE confidence < 0.8 OR inferred UNION ALL SELECT 'relation', from_id || '|' || rel || '|' || to_id FROM m WHERE confidence < 0.5) SELECT kind, name FROM p WHERE name NOT IN (FROM ok)""")
+def pending_all(spark, sf):
+    """As pending_filter, over all entities and the merged relations."""
+    ok = T.table(spark, sf, "lineitem").filter("l_quantity > 45").select(T.key("order", "l_orderkey").alias("name"), F.lit("approve").alias("action")).distinct()
+    rel = merged(spark, sf).select(F.col("from_id").alias("from"), "rel", F.col("to_id").alias("to"), "confidence")
+    return coverage.pending(T.entities(spark, sf), rel, ok)
+
+
 @query("SELECT p_brand AS parent, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS columns FROM part GROUP BY p_brand")
 def columns_by_table(spark, sf):
     return T.table(spark, sf, "part").groupBy(F.col("p_brand").alias("parent")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("columns"))
