@@ -59,3 +59,50 @@ def test_odd_pages(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(df, ["page_id", "url"]).collect()}
     assert len(got) == len(odd) and got[0] == got[1] == got[8] == "" and got[5] == "plain text" and got[6] == "a&am" and got[9] == "deep" and got[10] == "a b c"
     assert html.extract(df.limit(0), ["page_id"]).count() == 0
+
+
+P = "<p>" + "</p><p>".join(f"{i}. {LONG}" for i in range(3)) + "</p>"
+SAID = [f"{i}. {TEXT}" for i in range(3)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='layout has-sidebar'><article>{P}</article></div>", SAID),
+        (f"<div class='no-comments single-post'><article>{P}</article></div>", SAID),
+        (f"<div class='sidebar layout'><nav><a>x</a></nav><article>{P}</article><div class=sidebar><p>{LONG}</p></div></div>", SAID),
+        (f"<form id=aspnetForm><div class=header><h1>Site</h1></div><div>{P}</div></form>", SAID),
+        (f"<div class='discussion page'><article>{P}</article><div class=comments><article><p>{LONG * 9}</p></article></div></div><footer>{LONG}</footer>", SAID),
+        (f"<article>{P}</article><div class=comments><article><p>{LONG * 9}</p></article></div>", SAID),
+        (f"<article>{P}</article><div class=related><article><p>{LONG}</p></article></div>", SAID),
+        (f"<article><p>Tiny.</p></article><div class=ad>{LONG}</div><footer>{LONG * 5}</footer>", ["Tiny."]),
+        (f"<div class=ad>Buy!</div><div class=footer>{LONG}</div>", []),
+        (f"<div class='sidebarLayout'><div>{P}</div></div>", SAID),
+        (f"<div>{P}<p>A word <span class=ad>Buy</span> and<wbr>more.</p></div>", [*SAID, "A word andmore."]),
+        (f"<ul><li><a>Home</a></li><li><a>More</a></li></ul>{P}", SAID),
+        (f"<div id=content>{P}</div><ul><li><a>Next</a></li></ul><div><p>Contact us.</p></div>", SAID),
+        ("<article><p><a>Only a link</a></p></article>", ["Only a link"]),
+    ],
+)
+def test_names_mark_leaves_only(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
+def test_threshold_decides(monkeypatch):
+    page = f"<body><div>{P}</div><ul><li><a>Next</a></li></ul><div><p>Contact us.</p></div></body>"
+    assert html.main_text(page) == "\n\n".join(SAID)
+    monkeypatch.setattr(html, "threshold", lambda values: -1.0)
+    assert html.main_text(page) == "\n\n".join([*SAID, "Contact us."])
+    monkeypatch.setattr(html, "threshold", lambda values: 1e9)
+    monkeypatch.setattr(html, "PROSE", 1e9)
+    assert html.main_text(page) == html.main_text(f"<article>{P}</article>") == ""
+
+
+def test_deep_and_broken_pages():
+    assert html.main_text("<div>" * 5000 + f"<p>{LONG}</p>") == TEXT
+    assert html.main_text("<div class=ad>" * 3000 + f"<article>{P}</article>") == "\n\n".join(SAID)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"<p>caf\xe9 bar</p>"))], "page_id int, html binary")
+    assert [tuple(r) for r in html.extract(df, ["page_id"]).collect()] == [(1, "caf� bar", 8)]

@@ -1,15 +1,20 @@
 """Main text of web pages, by text-to-tag ratios of lines.
 
-A streaming parser turns a page into lines, one for each block element. Each line has the ratio
-of its characters to its tags. The ratios are smoothed by a Gaussian, and a threshold between
-two clusters, at most TEXTUAL, tells content lines from others. The main text is all articles and
-main elements, or else the smallest container around all content lines; all its lines are kept,
-short ones too, but those inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, and articles or containers of links only without content.
+Events of the standard library's streaming parser turn a page into lines, one for each block
+element, and a tree of the elements around them. A line's ratio is its characters outside links by
+its tags. Ratios are smoothed by a Gaussian, and a threshold between two clusters, PROSE at most,
+tells core lines from others; regions grow from core lines over neighbours of TEXTUAL or more, and
+end at links and at boilerplate. Articles and main elements are the scope if core lines lie there,
+else the smallest container around all regions. Of the scope every part that holds region lines is
+kept whole, and so is all other text between the first and the last region line.
+
+Element names and words of class, id and role only mark leaves as boilerplate: an element that
+holds the article, or most of the text, is none whatever it is called (see dead_nodes).
 
 Defined results: null or empty html, or a page with no text outside boilerplate, gives an empty
-text with n_chars 0; a tag or reference cut off at the end of the page is dropped or kept as
-text as HTML has it; repeated pages give repeated rows; other columns are not looked at.
+text with n_chars 0; a page with nothing but links gives these; a tag or reference cut off at the
+end of the page is dropped or kept as text as HTML has it; bytes that are no UTF-8 become U+FFFD;
+repeated pages give repeated rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,50 +33,64 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-NOT_TEXT = frozenset("script style noscript template title nav header footer aside form button select textarea iframe object svg math canvas dialog menu search audio video head".split())
+NO_TEXT = frozenset("script style noscript template title button select textarea iframe object svg math canvas audio video head".split())
+ASIDE = frozenset("nav header footer aside dialog menu search".split())
 NAMED = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comments comment discussion disqus replies reply share sharing social related recommended toolbar pagination pager login search form complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommended toolbar pagination pager login search form complementary contentinfo".split()
 )
+COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+QUALIFIED = frozenset("no not non has have with without hide show is can enabled disabled open closed on off single".split())  # no-comments or has-sidebar name what is around
 CONTAINERS = frozenset("div section td body blockquote main article".split())
-TEXTUAL = 20.0  # characters a tag from which a line is content, however long others are
+PROSE, TEXTUAL = 60.0, 20.0  # characters a tag from which a line is core whatever the clusters are, and from which a region grows over it
+WRAPPER = 200  # characters that an element called boilerplate must hold at least to be taken for a wrapper without an article or a heading
+PLAIN, BY_TAG, BY_NAME, BY_COMMENT = 0, 1, 2, 3
 CLOSES_P = BLOCKS - {"html", "body", "head", "title"}
 CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 KERNEL /= KERNEL.sum()
 
 
+def cue(tag: str, attrs: list) -> int:
+    """How an element is called boilerplate, if it is."""
+    if tag in ("html", "body"):
+        return PLAIN
+    out = BY_TAG if tag in ASIDE else BY_NAME if tag == "form" else PLAIN
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(token)}
+                if words & QUALIFIED:
+                    continue
+                if words & COMMENTS:
+                    return BY_COMMENT
+                if not out and words & NAMED:
+                    out = BY_NAME
+    return out
+
+
+def concealed(attrs: list) -> bool:
+    return any(name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, article, container, is links only, is boilerplate) of each block. article: number of the outermost article or main, or 0; container: number of the innermost."""
+    """A page as lines and a tree. lines: ([(node, in a link, data)], tags, node); of each node up, cue, whether it is an article or main, a first heading, and a container."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []
-        self.parts: list[str] = []
-        self.tags = 0
-        self.up = [0]  # of each element by number, the container around it
-        self.link = False
-        self.plain = False  # whether text outside links came since the last line
-        self.dead = 0  # open elements that are no content
-        self.hidden = False  # whether such an element has had text since the last line
+        self.lines: list[tuple[list, int, int]] = []
+        self.up, self.cue, self.main, self.head, self.box = [0], [PLAIN], [False], [False], [True]
+        self.stack: list[tuple[str, int, bool]] = []
+        self.parts: list[tuple[int, bool, str]] = []
+        self.tags, self.link, self.hidden = 0, False, 0
+
+    def node(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            article = next((n for tag, _, n in self.stack if tag in ("article", "main")), 0)
-            self.lines.append((text, max(1, self.tags), article, self.container(), not self.plain, False))
-        elif self.hidden:
-            self.lines.append(("", 1, 0, 0, False, True))
-        self.parts.clear()
-        self.hidden = self.link = self.plain = False
-        self.tags = 0
-
-    def container(self) -> int:
-        if not self.stack:
-            return 0
-        tag, _, n = self.stack[-1]
-        return n if tag in CONTAINERS else self.up[n]
+        if any(not d.isspace() for _, _, d in self.parts):
+            self.lines.append((self.parts, max(1, self.tags), self.node()))
+        self.parts, self.tags, self.link = [], 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -86,22 +105,21 @@ class Lines(HTMLParser):
         self.tags += 1
         self.link = self.link or tag == "a"
         if tag in VOID:
-            self.parts.append(" ")
+            if tag != "wbr" and self.parts:
+                self.parts.append((self.node(), True, " "))
             return
-        dead = tag in NOT_TEXT
-        if not dead and tag not in ("html", "body", "main"):
-            for name, value in attrs:
-                if (name in ("class", "id", "role") and value and not NAMED.isdisjoint(WORDS.findall(value.lower()))) or name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
-                    dead = True
-        if tag in BLOCKS or dead:
-            self.up.append(self.container())
-            self.stack.append(("main" if ("role", "main") in attrs or ("itemprop", "articleBody") in attrs else tag, dead, len(self.up) - 1))
-            self.dead += dead
-
-    def pop(self) -> str:
-        tag, dead, _ = self.stack.pop()
-        self.dead -= dead
-        return tag
+        called, gone = cue(tag, attrs), tag in NO_TEXT or concealed(attrs)
+        if tag in BLOCKS or called or gone:
+            self.up.append(self.node())
+            self.cue.append(called)
+            self.main.append(tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs)
+            self.head.append(tag == "h1")
+            self.box.append(tag in CONTAINERS or self.main[-1])
+            self.stack.append((tag, len(self.up) - 1, gone))
+            self.hidden += gone
+
+    def pop(self) -> None:
+        self.hidden -= self.stack.pop()[2]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,7 +132,7 @@ class Lines(HTMLParser):
         self.tags += 1
         self.link = self.link and tag != "a"
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag or (self.stack[k][0] == "main" and tag in CONTAINERS):
+            if self.stack[k][0] == tag:
                 while len(self.stack) > k:
                     self.pop()
                 break
@@ -122,11 +140,71 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if self.dead:
-            self.hidden = self.hidden or not data.isspace()
-        else:
-            self.parts.append(data)
-            self.plain = self.plain or not (self.link or data.isspace())
+        if not self.hidden:
+            self.parts.append((self.node(), self.link, data))
+
+
+def parsed(html: str) -> Lines:
+    html = CUT_TAG.sub("", html)
+    for text in (html, html.replace("<![", "<!--")):
+        page = Lines()
+        try:
+            page.feed(text)
+            page.close()
+            break
+        except AssertionError:  # a malformed <![ section
+            continue
+    page.flush()
+    return page
+
+
+def dead_nodes(page: Lines) -> list[bool]:
+    """Of each element, whether it is boilerplate or lies in some.
+
+    An element that is called so is spared where it holds the article or most of the text: free is
+    the text outside all such elements (and inside spared ones). Comments are spared if nothing
+    else is there, or only they hold an article; menus, headers, footers and the like by tag if
+    only they hold an article; others also if they hold an article and more than what is free, or a
+    first heading and more than half of that, or a text of WRAPPER characters and four times that.
+    """
+    n = len(page.up)
+    own, up = [0] * n, page.up
+    for parts, _, _ in page.lines:
+        for node, link, data in parts:
+            if not link:
+                own[node] += len(data.strip())
+    all_, free, comments, heads = own[:], own[:], [0] * n, [int(x) for x in page.head]
+    mains = [int(m and c != BY_COMMENT) for m, c in zip(page.main, page.cue, strict=True)]
+    free_mains = [int(m and not c) for m, c in zip(page.main, page.cue, strict=True)]
+    for k in range(n - 1, 0, -1):
+        all_[up[k]] += all_[k]
+        comments[up[k]] += all_[k] if page.cue[k] == BY_COMMENT else comments[k]
+        if page.cue[k] != BY_COMMENT:
+            mains[up[k]] += mains[k]
+            heads[up[k]] += heads[k]
+        if not page.cue[k]:
+            free[up[k]] += free[k]
+            free_mains[up[k]] += free_mains[k]
+    dead, outside, articles = [False] * n, free[0], free_mains[0]
+    for k in range(1, n):
+        called = page.cue[k]
+        if dead[up[k]]:
+            dead[k] = True
+        elif called:
+            held = all_[k] - comments[k]
+            if called == BY_COMMENT:
+                spared = not articles and (not outside or (mains[k] and 2 * held >= outside))
+            elif called == BY_TAG:
+                spared = mains[k] and not articles and 2 * held >= outside
+            elif articles:
+                spared = mains[k] > page.main[k] and held >= outside
+            else:
+                spared = (2 * held >= outside and held and (mains[k] or heads[k])) or (held > 4 * outside and held >= WRAPPER)
+            if spared:
+                outside += free[k]
+                articles += free_mains[k] + (page.main[k] and not free_mains[k])
+            dead[k] = not spared
+    return dead
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -152,55 +230,59 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def around(up: list[int], a: int, b: int) -> int:
-    """The smallest container around both; one around another has the smaller number."""
-    while a != b:
-        a, b = (up[a], b) if a > b else (a, up[b])
-    return a
-
-
-def below(up: list[int], root: int, n: int) -> int | None:
-    """The container directly in root that holds n; root for itself, None for one outside."""
-    part = n
-    while n > root:
-        part, n = n, up[n]
-    return part if n == root else None
+def regions(ratios: np.ndarray) -> np.ndarray:
+    """Which lines are content: those above the threshold, and their neighbours as far as these are textual. ratios: 0 for links and boilerplate."""
+    smooth = smoothed(ratios)
+    cut = min(threshold(smooth), PROSE)
+    core, grows = (smooth >= cut) & (ratios > 0), (smooth >= min(cut, TEXTUAL)) & (ratios > 0)
+    run = np.cumsum(np.concatenate(([True], grows[1:] != grows[:-1]))) if len(grows) else np.zeros(0, int)
+    return core | (grows & np.isin(run, run[core]))
 
 
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    html = CUT_TAG.sub("", html)
-    parser = Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a malformed <![ section
-        parser = Lines()
-        parser.feed(html.replace("<![", "<!--"))
-        parser.close()
-    parser.flush()
-    lines = parser.lines
-    live = [k for k, x in enumerate(lines) if not x[5]]
+    page = parsed(html or "")
+    dead, texts, ratios = dead_nodes(page), [], []
+    for parts, tags, _ in page.lines:
+        kept = [p for p in parts if not dead[p[0]]]
+        texts.append(" ".join("".join(d for _, _, d in kept).split()))
+        ratios.append(sum(len(d) for _, link, d in kept if not link and not d.isspace()) / tags if texts[-1] else 0.0)
+    live = [i for i, t in enumerate(texts) if t]
     if not live:
         return ""
-    ratios = np.array([0.0 if dead else len(text) / tags for text, tags, _, _, _, dead in lines])
-    smooth = smoothed(ratios)
-    cut = min(threshold(smooth), TEXTUAL)
-    content = [k for k in live if (ratios if lines[k][4] else smooth)[k] >= cut] or live  # a menu beside text is none
-    groups = {k: lines[k][2] for k in live if lines[k][2]}
-    if not groups:
-        root = lines[content[0]][3]
-        for k in content:
-            root = around(parser.up, root, lines[k][3])
-        groups = {k: part for k in live if (part := below(parser.up, root, lines[k][3])) is not None}
-    texts = {groups[k] for k in content if k in groups} | {part for k, part in groups.items() if not lines[k][4]}
-    return "\n\n".join(lines[k][0] for k, part in groups.items() if part in texts or not texts)
+    plain = np.array(ratios)
+    content = regions(plain) if plain.any() else np.array([bool(t) for t in texts])
+    found = np.flatnonzero(content)
+    if not len(found):
+        return ""
+    nodes = [line[2] for line in page.lines]
+    n, up = len(page.up), page.up
+    article, box = [0] * n, [0] * n
+    for k in range(1, n):
+        article[k] = article[up[k]] or (k if page.main[k] and not dead[k] else 0)
+        box[k] = k if page.box[k] else box[up[k]]
+    weight = np.array([len(t) for t in texts])
+    inside = np.array([article[k] > 0 for k in nodes])
+    if 2 * weight[content & inside].sum() >= weight[content].sum() > 0:
+        spoken = {article[nodes[i]] for i in live if plain[i]} | {article[nodes[i]] for i in found}
+        return "\n\n".join(texts[i] for i in live if inside[i] and article[nodes[i]] in spoken)
+    count = [0] * n
+    for i in found:
+        count[box[nodes[i]]] += 1
+    for k in range(n - 1, 0, -1):
+        count[up[k]] += count[k]
+    root = max(k for k in range(n) if count[k] == len(found) and page.box[k])
+    part: list[int | None] = [None] * n
+    for k in range(root, n):
+        part[k] = root if k == root else None if part[up[k]] is None else k if part[up[k]] == root and page.box[k] else part[up[k]]
+    of = [part[k] for k in nodes]
+    chosen, speaking = {of[i] for i in found}, {of[i] for i in live if plain[i]}
+    first, last = found[0], found[-1]
+    return "\n\n".join(texts[i] for i in live if of[i] is not None and ((of[i] in chosen and (of[i] != root or plain[i] or first < i < last)) or (first < i < last and of[i] in speaking)))
 
 
 def extract(df: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns keep of df, with text and n_chars."""
-    rows = df.select(*keep, F.col(html_col).cast("string").alias("__html"))
+    rows = df.select(*keep, F.make_valid_utf8(F.col(html_col).cast("string")).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
