@@ -64,6 +64,33 @@ def test_repeated_rows_null_ids_and_empty(frame):
     assert jaccard.join(frame([])).count() == 0
 
 
+def test_different_texts_under_one_id(frame):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (2, a + " x"), (3, b + " y"), (5, None), (7, ""), (8, "c d e f"), (9, "c d e f"), (9, "g"), (4, "g"), (9, "g")]
+    got = sorted((r[0], r[2]) for r in jaccard.join(frame(rows)).collect())
+    assert got == [(2, 2), (3, 2), (4, 4), (5, 2), (5, 2), (5, 2), (7, 7), (8, 4), (9, 4), (9, 4), (9, 4)]
+
+
+def template(n, size=40):
+    """Texts of one length that share their rare words and differ in some of 8 places, in two groups that don't link."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        words = [f"{'ab'[i % 2]}{k}" for k in range(size)] + ["both", "groups", "share", "this"] * (i % 3 == 0)
+        words[int(rng.integers(0, size))] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "tile", "block", "hot"), [(400, 50, 20, 1 << 26), (400, 50, 20, 1000), (1200, 300, 100, 1 << 20)])
+def test_hot_tiles_and_keys(frame, monkeypatch, n, tile, block, hot):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_BUCKET_BYTES", hot)
+    rows = template(n)
+    assert sorted(tuple(r) for r in jaccard.join(frame(rows), 3, 80).collect()) == brute(rows, 3, 80)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}

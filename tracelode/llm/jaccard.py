@@ -11,12 +11,15 @@ of the exclusive or of hashed bitmaps bound the overlap of two sets from above;
 connected by pairs under the bound stay together in a refined tile. There, pairs that aren't
 linked through others yet are decided by intersecting sorted arrays.
 
-A refined tile of more than BLOCK classes is split: blocks that each also hold its pivots (a few
-classes) are verified first; classes that the pivots don't reach then meet every block. So links
-are complete, and a large group of near copies costs about its size times the pivots.
+Tiles that are still too large (TILE before, BLOCK after the bitmaps) are split: blocks that each
+also hold the tile's pivots (a few classes) are decided first; classes that the pivots don't
+reach then meet every block. So links are complete, no task holds a whole hot tile, and a large
+group of near copies costs about its size times the pivots; many classes under one key that don't
+link cost their square, spread over tasks of two blocks. Buckets of keys over HOT_BUCKET_BYTES,
+which a hot key makes, are not read by one task either: their entries become rows.
 
 Defined results: null text, or text without words, has no n-grams, its own component, and no
-links; fewer words than n are one n-gram; rows that share an id are one node; rows without an id
+links; fewer words than n are one n-gram; rows that share an id are one node, whose texts may differ; rows without an id
 link nothing and have the component of their class, if any; an empty table gives no rows; other
 columns are not looked at.
 """
@@ -39,8 +42,10 @@ KEY_BUCKET_BYTES = 16 << 20
 #: Members of tiles that one task holds, on average.
 MEMBERS = 1500
 LEAST_BUCKETS = 48
-#: Ids (8 bytes) that pick out texts where these lie, without a shuffle of all texts; more of them are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of keys (16 an entry) up to which one task reads a bucket.
+HOT_BUCKET_BYTES = 64 << 20
+#: Keys (16 bytes) that pick out texts where these lie, without a shuffle of all texts; more of them are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents whose hashes are counted for the order, and frequent hashes that it has at most (16 bytes each, broadcast).
 SAMPLE, FREQUENT = 4000, 200_000
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -141,7 +146,7 @@ def _hashes(k: int):
 def frequent_hashes(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that occur in three documents of a sample or more, ascending, with their numbers."""
     n = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n))))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "th", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n))))
     top = sample.mapInArrow(_hashes(k), "x bigint").groupBy("x").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
     names, often = top["x"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(names)
@@ -150,7 +155,7 @@ def frequent_hashes(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _profiles(k: int, num: int, den: int, buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, names = byte_values(), ["bucket", "doc_id", "n", "h", "blob"]
+        values, names = byte_values(), ["bucket", "doc_id", "th", "n", "h", "blob"]
         for batch in batches:
             raw, at = utf8(batch.column(1))
             sizes, hashes, entries, seen, signs = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [], set(), [None] * len(batch)
@@ -164,7 +169,7 @@ def _profiles(k: int, num: int, den: int, buckets: int, frequent):
                         e = np.empty(len(prefix), ENTRY)
                         e["key"], e["set"], e["size"] = mixed(prefix), hashes[r], len(s)
                         entries.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), -1, np.int32)), batch.column(0), pa.array(sizes), pa.array(hashes), pa.array(signs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), -1, np.int32)), batch.column(0), batch.column(2), pa.array(sizes), pa.array(hashes), pa.array(signs, pa.binary())], names)
             if entries:
                 e = np.concatenate(entries)
                 to = ((e["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
@@ -174,7 +179,7 @@ def _profiles(k: int, num: int, den: int, buckets: int, frequent):
                 low = e["key"].astype(np.uint32)  # the rest of a key names its bucket; keys that still agree only make a tile larger
                 blobs = [low[a:b].tobytes() + e["set"][a:b].tobytes() + e["size"][a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(e)), strict=True)]
                 zero = pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), zero, zero, zero, pa.array(blobs, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), zero, zero, zero, zero, pa.array(blobs, pa.binary())], names)
 
     return run
 
@@ -194,18 +199,30 @@ def folded(sign: np.ndarray, size: int) -> np.ndarray:
     return sign
 
 
+def entries(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, classes and sizes of the entries in these blobs."""
+    out: tuple[list, list, list] = [], [], []
+    for blob in column:
+        b = blob.as_buffer()
+        n = b.size // 16
+        for to, (kind, at) in zip(out, (("<u4", 0), ("<i8", 4 * n), ("<u4", 12 * n)), strict=True):
+            to.append(np.frombuffer(b, kind, n, at))
+    key, own, size = (np.concatenate(x) for x in out)
+    return key, own, size.astype(np.int64)
+
+
+def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(len(batch)):
+            key, own, _ = entries(batch.column(1).slice(i, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int32)), pa.array(key.astype(np.int64)), pa.array(own)], ["bucket", "key", "h"])
+
+
 def _tiles(num: int, den: int):
     """The distinct groups of classes that share a key of this bucket, cut where sizes drop by more than the threshold."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        keys, sets, sizes = [], [], []
-        for blob in bucket.column("blob"):
-            b = blob.as_buffer()
-            n = b.size // 16
-            keys.append(np.frombuffer(b, "<u4", n))
-            sets.append(np.frombuffer(b, "<i8", n, 4 * n))
-            sizes.append(np.frombuffer(b, "<u4", n, 12 * n))
-        key, own, size = np.concatenate(keys), np.concatenate(sets), np.concatenate(sizes).astype(np.int64)
+        key, own, size = entries(bucket.column("blob"))
         order = np.lexsort((own, size, key))
         key, own, size = key[order], own[order], size[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
@@ -348,8 +365,9 @@ def links(sets: list[np.ndarray], num: int, den: int) -> Sets:
 def _verify(k: int, num: int, den: int):
     def run(part: pa.Table) -> pa.Table:
         values = byte_values()
-        ids, tiles = longs(part.column("doc_id")), longs(part.column("tile"))
-        uniq, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        tiles = longs(part.column("tile"))
+        _, first, back = np.unique(longs(part.column("h")), return_index=True, return_inverse=True)
+        ids = longs(part.column("doc_id"))[first]
         raw, at = utf8(whole(part.column("text")).take(pa.array(first)))
         sets: list[np.ndarray] = []
         for i, j in runs_of(at):
@@ -357,7 +375,7 @@ def _verify(k: int, num: int, den: int):
         order = np.lexsort((back, tiles))
         cut = np.flatnonzero(np.concatenate(([True], tiles[order][1:] != tiles[order][:-1])))
         a, b = [], []
-        known = Sets(len(uniq))
+        known = Sets(len(ids))
         for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
             members = np.unique(back[order[s:e]]).tolist()
             if len({known.find(i) for i in members}) == 1:
@@ -367,8 +385,8 @@ def _verify(k: int, num: int, den: int):
                 r = members[found.find(i)]
                 if known.find(r) != known.find(m):
                     known.join(r, m)
-                    a.append(int(uniq[r]))
-                    b.append(int(uniq[m]))
+                    a.append(int(ids[r]))
+                    b.append(int(ids[m]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -379,63 +397,85 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def split(rows: DataFrame, limit: int, decide) -> DataFrame:
+    """Edges (a, b) that decide finds in the rows (tile, h, doc_id, th) of tiles, none of which it is shown over 2 x limit members.
+
+    A larger tile is cut into blocks with the same pivots; what these don't connect to the tile's main component meets every block.
+    """
+    counts = rows.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("h", F.xxhash64("h", F.lit(i))) for i in range(PIVOTS)]).alias("pivots"))
+    big = written(counts.filter(F.col("m") > limit).withColumn("blocks", F.ceil(F.col("m") / limit).cast("int")).drop("m"), "big")
+    if not (n_big := big.count()):
+        return decide(rows)
+    near = F.broadcast if n_big <= BROADCAST_IDS else (lambda d: d)
+    deal = lambda n, seed: F.pmod(F.xxhash64("h", F.lit(seed)), n).cast("int")
+    own = lambda *c: F.xxhash64("tile", *c).alias("tile")
+    large = rows.join(near(big), "tile").withColumn("block", deal(F.col("blocks"), 5)).withColumn("pivot", F.array_contains("pivots", F.col("h")))
+    large = written(large.drop("pivots"), "large")
+    blocks = large.withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    edges = decide(rows.join(near(big.select("tile")), "tile", "left_anti").unionByName(blocks.select(own("block"), "h", "doc_id", "th")))
+    labels = components(edges).withColumnRenamed("id", "doc_id")
+    named = written(large.drop("pivot").join(labels, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component"), "named")
+    main = named.groupBy("tile", "c").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"))
+    rest = written(named.join(near(main), "tile").filter("c <> main").drop("main"), "rest")
+    parts = written(rest.groupBy("tile").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")), "parts")
+    if parts.isEmpty():
+        return edges
+    rest = rest.join(near(parts), "tile").withColumn("part", deal(F.col("parts"), 6))
+    meets = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = named.join(near(parts), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = [d.select(own("block", "part"), "h", "doc_id", "th") for d in (meets, held)]
+    return edges.unionByName(decide(pairs[0].union(pairs[1]).distinct()))
+
+
 def join(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when 100 x intersection >= percent x union."""
-    docs = text_of(df, id_col, text_col)
+    docs = text_of(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-int(total) // KEY_BUCKET_BYTES))
     num, den = percent, 100
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs, words))
-    profiles = written(docs.mapInArrow(_profiles(words, num, den, buckets, frequent), "bucket int, doc_id bigint, n bigint, h bigint, blob binary"), "profiles")
-    sets = profiles.filter("bucket = -1").select("doc_id", "n", "h")
-    classes = written(profiles.filter("bucket = -1 and n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("blob").alias("sig")), "classes")
+    profiles = written(docs.mapInArrow(_profiles(words, num, den, buckets, frequent), "bucket int, doc_id bigint, th bigint, n bigint, h bigint, blob binary"), "profiles")
+    sets, keys = profiles.filter("bucket = -1").select("doc_id", "n", "h"), profiles.filter("bucket >= 0").select("bucket", "blob")
+    classes = written(profiles.filter("bucket = -1 and n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"), F.max("n").alias("n"), F.max("blob").alias("sig")), "classes")
     known = classes.filter("rep is not null")
-    tiles = written(profiles.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_tiles(num, den), "tile bigint, h bigint").distinct(), "tiles")
+    hot = written(keys.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("b")).filter(F.col("b") > HOT_BUCKET_BYTES).select("bucket"), "hot")
+    if hot.isEmpty():
+        tiles = keys.groupBy("bucket").applyInArrow(_tiles(num, den), "tile bigint, h bigint").distinct()
+    else:
+        tiles = keys.join(sized(hot), "bucket", "left_anti").groupBy("bucket").applyInArrow(_tiles(num, den), "tile bigint, h bigint").distinct()
+        spread = keys.join(sized(hot), "bucket", "left_semi").mapInArrow(_entry_rows, "bucket int, key bigint, h bigint").select(F.xxhash64("bucket", "key").alias("tile"), "h").distinct()
+        tiles = tiles.union(spread)
+    tiles = written(tiles, "tiles")
     rows = tiles
-    wide = tiles.groupBy("tile").agg(F.count("*").alias("m")).filter(F.col("m") > TILE)
+    wide = written(tiles.groupBy("tile").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select("tile"), "wide")
     if not wide.isEmpty():  # size bands: two sets that can link are in one band or in neighbouring ones
-        wide = written(wide.select("tile"), "wide")
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-        banded = tiles.join(wide, "tile").join(known.select("h", "n"), "h").withColumn("band", F.explode(F.array(band, band + 1)))
-        rows = tiles.join(wide, "tile", "left_anti").select("tile", "h").unionByName(banded.select(F.xxhash64("tile", "band").alias("tile"), "h"))
-    n_rows = tiles.count()
-    groups = max(LEAST_BUCKETS, -(-n_rows // (10 * MEMBERS)))
-    placed = rows.groupBy(F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("g"), "h").agg(F.collect_list("tile").alias("tiles"))
-    refined = placed.join(known.select("h", "n", "sig"), "h").groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
-    members = written(refined.join(known.select("h", "rep"), "h").select("tile", F.col("rep").alias("doc_id")), "members")
-    n_members = members.count()
-    wanted = written(members.select("doc_id").distinct(), "wanted")
-    texts = docs.join(sized(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def verified(rows: DataFrame, n: int) -> DataFrame:
-        groups = max(LEAST_BUCKETS, -(-n // MEMBERS))
-        placed = rows.join(texts, "doc_id").select(F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("g"), "tile", "doc_id", "text")
+        banded = tiles.join(sized(wide), "tile").join(known.select("h", "n"), "h").withColumn("band", F.explode(F.array(band, band + 1)))
+        rows = tiles.join(sized(wide), "tile", "left_anti").select("tile", "h").unionByName(banded.select(F.xxhash64("tile", "band").alias("tile"), "h"))
+
+    def task(d: DataFrame, members: int):
+        return F.pmod(F.xxhash64("tile"), F.lit(max(LEAST_BUCKETS, -(-d.count() // members)))).cast("int").alias("g")
+
+    def refined(d: DataFrame) -> DataFrame:
+        placed = d.groupBy(task(d, 10 * MEMBERS), "h").agg(F.collect_list("tile").alias("tiles"))
+        near = placed.join(known.select("h", "n", "sig"), "h").groupBy("g").applyInArrow(_refine(num, den), "tile bigint, h bigint").distinct()
+        return written(near.join(known.select("h", F.col("rep").alias("doc_id"), "th"), "h").select("tile", "h", "doc_id", "th"), "members")
+
+    def verified(d: DataFrame) -> DataFrame:
+        wanted = written(d.select("doc_id", "th").distinct(), "wanted")
+        texts = docs.join(sized(wanted), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+        placed = d.join(texts, ["doc_id", "th"]).select(task(d, MEMBERS), "tile", "h", "doc_id", "text")
         return written(placed.groupBy("g").applyInArrow(_verify(words, num, den), "a bigint, b bigint"), "links")
 
-    big = written(members.groupBy("tile").agg(F.count("*").alias("m"), F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(PIVOTS)]).alias("pivots")).filter(F.col("m") > BLOCK), "big")
-    split = lambda rows, n: F.pmod(F.xxhash64(rows, F.lit(5)), n).cast("int")
-    if not (n_big := big.count()):
-        edges = verified(members, n_members)
+    if not wide.isEmpty():
+        rows = written(rows.join(known.select("h", F.col("rep").alias("doc_id"), "th"), "h").select("tile", "h", "doc_id", "th"), "banded")
+        edges = split(rows, TILE, lambda d: split(refined(d), BLOCK, verified))
     else:
-        small = members.join(big.select("tile"), "tile", "left_anti")
-        large = members.join(big, "tile").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", split("doc_id", F.col("blocks")))
-        large = written(large.select("tile", "doc_id", "block", "blocks"), "large")
-        pivots = big.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1))).select("tile", F.explode("pivots").alias("doc_id"), "block")
-        own = lambda *c: F.xxhash64("tile", *c).alias("tile")
-        blocks = large.select("tile", "doc_id", "block").union(pivots.select("tile", "doc_id", "block")).distinct().select(own("block"), "doc_id")
-        edges = verified(small.unionByName(blocks), n_members)
-        labels = components(edges).withColumnRenamed("id", "doc_id")
-        named = large.join(labels, "doc_id", "left").select("tile", "doc_id", "block", "blocks", F.coalesce("component", "doc_id").alias("c"))
-        named = written(named, "named")
-        main = named.groupBy("tile", "c").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"))
-        rest = written(named.join(main, "tile").filter("c <> main").select("tile", "doc_id", "blocks"), "rest")
-        if n_rest := rest.count():  # what the pivots don't reach meets every block of its tile
-            parts = rest.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-            rest = rest.join(parts, "tile").withColumn("part", split("doc_id", F.col("parts")))
-            meets = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", "doc_id", "block", "part")
-            held = named.join(parts, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tile", "doc_id", "block", "part")
-            pairs = meets.union(held).distinct().select(own("block", "part"), "doc_id")
-            edges = edges.unionByName(verified(pairs, n_members + n_rest * (n_big + 1)))
+        edges = split(refined(rows), BLOCK, verified)
+    several = sets.filter("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("doc_id")
+    several = written(several, "several")
+    if not several.isEmpty():  # an id with different texts is one node
+        edges = edges.unionByName(sets.join(sized(several), "doc_id", "left_semi").filter("n > 0").join(known.select("h", "rep"), "h").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
     labels = components(edges)
     placed = sets.join(classes.select("h", "rep"), "h", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = placed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
