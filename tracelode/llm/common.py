@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own where none is set."""
+    """The shared folder that the session names in spark.checkpoint.dir; where none is set, one of our own if all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -99,6 +103,7 @@ def within(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that are asked for, whatever else the table holds under whatever name."""
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", valid: bool = False) -> DataFrame:
+    """Only the two columns that are asked for, whatever else the table holds under whatever name; valid: with U+FFFD for bytes that are no UTF-8."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.make_valid_utf8(text) if valid else text).alias("text"))

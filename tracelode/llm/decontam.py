@@ -6,11 +6,15 @@ on diagonals that are k apart at most. Texts are hashed q-gram by q-gram; region
 grams of any item of that length are left; the rest are counted in overlapping bands of diagonals;
 bands that meet the lemma's bound are verified by alignment within the band.
 
+Hits open their posting entries in pieces of ENTRIES; counts of bands are carried on from piece to
+piece until a band is complete, so memory does not grow with runs of a character. Items under LEAST
+characters have no edits to spare and match exactly; those under Q characters have no q-gram and are
+looked up by hashes of their own length.
+
 Letter case and kinds of white space don't count. Defined results: null text or item is empty and
-matches nothing; an item of fewer than LEAST characters is too short to tell and matches nothing;
-items may repeat and each is reported; rows that share an id are reported each; tables may be
-empty; other columns are not looked at. The benchmark is read in blocks of BLOCK_CHARS, which
-are broadcast one by one.
+matches nothing; items may repeat and each is reported; rows that share an id are reported each;
+tables may be empty; other columns are not looked at; bytes that are no UTF-8 count as U+FFFD. The
+benchmark is read in blocks of BLOCK_CHARS, which are broadcast one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .common import code_points, runs_of, text_of, utf8, within
 
 Q, EDIT_PERCENT, LEAST = 8, 8, 32
 BLOCK_CHARS = 4_000_000
+#: Posting entries (about 60 bytes each while they are counted) that a task opens at once.
+ENTRIES = 1 << 19
 A = np.uint32(0x9E3779B1)
 
 
@@ -46,47 +52,61 @@ def plain(points: np.ndarray, fold: np.ndarray) -> np.ndarray:
     return np.where(high, points, fold[np.where(high, 0, points)])
 
 
-def grams(p: np.ndarray, bits: int) -> np.ndarray:
-    """Hash of the Q code points from each place."""
-    if len(p) < Q:
+def grams(p: np.ndarray, q: int = Q) -> np.ndarray:
+    """32-bit hash of the q code points from each place."""
+    if len(p) < q:
         return np.zeros(0, np.uint32)
-    g, step, factor = p, 1, int(A)
-    while step < Q:
-        g = g[:-step] * np.uint32(factor & 0xFFFFFFFF) + g[step:]
-        factor, step = factor * factor, step * 2
+    g = p[: len(p) - q + 1].astype(np.uint32)
+    if q == Q:  # by doubling
+        g, step, factor = p, 1, int(A)
+        while step < Q:
+            g = g[:-step] * np.uint32(factor & 0xFFFFFFFF) + g[step:]
+            factor, step = factor * factor, step * 2
+    else:
+        for k in range(1, q):
+            g = g * A + p[k : len(p) - q + 1 + k]
     g = g ^ (g >> np.uint32(16))
-    g = g * np.uint32(0x85EBCA6B)
-    return g >> np.uint32(32 - bits)
+    return g * np.uint32(0x85EBCA6B)
 
 
 def budget(m: int, percent: int = EDIT_PERCENT) -> int:
-    """Edits that an item of m characters may have: so many that the lemma still asks for a shared gram."""
-    return max(0, min(m * percent // 100, (m - Q) // Q))
+    """Edits that an item of m characters may have: so many that the lemma still asks for a shared gram; none under LEAST."""
+    return 0 if m < LEAST else max(0, min(m * percent // 100, (m - Q) // Q))
+
+
+class Lengths:
+    """The q-grams of the items of like length: their hashes in order with item and place, and a table of their first bits."""
+
+    def __init__(self, some: np.ndarray, items: list[np.ndarray], least: int, reach: int):
+        code = [grams(items[i]) for i in some]
+        flat = np.concatenate(code)
+        order = np.argsort(flat, kind="stable")
+        self.codes, self.item = flat[order], np.repeat(some, [len(c) for c in code])[order]
+        self.place = np.concatenate([np.arange(len(c)) for c in code])[order]
+        self.least, self.reach = least, reach
+        self.shift = np.uint32(32 - min(26, max(12, len(flat).bit_length() + 3)))
+        self.has = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.has[flat >> self.shift] = True
 
 
 class Index:
-    """The q-grams of a block of items, by hash, and of each class of lengths."""
+    """The q-grams of a block of items by classes of lengths, and the items without any by length."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray], percent: int):
         self.ids, self.items = ids, items
         self.m = np.array([len(x) for x in items], np.int64)
         self.k = np.array([budget(len(x), percent) for x in items], np.int64)
         self.least = self.m - Q + 1 - self.k * Q
-        total = int((self.m - Q + 1).sum())
-        self.bits = min(26, max(12, int(np.ceil(np.log2(max(2, total)))) + 3))
-        code = [grams(x, self.bits) for x in items]
-        flat = np.concatenate(code)
-        order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.arange(len(items)), [len(c) for c in code])[order]
-        self.place = np.concatenate([np.arange(len(c)) for c in code])[order]
-        self.first = np.searchsorted(flat[order], np.arange((1 << self.bits) + 1))
-        kind = (2 * np.log2(self.m)).astype(int)
-        self.classes = []
-        for c in np.unique(kind):
+        kind = np.where(self.m < Q, -self.m, (2 * np.log2(np.maximum(self.m, 1))).astype(int))
+        self.classes, self.short = [], []
+        for c in np.unique(kind).tolist():
             some = np.flatnonzero(kind == c)
-            has = np.zeros(1 << self.bits, bool)
-            has[np.concatenate([code[i] for i in some])] = True
-            self.classes.append((some, has, int(self.least[some].min()), int((self.m + self.k)[some].max())))
+            if c < 0:
+                code = np.concatenate([grams(items[i], -c) for i in some])
+                order = np.argsort(code, kind="stable")
+                self.short.append((-c, code[order], some[order]))
+            else:
+                self.classes.append(Lengths(some, items, int(self.least[some].min()), int((self.m + self.k)[some].max())))
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -110,60 +130,89 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[in
     return int(row[t]), int(end[t])
 
 
+def summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, with their counts added up."""
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    return code[first], (np.add.reduceat(count, first) if len(first) else count)
+
+
+def whole_bands(points: np.ndarray, h: np.ndarray, row: np.ndarray, sound: np.ndarray, index: Index, c: Lengths, best: dict):
+    """(text, item, low, high) of each band of diagonals that has as many grams of an item as the lemma asks for, unless best has the item without an edit."""
+    hit = c.has[h >> c.shift] & sound
+    count = np.concatenate(([0], np.cumsum(hit)))
+    ends = np.minimum(np.arange(len(h)) + c.reach, len(h))
+    full = np.flatnonzero(count[ends] - count[:-1] >= c.least)
+    if not len(full):
+        return
+    mark = np.zeros(len(h) + 1, np.int32)
+    mark[full] += 1
+    mark -= np.bincount(ends[full], minlength=len(h) + 1).astype(np.int32)
+    at = np.flatnonzero(hit & (np.cumsum(mark)[:-1] > 0))
+    left = np.searchsorted(c.codes, h[at])
+    n = np.searchsorted(c.codes, h[at], "right") - left
+    at, left, n = at[n > 0], left[n > 0], n[n > 0]
+    opened, items, base = np.cumsum(n), len(index.items), c.reach
+    bits = (len(h) + 4 * base + 8).bit_length()
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(opened, (opened[a - 1] if a else 0) + ENTRIES, "right")))
+        entry, where = within(left[a:b], n[a:b]), np.repeat(at[a:b], n[a:b])
+        item, diagonal, pair = c.item[entry], where - c.place[entry], row[where] * items + c.item[entry]
+        done = [t * items + i for (t, i), v in best.items() if v[0] == 0]
+        if done:
+            open_ = ~np.isin(pair, np.array(done))
+            item, diagonal, pair = item[open_], diagonal[open_], pair[open_]
+        reached = int(at[b]) if b < len(at) else 1 << 62
+        for shift in (0, 1):
+            half = index.k[item] + 1
+            code = (pair << bits) | ((diagonal + shift * half) // (2 * half) + base)
+            code, many = summed(np.concatenate((held[shift][0], code)), np.concatenate((held[shift][1], np.ones(len(code), np.int64))))
+            t, i = np.divmod(code >> bits, items)
+            half = index.k[i] + 1
+            low = ((code & ((1 << bits) - 1)) - base) * 2 * half - shift * half
+            complete = low + 2 * half + index.m[i] <= reached
+            held[shift] = code[~complete], many[~complete]
+            for x in np.flatnonzero(complete & (many >= index.least[i])).tolist():
+                yield int(t[x]), int(i[x]), int(low[x]), int(low[x] + 2 * half[x] - 1)
+        a = b
+
+
 def matches(points: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(text, item, edits, end) of every item within its budget of a stretch of a text; the best stretch of each."""
-    g = grams(points, index.bits)
-    if not len(g):
-        return []
-    row = np.searchsorted(starts, np.arange(len(g)), "right") - 1
-    sound = np.arange(len(g)) + Q <= starts[row + 1]
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for some, has, least, reach in index.classes:
-        hit = has[g] & sound
-        count = np.concatenate(([0], np.cumsum(hit)))
-        ends = np.minimum(np.arange(len(g)) + reach, len(g))
-        full = np.flatnonzero(count[ends] - count[:-1] >= least)
-        if not len(full):
-            continue
-        mark = np.zeros(len(g) + 1, np.int32)
-        mark[full] += 1
-        mark -= np.bincount(ends[full], minlength=len(g) + 1).astype(np.int32)
-        at = np.flatnonzero(hit & (np.cumsum(mark)[:-1] > 0))
-        mine = np.zeros(len(index.items), bool)
-        mine[some] = True
-        for a in range(0, len(at), 1 << 18):  # bounded: a piece of the hits, and what may lie on the same diagonals before it
-            lo = np.searchsorted(at, at[a] - 2 * reach)
-            part = at[lo : a + (1 << 18)]
-            n = index.first[g[part] + np.uint32(1)] - index.first[g[part]]
-            entry = within(index.first[g[part]], n)
-            item, where = index.item[entry], np.repeat(part, n)
-            keep = mine[item]
-            item, where, diagonal = item[keep], where[keep], (where - index.place[entry])[keep]
-            text = row[where]
-            wide = 2 * (index.k[item] + 1)
-            for shift in (0, 1):
-                band = (diagonal + shift * (index.k[item] + 1)) // wide
-                code = (text * len(index.items) + item) * (1 << 24) + (band - band.min(initial=0)) % (1 << 24)
-                order = np.argsort(code, kind="stable")
-                cut = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1]))) if len(code) else np.zeros(0, int)
-                size = np.diff(np.append(cut, len(code)))
-                for x in order[cut[size >= index.least[item[order[cut]]]]].tolist():
-                    t, i = int(text[x]), int(item[x])
-                    if best.get((t, i), (1, 0))[0] == 0:
-                        continue
-                    s = int(starts[t])
-                    low = int(band[x] * wide[x] - shift * (index.k[i] + 1)) - s
-                    edits, end = aligned(index.items[i], points[s : starts[t + 1]], low - int(index.k[i]), low + int(wide[x]) - 1 + int(index.k[i]))
-                    if edits <= index.k[i] and (edits, end) < best.get((t, i), (1 << 30, 0)):
+    h = grams(points)
+    if len(h):
+        row = np.searchsorted(starts, np.arange(len(h)), "right") - 1
+        sound = np.arange(len(h)) + Q <= starts[row + 1]
+        for c in index.classes:
+            for t, i, low, high in whole_bands(points, h, row, sound, index, c, best):
+                if best.get((t, i), (1, 0))[0]:
+                    s, k = int(starts[t]), int(index.k[i])
+                    edits, end = aligned(index.items[i], points[s : starts[t + 1]], low - s - k, high - s + k)
+                    if edits <= k and (edits, end) < best.get((t, i), (1 << 30, 0)):
                         best[t, i] = edits, end
+    for q, codes, items in index.short:
+        g = grams(points, q)
+        at = np.flatnonzero(np.isin(g, codes))
+        left = np.searchsorted(codes, g[at])
+        n = np.searchsorted(codes, g[at], "right") - left
+        text = np.searchsorted(starts, at, "right") - 1
+        for x in np.flatnonzero(at + q <= starts[text + 1]).tolist():
+            t, p = int(text[x]), int(at[x])
+            for i in items[left[x] : left[x] + n[x]].tolist():
+                if (t, i) not in best and (points[p : p + q] == index.items[i]).all():
+                    best[t, i] = 0, p + q - int(starts[t])
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = EDIT_PERCENT) -> DataFrame:
     """(doc_id, item_id, n_edits, end_at) of every item that a document holds, by the best stretch; end_at in code points, exclusive."""
     spark = docs.sparkSession
-    rows = text_of(docs, id_col, text_col).filter(F.length("text") >= LEAST // 2)
-    items = text_of(benchmark, item_col, item_text_col).filter(F.length("text") >= LEAST)
+    rows = text_of(docs, id_col, text_col, valid=True).filter("length(text) > 0")
+    items = text_of(benchmark, item_col, item_text_col, valid=True).filter("length(text) > 0")
     size = int(items.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()[0])
     blocks, out, schema = max(1, -(-size // BLOCK_CHARS)), None, "doc_id bigint, item_id bigint, n_edits int, end_at bigint"
     for b in range(blocks):
