@@ -46,3 +46,8 @@ def test_odd_rows(frame, odd):
     rows = pii.detect(frame(odd), ["doc_id"]).collect()
     assert len(rows) == len(odd) and all(r["spans"] == "" for r in rows)
     assert pii.detect(frame([]), ["doc_id"]).count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\xff a@b.example \xe9"))], "doc_id bigint, text binary")
+    assert pii.detect(df, ["doc_id"]).first()["spans"] == "email:2:13"

@@ -29,3 +29,31 @@ def test_odd_rows(spark, frame, odd):
     none = quality.fit(frame(odd), labels.filter(F.lit(False)))
     assert {r["score"] for r in quality.score(frame(odd), none, ["doc_id"]).collect()} == {0.5}
     assert quality.score(frame([]), none, ["doc_id"]).count() == 0
+
+
+def brute(model, text):
+    """The score of one text by loops over passages and places of the layers."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    x, _ = quality.encode(raw, np.array([0, len(raw)]), quality.class_table())
+    e, weight = [], []
+    for row in x:
+        u = [(float(v) - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+        h = [max(0.0, sum(a * b for a, b in zip(u, model.p["w1"][:, j], strict=True)) + model.p["b1"][j]) for j in range(model.p["w1"].shape[1])]
+        lane = lambda w, b, j: sum(a * c for a, c in zip(h, model.p[w][:, j], strict=True)) + model.p[b][j]  # noqa: B023, E731
+        weight.append(np.exp(sum(np.tanh(lane("v", "bv", j)) / (1 + np.exp(-lane("u", "bu", j))) * model.p["w"][j] for j in range(len(model.p["w"])))))
+        e.append(h)
+    z = [sum(w * h[j] for w, h in zip(weight, e, strict=True)) / sum(weight) for j in range(len(e[0]))]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, model.p["c"], strict=True)) + model.p["b"][0])))
+
+
+def test_against_brute_force(spark, frame, odd):
+    rows = [(100 + i, ("some good words in a row. " if i % 2 else "!!! ### $$$ ") * (1 + 40 * (i % 5))) for i in range(40)]
+    model = quality.fit(frame(rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int"))
+    texts = dict(rows[:10] + [r for r in odd if r[0] != 6])
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(list(texts.items())), model, ["doc_id"]).collect()}
+    assert all(abs(got[i] - brute(model, t)) < 1e-5 for i, t in texts.items())
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\xffgood\xc3 words\xe9"))], "doc_id bigint, text binary")
+    assert quality.score(df, quality.train(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0)), ["doc_id"]).first()["score"] == 0.5

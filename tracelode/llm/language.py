@@ -7,6 +7,7 @@ the buckets that occur in a text and adds them up, for many texts in one numpy p
 
 Defined results: text that is null or has no letter gets ``und`` with score 0; without any
 training row every text gets ``und``; repeated rows are scored one by one; a null id is kept;
+bytes that are no UTF-8 count as U+FFFD;
 columns besides id and text are not looked at.
 """
 
@@ -113,7 +114,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 
     What comes to the driver is a count for each language and bucket: at most languages x 2**BITS rows.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key")).filter("lang is not null and text is not null")
+    rows = labelled.select(F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros(0))
@@ -159,7 +160,7 @@ def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     """The columns keep of df, with lang_pred and score."""
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, m = letter_table(), held.value

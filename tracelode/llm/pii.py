@@ -6,7 +6,8 @@ taken in. Base kinds are email, ip, card and phone; the method adds url (scheme
 (cue and number, or an IBAN with its check digits) and secret (cue and a long value).
 
 Defined results: null text is empty and has no spans; spans of one kind do not overlap; offsets
-are code points, end exclusive; repeated rows give repeated rows; other columns are not looked at.
+are code points, end exclusive; repeated rows give repeated rows; bytes that are no UTF-8 count as
+U+FFFD; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 def detect(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of df, with a count for each base kind, base_sha256, spans, and n_added."""
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()

@@ -8,7 +8,7 @@ Training runs on a bounded sample of labelled documents; scoring reads every pas
 Defined results: null or empty text is one empty passage and gets the score of that; without
 labels every score is 0.5, with one class only it is that class; labels that are null or neither
 0 nor 1 are not used; a document labelled twice counts as 1 if most of its labels do; repeated rows
-are scored one by one; other columns are not looked at.
+are scored one by one; bytes that are no UTF-8 count as U+FFFD; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -161,19 +161,19 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str
         return train(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0))
     draw = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = F.broadcast(known.filter(draw < min(1.0, bound / n)))  # about bound rows of 16 bytes
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(sample, "key").select("key", "y", "text")
-    got = sorted(rows.mapInArrow(_encoded, f"key {rows.schema['key'].dataType.simpleString()}, y int, x binary").collect(), key=lambda r: (r["key"], bytes(r["x"])))
-    if not got:
+    rows = docs.select(F.col(key_col).alias("key"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text")).join(sample, "key").select("key", "y", "text")
+    got = rows.mapInArrow(_encoded, f"key {rows.schema['key'].dataType.simpleString()}, y int, x binary").toArrow().sort_by([("key", "ascending"), ("x", "ascending")])
+    if not len(got):
         return train(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0))
     width = N_CLASSES + 6
-    parts = [np.frombuffer(r["x"], np.float32).reshape(-1, width) for r in got]
-    return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array([r["y"] for r in got], float))
+    parts = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width) for x in got.column("x")]
+    return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), got.column("y").to_numpy().astype(float))
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of df, with score, predicted and n_passages."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, m = class_table(), held.value
