@@ -1,4 +1,8 @@
-"""What programs pass to each other: CALL ... USING with the copybook that defines each field."""
+"""What programs pass to each other: CALL ... USING with the copybook that defines each field.
+
+The procedure division is read as a stream of words, literals and full stops. A call's operands
+begin at USING and end at the next statement, scope end, exception phrase, RETURNING or full stop.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +11,90 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "path string, program string, callee string, field string, copybook string, line int"
-CALL = re.compile(r"\bCALL\s+['\"]?([A-Z0-9@#$-]+)['\"]?\s+USING\s+(.*)", re.S)
-MODES = re.compile(r"\bBY\s+(?:REFERENCE|VALUE|CONTENT)\b|\b(?:REFERENCE|VALUE|CONTENT)\b")
+SCHEMA = "path string, program string, callee string, field string, copybook string, level int, pic string, line int"
 LEVEL = re.compile(r"^(\d{2})\s+([A-Z][A-Z0-9@#$-]*)")
+PICTURE = re.compile(r"\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)")
+TOKEN = re.compile(r"'[^']*'?|\"[^\"]*\"?|[A-Z0-9@#$_-]+|\.|\S")
 NAME = re.compile(r"[A-Z][A-Z0-9@#$-]*")
+# Words of the language. Those that are no field among operands, and those that end them.
+MODES = frozenset("REFERENCE VALUE CONTENT BY USING END-CALL LENGTH ADDRESS OF NULL SPACES ZEROS ZERO".split())
+PHRASES = frozenset("ON NOT EXCEPTION OVERFLOW RETURNING GIVING ELSE THEN WHEN".split())
+VERBS = frozenset(
+    "ACCEPT ADD ALTER CALL CANCEL CLOSE COMPUTE CONTINUE COPY DELETE DISPLAY DIVIDE ENTER ENTRY EVALUATE EXEC EXIT GENERATE GO GOBACK IF INITIALIZE INITIATE INSPECT INVOKE MERGE MOVE MULTIPLY NEXT OPEN PERFORM READ RELEASE REPLACE RETURN REWRITE SEARCH SET SORT START STOP STRING SUBTRACT SUPPRESS TERMINATE UNSTRING USE WRITE".split()
+)
+
+
+def ends(word: str) -> bool:
+    return word == "." or word in VERBS or word in PHRASES or word.startswith("END-")
+
+
+def declared(texts: list[str]) -> dict[str, tuple[str | None, int, str | None]]:
+    """Of each field of the data division its copybook, level and picture: the last COPY before its declaration, or the one under its 01 level."""
+    out: dict[str, tuple[str | None, int, str | None]] = {}
+    book = top = None
+    for text in texts:
+        if m := re.search(r"\bCOPY\s+([A-Z0-9@#$-]+)", text):
+            book = m[1]
+            if top:
+                out[top] = (book, *out[top][1:])
+        elif m := LEVEL.match(text):
+            pic = PICTURE.search(text)
+            if m[1] == "01":
+                top = m[2]
+            out.setdefault(m[2], (book, int(m[1]), pic[1].rstrip(".") if pic else None))
+    return out
+
+
+def calls(tokens: list[tuple[int, str]]) -> list[tuple[int, str, list[str]]]:
+    """(line, callee, fields) of each call that passes something."""
+    out, i = [], 0
+    while i < len(tokens):
+        line, word = tokens[i]
+        i += 1
+        if word != "CALL" or i == len(tokens):
+            continue
+        callee, fields = tokens[i][1].strip("'\""), []
+        i += 1
+        while i < len(tokens) and tokens[i][1] != "USING" and not ends(tokens[i][1]):
+            i += 1
+        if i < len(tokens) and tokens[i][1] == "USING":
+            i += 1
+            while i < len(tokens) and not ends(tokens[i][1]):
+                word = tokens[i][1]
+                if NAME.fullmatch(word) and word not in MODES and word not in fields:
+                    fields.append(word)
+                i += 1
+        if fields and callee:
+            out.append((line, callee, fields))
+    return out
 
 
 def parse(codes: list[tuple[int, str]]) -> list[dict]:
-    """A buffer collects a call until a full stop or END-CALL; the copybook of a field is the last COPY before its declaration or the one under it."""
-    program, book, owner, last_level, in_procedure = None, None, {}, None, False
-    rows, buffer, start = [], "", 0
+    """Rows of one file's lines; comment and debugging lines don't count, and a continued literal is not joined."""
+    program, data, words, in_procedure = None, [], [], False
     for line, code in codes:
         if len(code) < 8 or code[6] in "*/D":
             continue
         text = code[7:72].strip().upper()
         if m := re.match(r"PROGRAM-ID\s*\.\s*([A-Z0-9@#$-]+)", text):
-            program = m[1].rstrip(".")
-        if text.startswith("PROCEDURE DIVISION"):
+            program = program or m[1]
+        if re.match(r"PROCEDURE\s+DIVISION\b", text):
             in_procedure = True
-            continue
-        if not in_procedure:
-            if m := re.search(r"\bCOPY\s+([A-Z0-9@#$-]+)", text):
-                book = m[1].rstrip(".")
-                if last_level:
-                    owner[last_level] = book
-            elif m := LEVEL.match(text):
-                if m[1] == "01":
-                    last_level = m[2]
-                owner.setdefault(m[2], book)
-            continue
-        if not buffer and re.search(r"\bCALL\s", text):
-            buffer, start = text[text.index("CALL") :], line
-        elif buffer:
-            buffer += " " + text
-        if buffer and (buffer.endswith(".") or "END-CALL" in buffer):
-            if m := CALL.search(buffer):
-                for field in NAME.findall(MODES.sub(" ", re.split(r"\bEND-CALL\b|\bON\s+(?:EXCEPTION|OVERFLOW)\b", m[2])[0])):
-                    rows.append({"program": program, "callee": m[1], "field": field, "copybook": owner.get(field), "line": start})
-            buffer = ""
-    return rows
+        elif in_procedure:
+            words += [(line, t) for t in TOKEN.findall(text)]
+        else:
+            data.append(text)
+    if program is None:
+        return []
+    fields = declared(data)
+    none = (None, None, None)
+    return [dict(zip(("program", "callee", "field", "copybook", "level", "pic", "line"), (program, callee, f, *fields.get(f, none), line), strict=True)) for line, callee, names in calls(words) for f in names]
 
 
 def uses(lines: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = parse(sorted(zip(pdf["line"].tolist(), pdf["code"].tolist(), strict=True)))
-        return pd.DataFrame([r | {"path": pdf["path"].iloc[0]} for r in rows], columns=["path", "program", "callee", "field", "copybook", "line"])
+        out = pd.DataFrame([r | {"path": pdf["path"].iloc[0]} for r in rows], columns=["path", "program", "callee", "field", "copybook", "level", "pic", "line"])
+        return out.astype({"level": "Int32"})
 
     return lines.select("path", "line", "code").groupBy("path").applyInPandas(one, SCHEMA)

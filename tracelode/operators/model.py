@@ -122,13 +122,13 @@ def heuristic_targets(names: DataFrame, programs: DataFrame) -> DataFrame:
 def build_contracts(calls: DataFrame, uses: DataFrame, includes: DataFrame) -> DataFrame:
     """DATA_CONTRACT edges: what a CALL passes USING, with the copybook that defines it.
 
-    uses: (program, callee, field, copybook); a field is confirmed if the callee includes the copybook too. Confidence 0.9 confirmed, 0.7 with a copybook, else 0.5.
+    uses: (program, callee, field, copybook, level, pic); a field is confirmed if the callee includes the copybook too. Confidence 0.9 confirmed, 0.7 with a copybook, else 0.5.
     """
     shared = includes.select(F.col("from_id").alias("callee_id"), F.upper("to_label").alias("copybook")).distinct().withColumn("confirmed", F.lit(True))
-    rows = uses.select(F.concat(F.lit("program:"), "program").alias("from_id"), F.concat(F.lit("program:"), "callee").alias("to_id"), "field", F.upper("copybook").alias("copybook"))
+    rows = uses.select(F.concat(F.lit("program:"), "program").alias("from_id"), F.concat(F.lit("program:"), "callee").alias("to_id"), "field", F.upper("copybook").alias("copybook"), *([F.col(c) if c in uses.columns else F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("pic", "string"))]))
     rows = rows.join(calls.filter(F.col("rel").isin("CALLS", "CALL-DYNAMIC")).select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_semi")
     rows = rows.join(shared.withColumnRenamed("callee_id", "to_id"), ["to_id", "copybook"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
-    item = F.struct(F.col("field").alias("name"), "copybook", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("pic"), "confirmed")
+    item = F.struct(F.col("field").alias("name"), "copybook", "level", "pic", "confirmed")
     out = rows.groupBy("from_id", "to_id").agg(F.array_sort(F.collect_set(item)).alias("fields"))
     has = lambda test: F.exists("fields", test)
     confidence = F.when(has(lambda f: f["confirmed"]), 0.9).when(has(lambda f: f["copybook"].isNotNull()), 0.7).otherwise(0.5)
