@@ -31,24 +31,24 @@ def rows(spark, name, small, *columns):
 
 
 def test_closure_of_all_lines(spark, small):
-    assert rows(spark, "program_closure_all", small, "start", "id", "op") == [("nation:0", "part:1", "READS"), ("nation:0", "part:2", "WRITES"), ("nation:1", "part:3", "READS")]
-    assert rows(spark, "flow_confidence_all", small, "start", "confidence", "n_edges") == [("nation:0", 0.65, 2), ("nation:1", 0.825, 2)]
+    assert rows(spark, "program_closure", small, "start", "id", "op") == [("nation:0", "part:1", "READS"), ("nation:0", "part:2", "WRITES"), ("nation:1", "part:3", "READS")]
+    assert rows(spark, "flow_confidence", small, "start", "confidence", "n_edges") == [("nation:0", 0.65, 2), ("nation:1", 0.825, 2)]
 
 
 def test_export_and_endpoints_of_all_lines(spark, small):
-    assert rows(spark, "csv_edges_all", small, "rel", "to_id", "evidence") == [("READS", "part:1", "1:1"), ("READS", "part:3", "2:2"), ("UPDATES", "part:3", "2:1"), ("WRITES", "part:2", "1:2")]
-    assert rows(spark, "resolve_endpoint_all", small, "name", "to_id", "n") == [("P1", "part:1", 1), ("P2", "part:2", 1), ("P3", "part:3", 2)]
+    assert rows(spark, "csv_edges_expanded", small, "rel", "to_id", "evidence") == [("READS", "part:1", "1:1"), ("READS", "part:3", "2:2"), ("UPDATES", "part:3", "2:1"), ("WRITES", "part:2", "1:2")]
+    assert rows(spark, "resolve_endpoint", small, "name", "to_id", "n") == [("P1", "part:1", 1), ("P2", "part:2", 1), ("P3", "part:3", 2)]
 
 
 def test_anti_joins_with_all_lines(spark, small):
-    assert rows(spark, "lib_not_exists_all", small, "p_partkey") == [(4,), (5,)]
-    assert rows(spark, "prune_inferred_all", small, "id") == [("part:1",), ("part:2",), ("part:3",), ("part:5",)]
+    assert rows(spark, "lib_not_exists", small, "id") == [("customer:1",), ("nation:0",), ("nation:1",), ("part:4",), ("part:5",), ("region:0",)]
+    assert rows(spark, "prune_inferred", small, "id") == [("part:1",), ("part:2",), ("part:3",), ("part:5",)]
 
 
 def test_slug_of_whole_text(spark, small):
-    assert rows(spark, "slugify_all", small, "doc_id", "slug") == [(1, "ein-satz-mit-mehr-als-vierzig-zeichen-dann-stra-e-und-ende"), (2, "query"), (3, "query")]
+    assert rows(spark, "slugify", small, "doc_id", "slug") == [(1, "ein-satz-mit-mehr-als-vierzig-zeichen-dann-stra-e-und-ende"), (2, "query"), (3, "query")]
 
 
 def test_pending_of_all_kinds(spark, small):
     want = [("entity", n) for n in ("C1", "P2", "P3", "P4", "S2", "order:2")] + [("relation", "supplier:1|WRITES|part:2")]
-    assert rows(spark, "pending_all", small, "kind", "name") == want
+    assert rows(spark, "pending_filter", small, "kind", "name") == want

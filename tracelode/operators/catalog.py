@@ -73,6 +73,22 @@ def lineage_chain(term: str, entities: DataFrame, relations: DataFrame, most: in
     return r.select(F.col("to_id").alias("subject"), side.alias("side"), F.col("from_id").alias("id"), "rel").filter("side is not null").distinct()
 
 
+def unreferenced(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Entities (id) that no relation begins or ends at."""
+    return entities.join(relations.select(F.col("from_id").alias("id")), "id", "left_anti").join(relations.select(F.col("to_id").alias("id")), "id", "left_anti")
+
+
+def touching(relations: DataFrame, key: str) -> DataFrame:
+    """Relations with this end, once each: two filters that files can answer, not one with OR."""
+    return relations.filter(F.col("from_id") == key).unionByName(relations.filter((F.col("to_id") == key) & (F.col("from_id") != key)))
+
+
+def files_with(files: DataFrame, records: DataFrame, key: str, columns: dict) -> DataFrame:
+    """files with columns of their records, or the given value for a file without any."""
+    both = files.join(records.select(key, *columns), key, "left")
+    return both.select(*files.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in columns.items()])
+
+
 def dependency_counts(relations: DataFrame) -> DataFrame:
     """(kind, n): call, batch and data edges."""
     kind = F.when(F.col("rel").isin("CALLS", "CALLS_PROC", "CALL-DYNAMIC"), "calls").when(F.col("rel").isin("CONTAINS", "EXECUTES"), "batch").when(F.col("rel").isin("READS", "WRITES", "UPDATES"), "data")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def snapshot_diff(base: DataFrame, target: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, change): added, removed, or changed where value differs (null is a value)."""
-    added = target.join(base, keys, "left_anti").select(*keys, F.lit("added").alias("change"))
-    removed = base.join(target, keys, "left_anti").select(*keys, F.lit("removed").alias("change"))
-    both = base.select(*keys, F.col(value).alias("__a")).join(target.select(*keys, F.col(value).alias("__b")), keys)
-    return added.union(removed).union(both.filter(~F.col("__a").eqNullSafe(F.col("__b"))).select(*keys, F.lit("changed").alias("change")))
+    side = lambda d, v: d.select(*keys, F.struct(F.col(value).alias("v")).alias(v))  # noqa: E731  null only where the row is missing
+    both = side(base, "__a").join(side(target, "__b"), keys, "full_outer")
+    change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(~F.col("__a.v").eqNullSafe(F.col("__b.v")), "changed")
+    return both.select(*keys, change.alias("change")).filter("change is not null")
 
 
 def to_process(files: DataFrame, previous: DataFrame) -> DataFrame:

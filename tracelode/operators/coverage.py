@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import percent
+from ..functions.text import half_up, percent
 
 HIGH, MEDIUM = 0.8, 0.5
 
@@ -47,6 +47,16 @@ def hotspots(relations: DataFrame, entities: DataFrame, top: int = 10) -> DataFr
     return n.join(real, "id", "left_semi").orderBy(F.desc("fan_in"), "id").limit(top)
 
 
+def distinct_evidence(relations: DataFrame, by: str = "rel") -> DataFrame:
+    """(by, n_targets, n_evidence): distinct ends and places of evidence."""
+    return relations.groupBy(by).agg(F.count_distinct("to_id").alias("n_targets"), F.count_distinct("evidence").alias("n_evidence"))
+
+
+def mean_confidence(relations: DataFrame, by: str) -> DataFrame:
+    """(by, confidence): the mean to two decimals, halves up; 1 where no relation has one."""
+    return relations.groupBy(by).agg(F.coalesce(half_up(F.avg("confidence"), 2), F.lit(1.0)).alias("confidence"))
+
+
 def report(entities: DataFrame, relations: DataFrame, files: DataFrame) -> DataFrame:
     """One row of totals and percentages: files with entities, inferred entities, relations with evidence, buckets."""
     e = entities.agg(F.count("*").alias("n_entities"), F.count_if(F.coalesce("inferred", F.lit(False))).alias("n_inferred"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...sources.files import fixed_columns
 from . import records
 
 NAME = r"([A-Z][A-Z0-9@#$-]{1,29})"
@@ -22,8 +23,8 @@ HEADER = r"(?i)\b(OBJETIVO|FUN[CÇ][AÃ]O|DESCRI[CÇ][AÃ]O|FINALIDADE)\b\s*[:=-
 def state(lines: DataFrame) -> DataFrame:
     """Lines with their indicator, upper-case code, program, SQL block and whether the procedure division has begun."""
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.filter(F.length("code") >= 7).withColumn("ind", F.substring("code", 7, 1)).withColumn("comment", F.col("ind").isin("*", "/", "D"))
-    x = x.withColumn("up", F.when(~F.col("comment"), F.upper(F.trim(F.substring("code", 8, 65)))).otherwise("")).withColumn("note", F.when(F.col("comment"), F.substring("code", 8, 200)))
+    x = lines.filter(F.length("code") >= 7).withColumn("ind", fixed_columns(F.col("code"))[0]).withColumn("comment", F.col("ind").isin("*", "/", "D"))
+    x = x.withColumn("up", F.when(~F.col("comment"), F.upper(F.trim(fixed_columns(F.col("code"))[1]))).otherwise("")).withColumn("note", F.when(F.col("comment"), F.substring("code", 8, 200)))
     x = x.withColumn("opens", F.startswith("up", F.lit("EXEC SQL"))).withColumn("closes", F.contains("up", F.lit("END-EXEC")))
     x = x.withColumn("sql_no", F.sum(F.col("opens").cast("int")).over(w)).withColumn("ended", F.sum(F.col("closes").cast("int")).over(w) - F.col("closes").cast("int"))
     x = x.withColumn("in_sql", ~F.col("comment") & (F.col("sql_no") > F.col("ended")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import cut, settled
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -59,6 +59,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, direction: str = "both", max_de
 
     dedupe False: an edge whose ends are both expanded comes once for each in direction both.
     """
+    edges = settled(edges)
     nodes = reach(seeds, edges, direction, max_depth)
     out = edges.join(nodes.withColumnRenamed("id", "from_id"), "from_id")
     into = edges.join(nodes.withColumnRenamed("id", "to_id"), "to_id")
@@ -73,7 +74,11 @@ def traverse(seeds: DataFrame, edges: DataFrame, direction: str = "both", max_de
 
 def affected(seeds: DataFrame, edges: DataFrame, direction: str = "both", max_depth: int = 4) -> DataFrame:
     """Distinct ends of the edges of a walk, without the seeds."""
-    walked = traverse(seeds, edges, direction, max_depth)
+    return ends_of(traverse(seeds, edges, direction, max_depth), seeds)
+
+
+def ends_of(walked: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Distinct ends of edges that were walked, without the seeds."""
     return walked.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().join(seeds.select("id"), "id", "left_anti")
 
 
@@ -92,29 +97,61 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def chain(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(from_id, to_id, depth, is_back_edge) of the calls below the seeds; a back edge leads to a node that leads back to its caller."""
-    walked = traverse(seeds, edges, "downstream", max_depth).select("from_id", "to_id", "depth").distinct()
+    """(from_id, to_id, depth, is_back_edge) of the calls below the seeds; a back edge leads to a node that leads back to its caller within max_depth + 1 calls."""
+    walked = cut(traverse(seeds, edges, "downstream", max_depth).select("from_id", "to_id", "depth").distinct())
     back = on_cycles_pairs(walked, max_depth + 1)
     return walked.join(back, ["from_id", "to_id"], "left").select("from_id", "to_id", "depth", F.coalesce("is_back_edge", F.lit(False)).alias("is_back_edge"))
 
 
 def on_cycles_pairs(edges: DataFrame, max_depth: int) -> DataFrame:
-    pairs = edges.select("from_id", "to_id").distinct()
-    seeds = pairs.select(F.col("to_id").alias("start"), F.col("to_id").alias("id")).distinct()
-    closure = reach(seeds, pairs, "downstream", max_depth, by=("start",))
+    """(from_id, to_id, is_back_edge) of the edges whose end leads back to their start; only edges inside a component are walked."""
+    pairs = cut(edges.select("from_id", "to_id").distinct())
+    of = cut(cycle_nodes(pairs).select("id", "component"))
+    inside = pairs.join(of.select(F.col("id").alias("from_id"), F.col("component").alias("c")), "from_id").join(of.select(F.col("id").alias("to_id"), F.col("component").alias("d")), "to_id").filter("c = d").select("from_id", "to_id")
+    inside = cut(inside)
+    seeds = inside.select(F.col("to_id").alias("start"), F.col("to_id").alias("id")).distinct()
+    closure = reach(seeds, inside, "downstream", max_depth, by=("start",))
     back = closure.select(F.col("start").alias("to_id"), F.col("id").alias("from_id"))
-    return pairs.join(back, ["from_id", "to_id"], "left_semi").withColumn("is_back_edge", F.lit(True))
+    return inside.join(back, ["from_id", "to_id"], "left_semi").withColumn("is_back_edge", F.lit(True))
 
 
-def cycle_nodes(edges: DataFrame, max_depth: int = 999) -> DataFrame:
-    """(id, component, size): nodes that can reach themselves, by the smallest node that each can reach and be reached from."""
-    pairs = edges.select("from_id", "to_id").distinct()
-    seeds = pairs.select(F.col("from_id").alias("start"), F.col("to_id").alias("id")).distinct()
-    closure = cut(reach(seeds, pairs, "downstream", max_depth, by=("start",)).select("start", "id"))
-    other = closure.select(F.col("id").alias("start"), F.col("start").alias("id"))
-    mutual = closure.join(other, ["start", "id"], "left_semi")
-    out = mutual.groupBy(F.col("start").alias("id")).agg(F.min("id").alias("component"))
-    return out.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs without the edges at nodes that nothing leads to or that lead nowhere, over and over: what is left lies on cycles or between them."""
+    n = pairs.count()
+    while n:
+        pairs = cut(pairs.join(pairs.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(pairs.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id"))
+        n, before = pairs.count(), n
+        if n == before:
+            break
+    return pairs
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(id, component, size): nodes that can reach themselves, by the smallest node that each can reach and be reached from.
+
+    A round colours each node with the smallest node that leads to it. The nodes of a colour that lead back to the node it is named after are its component; the rest, within its colour, goes to the next round. State is one colour a node and never a pair of nodes.
+    """
+    pairs = trimmed(cut(edges.select("from_id", "to_id").distinct()))
+    out = None
+    while not pairs.isEmpty():
+        colours = cut(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")).distinct().withColumn("colour", F.col("id")))
+        while True:
+            ahead = pairs.join(colours.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("colour").alias("near"))
+            new = cut(colours.join(ahead, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("colour")))
+            colours = new.select("id", "colour")
+            if new.filter("colour <> old").isEmpty():
+                break
+        c, d = colours.select(F.col("id").alias("from_id"), F.col("colour").alias("c")), colours.select(F.col("id").alias("to_id"), F.col("colour").alias("d"))
+        pairs = cut(pairs.join(c, "from_id").join(d, "to_id").filter("c = d").select("from_id", "to_id", "c"))
+        roots = pairs.select(F.col("c").alias("id")).distinct()
+        found = cut(reach(roots, pairs.select("from_id", "to_id"), "upstream", 999).join(colours, "id").select("id", F.col("colour").alias("component")))
+        selves = pairs.filter("from_id = to_id").select(F.col("from_id").alias("id"))
+        many = found.groupBy("component").agg(F.count("*").alias("size"))
+        part = cut(found.join(many, "component").join(selves.withColumn("self", F.lit(True)), "id", "left").filter("size > 1 or self").select("id", "component", "size"))
+        out = part if out is None else out.unionByName(part)
+        rest = pairs.join(found.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(found.select(F.col("id").alias("to_id")), "to_id", "left_anti")
+        pairs = trimmed(cut(rest.select("from_id", "to_id")))
+    return out if out is not None else edges.select(F.col("from_id").alias("id"), F.col("from_id").alias("component"), F.lit(0).cast("bigint").alias("size")).limit(0)
 
 
 def reverse_trace(seeds: DataFrame, edges: DataFrame, rels: list[str], max_depth: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +190,7 @@ def closure(seeds: DataFrame, entities: DataFrame, edges: DataFrame, max_depth:
 
     nodes: (start, id, type, depth); data: (start, id, op), the op of the nearest edge; contracts; confidences of all edges out of the nodes. Ends that are no entity are left out.
     """
-    known = entities.select("id", "type")
+    known, edges = entities.select("id", "type"), settled(edges)
     moves = edges.filter(F.col("rel").isin("CALLS", "CALLS_PROC")).join(known.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     nodes = cut(reach(seeds, moves, "downstream", max_depth, by=("start",)).join(known, "id"))
     out = nodes.withColumnRenamed("id", "from_id").join(edges, "from_id")
@@ -166,6 +203,7 @@ def closure(seeds: DataFrame, entities: DataFrame, edges: DataFrame, max_depth:
 
 def top_degree(entities: DataFrame, edges: DataFrame, limit: int = 500, cap: int = 2000) -> tuple[DataFrame, DataFrame]:
     """The nodes of highest degree (ties by id), and the edges among them."""
+    edges = settled(edges)
     ranked = entities.join(degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     nodes = cut(ranked.orderBy(F.desc("degree"), "id").limit(min(limit, cap)))
     return nodes, induced(edges, nodes)
@@ -176,6 +214,7 @@ def reduce_graph(nodes: DataFrame, edges: DataFrame, weight: Column, limit: int
 
     nodes: (id, type, ...). Edges are led to the summaries, made distinct, cut at the larger of three times limit and 24 by priority, and nodes without an edge left out.
     """
+    edges = settled(edges)
     # the limit is the feature: the top nodes are found by a bounded sort, not by a rank over all
     kept = cut(nodes.withColumn("__w", weight).orderBy(F.desc("__w"), "id").limit(limit).select("id"))
     place = cut(nodes.select("id", "type").join(kept.withColumn("__kept", F.lit(True)), "id", "left").select("id", F.when(F.col("__kept"), F.col("id")).otherwise(F.concat(F.lit("summary:"), "type")).alias("node")))

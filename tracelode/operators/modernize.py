@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import camel_tokens, slugify
+from ..functions.text import camel_tokens, normalize_name, slugify
 from .dossier import mapped
 
 # What each kind of phase becomes, and the resources that it needs.
@@ -72,9 +72,9 @@ def contracts(s: DataFrame, by: str = "seed") -> DataFrame:
 
 
 def owner(items: DataFrame, s: DataFrame, by: str = "seed") -> DataFrame:
-    """(seed, label, name): the first service that has the label among its legacy sources."""
-    exact = s.select(by, "seq", "name", F.explode("legacy").alias("label")).distinct()
-    met = items.select(by, "label").distinct().join(exact, [by, "label"])
+    """(seed, label, name): the first service with a legacy source that holds the label (upper case, without blanks around). The sources of a seed are what its items meet."""
+    exact = s.select(by, "seq", "name", F.explode("legacy").alias("source")).distinct()
+    met = items.select(by, "label").distinct().join(exact, by).filter(F.contains(normalize_name(F.col("source")), normalize_name(F.col("label"))))
     return met.groupBy(by, "label").agg(F.min_by("name", "seq").alias("name"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema
 from ..functions.storage import cut
-from ..operators import changes, coverage, dossier, export, flows, graph, model, modernize, search
+from ..operators import changes, coverage, dossier, export, filters, flows, graph, model, modernize, search
 from ..operators.extract import cobol, extract, jcl, using
 from ..operators.extract import target as target_repo
 from ..sources import files as sources
@@ -109,8 +109,8 @@ def seeds(ws: Workspace, name: str) -> DataFrame:
 
 def impact(ws: Workspace, name: str, depth: int = 4, direction: str = "both", full: bool = False) -> dict[str, DataFrame]:
     s, r = seeds(ws, name), ws.read("relations").select("rel", "from_id", "to_id", "confidence")
-    edges = graph.traverse(s, r, direction, 999 if full else depth)
-    return {"edges": edges, "affected": graph.affected(s, r, direction, 999 if full else depth), "flows": search.related_flows(ws.read("flows"), s)}
+    edges = cut(graph.traverse(s, r, direction, 999 if full else depth))
+    return {"edges": edges, "affected": graph.ends_of(edges, s), "flows": search.related_flows(ws.read("flows"), s)}
 
 
 def lineage(ws: Workspace, field: str) -> DataFrame:
@@ -175,10 +175,13 @@ def executive(ws: Workspace, limit: int = 28) -> tuple[DataFrame, DataFrame]:
     return graph.reduce_graph(nodes, r, search.type_weight(F.col("type")) + F.coalesce("degree", F.lit(0)), limit)
 
 
-def export_model(ws: Workspace, form: str, least: float = 0.0, rels: list[str] | None = None) -> DataFrame:
+def export_model(ws: Workspace, form: str, least: float = 0.0, rels: list[str] | None = None, types: list[str] | None = None, no_inferred: bool = False) -> DataFrame:
     """Rows of an export: csv, csv-expanded, csv-nodes, graphml, dot or jsonl."""
-    e, r = ws.read("entities"), ws.read("relations").filter(F.col("confidence") >= least)
-    r = r.filter(F.col("rel").isin(*rels)) if rels else r
+    e, r = filters.of_types(ws.read("entities"), *(types or [])), filters.of_rels(filters.confident(ws.read("relations"), least), *(rels or []))
+    if no_inferred:
+        e = filters.without_inferred(e)
+    if types or no_inferred:
+        r = graph.induced(r, e)
     return {"csv": lambda: export.csv_edges(r), "csv-expanded": lambda: export.csv_edges(r, True), "csv-nodes": lambda: export.csv_nodes(e), "graphml": lambda: export.graphml(e, r), "dot": lambda: export.dot(e, r), "jsonl": lambda: export.jsonl(export.evidence_records(r))}[form]()
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import schema
 from ..functions import text as X
 from ..functions.identity import platform
-from ..operators import changes, coverage, graph, model, ordering, search
+from ..operators import catalog, changes, coverage, dossier, filters, flows, graph, model, ordering, search
+from ..sources import files
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,25 +172,21 @@ def call_graph(spark, sf):
     return graph.call_graph(T.calls(spark, sf, CALL_SHARE))
 
 
-def closure_graph(spark, sf, whole=False):
-    """Nations call nations; a nation reads the parts that its suppliers read, in one edge each. Without whole, of the lines before '1995-09-01'."""
+def closure_graph(spark, sf):
+    """Nations call nations; a nation reads the parts that its suppliers read, in one edge each."""
     own = T.table(spark, sf, "supplier").select(T.key("supplier", "s_suppkey").alias("from_id"), T.key("nation", "s_nationkey").alias("n"))
-    lines = T.accesses(spark, sf) if whole else T.accesses(spark, sf).filter("l_shipdate < '1995-09-01'")
-    io = lines.join(own, "from_id").groupBy("rel", F.col("n").alias("from_id"), "to_id").agg(F.max("confidence").alias("confidence"))
+    io = T.accesses(spark, sf).join(own, "from_id").groupBy("rel", F.col("n").alias("from_id"), "to_id").agg(F.max("confidence").alias("confidence"))
     calls = T.calls(spark, sf, CALL_SHARE).select("rel", "from_id", "to_id", F.lit(1.0).alias("confidence"))
     return calls.unionByName(io)
 
 
-CLOSURE = f"""{CALLS}, {ACCESSES}, {ENTITIES}, io AS (SELECT rel, 'nation:' || s_nationkey AS from_id, to_id, max(confidence) AS confidence FROM a JOIN supplier ON from_id = 'supplier:' || s_suppkey WHERE l_shipdate < '1995-09-01' GROUP BY ALL),
+CLOSURE = f"""{CALLS}, {ACCESSES}, {ENTITIES}, io AS (SELECT rel, 'nation:' || s_nationkey AS from_id, to_id, max(confidence) AS confidence FROM a JOIN supplier ON from_id = 'supplier:' || s_suppkey GROUP BY ALL),
 w AS (SELECT 'nation:' || n_nationkey AS start, 'nation:' || n_nationkey AS id, 0 AS depth FROM nation UNION SELECT start, to_id, depth + 1 FROM w JOIN c ON id = from_id WHERE depth < 2), v AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY ALL)"""
 
 
-CLOSURE_ALL = CLOSURE.replace(" WHERE l_shipdate < '1995-09-01'", "")
-
-
-def closures(spark, sf, whole=False):
+def closures(spark, sf):
     start = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("start"), T.key("nation", "n_nationkey").alias("id"))
-    return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf, whole), 2)
+    return graph.closure(start, T.entities(spark, sf, orders=False), closure_graph(spark, sf), 2)
 
 
 def mean_confidence(c):
@@ -200,35 +198,39 @@ def program_closure(spark, sf):
     return closures(spark, sf)["data"]
 
 
-@query(f"WITH RECURSIVE {CLOSURE_ALL} SELECT start, to_id AS id, arg_min(rel, struct_pack(depth, from_id, rel)) AS op FROM v JOIN io ON v.id = io.from_id GROUP BY ALL")
-def program_closure_all(spark, sf):
-    """As program_closure, over all lines."""
-    return closures(spark, sf, whole=True)["data"]
-
-
 @query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT rel, from_id, to_id, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT rel, from_id, to_id, confidence FROM io) SELECT v.start, round(sum(x.confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY v.start")
 def flow_confidence(spark, sf):
     return mean_confidence(closures(spark, sf)["confidence"])
 
 
-@query(f"WITH RECURSIVE {CLOSURE_ALL}, x AS (SELECT rel, from_id, to_id, 1.0::DOUBLE AS confidence FROM c UNION ALL SELECT rel, from_id, to_id, confidence FROM io) SELECT v.start, round(sum(x.confidence) / count(*), 6) AS confidence, count(*) AS n_edges FROM v JOIN x ON v.id = x.from_id GROUP BY v.start")
-def flow_confidence_all(spark, sf):
-    """As flow_confidence, over all lines."""
-    return mean_confidence(closures(spark, sf, whole=True)["confidence"])
+# --- model -------------------------------------------------------------------------------------
 
 
-# --- model -------------------------------------------------------------------------------------
+def access_records(spark, sf):
+    """Line items as raw relations whose ends are known."""
+    a = T.accesses(spark, sf).join(spark.createDataFrame([("supplier", "part")], "from_type string, to_type string"))
+    return a.select("rel", F.col("from_id").alias("from"), F.col("to_id").alias("to"), "from_id", "to_id", "from_type", "to_type", F.col("from_id").alias("from_label"), F.col("to_id").alias("to_label"), F.lit("table").alias("extractor"), "confidence", F.substring_index("evidence", ":", 1).alias("file"), F.substring_index("evidence", ":", -1).cast("int").alias("line"), F.lit(False).alias("dynamic"), F.xxhash64("evidence").alias("ordinal"))
 
 
 @query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, max(confidence) AS confidence, count(DISTINCT evidence) AS n_evidence FROM a GROUP BY rel, from_id, to_id")
 def merge_relation(spark, sf):
-    return merged(spark, sf)
+    return model.merge_relations(access_records(spark, sf)).select("rel", "from_id", "to_id", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"))
+
+
+@query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, array_to_string(list_sort(list_distinct(list(evidence))), ',') AS evidence, max(confidence) AS confidence FROM a GROUP BY rel, from_id, to_id")
+def merge_relation_again(spark, sf):
+    half = lambda k: model.merge_relations(access_records(spark, sf).filter(F.col("line") % 2 == k))  # noqa: E731  two merged halves that share keys
+    return model.merge_relations_again(half(0).unionByName(half(1))).select("rel", "from_id", "to_id", F.array_join("evidence", ",").alias("evidence"), "confidence")
 
 
-@query("""SELECT p_name AS name, min(p_partkey)::BIGINT AS first_key, arg_min(p_brand, p_partkey) AS first_brand, max(p_retailprice) AS top_price, bool_or(p_size < 5) AS inferred, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS types FROM part GROUP BY p_name""")
+@query("""WITH p AS (SELECT upper(trim(p_name)) AS name, CASE WHEN p_size < 5 THEN 400 WHEN p_size < 20 THEN 300 ELSE 100 END AS rank, * FROM part)
+SELECT 'part:' || name AS id, arg_min(p_brand, p_partkey) AS extractor, max(CASE WHEN p_size < 5 THEN 0.5 ELSE 0.9 END)::DOUBLE AS confidence, arg_max(p_type, struct_pack(r := rank, n := length(p_type), k := -p_partkey)) AS description, array_to_string(list_sort(list_distinct(list(p_brand))), '|') AS files,
+array_to_string(list_sort(list_distinct(list(lower(p_brand)))), '|') AS tags FROM p GROUP BY name""")
 def merge_entity(spark, sf):
     p = T.table(spark, sf, "part")
-    return p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first_key"), F.min_by("p_brand", "p_partkey").alias("first_brand"), F.max("p_retailprice").alias("top_price"), F.max(F.col("p_size") < 5).alias("inferred"), F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("types"))
+    source = F.when(F.col("p_size") < 5, "cobol_header").when(F.col("p_size") < 20, "jcl_comment").otherwise("derived")
+    raw = p.select(F.lit("PART ").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_brand").alias("extractor"), F.when(F.col("p_size") < 5, 0.5).otherwise(0.9).alias("confidence"), F.col("p_type").alias("description"), source.alias("description_source"), F.array("p_brand").alias("semantic_tags"), F.col("p_partkey").alias("ordinal"))
+    return model.merge_entities(raw).select("id", "extractor", "confidence", "description", F.array_join("files", "|").alias("files"), F.array_join("semantic_tags", "|").alias("tags"))
 
 
 @query(f"WITH {ACCESSES} SELECT rel, to_id AS target, max(confidence) AS confidence, count(DISTINCT evidence) AS n_evidence, max(confidence) < 0.5 AS low FROM a GROUP BY rel, to_id")
@@ -237,74 +239,67 @@ def dedupe_relation_group(spark, sf):
     return model.dedupe_relations(d).select("rel", "target", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"), "low")
 
 
-def resolved(spark, sf, li):
-    p = T.table(spark, sf, "part")
-    ends = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("GHOST"), F.col("l_partkey").cast("string"))).otherwise(F.col("p_name")).alias("name"))
-    known = T.entities(spark, sf, orders=False).filter("type = 'part'").groupBy("name").agg(F.min("id").alias("id"))
-    out = ends.groupBy("name").agg(F.count("*").alias("n")).join(known, "name", "left")
-    return out.select("name", F.coalesce("id", F.concat(F.lit("part:"), F.upper("name"))).alias("to_id"), F.col("id").isNull().alias("inferred"), "n")
-
-
-@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < '1995-05-01'),
-n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
-SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
+@query(f"""WITH {ENTITIES}, r AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT upper(trim(name)) AS name, arg_min(id, struct_pack(i := inferred, k := id)) AS id FROM e WHERE type = 'part' GROUP BY 1)
+SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON upper(trim(r.target)) = n.name GROUP BY ALL""")
 def resolve_endpoint(spark, sf):
-    return resolved(spark, sf, T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-05-01'"))
-
-
-@query(f"""WITH {ENTITIES}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN 'GHOST' || l_partkey ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey),
-n AS (SELECT name, min(id) AS id FROM e WHERE type = 'part' GROUP BY name)
-SELECT r.target AS name, coalesce(n.id, 'part:' || upper(r.target)) AS to_id, n.id IS NULL AS inferred, count(*) AS n FROM r LEFT JOIN n ON r.target = n.name GROUP BY ALL""")
-def resolve_endpoint_all(spark, sf):
-    """As resolve_endpoint, over all lines."""
-    return resolved(spark, sf, T.table(spark, sf, "lineitem"))
+    li, p = T.table(spark, sf, "lineitem"), T.table(spark, sf, "part")
+    target = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("GHOST"), F.col("l_partkey").cast("string"))).otherwise(F.col("p_name"))
+    raw = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.lit("READS").alias("rel"), T.key("S", "l_suppkey").alias("from"), F.lit("supplier").alias("fromType"), target.alias("to"), F.lit("part").alias("toType"), T.key("order", "l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("line"))
+    known = T.entities(spark, sf, orders=False).filter("type = 'part'").withColumn("name", X.normalize_name(F.col("name"))).withColumn("label", F.col("name"))
+    out, made = model.resolve_endpoints(raw, schema.shaped(known, schema.ENTITY))
+    return out.groupBy(F.col("to").alias("name"), "to_id").agg(F.count("*").alias("n")).join(made.select(F.col("id").alias("to_id"), "inferred"), "to_id", "left").select("name", "to_id", F.coalesce("inferred", F.lit(False)).alias("inferred"), "n")
 
 
-@query("""WITH u AS (SELECT event_id, user_id, event_type AS var FROM events WHERE value > 50), d AS (SELECT DISTINCT user_id, event_type AS var, json_extract_string(props, '$.k') AS lit FROM events WHERE value < 5)
-SELECT event_id, CASE WHEN lit IS NULL THEN 'CALL-DYNAMIC' ELSE 'CALLS' END AS rel, coalesce(lit, var) AS target, CASE WHEN lit IS NULL THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM u LEFT JOIN d USING (user_id, var)""")
+@query("""WITH u AS (SELECT event_id, user_id, event_type AS var FROM events WHERE value > 50), d AS (SELECT DISTINCT user_id, event_type AS var, upper(trim(json_extract_string(props, '$.k'))) AS lit FROM events WHERE value < 5)
+SELECT event_id, CASE WHEN lit IS NULL THEN 'CALL-DYNAMIC' ELSE 'CALLS' END AS rel, coalesce(lit, var) AS target, CASE WHEN lit IS NULL THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence, lit IS NOT NULL AS traced FROM u LEFT JOIN d USING (user_id, var)""")
 def resolve_dynamic_calls(spark, sf):
     ev = T.table(spark, sf, "events")
-    d = ev.filter("value < 5").select("user_id", F.col("event_type").alias("var"), F.get_json_object("props", "$.k").alias("lit")).distinct()
-    u = ev.filter("value > 50").select("event_id", "user_id", F.col("event_type").alias("var")).join(d, ["user_id", "var"], "left")
-    return u.select("event_id", F.when(F.col("lit").isNull(), "CALL-DYNAMIC").otherwise("CALLS").alias("rel"), F.coalesce("lit", "var").alias("target"), F.when(F.col("lit").isNull(), 0.6).otherwise(0.95).alias("confidence"))
-
-
-@query(f"WITH {ENTITIES}, {ACCESSES} SELECT e.* FROM e WHERE type = 'part' AND (NOT inferred OR id IN (SELECT to_id FROM a WHERE l_shipdate < '1995-04-01'))")
-def prune_inferred(spark, sf):
-    rel = T.accesses(spark, sf).filter("l_shipdate < '1995-04-01'").select("from_id", "to_id")
-    return model.prune_inferred(T.entities(spark, sf, orders=False).filter("type = 'part'"), rel)
+    values = ev.filter("value < 5").select(F.col("user_id").cast("string").alias("program"), F.col("event_type").alias("var"), F.get_json_object("props", "$.k").alias("value"))
+    calls = ev.filter("value > 50").select(F.lit("CALL-DYNAMIC").alias("rel"), F.col("user_id").cast("string").alias("from"), F.col("event_type").alias("to"), F.lit(0.6).alias("confidence"), "event_id")
+    rel = schema.shaped(calls, schema.RELATION + ", event_id bigint")
+    return model.resolve_dynamic_calls(rel, values).select("event_id", "rel", F.col("to").alias("target"), "confidence", (F.size(F.coalesce("evidence", F.array().cast("array<string>"))) > 0).alias("traced"))
 
 
 @query(f"WITH {ENTITIES}, {ACCESSES} SELECT e.* FROM e WHERE type = 'part' AND (NOT inferred OR id IN (SELECT to_id FROM a))")
-def prune_inferred_all(spark, sf):
-    """As prune_inferred, over all lines."""
+def prune_inferred(spark, sf):
     return model.prune_inferred(T.entities(spark, sf, orders=False).filter("type = 'part'"), T.accesses(spark, sf).select("from_id", "to_id"))
 
 
-@query("""WITH k AS (SELECT s_suppkey, ps, array_agg(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS f, max(1 - l_discount) AS c FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS ps, l_orderkey, l_discount FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT s_suppkey, ps AS partkey, array_to_string(f, ',') AS fields, round(c, 4) AS confidence FROM k WHERE len(f) > 1""")
+@query("""WITH x AS (SELECT 'supplier:' || l_suppkey AS from_id, 'part:' || l_partkey AS to_id, o_orderpriority AS f, round(1 - l_discount, 4) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT from_id, to_id, array_to_string(list_sort(list_distinct(list(f))), ',') AS fields, max(c) AS confidence FROM x GROUP BY ALL""")
 def merge_contracts(spark, sf):
     li, o = T.table(spark, sf, "lineitem"), T.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    g = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("partkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("f"), F.round(F.max(1 - F.col("l_discount")), 4).alias("confidence"))
-    return g.filter(F.size("f") > 1).select("s_suppkey", "partkey", F.array_join("f", ",").alias("fields"), "confidence")
+    item = F.struct(F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("copybook"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("pic"), F.lit(False).alias("confirmed"))
+    x = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    side = lambda test: schema.shaped(x.filter(test).groupBy(T.key("supplier", "l_suppkey").alias("from_id"), T.key("part", "l_partkey").alias("to_id")).agg(F.array_sort(F.collect_set(item)).alias("fields"), F.round(F.max(1 - F.col("l_discount")), 4).alias("confidence")), schema.RELATION)
+    out = model.merge_contracts(side("l_returnflag = 'R'"), side("l_returnflag <> 'R'"))
+    return out.select("from_id", "to_id", F.array_join(F.array_sort(F.transform("fields", lambda f: f["name"])), ",").alias("fields"), "confidence")
 
 
-@query(f"""WITH {ENTITIES} SELECT n.id AS job, count(DISTINCT s.id) AS n_steps, count(DISTINCT l_partkey) AS n_parts, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS n_reads
-FROM e n LEFT JOIN e s ON s.parent = n.id AND s.type = 'supplier' LEFT JOIN lineitem ON s.id = 'supplier:' || l_suppkey WHERE n.type = 'nation' GROUP BY n.id""")
+@query(f"""WITH {ENTITIES}, d AS (SELECT 'supplier:' || l_suppkey AS step, count(DISTINCT CASE WHEN l_returnflag = 'N' THEN l_partkey END) AS n_programs, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_returnflag || l_partkey END) AS n_datasets FROM lineitem GROUP BY 1)
+SELECT n.id AS job_id, n.name AS job, s.id AS step, s.name AS step_name, s.id AS label, coalesce(n_programs, 0) AS n_programs, coalesce(n_datasets, 0) AS n_datasets, CASE WHEN s.inferred THEN 'only if unsure' END AS run_condition FROM e n JOIN e s ON s.parent = n.id AND s.type = 'supplier' LEFT JOIN d ON d.step = s.id WHERE n.type = 'nation'""")
 def batch_join(spark, sf):
-    n = T.table(spark, sf, "nation").select(T.key("nation", "n_nationkey").alias("job"), "n_nationkey")
-    li = T.table(spark, sf, "lineitem")
-    per = li.groupBy("l_suppkey", "l_partkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"))
-    s = T.table(spark, sf, "supplier").join(per, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    g = s.groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("n_steps"), F.count_distinct("l_partkey").alias("n_parts"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_reads"))
-    return n.join(g, n["n_nationkey"] == g["s_nationkey"], "left").select("job", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
-
-
-@query("""SELECT DISTINCT r_name, n_name, s_suppkey FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_partkey = 17""")
+    e = T.entities(spark, sf, orders=False).filter(F.col("type").isin("nation", "supplier")).withColumn("type", F.when(F.col("type") == "nation", "job").otherwise("step")).withColumn("label", F.col("id")).withColumn("seq", F.lit(1))
+    inside = T.contains(spark, sf, orders=False).filter(F.startswith("to_id", F.lit("supplier:"))).select("rel", "from_id", "to_id")
+    runs = T.accesses(spark, sf).select(F.when(F.col("rel") == "UPDATES", "EXECUTES").otherwise(F.col("rel")).alias("rel"), "from_id", "to_id")
+    nations = e.filter("type = 'job'").select(F.col("id").alias("parent"), F.col("name").alias("job"))
+    only = e.filter("type = 'step' and inferred").join(nations, "parent").select("job", F.col("name").alias("step"), F.lit("only if unsure").alias("run_condition"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return flows.batch(e, inside.union(runs), only).select("job_id", "job", "step", "step_name", "label", F.when(F.col("programs").isNull(), 0).otherwise(count("programs")).cast("bigint").alias("n_programs"), F.when(F.col("datasets").isNull(), 0).otherwise(count("datasets")).cast("bigint").alias("n_datasets"), "run_condition")
+
+
+@query("""WITH b AS (SELECT 'copybook:' || upper(p_brand) AS id, p_brand FROM part WHERE p_partkey = 17), s AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN b USING (p_brand) WHERE l_returnflag = 'R'),
+k AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM s JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'copybook' AS kind, id FROM b UNION SELECT 'program', 'supplier:' || s_suppkey FROM k UNION SELECT 'data', 'table:' || s_nationkey FROM k UNION SELECT 'step', 'nation:' || s_nationkey FROM k UNION SELECT 'job', 'region:' || n_regionkey FROM k""")
 def lineage_join(spark, sf):
     t = lambda n: T.table(spark, sf, n)
-    s = t("supplier").join(t("lineitem").filter("l_partkey = 17").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
-    return s.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "s_suppkey").distinct()
+    fields = t("part").select(T.key("field", "p_partkey").alias("id"), F.lit("field").alias("type"), F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("parent"), F.lit("copybook").alias("parentType"))
+    nested = fields.select(F.concat("id", F.lit("-sub")), "type", F.concat("name", F.lit("-sub")), F.col("name"), F.lit("field"))
+    books = t("lineitem").filter("l_returnflag = 'R'").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.lit("INCLUDES").alias("rel"), T.key("supplier", "l_suppkey").alias("from_id"), F.concat(F.lit("copybook:"), F.upper("p_brand")).alias("to_id")).distinct()
+    s, n = t("supplier"), t("nation")
+    rest = s.select(F.lit("READS").alias("rel"), T.key("supplier", "s_suppkey").alias("from_id"), T.key("table", "s_nationkey").alias("to_id")).union(s.select(F.lit("EXECUTES"), T.key("nation", "s_nationkey"), T.key("supplier", "s_suppkey"))).union(n.select(F.lit("CONTAINS"), T.key("region", "n_regionkey"), T.key("nation", "n_nationkey")))
+    return model.lineage(seeds(spark, "field:17-sub"), fields.union(nested), books.union(rest))
 
 
 @query("""WITH f AS (SELECT l_suppkey, list(DISTINCT l_partkey) AS ids FROM lineitem GROUP BY l_suppkey), q AS (SELECT unnest([1, 5, 9, 13, 40]) AS id)
@@ -335,32 +330,19 @@ def anti_no_entities(spark, sf):
     return coverage.files_without_entities(T.table(spark, sf, "documents").select(F.col("doc_id").alias("path")), found)
 
 
-def unreferenced(spark, sf, li):
-    out = T.table(spark, sf, "part").select("p_partkey").join(li.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
-    return out.join(li.select(F.col("l_suppkey").alias("p_partkey")), "p_partkey", "left_anti")
-
-
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate < '1995-03-01' AND (l_partkey = p_partkey OR l_suppkey = p_partkey))")
+@query(f"WITH {ENTITIES}, {ACCESSES} SELECT id FROM e WHERE type <> 'order' AND NOT EXISTS (SELECT 1 FROM a WHERE from_id = id) AND NOT EXISTS (SELECT 1 FROM a WHERE to_id = id)")
 def lib_not_exists(spark, sf):
-    return unreferenced(spark, sf, T.table(spark, sf, "lineitem").filter("l_shipdate < '1995-03-01'"))
-
-
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = p_partkey)")
-def lib_not_exists_all(spark, sf):
-    """As lib_not_exists, over all lines."""
-    return unreferenced(spark, sf, T.table(spark, sf, "lineitem"))
+    return catalog.unreferenced(T.entities(spark, sf, orders=False), T.accesses(spark, sf)).select("id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey = 42 OR l_suppkey = 42 GROUP BY ALL")
+@query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, evidence FROM a WHERE from_id = 'part:42' OR to_id = 'part:42'")
 def lib_or_join(spark, sf):
-    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return li.filter("l_partkey = 42").union(li.filter("l_suppkey = 42 and l_partkey <> 42")).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    return catalog.touching(T.accesses(spark, sf), "part:42").select("rel", "from_id", "to_id", "evidence")
 
 
 @query("SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def lib_left_join_files(spark, sf):
-    both = T.table(spark, sf, "documents").select("doc_id", "source").join(T.table(spark, sf, "labels"), "doc_id", "left")
-    return both.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    return catalog.files_with(T.table(spark, sf, "documents").select("doc_id", "source"), T.table(spark, sf, "labels"), "doc_id", {"quality": -1, "toxic": -1})
 
 
 @query(f"WITH {ENTITIES} SELECT type, count(*) AS n FROM e GROUP BY type")
@@ -402,7 +384,7 @@ def unresolved_topn(spark, sf):
 
 @query(f"WITH {ACCESSES} SELECT rel, count(DISTINCT to_id) AS n_targets, count(DISTINCT evidence) AS n_evidence FROM a GROUP BY rel")
 def distinct_evidence(spark, sf):
-    return T.accesses(spark, sf).groupBy("rel").agg(F.count_distinct("to_id").alias("n_targets"), F.count_distinct("evidence").alias("n_evidence"))
+    return coverage.distinct_evidence(T.accesses(spark, sf))
 
 
 @query("SELECT 'nation:' || c_nationkey AS id, count(*) AS fan_in FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 ORDER BY fan_in DESC, id LIMIT 10")
@@ -412,17 +394,18 @@ def hotspots_fan_in(spark, sf):
     return coverage.hotspots(rel, T.entities(spark, sf, orders=False).filter("type = 'nation'"))
 
 
-@query(f"WITH {ACCESSES} SELECT from_id, coalesce(round(avg(CASE WHEN rel = 'READS' THEN confidence END), 2), 1.0) AS confidence FROM a GROUP BY from_id")
+@query(f"WITH {ACCESSES} SELECT to_id, floor(avg(confidence) * 100 + 0.5) / 100 AS confidence FROM a GROUP BY to_id")
 def average_round2(spark, sf):
-    return T.accesses(spark, sf).groupBy("from_id").agg(F.coalesce(F.round(F.avg(F.when(F.col("rel") == "READS", F.col("confidence"))), 2), F.lit(1.0)).alias("confidence"))
+    return coverage.mean_confidence(T.accesses(spark, sf), "to_id")
 
 
-@query(f"""WITH {ACCESSES}, {ENTITIES} SELECT s.parent AS cluster, count(*) FILTER (rel = 'READS') AS n_inputs, count(*) FILTER (rel IN ('WRITES', 'UPDATES')) AS n_outputs, round(avg(a.confidence), 2) AS relation_confidence, count(DISTINCT s.id) AS n_active
-FROM a JOIN e s ON a.from_id = s.id GROUP BY s.parent""")
+@query(f"""WITH {ACCESSES}, {ENTITIES}, m AS (SELECT parent AS cluster, id, confidence FROM e WHERE type IN ('supplier', 'customer')), x AS (SELECT cluster, count(*) AS n_members, round(avg(confidence), 2) AS entity_confidence FROM m GROUP BY 1),
+r AS (SELECT cluster, count(*) FILTER (rel = 'READS') AS n_inputs, count(*) FILTER (rel IN ('WRITES', 'UPDATES')) AS n_outputs, round(avg(a.confidence), 2) AS relation_confidence FROM a JOIN m ON a.from_id = m.id GROUP BY 1)
+SELECT cluster, n_members, entity_confidence, coalesce(n_inputs, 0) AS n_inputs, coalesce(n_outputs, 0) AS n_outputs, 0::BIGINT AS n_calls, coalesce(relation_confidence, 1.0) AS relation_confidence FROM x LEFT JOIN r USING (cluster)""")
 def cluster_metrics(spark, sf):
-    members = T.table(spark, sf, "supplier").select(T.key("nation", "s_nationkey").alias("cluster"), T.key("supplier", "s_suppkey").alias("from_id"))
-    r = T.accesses(spark, sf).groupBy("from_id").agg(F.count_if(F.col("rel") == "READS").alias("i"), F.count_if(F.col("rel") != "READS").alias("o"), F.sum("confidence").alias("c"), F.count("*").alias("n"))
-    return r.join(members, "from_id").groupBy("cluster").agg(F.sum("i").alias("n_inputs"), F.sum("o").alias("n_outputs"), F.round(F.sum("c") / F.sum("n"), 2).alias("relation_confidence"), F.count_distinct("from_id").alias("n_active"))
+    e = T.entities(spark, sf, orders=False)
+    members = e.filter(F.col("type").isin("supplier", "customer")).select(F.col("parent").alias("cluster"), "id")
+    return coverage.cluster_metrics(members, e, T.accesses(spark, sf)).select("cluster", "n_members", "entity_confidence", "n_inputs", "n_outputs", "n_calls", "relation_confidence")
 
 
 @query("""WITH d AS (SELECT doc_id AS name, CASE WHEN quality = 1 THEN 'approve' ELSE 'reject' END AS action FROM labels) SELECT action, count(*) AS n, min(name) AS first FROM d GROUP BY action""")
@@ -431,25 +414,18 @@ def review_report(spark, sf):
     return coverage.review_report(d).select("action", "n", F.element_at("names", 1).alias("first"))
 
 
-@query(f"""WITH {ENTITIES}, ok AS (SELECT DISTINCT 'order:' || l_orderkey AS name FROM lineitem WHERE l_quantity > 45) SELECT 'entity' AS kind, name FROM e WHERE (confidence < 0.8 OR inferred) AND type = 'order' AND name NOT IN (FROM ok)""")
-def pending_filter(spark, sf):
-    ok = T.table(spark, sf, "lineitem").filter("l_quantity > 45").select(T.key("order", "l_orderkey").alias("name"), F.lit("approve").alias("action")).distinct()
-    none = T.accesses(spark, sf).limit(0).select(F.col("from_id").alias("from"), "rel", F.col("to_id").alias("to"), "confidence")
-    return coverage.pending(T.entities(spark, sf).filter("type = 'order'"), none, ok)
-
-
 @query(f"""WITH {ENTITIES}, {ACCESSES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence FROM a GROUP BY ALL), ok AS (SELECT DISTINCT 'order:' || l_orderkey AS name FROM lineitem WHERE l_quantity > 45),
 p AS (SELECT 'entity' AS kind, name FROM e WHERE confidence < 0.8 OR inferred UNION ALL SELECT 'relation', from_id || '|' || rel || '|' || to_id FROM m WHERE confidence < 0.5) SELECT kind, name FROM p WHERE name NOT IN (FROM ok)""")
-def pending_all(spark, sf):
-    """As pending_filter, over all entities and the merged relations."""
+def pending_filter(spark, sf):
     ok = T.table(spark, sf, "lineitem").filter("l_quantity > 45").select(T.key("order", "l_orderkey").alias("name"), F.lit("approve").alias("action")).distinct()
     rel = merged(spark, sf).select(F.col("from_id").alias("from"), "rel", F.col("to_id").alias("to"), "confidence")
     return coverage.pending(T.entities(spark, sf), rel, ok)
 
 
-@query("SELECT p_brand AS parent, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS columns FROM part GROUP BY p_brand")
+@query("SELECT coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'UNSCOPED') AS parent, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS columns FROM part GROUP BY 1")
 def columns_by_table(spark, sf):
-    return T.table(spark, sf, "part").groupBy(F.col("p_brand").alias("parent")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("columns"))
+    e = T.table(spark, sf, "part").select(F.lit("column").alias("type"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("parent"), F.col("p_type").alias("label"))
+    return dossier.columns_by_table(e).select("parent", F.array_join("columns", ",").alias("columns"))
 
 
 # --- filters and scalar functions -----------------------------------------------------------------
@@ -457,17 +433,17 @@ def columns_by_table(spark, sf):
 
 @query(f"WITH {ENTITIES} SELECT id, name FROM e WHERE type IN ('nation', 'supplier')")
 def filter_type(spark, sf):
-    return T.entities(spark, sf, orders=False).filter(F.col("type").isin("nation", "supplier")).select("id", "name")
+    return filters.of_types(T.entities(spark, sf, orders=False), "Nation", "supplier").select("id", "name")
 
 
 @query(f"WITH {ACCESSES} SELECT rel, from_id, to_id, evidence FROM a WHERE confidence >= 0.9 AND rel IN ('READS', 'UPDATES')")
 def filter_min_conf(spark, sf):
-    return T.accesses(spark, sf).filter((F.coalesce("confidence", F.lit(0.0)) >= 0.9) & F.col("rel").isin("READS", "UPDATES")).select("rel", "from_id", "to_id", "evidence")
+    return filters.of_rels(filters.confident(T.accesses(spark, sf), 0.9), "reads", "UPDATES").select("rel", "from_id", "to_id", "evidence")
 
 
 @query(f"WITH {ENTITIES} SELECT id FROM e WHERE NOT inferred AND type = 'part'")
 def filter_no_inferred(spark, sf):
-    return T.entities(spark, sf, orders=False).filter(~F.coalesce("inferred", F.lit(False)) & (F.col("type") == "part")).select("id")
+    return filters.of_types(filters.without_inferred(T.entities(spark, sf, orders=False)), "part").select("id")
 
 
 @query(f"WITH {ENTITIES} SELECT id, name, type FROM e WHERE id = 'NATION_7' OR upper(name) = 'NATION_7' ORDER BY id LIMIT 1")
@@ -475,15 +451,8 @@ def get_entity(spark, sf):
     return search.get_entity(T.entities(spark, sf, orders=False), "NATION_7").select("id", "name", "type")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents WHERE regexp_matches(strip_accents(substr(text, 1, 40)), '[A-Za-z0-9]') AND NOT contains(text, 'ß')""")
-def slugify(spark, sf):
-    d = T.table(spark, sf, "documents").withColumn("head", F.substring("text", 1, 40))
-    return d.filter(X.fold_accents(F.col("head")).rlike("[A-Za-z0-9]") & ~F.contains("text", F.lit("ß"))).select("doc_id", X.slugify(F.col("head")).alias("slug"))
-
-
 @query("""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(replace(replace(text, 'ß', '-'), 'ẞ', '-'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents) SELECT doc_id, CASE WHEN slug <> '' THEN slug ELSE 'query' END AS slug FROM s""")
-def slugify_all(spark, sf):
-    """As slugify, of the whole text of every document."""
+def slugify(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
@@ -497,7 +466,7 @@ def sanitize_paths(spark, sf):
 
 @query("SELECT doc_id, substr(sha256(text), 1, 12) AS hash FROM documents")
 def hash_file(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("hash"))
+    return T.table(spark, sf, "documents").select("doc_id", files.file_hash(F.col("text").cast("binary")).alias("hash"))
 
 
 @query("SELECT substr(sha256(text), 1, 12) AS hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -524,9 +493,10 @@ def extract_links(spark, sf):
     return p.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_distinct"))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)/en/') THEN 'en' WHEN regexp_matches(url, '(?i)utm_') THEN 'tracked' ELSE 'other' END AS kind FROM pages""")
+@query("""SELECT page_id, regexp_matches(url, '(?i)://[^/]*\\.[^/]*/.*') AS any_depth, regexp_matches(url, '(?i)/[^/]*1[^/]/') AS one_more, regexp_matches(url, '(?i)utm_') AS plain FROM pages""")
 def exclude_globs(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", F.when(F.col("url").rlike(X.glob_regex("/en/")), "en").when(F.col("url").rlike(X.glob_regex("utm_")), "tracked").otherwise("other").alias("kind"))
+    some = lambda g: F.col("url").rlike(X.glob_regex(g))
+    return T.table(spark, sf, "pages").select("page_id", some("://*.*/**[0-9]".replace("[0-9]", "")).alias("any_depth"), some("/*1?/").alias("one_more"), some("utm_").alias("plain"))
 
 
 @query(f"WITH {ENTITIES} SELECT CASE WHEN type = 'table' THEN 'database' ELSE 'legacy' END AS platform, count(*) AS n FROM e GROUP BY 1")
@@ -602,10 +572,10 @@ def adherence_sets(spark, sf):
     return changes.adherence(p.filter("p_size < 4"), p.filter("p_size > 47"), "p_brand")
 
 
-@query("SELECT conv_id, string_agg(role, '>' ORDER BY coalesce(turn, 9999), role) AS steps FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS job, string_agg(role, '>' ORDER BY coalesce(CASE WHEN turn > 0 THEN turn END, 9999), role) AS steps FROM conversations GROUP BY conv_id")
 def sort_steps(spark, sf):
-    steps = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(9999)).alias("s"), "role")))
-    return T.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda s: s["role"]), ">").alias("steps"))
+    steps = T.table(spark, sf, "conversations").select(F.col("conv_id").alias("job"), F.when(F.col("turn") > 0, F.col("turn")).cast("int").alias("seq"), F.col("role").alias("label"))
+    return flows.ordered(steps).select("job", F.array_join("steps", ">").alias("steps"))
 
 
 # --- search -----------------------------------------------------------------------------------------
@@ -637,7 +607,7 @@ def name_similarity(spark, sf):
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(F.col(c), i, F.lit(2))))
     x = n.withColumn("g", F.explode(pairs("a")))
     y = x.withColumnRenamed("a", "b")
-    both = x.join(y, "g").filter("a < b").select("a", "b").distinct().withColumn("similarity", X.similarity(F.col("a"), F.col("b")))
+    both = x.join(y, "g").filter("a < b and least(length(a), length(b)) >= 0.72 * greatest(length(a), length(b))").select("a", "b").distinct().withColumn("similarity", X.similarity(F.col("a"), F.col("b")))
     return both.filter("similarity >= 0.72").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -647,16 +617,18 @@ def token_index(spark, sf):
     return search.token_index(p, ["name"]).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT p_partkey, p_name, CASE WHEN upper(p_name) = 'SMALL' THEN 1 WHEN contains(upper(p_name), 'SM') THEN 2 ELSE 0 END AS tier FROM part) SELECT p_partkey AS id, tier::INT AS tier FROM b WHERE tier > 0""")
+@query("""WITH t1 AS (SELECT p_partkey AS id, 1 AS tier FROM part WHERE upper(p_name) = 'SMALL' UNION SELECT min(p_partkey), 2 FROM part), t AS (SELECT id, min(tier) AS tier FROM t1 GROUP BY id),
+w AS (SELECT DISTINCT p_partkey AS id FROM part WHERE len(list_filter(string_split(trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: starts_with(x, 'SMALL'))) > 0)
+SELECT id, tier::INT AS tier FROM t UNION ALL SELECT id, 3 FROM w WHERE id NOT IN (SELECT id FROM t) AND (SELECT count(*) FROM t) < 5""")
 def name_tiers(spark, sf):
-    u = F.upper("p_name")
-    return T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(u == "SMALL", 1).when(F.contains(u, F.lit("SM")), 2).otherwise(0).alias("tier")).filter("tier > 0")
+    p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    nick = p.agg(F.min("id").alias("canonical_id")).withColumn("alias", F.lit("small"))
+    return search.token_search(p, search.token_index(p, ["name"]), nick, "small").filter("tier < 4")
 
 
-@query("""SELECT source, max(CASE WHEN contains(text, 'License') THEN 1 ELSE 0 END)::INT + max(CASE WHEN contains(text, 'token') THEN 1 ELSE 0 END)::INT + max(CASE WHEN contains(text, '@mail') THEN 1 ELSE 0 END)::INT AS n_terms FROM documents GROUP BY source""")
+@query("""WITH t AS (SELECT strip_accents(upper(text)) AS u FROM documents) SELECT max(contains(u, 'LICENSE')::INT) + max(contains(u, 'TOKEN')::INT) + max(contains(u, 'ZZYZX')::INT) + max(contains(u, 'MAIL')::INT) AS n_terms, max(contains(u, 'LICENSE')::INT) + max(contains(u, 'TOKEN')::INT) + max(contains(u, 'ZZYZX')::INT) + max(contains(u, 'MAIL')::INT) >= 3 AS special FROM t""")
 def domain_pack_resolve(spark, sf):
-    hit = lambda t: F.max(F.contains("text", F.lit(t)).cast("int"))
-    return T.table(spark, sf, "documents").groupBy("source").agg((hit("License") + hit("token") + hit("@mail")).alias("n_terms"))
+    return search.domain_pack(T.table(spark, sf, "documents").select(F.col("text").alias("value")), ["LICENSE", "TOKEN", "ZZYZX", "MAIL"])
 
 
 @query("""SELECT doc_id, least(100, 28 * h + 12) AS score FROM (SELECT doc_id, regexp_matches(text, 'License')::INT + regexp_matches(text, '[0-9]{3}-[0-9]{4}')::INT + regexp_matches(text, '@mail')::INT + regexp_matches(text, 'token = ')::INT AS h FROM documents) WHERE h > 0""")
@@ -667,12 +639,23 @@ def rank_terminals(spark, sf):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def contained_passages(spark, sf):
-    """Benchmark texts inside documents: a theta join made an equi-join on the item's longest word."""
-    b = T.table(spark, sf, "benchmark").withColumn("w", F.element_at(F.array_sort(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda t: F.length(t) > 0), lambda x, y: F.length(y) - F.length(x)), 1))
-    d = T.table(spark, sf, "documents").select("doc_id", "text", F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")).alias("ws"))
-    words = b.select("w").distinct()
-    hit = d.select("doc_id", F.explode("ws").alias("w")).join(words, "w", "left_semi").join(b.select("item_id", "w", F.col("text").alias("item")), "w")
-    return hit.join(d.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    """Benchmark texts inside documents. A word between two others of an item stands as a word in every text that holds the item; items without one are a few and meet all texts."""
+    b = T.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")).filter("item is not null")
+    words = F.split("item", "[^\\p{L}]+")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda t: F.length(t) > 0)
+    b = b.withColumn("w", F.try_element_at(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), F.lit(1)))
+    keyed, bare = b.filter("w is not null"), b.filter("w is null").select("item_id", "item")
+    small = b.count() <= 100_000  # items that a broadcast holds; more are joined by shuffle of the words
+    near = F.broadcast if small else (lambda d: d)
+    d = T.table(spark, sf, "documents").select("doc_id", "text")
+    if small:
+        keys = keyed.agg(F.collect_set("w").alias("keys"))
+        d = d.join(F.broadcast(keys)).withColumn("ws", F.array_intersect(F.array_distinct(F.split("text", "[^\\p{L}]+")), "keys")).drop("keys")  # one row
+    else:
+        d = d.withColumn("ws", F.array_distinct(F.split("text", "[^\\p{L}]+")))
+    hit = d.select("doc_id", "text", F.explode("ws").alias("w")).join(near(keyed), "w").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    rest = d.join(near(bare), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return hit.union(rest).distinct()
 
 
 # --- claims, phases, exports ---------------------------------------------------------------------------
@@ -686,31 +669,26 @@ def claims(spark, sf):
     return d.select("doc_id", dossier.claim_type(F.lit(True), F.coalesce(F.col("quality") == 1, F.lit(False)), F.col("quality").isNotNull()).alias("claim"))
 
 
-@query("""SELECT source, floor(100 * avg((a::INT + b::INT + c::INT) / 3.0) + 0.5)::BIGINT AS pct, CASE WHEN avg((a::INT + b::INT + c::INT) / 3.0) >= 0.85 THEN 'complete' WHEN avg((a::INT + b::INT + c::INT) / 3.0) >= 0.55 THEN 'partial' ELSE 'draft' END AS status
-FROM (SELECT source, n_chars > 400 AS a, lang = 'en' AS b, l.doc_id IS NOT NULL AS c FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY source""")
+@query("""WITH c AS (SELECT conv_id, max((role = 'user')::INT)::DOUBLE AS resolution, (count(*) >= 4)::INT::DOUBLE AS phases, max((role = 'assistant')::INT)::DOUBLE AS outputs, (count(*) % 2)::DOUBLE AS rules FROM conversations GROUP BY 1), x AS (SELECT *, floor(100 * (resolution + phases + outputs + rules) / 4 + 0.5)::BIGINT AS total_pct FROM c)
+SELECT conv_id AS seed, total_pct, CASE WHEN resolution + phases + outputs = 3 AND total_pct >= 85 THEN 'complete' WHEN total_pct >= 55 THEN 'partial' ELSE 'draft' END AS status FROM x""")
 def completeness_score(spark, sf):
-    d = T.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").join(T.table(spark, sf, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left")
-    n = (F.col("n_chars") > 400).cast("int") + (F.col("lang") == "en").cast("int") + F.coalesce("l", F.lit(False)).cast("int")
-    g = d.groupBy("source").agg(F.avg(n / 3.0).alias("m"))
-    return g.select("source", F.floor(100 * F.col("m") + 0.5).alias("pct"), F.when(F.col("m") >= 0.85, "complete").when(F.col("m") >= 0.55, "partial").otherwise("draft").alias("status"))
+    g = T.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("seed")).agg(F.max(F.col("role") == "user").alias("resolution"), (F.count("*") >= 4).alias("phases"), F.max(F.col("role") == "assistant").alias("outputs"), (F.count("*") % 2 == 1).alias("rules"))
+    rows = g.select("seed", F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(c).alias("ok")) for c in ("resolution", "phases", "outputs", "rules")])).alias("c")).select("seed", "c.*")
+    return dossier.completeness(rows).select("seed", "total_pct", "status")
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'output' WHEN event_type IN ('click', 'view') THEN 'intake' WHEN value > 50 THEN 'persistence' ELSE 'validation' END AS phase FROM events""")
+@query("""WITH x AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'WRITES' WHEN 'click' THEN 'READS' WHEN 'view' THEN 'VALIDATES' ELSE 'UPDATES' END AS rel, CASE user_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'program' WHEN 2 THEN 'dataset' END AS tt, CASE WHEN value > 50 THEN 'step' ELSE 'program' END AS ft FROM events),
+y AS (SELECT *, CASE tt WHEN 'table' THEN 'd' WHEN 'program' THEN 'c' WHEN 'dataset' THEN 'b' END AS tp, CASE ft WHEN 'step' THEN 'b' ELSE 'c' END AS fp FROM x)
+SELECT event_id, CASE WHEN tt IS NOT NULL AND tp <> fp THEN 'handoff' WHEN rel = 'READS' THEN 'intake' WHEN rel = 'VALIDATES' THEN 'validation' WHEN rel = 'UPDATES' THEN 'persistence' WHEN rel = 'WRITES' AND tt = 'dataset' THEN 'output' END AS phase FROM y""")
 def phase_classify(spark, sf):
-    return T.table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "purchase", "output").when(F.col("event_type").isin("click", "view"), "intake").when(F.col("value") > 50, "persistence").otherwise("validation").alias("phase"))
-
-
-@query(f"""WITH {ACCESSES}, m AS (SELECT rel, from_id, to_id, max(confidence) AS confidence, list_sort(list_distinct(list(evidence))) AS ev FROM a WHERE l_shipdate < '1995-06-01' GROUP BY ALL) SELECT rel, from_id, to_id, unnest(ev) AS evidence FROM m""")
-def csv_edges_expanded(spark, sf):
-    from ..operators import export
-
-    m = T.accesses(spark, sf).filter("l_shipdate < '1995-06-01'").groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.collect_set("evidence").alias("evidence"))
-    return export.csv_edges(m, expanded=True).select("rel", "from_id", "to_id", "evidence")
+    kind, k = F.col("event_type"), F.col("user_id") % 4
+    rel = F.when(kind == "purchase", "WRITES").when(kind == "click", "READS").when(kind == "view", "VALIDATES").otherwise("UPDATES")
+    to = F.when(k == 0, "table").when(k == 1, "program").when(k == 2, "dataset")
+    return T.table(spark, sf, "events").select("event_id", dossier.relation_phase(rel, F.when(F.col("value") > 50, "step").otherwise("program"), to).alias("phase"))
 
 
 @query(f"""WITH {ACCESSES}, m AS (SELECT rel, from_id, to_id, list_distinct(list(evidence)) AS ev FROM a GROUP BY ALL) SELECT rel, from_id, to_id, unnest(ev) AS evidence FROM m""")
-def csv_edges_all(spark, sf):
-    """As csv_edges_expanded, over all lines."""
+def csv_edges_expanded(spark, sf):
     from ..operators import export
 
     m = T.accesses(spark, sf).groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence"), F.collect_set("evidence").alias("evidence"))

@@ -64,12 +64,15 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def encoding(content: Column) -> Column:
-    """By byte order mark, else utf-8 if the first bytes are valid and hold at most two NULs, else latin1. A character cut at the end of the sample makes it latin1."""
+    """By byte order mark, else utf-8 if the first bytes are valid and hold at most two NULs, else latin1. A character that the end of the sample cuts does not count."""
     mark, sample = F.hex(F.substring(content, 1, 3)), F.substring(content, 1, UTF8_SAMPLE)
+    valid = F.is_valid_utf8(sample.cast("string"))
+    for less in (1, 2, 3):
+        valid = valid | ((F.octet_length(content) > UTF8_SAMPLE) & F.is_valid_utf8(F.substring(content, 1, UTF8_SAMPLE - less).cast("string")))
     nuls = F.length(F.regexp_replace(F.hex(sample), "(00)|..", "$1"))
     return (
         F.when(F.startswith(mark, F.lit("FFFE")), "UTF-16LE").when(F.startswith(mark, F.lit("FEFF")), "UTF-16BE").when(mark == "EFBBBF", "UTF-8-BOM")
-        .when(F.is_valid_utf8(sample.cast("string")) & (nuls <= 4), "UTF-8").otherwise("ISO-8859-1")
+        .when(valid & (nuls <= 4), "UTF-8").otherwise("ISO-8859-1")
     )
 
 
