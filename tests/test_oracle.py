@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
-from tracelode.plans import table_queries
+from tracelode.plans import source_queries, table_queries
 
+QUERIES, ORACLE = table_queries.QUERIES | source_queries.QUERIES, table_queries.ORACLE | source_queries.ORACLE
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,10 +24,10 @@ def plain(rows):
     return sorted(tuple("~" if v is None else f"{v:.6f}" if isinstance(v, float) and not math.isnan(v) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = table_queries.QUERIES[name](spark, SF)
-    rel = con.sql(table_queries.ORACLE[name])
+    df = QUERIES[name](spark, SF)
+    rel = con.sql(ORACLE[name])
     columns = sorted(df.columns)
     assert columns == sorted(rel.columns)
     want = rel.fetchall()
