@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from tracelode.llm import queries, sharding
 
 
@@ -32,3 +34,32 @@ def test_write(spark, frame, tmp_path):
     sharding.write_shards(df, str(tmp_path / "s"), 5)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 5
+
+
+def test_equal_rows_with_other_columns(spark, frame, monkeypatch):
+    rows = [(i % 3, "same", i) for i in range(300)] + [(i, f"t{i}", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    got = lambda d: sorted((r["doc_id"], r["text"], r["other"], r["shard"], r["slot"]) for r in sharding.shuffled(d, 7, seed=2).collect())
+    assert got(df) == got(df.repartition(6).orderBy(F.desc("other")))
+
+
+def test_hot_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    rows = [(None, "same")] * 2000 + [(i, f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, two = (sharding.shuffled(d, 5, seed=4, least=16).collect() for d in (df, df.repartition(3)))
+    key = lambda r: (str(r["doc_id"]), r["shard"], r["slot"])
+    assert len(one) == 2400 and law(one, 5) and sorted(map(key, one)) == sorted(map(key, two))
+    _, counts = sharding.scattered(df.withColumn("text_crc32", F.crc32("text")), 16, 4, "doc_id")
+    assert {r["__n"] < 220 for r in counts.collect()} == {True} and counts.agg(F.sum("__n")).first()[0] == 2400
+
+
+def test_permutation(spark, frame):
+    """Every place once, and the order of a bucket is the one that the seed draws."""
+    import numpy as np
+
+    rows = [(i, f"t{i}") for i in range(200)]
+    got = sharding.shuffled(frame(rows), 1, seed=9, least=1).collect()
+    slot = {r["doc_id"]: r["slot"] for r in got}
+    draw = np.random.default_rng([9, 0]).permutation(200)
+    assert [slot[i] for i in range(200)] == draw.tolist()

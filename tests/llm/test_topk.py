@@ -39,7 +39,18 @@ def test_few_rows(spark, n):
     assert run(spark, rows) == brute(rows)
 
 
-def test_query_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
-    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(160)]
+@pytest.mark.parametrize("hot", [False, True])
+def test_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_GROUP", 10)
+    monkeypatch.setattr(topk, "BANDS", 5)
+    rows = [(i, [float(i % 7), float(i % 3), 1.0] if not hot or i % 3 else [1.0, 2.0, 0.5]) for i in range(320)]
     assert run(spark, rows) == brute(rows)
+
+
+def test_repeated_ids_zeros_and_bounds_of_64_bits(spark):
+    rows = [(0, [0.0, 0.0]), (0, [0.0, 0.0]), (50, [3.0, -1.0]), (50, [3.0, -1.0]), (7, [1e17, 0.0]), (8, [-1e17, 0.0]), (9, [1.0])]
+    got = run(spark, rows)
+    top = (1 << 63) - 1
+    assert [r[2:] for r in got if r[0] == 50][0] == (7, top) and [r[2:] for r in got if r[0] == 50][-1] == (8, -(1 << 63))
+    assert [r[2] for r in got if r[0] == 0] == [7, 8, 9, 50, 50]

@@ -6,9 +6,14 @@ writes it. The places of a bucket follow those of the buckets before it, so ever
 place in a uniform order of all rows; place p goes to shard p mod n as its slot p div n. Shard
 sizes in rows differ by one at most, slots have no gaps, and a lost task draws the same order again.
 
+Equal rows can't be told apart, so where a bucket is hot (HOT times the mean and more than HOT_ROWS)
+its rows are counted by content before the shuffle and dealt out by copy number: a row that makes up
+a third of the table spreads like any other.
+
 Defined results: null text counts 0 bytes and has the crc32 of empty text; rows that are equal in
-id and text share a bucket and take neighbouring draws; an empty table gives no rows; other
-columns are carried under their own names, unless named like an output column, which replaces them.
+id and text but not in other columns are drawn by a hash of all carried columns (maps left out), so
+the order is the same for every layout of the input; an empty table gives no rows; other columns are
+carried under their own names, unless named like an output column, which replaces them.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import whole, written
 
 #: Bytes of rows that one bucket holds on average; a task holds one bucket.
 BUCKET_BYTES = 4 << 20
@@ -27,9 +32,30 @@ BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 96
 #: Offsets of so many buckets at most (24 bytes each) are broadcast.
 BROADCAST_BUCKETS = 50_000
+#: A bucket of more than HOT times the mean and of more than HOT_ROWS rows has rows counted by content.
+HOT, HOT_ROWS = 4, 2000
+#: Buckets of one block of running sums.
+SUM_BLOCK = 4096
 OWN = {"size", "text_crc32", "shard", "slot"}
 
 
+def scattered(rows: DataFrame, n: int, seed: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows with __bucket (of n), and the number __n of rows of each bucket."""
+    told = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]
+    rows = rows.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in told])).withColumn("__copy", F.lit(0).cast("bigint"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "text_crc32", "__tie", "__copy"), F.lit(n)).cast("int")
+    rows = rows.withColumn("__bucket", place)
+    counts = written(rows.groupBy("__bucket").agg(F.count("*").alias("__n")), "counts")
+    number = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("__n") > max(HOT_ROWS, HOT * number / n)).select("__bucket")
+    if len(told) == len(rows.columns) - 3 and not hot.isEmpty():
+        same = rows.join(hot, "__bucket", "left_semi").drop("__bucket", "__copy")
+        same = same.groupBy(*same.columns).agg(F.count("*").alias("__c")).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__c") - 1))).drop("__c").withColumn("__bucket", place)
+        rows = rows.join(hot, "__bucket", "left_anti").select(*same.columns).unionByName(same)
+        counts = written(rows.groupBy("__bucket").agg(F.count("*").alias("__n")), "counts")
+    return rows, counts
+
+
 def shuffled(df: DataFrame, shards: int = 40, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, least: int = LEAST_BUCKETS, carry: list[str] | None = None) -> DataFrame:
     """All rows of df with size (bytes of text and 16), text_crc32, shard and slot, and the columns carry (all, if None)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -37,13 +63,16 @@ def shuffled(df: DataFrame, shards: int = 40, seed: int = 1, id_col: str = "doc_
     rows = df.select(*keep, *([] if id_col in keep else [F.col(id_col)]), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
     total = df.select(F.octet_length(text).cast("bigint").alias("b")).agg(F.coalesce(F.sum(F.col("b") + 16), F.lit(0))).first()[0]
     n = max(least, -(-int(total) // bucket_bytes))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "text_crc32"), F.lit(n)).cast("int"))
-    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    rows, counts = scattered(rows, n, seed, id_col)
+    blocks = counts.withColumn("__block", F.floor(F.col("__bucket") / SUM_BLOCK))
+    whole_blocks = blocks.groupBy("__block").agg(F.sum("__n").alias("__m"))
+    earlier = whole_blocks.select("__block", (F.sum("__m").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__m")).alias("__start"))  # a row for SUM_BLOCK buckets
+    inside = F.sum("__n").over(Window.partitionBy("__block").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    before = blocks.withColumn("__in", inside).join(F.broadcast(earlier), "__block").select("__bucket", (F.col("__start") + F.col("__in")).alias("__before"))
     if n <= BROADCAST_BUCKETS:
         before = F.broadcast(before)
     schema = T.StructType([*rows.schema.fields, T.StructField("__i", T.LongType())])
-    sort_on = [id_col, "text_crc32", "size"]
+    sort_on = [id_col, "text_crc32", "size", "__tie", "__copy"]
 
     def draw(bucket: pa.Table) -> pa.Table:
         order = bucket.select(sort_on).to_pandas().sort_values(sort_on, kind="stable").index.to_numpy()
