@@ -406,7 +406,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0])
     groups, shards = max(LEAST, -(-total // GROUP_BYTES)), max(LEAST, -(-total // SHARD_BYTES))
     buckets = groups
-    grouped = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int"))
+    grouped = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int"))
     offers = grouped.groupBy("grp").applyInArrow(_offer(buckets), "bucket int, grp int, n bigint, blob binary")
     replies = offers.groupBy("bucket").applyInArrow(_shared, "grp int, bucket int, bits binary")
     sent = grouped.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(_send(buckets, shards), "shard int, grp int, n bigint, blob binary")
