@@ -20,13 +20,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
 
 
+def least_row(docs: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each key the least one, by the other columns in order."""
+    rest = [c for c in docs.columns if c != key]
+    return docs.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(*[F.col(c) if c == key else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity of 0.8) the document with the smallest id."""
+    """Of each group of near duplicates (five words, similarity of 0.8) the document with the smallest id.
+
+    Rows that share an id leave one, the least. Rows without an id can't be named as members: those with words leave one of each text, and none of a text that a row with an id has.
+    """
     groups = written(jaccard.join(docs, words=5, percent=80), "groups")
     drop = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    kept = docs.join(jaccard.sized(drop), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return kept if again.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    kept = docs.filter("doc_id is not null").join(jaccard.sized(drop), "doc_id", "left_anti").select(*docs.columns)
+    named = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not named.isEmpty():
+        kept = least_row(kept, "doc_id")
+    if groups.filter("doc_id is null").isEmpty():
+        return kept
+    bare, words = docs.filter("doc_id is null"), F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    one = least_row(bare.filter(words), "text").join(docs.filter("doc_id is not null").select("text"), "text", "left_anti").select(*docs.columns)
+    return kept.unionByName(bare.filter(~words)).unionByName(one)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
