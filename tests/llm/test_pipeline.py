@@ -41,3 +41,12 @@ def test_empty_documents(spark, sf):
 def test_registered():
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and len([n for n in names if n.startswith("op")]) >= 10
+
+
+def test_groups_without_ids_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text + " x"), (None, text), (None, "other words here"), (None, "other words here"), (None, None), (None, " "), (5, "alone"), (5, "alone"), (7, "b"), (7, "a")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, size string")
+    got = corpus_pipeline.one_of_each_group(spark, df, "")
+    assert got.columns == df.columns and sorted(((r[0] or 0), str(r[1])) for r in got.collect()) == [(0, " "), (0, "None"), (0, "other words here"), (1, text), (5, "alone"), (7, "a")]
+    assert corpus_pipeline.one_of_each_group(spark, df.limit(0), "").count() == 0
