@@ -181,6 +181,15 @@ def test_dossier_and_plan(ws):
     assert plan["waves"].count() == 4 and plan["services"].count() == d["phases"].count() and plan["backlog"].count() == 2 * d["phases"].count()
 
 
+def test_resolve_and_focused_view(ws):
+    out = commands.resolve(ws, "paymain")
+    assert out["selection"].first()["id"] in ("program:PAYMAIN", "job:PAYJOB") and "program:PAYMAIN" in {r["id"] for r in out["candidates"].collect()} and out["bridges"].count() > 0
+    view = commands.focused(ws, "PAYMAIN", "focused_partial")
+    assert view["subjects"].first()["id"] == "program:PAYMAIN" and view["subjects"].count() <= 18 and view["flows"].count() >= 1
+    d = commands.analyze(ws, ["PAYMAIN"], facts_only=True)
+    assert "PAYCHK" in {r["label"] for r in d["lineage"].filter("kind = 'chain'").collect()} and d["phases"].count() > 0
+
+
 def test_adherence(ws, tmp_path):
     (tmp_path / "pom.xml").write_text("<project/>")
     (tmp_path / "Dockerfile").write_text("FROM x")

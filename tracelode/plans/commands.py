@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema
 from ..functions.storage import cut
-from ..operators import changes, coverage, dossier, export, filters, flows, graph, model, modernize, search
+from ..operators import changes, coverage, dossier, executive as views, export, filters, flows, graph, model, modernize, resolution, search
 from ..operators.extract import cobol, extract, jcl, using
 from ..operators.extract import target as target_repo
 from ..sources import files as sources
@@ -128,13 +128,27 @@ def verify(ws: Workspace) -> dict[str, DataFrame]:
     return {"report": coverage.report(e, r, f), "gaps": coverage.gaps(e, r, f), "entrypoints": coverage.entrypoints(programs, r), "isolated": coverage.isolated(programs, r), "hotspots": coverage.hotspots(r, e), "types": coverage.histogram(e, "type"), "rels": coverage.histogram(r, "rel"), "dialects": coverage.histogram(f, "dialect"), "buckets": coverage.confidence_buckets(r)}
 
 
-def analyze(ws: Workspace, seed_names: list[str], depth: int = 2) -> dict[str, DataFrame]:
-    """Dossiers of all seeds at once: each name resolves to its best entities by fuzzy score."""
-    rows = None
+def resolve(ws: Workspace, query: str, seed_type: str | None = None) -> dict[str, DataFrame]:
+    """What a question is about, with the terminals and bridges around it."""
+    return resolution.resolve_target(ws.read("entities"), ws.read("relations"), ws.read("flows"), query, seed_type)
+
+
+def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str | None = None, facts_only: bool = False) -> dict[str, DataFrame]:
+    """Dossiers of all seeds at once: each name resolves to its best entities of the seed type. facts_only: phases without what is no fact."""
+    rows, entities, relations = None, ws.read("entities"), ws.read("relations")
     for name in seed_names:  # a handful of questions
-        best = search.score_window(search.rank_seed(ws.read("entities"), name)).select(F.lit(name).alias("seed"), "id")
+        best = search.score_window(resolution.ranked(entities, relations, name, seed_type)).select(F.lit(name).alias("seed"), "id")
         rows = best if rows is None else rows.union(best)
-    return dossier.analyze(cut(rows), ws.read("entities"), ws.read("relations"), depth)
+    out = dossier.analyze(cut(rows), entities, relations, depth)
+    out["lineage"] = views.lineage_summary(out["relations"], entities)
+    if facts_only:
+        out["phases"] = dossier.facts_only(out["phases"], out["claims"])
+    return out
+
+
+def focused(ws: Workspace, name: str, profile: str = "focused") -> dict[str, DataFrame]:
+    """The executive view around one name, within the profile's limits."""
+    return views.focused_view(seeds(ws, name), ws.read("entities"), ws.read("relations"), ws.read("flows"), views.PROFILES[profile])
 
 
 def modernize_plan(ws: Workspace, seed_names: list[str]) -> dict[str, DataFrame]:
