@@ -13,11 +13,17 @@ from tracelode.llm import decontam, jaccard, language, mixing, quality, sharding
 from tracelode.llm.common import table, written
 
 
+def renamed(docs: DataFrame, held: tuple[str, ...]) -> DataFrame:
+    """docs with all columns but held under names that no operator gives to its own."""
+    return docs.toDF(*[c if c in held else f"__c{k}" for k, c in enumerate(docs.columns)])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = docs.select(*docs.columns, language.held_out(3, 1).alias("__held_out"))
     model = quality.fit(scored.filter(~F.col("__held_out")), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).filter("predicted = 1").select(*docs.columns)
+    rows = renamed(docs, ("doc_id", "text"))
+    return quality.score(rows, model, rows.columns).filter("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def least_row(docs: DataFrame, key: str) -> DataFrame:
@@ -52,7 +58,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of documents whose tokens follow the target weights of sources, languages and topics."""
-    return mixing.mix(docs).filter("kept").select(*docs.columns)
+    rows = renamed(docs, ("doc_id", "text", "source", "lang"))
+    return mixing.mix(rows).filter("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
