@@ -50,3 +50,12 @@ def test_groups_without_ids_and_repeats(spark):
     got = corpus_pipeline.one_of_each_group(spark, df, "")
     assert got.columns == df.columns and sorted(((r[0] or 0), str(r[1])) for r in got.collect()) == [(0, " "), (0, "None"), (0, "other words here"), (1, text), (5, "alone"), (7, "a")]
     assert corpus_pipeline.one_of_each_group(spark, df.limit(0), "").count() == 0
+
+
+def test_quality_keeps_clashing_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.selectExpr("*", "doc_id + 1 as score", "doc_id + 2 as predicted", "doc_id + 3 as n_passages")
+    got = corpus_pipeline.keep_quality(spark, more, sf)
+    rows = got.selectExpr("doc_id", "score - doc_id", "predicted - doc_id", "n_passages - doc_id").collect()
+    assert got.columns == more.columns and rows and all(tuple(r)[1:] == (1, 2, 3) for r in rows)
+    assert {r[0] for r in rows} == {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, sf).select("doc_id").collect()}

@@ -57,3 +57,14 @@ def test_against_brute_force(spark, frame, odd):
 def test_bytes_that_are_no_utf8(spark):
     df = spark.createDataFrame([(1, bytearray(b"\xffgood\xc3 words\xe9"))], "doc_id bigint, text binary")
     assert quality.score(df, quality.train(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0)), ["doc_id"]).first()["score"] == 0.5
+
+
+def test_kept_text_with_bytes_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\xffgood\xc3 words\xe9")), (2, bytearray(b"good words")), (3, None), (4, bytearray())], "doc_id bigint, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    rng = np.random.default_rng(3)
+    x, owner = rng.normal(size=(20, quality.N_CLASSES + 6)), np.arange(20)
+    model = quality.train(x, owner, (x[:, 0] > 0).astype(float))
+    apart = {r["doc_id"]: r["score"] for r in quality.score(df, model, ["doc_id"]).collect()}
+    kept = quality.score(df, model, ["text", "doc_id"])
+    assert {r["doc_id"]: r["score"] for r in kept.select("doc_id", "score").collect()} == apart and len(apart) == 4
+    assert {r["doc_id"]: r["h"] for r in kept.selectExpr("doc_id", "hex(cast(text as binary)) as h").collect()} == {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", "hex(cast(text as binary)) as h").collect()}

@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import code_points, runs_of, utf8
+from .common import code_points, give_back, runs_of, utf8
 
 PASSAGE = 512
 #: Labelled documents that the model is fitted on, at most in expectation.
@@ -173,19 +175,26 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of df, with score, predicted and n_passages."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
+    text, at_text = F.col(text_col).cast("string"), keep.index(text_col) if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else None
+    # a text that is kept goes to Python once: the last column holds only what make_valid_utf8 changes
+    mended = F.make_valid_utf8(text) if at_text is None else F.when(~F.is_valid_utf8(text), F.make_valid_utf8(text))
+    rows = df.select(*keep, mended.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         classes, m = class_table(), held.value
         for batch in batches:
-            raw, at = utf8(batch.column(len(keep)))
-            out, passages = np.full(len(at) - 1, m.constant), np.ones(len(at) - 1, np.int64)
+            texts = batch.column(len(keep))
+            if at_text is not None:
+                own = batch.column(at_text)
+                texts = own if texts.null_count == len(texts) else pc.coalesce(texts.cast(own.type), own)
+            raw, at = utf8(texts)
             for i, j in runs_of(at, 1 << 18):
                 x, owner = encode(raw[at[i] : at[j]], at[i : j + 1] - at[i], classes)
-                passages[i:j] = np.bincount(owner, minlength=j - i)
-                if m.p is not None:
-                    out[i:j] = forward(m.p, (x - m.mean) / m.scale, owner)["y"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(passages)], [*keep, "score", "predicted", "n_passages"])
+                out = np.full(j - i, m.constant) if m.p is None else forward(m.p, (x - m.mean) / m.scale, owner)["y"]
+                passages = np.bincount(owner, minlength=j - i).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[: len(keep)]], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(passages)], [*keep, "score", "predicted", "n_passages"])
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int, n_passages bigint")
