@@ -41,6 +41,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that one broadcast may hold: a key is handled on its own if it holds more than this share of the rows.
+HOT_KEYS, LEAST_HOT = 100_000, 100
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the columns of side (one row for each key of rows, null too, with n, the number of rows of that key; n is left out).
+
+    Keys that hold more than a HOT_KEYS-th of all rows are at most HOT_KEYS, whatever the size of the table: they are
+    broadcast, and their rows stay where they are. The others are joined by shuffle, where no key can be large.
+    Both tables should be written ones, as each is read twice.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    limit, on = max(LEAST_HOT, -(-total // HOT_KEYS)), F.col(key).eqNullSafe(F.col("__side"))
+    named = side.withColumnRenamed(key, "__side")
+    hot, rest = named.filter(F.col(n) > limit).drop(n), named.filter(F.col(n) <= limit).drop(n)
+    columns = [*rows.columns, *[c for c in side.columns if c not in (key, n)]]
+    few = rows.join(F.broadcast(hot), on, "inner").select(*columns)
+    return rows.join(F.broadcast(hot.select("__side")), on, "left_anti").join(rest, on, "inner").select(*columns).union(few)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers are used again, and what they keep of earlier tasks counts for their executor."""
     pa.default_memory_pool().release_unused()

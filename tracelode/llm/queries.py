@@ -1,11 +1,11 @@
-"""The queries of the ten operators, each over its whole table with production parameters."""
+"""The queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, language, mixing, pii, quality, sharding, suffix, topk
+from . import audit, decontam, html, jaccard, language, mixing, pii, quality, sharding, suffix, topk
 from .common import table
 
 
@@ -57,6 +57,10 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id", "held_out"])
 
 
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_suffix_dedup": suffix_dedup,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_html_text": html_text,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_quality_mil": quality_score,
+    "op11_filter_audit": filter_audit,
 }
 #: The other queries can't be said in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op6_source_mixing": mixing.mix_sql()}
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.mix_sql(), "op11_filter_audit": audit.audit_sql()}
