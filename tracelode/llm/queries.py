@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, codes, decontam, html, jaccard, language, mixing, pii, quality, sharding, suffix, topk
+from . import audit, codes, decontam, html, jaccard, language, licenses, mixing, pii, quality, sharding, suffix, topk
 from .common import table
 
 
@@ -65,6 +65,10 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_suffix_dedup": suffix_dedup,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_quality_mil": quality_score,
     "op11_filter_audit": filter_audit,
     "op12_vector_codes": vector_codes,
+    "op13_license_scan": license_scan,
 }
 #: The other queries can't be said in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op6_source_mixing": mixing.mix_sql(), "op11_filter_audit": audit.audit_sql(), "op12_vector_codes": codes.compress_sql()}
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.mix_sql(), "op11_filter_audit": audit.audit_sql(), "op12_vector_codes": codes.compress_sql(), "op13_license_scan": licenses.scan_sql()}
