@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from tracelode.plans import source_queries, table_queries
+from tracelode.plans import question_queries, source_queries, table_queries
 
-QUERIES, ORACLE = table_queries.QUERIES | source_queries.QUERIES, table_queries.ORACLE | source_queries.ORACLE
+QUERIES, ORACLE = table_queries.QUERIES | source_queries.QUERIES | question_queries.QUERIES, table_queries.ORACLE | source_queries.ORACLE | question_queries.ORACLE
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -11,63 +11,20 @@ from pyspark.sql import functions as F
 from ..functions.identity import platform
 from ..functions.storage import cut
 from . import graph
+from . import phases as forms
+from .packs import GENERIC, Pack
+from .phases import mapped, relation_phase, step_phase  # noqa: F401
 
-# Relations by the phase that they speak for, patterns of step texts, priorities of incoming edges.
-INTAKE, VALIDATION = ("READS", "RECEIVES"), ("VALIDATES", "ROUTES_TO", "TRANSITIONS_TO", "CHECKPOINTS")
-HANDOFF, OUTPUT = ("USES_DLL", "TRIGGERS", "TRANSFERS_TO", "HANDLES_EVENTS"), ("WRITES", "EMITS", "GENERATES_REPORT")
-PROCESSING = ("CALLS", "CALLS_PROC", "EXECUTES", "HANDLES")
-STEP_INTAKE = r"\b(RECEP|ENTRADA|INICIO|LOAD|CARGA|IMPORT)\b"
-STEP_VALIDATION = r"\b(VALID|CLASSIF|ROTE|SEPARA|TRIAGE|COND)\b"
-STEP_HANDOFF = r"\b(ISD|CIP|C3|VB6|TELA|FORM|ASSIN|SBAT8|ACCC0|CNAB600)\b"
-STEP_PERSISTENCE = r"\b(GRAVA|ATUALIZA|INSERT|UPDATE|PR_|SP_)\b"
-STEP_OUTPUT = r"\b(ENVIO|EMITE|GERA|RELATOR|REPORT|SAIDA|EXPORT)\b"
+# Priorities of incoming edges, roles of data, paths that are no files, criteria that block.
 REVERSE_PRIORITY = {"CALLS_SP": 7, "WRITES": 6, "UPDATES": 6, "EMITS": 6, "GENERATES_REPORT": 6, "TRANSFERS_TO": 6, "CALLS_PROC": 5, "CALLS": 5, "EXECUTES": 5, "READS": 4, "RECEIVES": 4, "VALIDATES": 3, "ROUTES_TO": 3, "TRANSITIONS_TO": 3}
 ROLES = ((r"(?i)(RETORNO|FINAL|ASSIN|PROTOCOLO)", "return"), (r"(?i)(OUT|SAIDA|REMESSA|EMIT|RELATOR|REPORT)", "outbound"), (r"(?i)(TMP|TEMP|AUX|WORK|STG|STAGE)", "staging"), (r"(?i)(PARM|PARAM|DOM|TIPO|STATUS|CONTROLE|CTRL)", "control"))
 PSEUDO_PATH = r"(?i)^(resolved-via-flow|inferred|summary|lineage|analysis):"
 CRITICAL_CRITERIA = ("resolution", "phases", "persistence", "outputs", "citations", "reverse_trace")
-PHASE_ORDER = ("intake", "validation", "handoff", "persistence", "output")
 FIELDS = ("objective", "trigger", "actors", "processing", "inputs", "persistence", "outputs", "decisions", "contingencies")
-# What a phase is for, what starts it and who acts in it.
-PHASES = {
-    "intake": ("Recepcao operacional", "Receber o insumo inicial da funcionalidade.", "Disponibilidade da entrada principal.", "Orquestrador tecnico"),
-    "validation": ("Validacao e elegibilidade", "Validar os dados e aplicar regras de elegibilidade.", "Entrada recebida e pronta para validacao.", "Motor de regras"),
-    "handoff": ("Handoff e integracao", "Transferir o processamento entre plataformas ou componentes.", "Regra aplicada e fluxo pronto para transitar de plataforma.", "Servico externo"),
-    "persistence": ("Persistencia funcional", "Persistir o resultado funcional e o estado do fluxo.", "Resultado consolidado e pronto para gravacao.", "Banco de dados"),
-    "output": ("Entrega e retorno", "Emitir o artefato final e disponibilizar o retorno.", "Persistencia concluida e retorno pronto para emissao.", "Consumidor a jusante"),
-}
-
-
-def mapped(c: Column, table: dict, default) -> Column:
-    out = F.lit(default)
-    for k, v in table.items():
-        out = F.when(c == k, v).otherwise(out)
-    return out
-
-
 def reverse_priority(rel: Column) -> Column:
     return mapped(rel, REVERSE_PRIORITY, 1)
 
 
-def relation_phase(rel: Column, from_type: Column, to_type: Column, handoff_text: Column | None = None) -> Column:
-    """Phase that a relation speaks for; null if none. Ends on two platforms are a handoff before all else."""
-    crossed = platform(from_type) != platform(to_type)
-    return (
-        F.when(from_type.isNotNull() & to_type.isNotNull() & crossed, "handoff").when(rel.isin(*INTAKE), "intake").when(rel.isin(*VALIDATION), "validation")
-        .when(rel.isin(*HANDOFF) | (handoff_text if handoff_text is not None else F.lit(False)), "handoff")
-        .when((rel == "UPDATES") | ((rel == "CALLS_SP") & to_type.isin("procedure", "table")), "persistence")
-        .when(rel.isin(*OUTPUT) & to_type.isin("dataset", "component", "procedure"), "output").when(rel == "CALLS_SP", "persistence").when(rel.isin(*PROCESSING), "validation")
-    )
-
-
-def step_phase(text: Column, first: Column, has_gate: Column, n_in: Column, n_tables: Column, n_out: Column) -> Column:
-    """Phase of a batch step by its position, gates, data and words, in this order."""
-    t = F.upper(text)
-    return (
-        F.when(first | t.rlike(STEP_INTAKE) | ((n_in > 0) & (n_tables == 0) & (n_out == 0)), "intake").when(has_gate | t.rlike(STEP_VALIDATION), "validation").when(t.rlike(STEP_HANDOFF), "handoff")
-        .when((n_tables > 0) & (n_out > 0), "consolidation").when((n_tables > 0) | t.rlike(STEP_PERSISTENCE), "persistence").when((n_out > 0) | t.rlike(STEP_OUTPUT), "output").otherwise("processing")
-    )
-
-
 def data_role(label: Column, kind: Column, written: Column) -> Column:
     """return, outbound, staging or control by name; else master or domain for tables, outbound for datasets."""
     out = F.when(kind == "table", F.when(written, "master").otherwise("domain")).when(kind == "dataset", "outbound").otherwise("control")
@@ -99,26 +56,26 @@ def citations(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def phases(relations: DataFrame, entities: DataFrame, by: str = "seed") -> DataFrame:
-    """(seed, kind, seq, label, objective, trigger, actors, processing, inputs, persistence, outputs, evidence, confidence) from relations (seed, ...), one row for each kind that has any."""
+    """(seed, kind, seq, label, objective, trigger, actors, processing, inputs, persistence, outputs, evidence, confidence) from relations (seed, ...), one row for each kind that has any; evidence holds the first places, n_evidence counts them."""
     kinds = entities.select("id", "type", "label")
     r = relations.join(kinds.select(F.col("id").alias("from_id"), F.col("type").alias("ft"), F.col("label").alias("fl")), "from_id", "left").join(kinds.select(F.col("id").alias("to_id"), F.col("type").alias("tt"), F.col("label").alias("tl")), "to_id", "left")
     r = r.withColumn("kind", relation_phase(F.col("rel"), F.col("ft"), F.col("tt"))).filter("kind is not null")
     pick = lambda test, c: F.array_sort(F.collect_set(F.when(test, F.col(c))))
     out = r.groupBy(by, "kind").agg(
         pick(F.col("ft").isin("program", "step", "screen", "procedure", "paragraph"), "fl").alias("processing"),
-        pick(F.col("rel").isin(*INTAKE), "tl").alias("inputs"),
+        pick(F.col("rel").isin(*forms.INTAKE), "tl").alias("inputs"),
         pick(F.col("rel").isin("WRITES", "UPDATES", "CALLS_SP") & F.col("tt").isin("table", "procedure"), "tl").alias("persistence"),
-        pick(F.col("rel").isin(*OUTPUT, "UPDATES") & (F.col("tt") == "dataset"), "tl").alias("outputs"),
-        pick(F.col("rel").isin(*VALIDATION), "tl").alias("decisions"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
+        pick(F.col("rel").isin(*forms.OUTPUT, "UPDATES") & (F.col("tt") == "dataset"), "tl").alias("outputs"),
+        pick(F.col("rel").isin(*forms.VALIDATION), "tl").alias("decisions"),
         F.round(F.avg("confidence"), 2).alias("confidence"),
         F.array_sort(F.collect_set(platform(F.col("ft")))).alias("platforms"),
     )
-    order = mapped(F.col("kind"), {k: i for i, k in enumerate(PHASE_ORDER)}, 9)
+    order = mapped(F.col("kind"), {k: i for i, k in enumerate(forms.KINDS)}, 9)
     out = out.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    for i, name in enumerate(("label", "objective", "trigger")):
-        out = out.withColumn(name, mapped(F.col("kind"), {k: v[i] for k, v in PHASES.items()}, ""))
-    return out.withColumn("actors", F.array(mapped(F.col("kind"), {k: v[3] for k, v in PHASES.items()}, ""))).withColumn("contingencies", F.filter("decisions", lambda d: d.rlike(r"(?i)(ERR|ABEND|RC|STATUS)")))
+    proof = forms.shown(r.select(by, "kind", F.explode("evidence").alias("ref")).distinct(), [by, "kind"], "ref", forms.MOST_EVIDENCE)
+    out = out.join(proof.select(by, "kind", F.col("values").alias("evidence"), F.col("n").alias("n_evidence")), [by, "kind"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    out = out.select("*", *forms.texts(F.col("kind"), GENERIC.phases), mapped(F.col("kind"), forms.TRIGGERS, "").alias("trigger"))
+    return out.withColumn("contingencies", F.filter("decisions", lambda d: d.rlike(r"(?i)(ERR|ABEND|RC|STATUS)")))
 
 
 def claims(phases_: DataFrame, by: str = "seed") -> DataFrame:
@@ -164,7 +121,7 @@ def states(phases_: DataFrame, by: str = "seed") -> DataFrame:
 
 def rules(relations: DataFrame) -> DataFrame:
     """(from_id, rule, evidence): conditions and routes that programs apply."""
-    return relations.filter(F.col("rel").isin(*VALIDATION)).select("from_id", F.concat_ws(" ", "rel", "to_label").alias("rule"), "evidence")
+    return relations.filter(F.col("rel").isin(*forms.VALIDATION)).select("from_id", F.concat_ws(" ", "rel", "to_label").alias("rule"), "evidence")
 
 
 def errors(relations: DataFrame) -> DataFrame:
@@ -239,12 +196,23 @@ def gap_list(score: DataFrame, gates: DataFrame, by: str = "seed") -> DataFrame:
     return a.union(b).distinct()
 
 
-def analyze(seeds: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
-    """The whole dossier of seeds (seed, id), as tables; all seeds go through each step together."""
+def main_flows(seeds: DataFrame, flows: DataFrame) -> DataFrame:
+    """(seed, flow_id or null): for each seed (seed, id) the flow that begins at one of its ids, else one that has it as a subject; the first by id."""
+    met = flows.select(F.col("entry_id").alias("flow_id"), F.explode("subject_ids").alias("id")).union(flows.select("entry_id", "entry_id")).distinct()
+    hit = seeds.join(met, "id").groupBy("seed").agg(F.min(F.struct((F.col("flow_id") != F.col("id")).cast("int").alias("far"), "flow_id")).alias("f"))
+    return seeds.select("seed").distinct().join(hit, "seed", "left").select("seed", F.col("f.flow_id").alias("flow_id"))
+
+
+def analyze(seeds: DataFrame, entities: DataFrame, relations: DataFrame, depth: int = 2, flows: DataFrame | None = None, steps: DataFrame | None = None, pack: Pack = GENERIC) -> dict[str, DataFrame]:
+    """The whole dossier of seeds (seed, id), as tables; all seeds go through each step together. With flows and steps, phases take the form of the seed's flow."""
     nodes = cut(graph.reach(seeds, relations, "both", depth, by=("seed",)))
     r = relations.join(nodes.select("seed", F.col("id").alias("from_id")), "from_id").unionByName(relations.join(nodes.select("seed", F.col("id").alias("to_id")), "to_id")).dropDuplicates(["seed", "rel", "from_id", "to_id"])
     r = cut(r)
-    p = cut(phases(r, entities))
+    if flows is None or steps is None:
+        p, more = cut(phases(r, entities)), {}
+    else:
+        more = forms.built(main_flows(seeds, flows), r, entities, flows, steps, pack)
+        p = cut(more.pop("phases"))
     c = cut(claims(p))
     ends = nodes.join(entities.filter(F.col("type").isin("dataset", "table", "procedure")).select("id"), "id", "left_semi").select("seed", F.col("id").alias("terminal"))
     walked = reverse_traces(ends.select(F.col("terminal").alias("id")).distinct(), relations)
@@ -253,4 +221,4 @@ def analyze(seeds: DataFrame, entities: DataFrame, relations: DataFrame, depth:
     crit = cut(criteria(resolved, p, c, traces))
     score = cut(completeness(crit))
     gates = gate(score, missing_fields(p, c), p)
-    return {"phases": p, "claims": c, "traces": traces, "criteria": crit, "score": score, "gate": gates, "gaps": gap_list(score, gates), "handoffs": handoffs(p), "states": states(p), "rules": rules(r), "errors": errors(r), "objects": objects(entities.join(nodes.select("id").distinct(), "id", "left_semi")), "data_model": data_model(entities.join(nodes.select("id").distinct(), "id", "left_semi"), r), "citations": citations(entities.join(nodes.select("id").distinct(), "id", "left_semi"), r), "traceability": traceability(p, c), "relations": r}
+    return {"phases": p, "claims": c, "traces": traces, "criteria": crit, "score": score, "gate": gates, "gaps": gap_list(score, gates), "handoffs": handoffs(p), "states": states(p), "rules": rules(r), "errors": errors(r), "objects": objects(entities.join(nodes.select("id").distinct(), "id", "left_semi")), "data_model": data_model(entities.join(nodes.select("id").distinct(), "id", "left_semi"), r), "citations": citations(entities.join(nodes.select("id").distinct(), "id", "left_semi"), r), "traceability": traceability(p, c), "relations": r} | {f"phase_{k}": v for k, v in more.items()}

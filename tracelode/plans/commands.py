@@ -139,7 +139,7 @@ def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str
     for name in seed_names:  # a handful of questions
         best = search.score_window(resolution.ranked(entities, relations, name, seed_type)).select(F.lit(name).alias("seed"), "id")
         rows = best if rows is None else rows.union(best)
-    out = dossier.analyze(cut(rows), entities, relations, depth)
+    out = dossier.analyze(cut(rows), entities, relations, depth, ws.read("flows"), ws.read("steps"))
     out["lineage"] = views.lineage_summary(out["relations"], entities)
     if facts_only:
         out["phases"] = dossier.facts_only(out["phases"], out["claims"])
