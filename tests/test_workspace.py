@@ -183,7 +183,7 @@ def test_dossier_and_plan(ws):
 
 def test_resolve_and_focused_view(ws):
     out = commands.resolve(ws, "paymain")
-    assert out["selection"].first()["id"] in ("program:PAYMAIN", "job:PAYJOB") and "program:PAYMAIN" in {r["id"] for r in out["candidates"].collect()} and out["bridges"].count() > 0
+    assert out["selection"].first()["anchor_id"] in ("program:PAYMAIN", "job:PAYJOB") and "program:PAYMAIN" in {r["anchor_id"] for r in out["candidates"].collect()} and out["bridges"].count() > 0
     view = commands.focused(ws, "PAYMAIN", "focused_partial")
     assert view["subjects"].first()["id"] == "program:PAYMAIN" and view["subjects"].count() <= 18 and view["flows"].count() >= 1
     d = commands.analyze(ws, ["PAYMAIN"], facts_only=True)

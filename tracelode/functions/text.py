@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 # Letters with marks and the letters that they fold to.
 MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-# Words that a query of the resolution scorer leaves out.
+# Words that scorers leave out; resolution leaves out more.
 STOP_WORDS = ("DE", "DO", "DA", "DOS", "DAS", "THE", "AND")
+RESOLUTION_STOP_WORDS = (*STOP_WORDS, "PARA", "COM", "SEM")
 
 
 def normalize_name(c: Column) -> Column:
@@ -52,7 +53,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class Scorer:
-    """Constants of a fuzzy score; two variants are in use and differ on purpose."""
+    """Constants of a fuzzy score; two variants are in use and differ on purpose. every_token: words count also where one text contains the other."""
 
     equal: int
     contains: int
@@ -61,9 +62,12 @@ class Scorer:
     some_tokens: int
     least_similarity: float
     least_length_ratio: float = 0.0
+    stop: tuple[str, ...] = STOP_WORDS
+    least_letters: int = 1
+    every_token: bool = False
 
 
-RESOLUTION = Scorer(180, 120, 26, 54, 14, 0.78)
+RESOLUTION = Scorer(180, 120, 26, 54, 14, 0.78, stop=RESOLUTION_STOP_WORDS, least_letters=2, every_token=True)
 EXECUTIVE = Scorer(160, 115, 24, 48, 12, 0.72, 0.5)
 
 
@@ -73,15 +77,17 @@ def token_match(a: Column, b: Column, s: Scorer) -> Column:
 
 
 def score_value(query: Column, value: Column, s: Scorer = RESOLUTION) -> Column:
-    """Score of one value: equal, one contains the other, or query tokens that some value token matches.
+    """Score of one value: equal, one contains the other (letters and digits alone), or query tokens that some value token matches.
 
-    An empty value scores 0, although every text contains the empty text.
+    An empty value scores 0, although every text contains the empty text; so does a query without a word of three letters.
     """
-    q, v = normalize_text(query), normalize_text(value)
-    asked, given = tokens(query), F.filter(F.split(v, " "), lambda t: F.length(t) > 0)
+    words = lambda c, least: F.filter(F.split(normalize_text(c), " "), lambda t: (F.length(t) >= least) & ~t.isin(*s.stop))
+    q, v = F.replace(normalize_text(query), F.lit(" "), F.lit("")), F.replace(normalize_text(value), F.lit(" "), F.lit(""))
+    asked, given = words(query, 3), words(value, s.least_letters)
     hits = F.size(F.filter(asked, lambda a: F.exists(given, lambda b: token_match(a, b, s))))
     by_token = F.when(hits > 0, s.per_token * hits + F.when(hits == F.size(asked), s.all_tokens).otherwise(s.some_tokens)).otherwise(0)
-    score = F.when((F.length(q) == 0) | (F.length(v) == 0), 0).when(q == v, s.equal).when(F.contains(v, q) | F.contains(q, v), F.greatest(F.lit(s.contains), F.lit(0))).otherwise(by_token)
+    inside = F.contains(v, q) | F.contains(q, v)
+    score = F.when((F.size(asked) == 0) | (F.length(v) == 0), 0).when(q == v, s.equal).when(inside, F.greatest(F.lit(s.contains), by_token) if s.every_token else F.lit(s.contains)).otherwise(by_token)
     return score.cast("int")
 
 

@@ -127,14 +127,6 @@ def domain_pack(values: DataFrame, terms: list[str], least: int = 3) -> DataFram
     return values.agg(F.coalesce(total, F.lit(0)).alias("n_terms")).withColumn("special", F.col("n_terms") >= least)
 
 
-def pattern_score(value: Column, patterns: list[str], each: int = 28, base: int = 12, cap: int = 100) -> Column:
-    """each for every pattern that matches, and base if any does, up to cap."""
-    hits = F.lit(0)
-    for p in patterns:
-        hits = hits + F.coalesce(value.rlike(p), F.lit(False)).cast("int")
-    return F.when(hits > 0, F.least(F.lit(cap), hits * each + base)).otherwise(0)
-
-
 def resolve(df: DataFrame, flows_: DataFrame, query: str, strong: int = 100, least: int = 40) -> DataFrame:
     """(id, category, score, status): the best entity or flow for a query. A flow goes first if the best entity is weak and within 18, or if it leads by more than 12; status is resolved, weak or blocked."""
     e = rank_seed(df, query).select("id", F.lit("entity").alias("category"), "score", F.col("type").isin("step", "field", "column", "table", "control", "paragraph").alias("weak")).orderBy(F.desc("score"), "id").limit(1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema
 from ..functions.storage import cut
-from ..operators import changes, coverage, dossier, executive as views, export, filters, flows, graph, model, modernize, resolution, search
+from ..operators import changes, coverage, dossier, executive as views, export, filters, flows, graph, model, modernize, packs, resolution, search
 from ..operators.extract import cobol, extract, jcl, using
 from ..operators.extract import target as target_repo
 from ..sources import files as sources
@@ -128,21 +128,38 @@ def verify(ws: Workspace) -> dict[str, DataFrame]:
     return {"report": coverage.report(e, r, f), "gaps": coverage.gaps(e, r, f), "entrypoints": coverage.entrypoints(programs, r), "isolated": coverage.isolated(programs, r), "hotspots": coverage.hotspots(r, e), "types": coverage.histogram(e, "type"), "rels": coverage.histogram(r, "rel"), "dialects": coverage.histogram(f, "dialect"), "buckets": coverage.confidence_buckets(r)}
 
 
-def resolve(ws: Workspace, query: str, seed_type: str | None = None) -> dict[str, DataFrame]:
-    """What a question is about, with the terminals and bridges around it."""
-    return resolution.resolve_target(ws.read("entities"), ws.read("relations"), ws.read("flows"), query, seed_type)
+def domain(ws: Workspace, query: str = "", requested: str = "auto") -> packs.Pack:
+    """The domain pack that is asked for, or that the names and texts of the model and the question speak for."""
+    e, r = ws.read("entities"), ws.read("relations")
+    said = e.select(F.explode(F.concat(F.array(*[F.col(c) for c in ("id", "name", "label", "description")]), F.coalesce("semantic_tags", F.array().cast("array<string>")))).alias("value"))
+    said = said.unionByName(r.select(F.explode(F.array("from_id", "to_id", "rel")).alias("value"))).unionByName(ws.spark.createDataFrame([(query,)], "value string"))
+    return packs.chosen(said.filter("value is not null"), requested)
+
+
+def resolve(ws: Workspace, query: str, seed_type: str | None = None, depth: int = 4, pack: str = "auto", terminal: str | None = None, autonomous: bool = True) -> dict[str, DataFrame]:
+    """What a question is about, its candidates, and the terminals and bridges that may be meant."""
+    return resolution.resolve_target(ws.read("entities"), ws.read("relations"), ws.read("flows"), query, seed_type, depth, domain(ws, query, pack), terminal, autonomous)
 
 
-def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str | None = None, facts_only: bool = False) -> dict[str, DataFrame]:
-    """Dossiers of all seeds at once: each name resolves to its best entities of the seed type. facts_only: phases without what is no fact."""
-    rows, entities, relations = None, ws.read("entities"), ws.read("relations")
+def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str | None = None, facts_only: bool = False, pack: str = "auto", terminal: str | None = None, autonomous: bool = True, trace: str = "both") -> dict[str, DataFrame]:
+    """Dossiers of all seeds at once: each name resolves to one candidate and what was merged into it. facts_only: phases without what is no fact; trace: forward leaves out the reverse traces, reverse the lineage."""
+    rows, entities, relations, flows_ = None, ws.read("entities"), ws.read("relations"), ws.read("flows")
+    taken = domain(ws, " ".join(seed_names), pack)
     for name in seed_names:  # a handful of questions
-        best = search.score_window(resolution.ranked(entities, relations, name, seed_type)).select(F.lit(name).alias("seed"), "id")
-        rows = best if rows is None else rows.union(best)
-    out = dossier.analyze(cut(rows), entities, relations, depth, ws.read("flows"), ws.read("steps"))
+        found = resolution.resolve_target(entities, relations, flows_, name, seed_type, depth, taken, terminal, autonomous)
+        also = found["candidates"].join(F.broadcast(found["adopted"].select("id")), "id", "left_semi")  # three rows
+        anchors = found["selection"].select("anchor_id").union(also.select("anchor_id")).distinct().select(F.lit(name).alias("seed"), F.col("anchor_id").alias("id"))
+        picked = found["selection"].select(F.lit(name).alias("seed"), "id", "category", "label", "score", "confidence", "status")
+        rows = (anchors, picked) if rows is None else (rows[0].union(anchors), rows[1].union(picked))
+    if rows is None:
+        raise ValueError("no question is asked")
+    out = dossier.analyze(cut(rows[0]), entities, relations, depth, flows_, ws.read("steps"), taken)
+    out["resolution"] = rows[1]
     out["lineage"] = views.lineage_summary(out["relations"], entities)
+    if trace in ("forward", "reverse"):
+        out.pop("traces" if trace == "forward" else "lineage")
     if facts_only:
-        out["phases"] = dossier.facts_only(out["phases"], out["claims"])
+        out["phases"] = dossier.facts_only(out["phases"].drop(*[c for c in out["phases"].columns if c.startswith("n_")]), out["claims"])
     return out
 
 

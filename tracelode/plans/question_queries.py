@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import packs
 from ..operators import phases as P
+from ..operators import resolution as R
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +163,137 @@ m AS (SELECT i.seed, pos, id FROM i JOIN (SELECT DISTINCT seed, unnest([from_id,
 def phases_generic(spark, sf):
     entities, relations = roads(spark, sf)
     return shown(P.generic(relations, entities), relations, entities)
+
+
+# --- resolution -------------------------------------------------------------------------------------
+# Nations are screens, which use their suppliers; suppliers are programs, procedures and steps of ROADS; parts are data.
+
+ASKED = "nation_1"
+
+
+def like_sql(query: str, values: list[str], s: X.Scorer = X.RESOLUTION) -> str:
+    """DuckDB expression: the score of the best of the values for the query."""
+    words = [w for w in re.split("[^A-Z0-9]+", query.upper()) if len(w) >= 3 and w not in s.stop]
+    q, stop = re.sub("[^A-Z0-9]+", "", query.upper()), ", ".join(f"'{w}'" for w in s.stop)
+    hit = f"a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= {s.least_similarity}"
+    given = f"[b for b in string_split(regexp_replace(upper(x), '[^A-Z0-9]+', ' ', 'g'), ' ') if len(b) >= {s.least_letters} AND b NOT IN ({stop})]"
+    n = f"len([a for a in {words} if len([b for b in {given} if {hit}]) > 0])"
+    token = f"CASE WHEN {n} > 0 THEN {s.per_token} * {n} + CASE WHEN {n} = {len(words)} THEN {s.all_tokens} ELSE {s.some_tokens} END ELSE 0 END"
+    v = "regexp_replace(upper(x), '[^A-Z0-9]+', '', 'g')"
+    one = f"CASE WHEN x IS NULL OR {v} = '' THEN 0 WHEN {v} = '{q}' THEN {s.equal} WHEN contains({v}, '{q}') OR contains('{q}', {v}) THEN greatest({s.contains}, {token}) ELSE {token} END"
+    return f"list_max([{one} for x in [{', '.join(values)}]])"
+
+
+def weights_sql(column: str, table: dict, other: int) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
+
+
+def inside_sql(column: str, kinds: tuple[str, ...]) -> str:
+    return f"{column} IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+
+
+PLATFORM = "CASE WHEN type IN ('job', 'step', 'dataset') THEN 'b' WHEN type = 'program' THEN 'c' WHEN type = 'screen' THEN 'v' ELSE 'd' END"
+TERMINAL = "least(100, 28 * (regexp_matches(t, '(?i)\\b(PR_|SP_|FC_).*(TERMO|CSSAO|CESSAO|ASSIN|REMESSA|RETORNO)\\b')::INT + regexp_matches(t, '(?i)\\b(TMOD|TTERMO|TERMO|CSSAO|CESSAO).*(ASSIN|FINAL|RETORNO)\\b')::INT + regexp_matches(t, '(?i)\\b(TERMO|CESSAO).*(ASSIN|RETORNO|PROTOCOLO|FINAL)\\b')::INT + regexp_matches(t, '(?i)\\b(CIP|C3|ISD)\\b')::INT) + 12 * regexp_matches(t, '(?i)(ASSIN|FINAL|RETORNO|PROTOCOLO|TERMO)')::INT)"
+HANDOFF = "24 * regexp_matches(t, '(?i)\\b(ISD|CIP|C3|VB6|DESKTOP|CNAB600|CNAB400|REMESSA|RETORNO)\\b')::INT"
+WORLD = f"""{ROADS}, e AS (SELECT *, label || ' ' || name || coalesce(' ' || description, '') AS t FROM (
+  SELECT 'nation:' || n_nationkey AS id, 'screen' AS type, n_name AS name, n_name AS label, NULL AS description, 1.0 AS conf, false AS inferred FROM nation
+  UNION ALL SELECT 'supplier:' || s_suppkey, ['program', 'procedure', 'step'][s_suppkey % 3 + 1], s_name, 'SUPP' || s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'envia REMESSA ao CIP' WHEN 1 THEN 'TERMO de RETORNO' WHEN 2 THEN 'nation status' END, 0.875, false FROM supplier
+  UNION ALL SELECT 'part:' || p_partkey, CASE WHEN p_size % 5 = 0 THEN 'procedure' WHEN p_size % 2 = 0 THEN 'table' ELSE 'dataset' END, p_name, 'PART' || p_partkey, NULL, 0.75, p_size < 5 FROM part)),
+z AS (SELECT rel, from_id, to_id, max(conf) AS conf FROM r GROUP BY ALL UNION ALL SELECT 'USES', 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 0.5 FROM supplier),
+l AS (SELECT *, {like_sql(ASKED, ["id", "name", "label", "type", "description"])} AS base FROM e),
+rk AS (SELECT id, type, label, base + {weights_sql("type", R.TYPE_WEIGHT, R.OTHER_WEIGHT)} - CASE WHEN {inside_sql("type", R.WEAK_TYPES)} THEN 28 ELSE 0 END AS score FROM l WHERE base > 0)"""
+
+
+def ends_sql(pack: bool) -> str:
+    terminal = TERMINAL if pack else "12 * regexp_matches(t, '(?i)(ASSIN|FINAL|RETORNO|PROTOCOLO|TERMO)')::INT"
+    return f"te AS (SELECT e.id, e.type, e.label, coalesce(rk.score, 0) + {terminal} + CASE WHEN e.id IN (SELECT to_id FROM z WHERE {inside_sql('rel', R.WRITING)}) THEN 20 ELSE 0 END AS score, {terminal} AS terminal_score FROM e LEFT JOIN rk ON e.id = rk.id WHERE rk.id IS NOT NULL OR {terminal} > 0)"
+
+
+def cross_sql(pack: bool) -> str:
+    asked = " ".join([ASKED, *packs.CESSAO.terms, *packs.CESSAO.systems]) if pack else ASKED
+    return f"br AS (SELECT * FROM (SELECT id, type, label, {like_sql(asked, ['id', 'name', 'label', 'description'])} + {HANDOFF if pack else 0} + CASE WHEN id IN (SELECT unnest([from_id, to_id]) FROM z WHERE {inside_sql('rel', R.CROSSING)}) THEN 18 ELSE 0 END AS score FROM e WHERE {inside_sql('type', R.BRIDGE_TYPES)}) WHERE score > 0)"
+
+
+def question(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and flows that WORLD has."""
+    e, r = roads(spark, sf)
+    n, s, p = (T.table(spark, sf, t) for t in ("nation", "supplier", "part"))
+    k = F.col("s_suppkey")
+    said = F.when(k % 5 == 0, "envia REMESSA ao CIP").when(k % 5 == 1, "TERMO de RETORNO").when(k % 5 == 2, "nation status")
+    more = s.select(T.key("supplier", "s_suppkey").alias("id"), F.col("s_name").alias("n"), said.alias("description"), F.lit(False).alias("inferred")).union(p.select(T.key("part", "p_partkey"), "p_name", F.lit(None).cast("string"), F.col("p_size") < 5))
+    e = e.drop("name").join(more, "id").select("id", "type", F.col("n").alias("name"), "label", "description", "confidence", "inferred")
+    e = e.union(n.select(T.key("nation", "n_nationkey"), F.lit("screen"), "n_name", "n_name", F.lit(None).cast("string"), F.lit(1.0), F.lit(False)))
+    uses = s.select(F.lit("USES").alias("rel"), T.key("nation", "s_nationkey").alias("from_id"), T.key("supplier", "s_suppkey").alias("to_id"), F.lit(0.5).alias("confidence"))
+    r = r.groupBy("rel", "from_id", "to_id").agg(F.max("confidence").alias("confidence")).unionByName(uses)
+    inside = s.groupBy(T.key("nation", "s_nationkey").alias("entry_id")).agg(F.collect_set(T.key("supplier", "s_suppkey")).alias("subject_ids"), F.sort_array(F.collect_set("s_name")).alias("programs"))
+    none = F.array().cast("array<string>")
+    f = n.select(T.key("nation", "n_nationkey").alias("entry_id"), F.lit("screen").alias("type"), F.col("n_name").alias("entry_label"), F.col("n_name").alias("entry_name"), F.lit("").alias("summary"), none.alias("tokens"), none.alias("procedures"), none.alias("data_objects"), F.lit(0.75).alias("confidence")).join(inside, "entry_id", "left")
+    return e, r, f.withColumn("subject_ids", F.coalesce("subject_ids", none)).withColumn("programs", F.coalesce("programs", none))
+
+
+@query(f"WITH {WORLD}, {ends_sql(True)} SELECT id, score, terminal_score FROM te")
+def rank_terminals(spark, sf):
+    e, r, _ = question(spark, sf)
+    return R.terminals(e, r, ASKED, packs.CESSAO).select("id", "score", "terminal_score")
+
+
+@query(f"WITH {WORLD}, {cross_sql(True)} SELECT id, score FROM br")
+def rank_bridges(spark, sf):
+    e, r, _ = question(spark, sf)
+    return R.bridges(e, r, ASKED, packs.CESSAO).select("id", "score")
+
+
+SEEDS = ("", "feature", "batch", "screen", "vb6", "table", "procedure", "stored-procedure", "program", "dataset", "field", "other")
+
+
+@query("WITH " + WORLD + " " + " UNION ALL ".join(f"SELECT '{k}' AS seed_type, type, count(*) AS n FROM e WHERE {inside_sql('type', R.ENTITY_SEEDS[k]) if k in R.ENTITY_SEEDS else 'true'} GROUP BY type" for k in SEEDS))
+def seed_type_accept(spark, sf):
+    e, _, _ = question(spark, sf)
+    rows = [R.accepted(e, k).groupBy("type").agg(F.count("*").alias("n")).select(F.lit(k).alias("seed_type"), "type", "n") for k in SEEDS]
+    return reduce(lambda a, b: a.union(b), rows)
+
+
+@query(f"WITH {WORLD} SELECT id, score FROM rk")
+def rank_entities(spark, sf):
+    return R.ranked(question(spark, sf)[0], ASKED).select("id", "score")
+
+
+TYPE_ORDER = weights_sql("type", R.TYPE_WEIGHT, R.OTHER_WEIGHT)
+#: Candidates of ASKED with depth 2 and the generic pack; mv: moves, cn: nodes of clusters.
+RANKING = f"""{WORLD}, {ends_sql(False)}, {cross_sql(False)},
+fl AS (SELECT 'nation:' || n_nationkey AS entry_id, n_name AS label, list_distinct(list('supplier:' || s_suppkey) FILTER (s_suppkey IS NOT NULL)) AS subjects, count(DISTINCT s_name) AS n_programs FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
+fm AS (SELECT * FROM (SELECT entry_id, label, (upper(label) = '{ASKED.upper()}')::INT * 100 + starts_with(upper(label), '{ASKED.upper()}')::INT * 35 + contains(upper(label), '{ASKED.upper()}')::INT * 15 AS match FROM fl) WHERE match > 0 ORDER BY match DESC, label, entry_id LIMIT 10),
+em AS (SELECT id, arg_min(score, rank) AS match FROM ((SELECT id, score, 0 AS rank FROM rk ORDER BY score DESC, {TYPE_ORDER} DESC, type, label, id LIMIT 16) UNION ALL (SELECT id, score, 1 FROM te ORDER BY score DESC, type, label, id LIMIT 12) UNION ALL (SELECT id, score, 2 FROM br ORDER BY score DESC, type, label, id LIMIT 12)) GROUP BY id),
+rf AS (SELECT em.id, entry_id FROM em JOIN (SELECT entry_id, unnest(subjects) AS part FROM fl) s ON s.part = em.id),
+bg AS (SELECT DISTINCT * FROM (SELECT 'candidate:flow:' || fm.entry_id AS c, unnest(list_append(subjects, fm.entry_id)) AS id, 120 AS most FROM fm JOIN fl USING (entry_id) UNION ALL SELECT 'candidate:entity:' || id, id, 132 FROM em UNION ALL SELECT 'candidate:entity:' || rf.id, unnest(list_append(subjects, fl.entry_id)), 132 FROM rf JOIN fl USING (entry_id))),
+mv AS MATERIALIZED (SELECT from_id AS id, to_id AS nxt FROM z UNION SELECT to_id, from_id FROM z),
+h1 AS MATERIALIZED (SELECT c, id, most FROM (SELECT DISTINCT bg.c, mv.nxt AS id, bg.most FROM bg JOIN mv ON bg.id = mv.id) x WHERE NOT EXISTS (FROM bg WHERE bg.c = x.c AND bg.id = x.id) QUALIFY row_number() OVER (PARTITION BY c ORDER BY id) <= most - (SELECT count(*) FROM bg WHERE bg.c = x.c)),
+n1 AS MATERIALIZED (SELECT c, id, most FROM bg UNION ALL SELECT * FROM h1),
+h2 AS MATERIALIZED (SELECT c, id, most FROM (SELECT DISTINCT h1.c, mv.nxt AS id, h1.most FROM h1 JOIN mv ON h1.id = mv.id) x WHERE NOT EXISTS (FROM n1 WHERE n1.c = x.c AND n1.id = x.id) QUALIFY row_number() OVER (PARTITION BY c ORDER BY id) <= most - (SELECT count(*) FROM n1 WHERE n1.c = x.c)),
+cn AS MATERIALIZED (SELECT c, id FROM n1 UNION ALL SELECT c, id FROM h2)"""
+MEASURES = f"""me AS (SELECT c, count(DISTINCT {PLATFORM}) AS n_platforms, 0 AS external, count(*) FILTER (regexp_matches(coalesce(label, name), '{{state}}')) AS st, count(*) FILTER (regexp_matches(t, '(?i)(ASSIN|FINAL|RETORNO|PROTOCOLO|TERMO)')) AS ends, coalesce(floor(avg(conf) * 100 + 0.5) / 100, 0.6) AS ec, coalesce(least(42, max({like_sql(ASKED, ["description"])})), 0) AS txt FROM cn JOIN e ON cn.id = e.id GROUP BY c),
+tr AS (SELECT DISTINCT c, z.rel, from_id, to_id, z.conf FROM cn JOIN z ON cn.id = from_id OR cn.id = to_id),
+mr AS (SELECT c, max((rel IN ('WRITES', 'UPDATES', 'CALLS_SP'))::INT) AS hp, max((rel = 'WRITES')::INT) AS ho, count(*) FILTER (rel = 'VALIDATES') AS rules, avg(conf) AS rc FROM tr GROUP BY c),
+ch AS (SELECT c, count(DISTINCT id) AS chain FROM (SELECT c, unnest([from_id, to_id]) AS id FROM tr WHERE rel IN ('CALLS', 'CALLS_SP')) GROUP BY c),
+nf AS (SELECT c, count(DISTINCT entry_id) AS n_flows FROM cn JOIN (SELECT entry_id, unnest(subjects) AS id FROM fl) s USING (id) GROUP BY c),
+mm AS (SELECT me.c, n_platforms, n_platforms > 1 AS hh, coalesce(hp, 0) AS hp, coalesce(ho, 0) AS ho, ends, txt, ec, coalesce(floor(rc * 100 + 0.5) / 100, 0.6) AS rc, coalesce(chain, 0) AS chain, coalesce(n_flows, 0) AS n_flows, least(100, n_platforms * 14 + CASE WHEN n_platforms > 1 THEN 24 ELSE 0 END) AS cross_platform,
+  CASE WHEN ends > 0 OR ho = 1 THEN 18 ELSE 0 END + CASE WHEN rules > 0 THEN 10 ELSE 0 END AS fit FROM me LEFT JOIN mr USING (c) LEFT JOIN ch USING (c) LEFT JOIN nf USING (c))""".replace("count(*) FILTER (regexp_matches(coalesce(label, name), '{state}')) AS st, ", "")
+SCORED = f"""ce AS (SELECT mm.*, 'candidate:entity:' || em.id AS id, e.type AS anchor_type, e.label, match, EXISTS (FROM rf WHERE rf.id = em.id) AS flowed, e.inferred, e.conf FROM em JOIN e ON em.id = e.id JOIN mm ON mm.c = 'candidate:entity:' || em.id),
+cw AS (SELECT *, CASE WHEN flowed THEN 'feature_cluster' WHEN {inside_sql("anchor_type", R.ENTRY_TYPES)} THEN 'entrypoint' ELSE 'entity' END AS category, {inside_sql("anchor_type", R.WEAK_TYPES)} AND NOT flowed AS weak FROM ce),
+ca AS (SELECT id, category, label, anchor_type, match + CASE category WHEN 'feature_cluster' THEN 60 WHEN 'entrypoint' THEN 30 ELSE 8 END + {weights_sql("anchor_type", R.TYPE_WEIGHT, R.OTHER_WEIGHT)} + n_platforms * 10 + 12 * hp + 10 * ho + CASE WHEN hh THEN 16 ELSE 0 END + cross_platform + fit + txt - CASE WHEN weak THEN 70 ELSE 0 END - CASE WHEN inferred THEN 14 ELSE 0 END AS score,
+  floor((conf + ec + rc) / 3 * 100 + 0.5) / 100 AS confidence, weak, weak AND chain < 2 AS blocked, cross_platform, fit AS business_fit FROM cw
+  UNION ALL SELECT 'candidate:flow:' || entry_id, CASE WHEN hh OR n_flows > 1 THEN 'feature_cluster' ELSE 'flow' END, label, 'screen', match + 80 + least(n_programs * 3, 48) + n_platforms * 12 + 16 * hp + 12 * ho + CASE WHEN hh THEN 18 ELSE 0 END + cross_platform + fit + txt, floor((0.75 + ec + rc) / 3 * 100 + 0.5) / 100, false, false, cross_platform, fit FROM fm JOIN fl USING (entry_id, label) JOIN mm ON mm.c = 'candidate:flow:' || entry_id),
+pl AS (SELECT *, row_number() OVER (ORDER BY score DESC, {weights_sql("category", R.CATEGORY_WEIGHT, R.OTHER_CATEGORY)} DESC, {weights_sql("anchor_type", R.TYPE_WEIGHT, R.OTHER_WEIGHT)} DESC, confidence DESC, label, id) AS place FROM ca)"""
+
+
+@query(f"WITH {RANKING}, {MEASURES}, {SCORED} SELECT id, category, anchor_type, score, confidence, weak, blocked, cross_platform, business_fit, place FROM pl")
+def resolve_candidates(spark, sf):
+    ranking, _ = R.candidates(*question(spark, sf), ASKED, depth=2)
+    return ranking.select("id", "category", "anchor_type", "score", "confidence", "weak", "blocked", "cross_platform", "business_fit", "place")
+
+
+@query(f"""WITH {RANKING}, {MEASURES}, {SCORED}, w AS (SELECT * FROM pl WHERE place = 1), b AS (SELECT pl.*, (pl.place = 1)::INT AS own FROM pl, w WHERE pl.place = 1 OR (pl.category = 'feature_cluster' AND NOT pl.blocked AND ({inside_sql("w.anchor_type", R.WEAK_ANCHORS)} OR pl.cross_platform >= w.cross_platform + 16) AND pl.score >= w.score - 42))
+SELECT id, category, score FROM b ORDER BY own, place LIMIT 1""")
+def pick_selection(spark, sf):
+    ranking, _ = R.candidates(*question(spark, sf), ASKED, depth=2)
+    return R.steadied(ranking).select("id", "category", "score")

@@ -631,12 +631,6 @@ def domain_pack_resolve(spark, sf):
     return search.domain_pack(T.table(spark, sf, "documents").select(F.col("text").alias("value")), ["LICENSE", "TOKEN", "ZZYZX", "MAIL"])
 
 
-@query("""SELECT doc_id, least(100, 28 * h + 12) AS score FROM (SELECT doc_id, regexp_matches(text, 'License')::INT + regexp_matches(text, '[0-9]{3}-[0-9]{4}')::INT + regexp_matches(text, '@mail')::INT + regexp_matches(text, 'token = ')::INT AS h FROM documents) WHERE h > 0""")
-def rank_terminals(spark, sf):
-    d = T.table(spark, sf, "documents").select("doc_id", search.pattern_score(F.col("text"), ["License", "[0-9]{3}-[0-9]{4}", "@mail", "token = "]).alias("score"))
-    return d.filter("score > 0")
-
-
 @query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def contained_passages(spark, sf):
     """Benchmark texts inside documents. A word between two others of an item stands as a word in every text that holds the item; items without one are a few and meet all texts."""
