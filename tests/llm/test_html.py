@@ -106,3 +106,37 @@ def test_deep_and_broken_pages():
 def test_bytes_that_are_no_utf8(spark):
     df = spark.createDataFrame([(1, bytearray(b"<p>caf\xe9 bar</p>"))], "page_id int, html binary")
     assert [tuple(r) for r in html.extract(df, ["page_id"]).collect()] == [(1, "caf� bar", 8)]
+
+
+PROSE = "A paragraph of prose that belongs to the article and says something over a hundred characters, as it should be."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}</p><section id='related-work'><p>{PROSE}</p></section></article>", [TEXT, PROSE]),
+        (f"<article><p>{LONG}</p><div class='social-science'><p>{PROSE}</p></div></article>", [TEXT, PROSE]),
+        (f"<article><p>{LONG}</p><div id='search-theory'><p>{PROSE}</p></div></article>", [TEXT, PROSE]),
+        (f"<article><p>{LONG}</p><div class='alert-history'><p>{PROSE}</p></div></article>", [TEXT, PROSE]),
+        (f"<body><div class=post><p>{LONG}</p><table><tr><td>1</td><td>2</td></tr></table></div></body>", [TEXT, "1", "2"]),
+        (f"<body><table><tr><td><a>x</a></td><td><p>{LONG}</p><p>{PROSE}</p></td></tr></table></body>", [TEXT, PROSE]),
+        (f"<article><p>{LONG}</p></article><ul class='feedback-list'><li>{PROSE}</li></ul><div class='related-posts'><p>{PROSE}</p></div><div class='ad-box-2'>{PROSE}</div>", [TEXT]),
+    ],
+)
+def test_names_that_say_something_else(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
+def neutral(page):
+    """The page without any name that tells what an element is."""
+    page = re.sub(r"<(/?)(nav|header|footer|aside|form|section|article|main)\b", r"<\1div", page)
+    return re.sub(r' (class|id|role)="[^"]*"', "", page)
+
+
+def test_the_method_finds_the_text_without_names(spark, sf, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    named = [html.main_text(p) for p in pages]
+    bare = [html.main_text(neutral(p)) for p in pages]
+    assert sum(a != b for a, b in zip(named, bare, strict=True)) < 0.05 * len(pages)
+    monkeypatch.setattr(html, "core_lines", lambda ratios, box: ratios > 0)  # all lines with text outside links
+    assert sum(html.main_text(neutral(p)) != b for p, b in zip(pages, bare, strict=True)) > 0.5 * len(pages)

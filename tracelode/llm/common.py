@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy pass handles at once; a longer document is a pass of its own.
@@ -69,6 +69,17 @@ def give_back() -> None:
         trim(0)
 
 
+def named(c: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def carried(keep: list[str], own: tuple[str, ...]) -> tuple[list[str], list[Column]]:
+    """Those of the columns keep that no output column is named like, and these under names that nothing else has (k0, k1, ...)."""
+    names = [c for c in keep if c not in own]
+    return names, [named(c).alias(f"k{i}") for i, c in enumerate(names)]
+
+
 def whole(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -134,5 +145,5 @@ def within(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", valid: bool = False) -> DataFrame:
     """Only the two columns that are asked for, whatever else the table holds under whatever name; valid: with U+FFFD for bytes that are no UTF-8."""
-    text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.make_valid_utf8(text) if valid else text).alias("text"))
+    text = named(text_col).cast("string")
+    return df.select(named(id_col).cast("bigint").alias("doc_id"), (F.make_valid_utf8(text) if valid else text).alias("text"))

@@ -2,14 +2,17 @@
 
 Events of the standard library's streaming parser turn a page into lines, one for each block
 element, and a tree of the elements around them. A line's ratio is its characters outside links by
-its tags. Ratios are smoothed by a Gaussian, and a threshold between two clusters, PROSE at most,
-tells core lines from others; regions grow from core lines over neighbours of TEXTUAL or more, and
-end at links and at boilerplate. Articles and main elements are the scope if core lines lie there,
-else the smallest container around all regions. Of the scope every part that holds region lines is
-kept whole, and so is all other text between the first and the last region line.
+its tags. Ratios are smoothed by a Gaussian over the lines of the same container, and a threshold
+between two clusters, PROSE at most, tells core lines from others. The smallest container around all
+core lines bounds the regions that grow from them over neighbours of TEXTUAL or more, and end at
+links and at boilerplate; so a page whose elements have no telling names has the same text. If most
+of the region text lies in articles or main elements, these are the scope, else the smallest
+container around all regions. Of the scope every part that holds region lines is kept whole, and so
+is all other text between the first and the last region line.
 
 Element names and words of class, id and role only mark leaves as boilerplate: an element that
-holds the article, or most of the text, is none whatever it is called (see dead_nodes).
+holds the article, or most of the text, is none whatever it is called (see dead_nodes). A name counts
+only if it says nothing else: related-posts is boilerplate, related-work and social-science are not.
 
 Defined results: null or empty html, or a page with no text outside boilerplate, gives an empty
 text with n_chars 0; a page with nothing but links gives these; a tag or reference cut off at the
@@ -27,6 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import carried, named
 
 # Element names of HTML and the words by which class, id and role name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,10 +44,14 @@ ASIDE = frozenset("nav header footer aside dialog menu search".split())
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommended toolbar pagination pager login search form complementary contentinfo".split()
 )
-COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+COMMENTS = frozenset("comment comments commentlist commentary discussion disqus replies reply respond responses feedback talkback guestbook".split())
+NEUTRAL = frozenset(
+    "a an and the of for to in at by with box boxes block blocks container containers wrapper wrap outer inner area areas list lists item items link links bar bars panel pane column col row section sections group unit slot zone region content contents body text title top bottom left right center first last main primary secondary global local site page web post posts article articles story stories entry entries news more also read you your our us we button buttons btn icon icons image images img message msg form forms field input card cards small large big mobile desktop fixed sticky new old wide full js module component view template style class id google facebook twitter x email mail rss user users reader readers thread count tags tag author meta info policy privacy accept use site".split()
+)
 QUALIFIED = frozenset("no not non has have with without hide show is can enabled disabled open closed on off single".split())  # no-comments or has-sidebar name what is around
 CONTAINERS = frozenset("div section td body blockquote main article".split())
 PROSE, TEXTUAL = 60.0, 20.0  # characters a tag from which a line is core whatever the clusters are, and from which a region grows over it
+GROUP, LOOSE = 3, 0.4  # lines of a container that make text beside it loose, and what the ratio of loose text is multiplied by
 WRAPPER = 200  # characters that an element called boilerplate must hold at least to be taken for a wrapper without an article or a heading
 PLAIN, BY_TAG, BY_NAME, BY_COMMENT = 0, 1, 2, 3
 CLOSES_P = BLOCKS - {"html", "body", "head", "title"}
@@ -62,6 +72,8 @@ def cue(tag: str, attrs: list) -> int:
                 words = {w.lower() for w in WORDS.findall(token)}
                 if words & QUALIFIED:
                     continue
+                if any(w not in NAMED and w not in COMMENTS and w not in NEUTRAL and not w.isdigit() for w in words):
+                    continue
                 if words & COMMENTS:
                     return BY_COMMENT
                 if not out and words & NAMED:
@@ -80,6 +92,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[list, int, int]] = []
         self.up, self.cue, self.main, self.head, self.box = [0], [PLAIN], [False], [False], [True]
+        self.cells: list[int] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.parts: list[tuple[int, bool, str]] = []
         self.tags, self.link, self.hidden = 0, False, 0
@@ -115,6 +128,8 @@ class Lines(HTMLParser):
             self.main.append(tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs)
             self.head.append(tag == "h1")
             self.box.append(tag in CONTAINERS or self.main[-1])
+            if tag == "td":
+                self.cells.append(len(self.up) - 1)
             self.stack.append((tag, len(self.up) - 1, gone))
             self.hidden += gone
 
@@ -155,6 +170,9 @@ def parsed(html: str) -> Lines:
         except AssertionError:  # a malformed <![ section
             continue
     page.flush()
+    parents = set(page.up[1:])
+    for k in page.cells:  # a cell of data is no container, a cell of a layout is one
+        page.box[k] = k in parents
     return page
 
 
@@ -230,13 +248,52 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def regions(ratios: np.ndarray) -> np.ndarray:
-    """Which lines are content: those above the threshold, and their neighbours as far as these are textual. ratios: 0 for links and boilerplate."""
+def smoothed_within(ratios: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """smoothed() over the lines of each container by themselves."""
+    out = ratios.copy()
+    for k in np.unique(box):
+        some = np.flatnonzero(box == k)
+        out[some] = smoothed(ratios[some])
+    return out
+
+
+def core_lines(ratios: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which lines are core: smoothed above the threshold. ratios: 0 for links and boilerplate; box: the container of each line."""
+    smooth = smoothed_within(ratios, box)
+    return (smooth >= min(threshold(smooth), PROSE)) & (ratios > 0)
+
+
+def regions(ratios: np.ndarray, box: np.ndarray, core: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Which lines are content: core lines, and their neighbours among the lines within as far as these are textual."""
     smooth = smoothed(ratios)
-    cut = min(threshold(smooth), PROSE)
-    core, grows = (smooth >= cut) & (ratios > 0), (smooth >= min(cut, TEXTUAL)) & (ratios > 0)
+    grows = within & (smooth >= min(threshold(smoothed_within(ratios, box)), TEXTUAL)) & (ratios > 0)
     run = np.cumsum(np.concatenate(([True], grows[1:] != grows[:-1]))) if len(grows) else np.zeros(0, int)
-    return core | (grows & np.isin(run, run[core]))
+    return core | (grows & np.isin(run, run[core & grows]))
+
+
+def loose_lines(page: Lines, box: list[int], nodes: list[int], live: list[int]) -> np.ndarray:
+    """Lines that are alone in a container without elements, beside a container of GROUP lines or more: so stand adverts and notices, not paragraphs."""
+    n, parents = len(page.up), set(page.up[1:])
+    size = [0] * n
+    for i in live:
+        size[nodes[i]] += 1
+    for k in range(n - 1, 0, -1):
+        size[page.up[k]] += size[k]
+    beside = [False] * n
+    for k in range(1, n):
+        if page.box[k] and size[k] >= GROUP:
+            beside[box[page.up[k]]] = True
+    return np.array([page.box[k] and k not in parents and k > 0 and beside[box[page.up[k]]] for k in nodes])
+
+
+def smallest_around(found: np.ndarray, nodes: list[int], box: list[int], page: Lines) -> int:
+    """The innermost container that holds all the lines found."""
+    count = [0] * len(page.up)
+    for i in found:
+        count[box[nodes[i]]] += 1
+    for k in range(len(page.up) - 1, 0, -1):
+        count[page.up[k]] += count[k]
+    return max(k for k in range(len(page.up)) if count[k] == len(found) and page.box[k])
 
 
 def main_text(html: str | None) -> str:
@@ -249,28 +306,31 @@ def main_text(html: str | None) -> str:
     live = [i for i, t in enumerate(texts) if t]
     if not live:
         return ""
-    plain = np.array(ratios)
-    content = regions(plain) if plain.any() else np.array([bool(t) for t in texts])
-    found = np.flatnonzero(content)
-    if not len(found):
-        return ""
-    nodes = [line[2] for line in page.lines]
+    plain, nodes = np.array(ratios), [line[2] for line in page.lines]
     n, up = len(page.up), page.up
     article, box = [0] * n, [0] * n
     for k in range(1, n):
         article[k] = article[up[k]] or (k if page.main[k] and not dead[k] else 0)
         box[k] = k if page.box[k] else box[up[k]]
+    content = np.array([bool(t) for t in texts])
+    if plain.any():
+        of_line = np.array([box[k] for k in nodes])
+        plain = np.where(loose_lines(page, box, nodes, live), plain * LOOSE, plain)
+        core = core_lines(plain, of_line)
+        if not core.any():
+            return ""
+        root = smallest_around(np.flatnonzero(core), nodes, box, page)
+        under = [False] * n
+        for k in range(root, n):
+            under[k] = k == root or under[up[k]]
+        content = regions(plain, of_line, core, np.array([under[k] for k in nodes]))
+    found = np.flatnonzero(content)
     weight = np.array([len(t) for t in texts])
     inside = np.array([article[k] > 0 for k in nodes])
     if 2 * weight[content & inside].sum() >= weight[content].sum() > 0:
         spoken = {article[nodes[i]] for i in live if plain[i]} | {article[nodes[i]] for i in found}
         return "\n\n".join(texts[i] for i in live if inside[i] and article[nodes[i]] in spoken)
-    count = [0] * n
-    for i in found:
-        count[box[nodes[i]]] += 1
-    for k in range(n - 1, 0, -1):
-        count[up[k]] += count[k]
-    root = max(k for k in range(n) if count[k] == len(found) and page.box[k])
+    root = smallest_around(found, nodes, box, page)
     part: list[int | None] = [None] * n
     for k in range(root, n):
         part[k] = root if k == root else None if part[up[k]] is None else k if part[up[k]] == root and page.box[k] else part[up[k]]
@@ -281,15 +341,16 @@ def main_text(html: str | None) -> str:
 
 
 def extract(df: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The columns keep of df, with text and n_chars."""
-    rows = df.select(*keep, F.make_valid_utf8(F.col(html_col).cast("string")).alias("__html"))
+    """The columns keep of df (but those named like an output column), with text and n_chars."""
+    keep, columns = carried(keep, ("text", "n_chars"))
+    rows = df.select(*columns, F.make_valid_utf8(named(html_col).cast("string")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 texts = [main_text(x) for x in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*part.schema.names[: len(keep)], "text", "n_chars"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return rows.mapInArrow(run, schema).toDF(*keep, "text", "n_chars")
