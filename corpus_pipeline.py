@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import decontam, jaccard, language, mixing, quality, sharding
-from tracelode.llm.common import table, written
+from tracelode.llm.common import named, table, written
 
 
 def renamed(docs: DataFrame, held: tuple[str, ...]) -> DataFrame:
@@ -20,16 +20,19 @@ def renamed(docs: DataFrame, held: tuple[str, ...]) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = docs.select(*docs.columns, language.held_out(3, 1).alias("__held_out"))
+    scored = docs.select("doc_id", "text", language.held_out(3, 1).alias("__held_out"))
     model = quality.fit(scored.filter(~F.col("__held_out")), table(spark, sf_dir, "labels"))
     rows = renamed(docs, ("doc_id", "text"))
     return quality.score(rows, model, rows.columns).filter("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def least_row(docs: DataFrame, key: str) -> DataFrame:
-    """Of the rows of each key the least one, by the other columns in order."""
-    rest = [c for c in docs.columns if c != key]
-    return docs.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(*[F.col(c) if c == key else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    """Of the rows of each key the least one, by the other columns in order (maps by their JSON)."""
+    held = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = f"c{docs.columns.index(key)}"
+    rest = [f for f in held.schema.fields if f.name != at]
+    least = held.groupBy(at).agg(F.min_by(F.struct(*[f.name for f in rest]), F.struct(*[sharding.comparable(f) for f in rest])).alias("row"))
+    return least.select(*[F.col(c) if c == at else F.col(f"row.{c}") for c in held.columns]).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +42,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = written(jaccard.join(docs, words=5, percent=80), "groups")
     drop = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    kept = docs.filter("doc_id is not null").join(jaccard.sized(drop), "doc_id", "left_anti").select(*docs.columns)
-    named = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not named.isEmpty():
+    kept = docs.filter("doc_id is not null").join(jaccard.sized(drop), "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
+    held = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not held.isEmpty():
         kept = least_row(kept, "doc_id")
     if groups.filter("doc_id is null").isEmpty():
         return kept
     bare, words = docs.filter("doc_id is null"), F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    one = least_row(bare.filter(words), "text").join(docs.filter("doc_id is not null").select("text"), "text", "left_anti").select(*docs.columns)
+    one = least_row(bare.filter(words), "text").join(docs.filter("doc_id is not null").select("text"), "text", "left_anti").select(*[named(c) for c in docs.columns])
     return kept.unionByName(bare.filter(~words)).unionByName(one)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     leaks = written(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(jaccard.sized(leaks), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(jaccard.sized(leaks), "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

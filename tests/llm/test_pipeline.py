@@ -59,3 +59,12 @@ def test_quality_keeps_clashing_columns(spark, sf):
     rows = got.selectExpr("doc_id", "score - doc_id", "predicted - doc_id", "n_passages - doc_id").collect()
     assert got.columns == more.columns and rows and all(tuple(r)[1:] == (1, 2, 3) for r in rows)
     assert {r[0] for r in rows} == {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, sf).select("doc_id").collect()}
+
+
+def test_columns_of_any_name_and_maps(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.union(docs.limit(5)).selectExpr("*", "map('k', doc_id) as m", "text as `a.b`", "source as __text", "lang as score", "1 as __tie", "2 as spans")
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, odd, sf)
+        assert after.columns[: len(odd.columns)] == odd.columns and after.filter("m['k'] <> doc_id or `a.b` <> text or __text <> source or score <> lang or __tie <> 1 or spans <> 2").count() == 0
+    assert corpus_pipeline.one_of_each_group(spark, odd, sf).count() <= 60

@@ -63,3 +63,34 @@ def test_permutation(spark, frame):
     slot = {r["doc_id"]: r["slot"] for r in got}
     draw = np.random.default_rng([9, 0]).permutation(200)
     assert [slot[i] for i in range(200)] == draw.tolist()
+
+
+def test_columns_of_any_name_and_maps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    names = ["doc_id", "text", "__tie", "__copy", "__bucket", "__before", "__i", "a.b", "k0", "m"]
+    rows = [(1, "same", "t", "c", "b", "f", "i", "d", "k", {"x": 1})] * 300 + [(i, f"t{i}", f"t{i}", "c", "b", "f", "i", f"d{i}", "k", {"x": i}) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, c2 string, c3 string, c4 string, c5 string, c6 string, c7 string, c8 string, m map<string,int>").toDF(*names)
+    out = sharding.shuffled(df, 5, least=4)
+    assert out.columns == [*names, "size", "text_crc32", "shard", "slot"]
+    got = out.collect()
+    key = lambda r: (*r[:9], r["m"]["x"])
+    assert law(got, 5) and sorted(key(r) for r in got) == sorted((*r[:9], r[9]["x"]) for r in rows)
+
+
+def test_copies_of_a_row_come_out_of_many_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "same")], "doc_id bigint, text string").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(300000))).alias("n")).drop("n")
+    out = sharding.shuffled(df, 40)
+    assert out.count() == 300000 and out.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+    rows, _ = sharding.scattered(df.withColumn("text_crc32", F.crc32("text")), 96, 1, "doc_id")
+    assert rows.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_files_of_a_shard_follow_its_slots(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 200)
+    df = sharding.shuffled(frame([(i, f"t{i}") for i in range(120)]), 2)
+    sharding.write_shards(df, str(tmp_path / "s"), 2)
+    back = spark.read.parquet(str(tmp_path / "s")).select("shard", "slot", F.input_file_name().alias("file")).collect()
+    for s in (0, 1):
+        mine = sorted((r["file"].rsplit("/", 1)[-1], r["slot"]) for r in back if r["shard"] == s)
+        assert len({f for f, _ in mine}) > 2 and [x for _, x in mine] == list(range(60))

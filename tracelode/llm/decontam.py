@@ -89,6 +89,22 @@ class Lengths:
         self.has[flat >> self.shift] = True
 
 
+def taken_apart(index: "Index") -> dict:
+    """The arrays of an index without its classes, as a broadcast needs no copy of this package on executors then."""
+    return vars(index) | {"classes": [vars(c) for c in index.classes]}
+
+
+def put_together(state: dict) -> "Index":
+    index = Index.__new__(Index)
+    index.__dict__ = dict(state)
+    index.classes = []
+    for arrays in state["classes"]:
+        c = Lengths.__new__(Lengths)
+        c.__dict__ = dict(arrays)
+        index.classes.append(c)
+    return index
+
+
 class Index:
     """The q-grams of a block of items by classes of lengths, and the items without any by length."""
 
@@ -219,10 +235,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == b)
         fold, got = plain_table(), part.orderBy("doc_id", "text").collect()  # a block: BLOCK_CHARS characters
         points = [plain(np.array([ord(c) for c in r["text"]], np.uint32), fold) for r in got]
-        held = spark.sparkContext.broadcast(Index([r["doc_id"] for r in got], points, percent) if got else None)
+        held = spark.sparkContext.broadcast(taken_apart(Index([r["doc_id"] for r in got], points, percent)) if got else None)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, fold = held.value, plain_table()
+            index, fold = held.value and put_together(held.value), plain_table()
             for batch in batches if index is not None else ():
                 raw, at = utf8(batch.column(1))
                 rows, item, edits, ends = [], [], [], []

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import code_points, runs_of, utf8
+from .common import carried, code_points, named, runs_of, utf8
 
 BITS = 16
 ORDERS = 3
@@ -157,13 +158,13 @@ def scores(model: Model, raw: np.ndarray, at: np.ndarray, fold: np.ndarray) -> t
 
 
 def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of df, with lang_pred and score."""
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
+    """The columns keep of df (but those named like an output column), with lang_pred and score."""
+    held = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
+    keep, columns = carried(keep, ("lang_pred", "score"))
+    rows = df.select(*columns, F.make_valid_utf8(named(text_col).cast("string")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, m = letter_table(), held.value
+        fold, m = letter_table(), Model(*held.value)
         names = pa.array([*m.languages, "und"], pa.string())
         for batch in batches:
             raw, at = utf8(batch.column(len(keep)))
@@ -171,10 +172,10 @@ def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
             for i, j in runs_of(at):
                 best[i:j], prob[i:j] = scores(m, raw[at[i] : at[j]], at[i : j + 1] - at[i], fold)
             pred = names.take(pa.array(np.where(best < 0, len(m.languages), best)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(prob)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(prob)], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
 
 def held_out(mod: int, rest: int, key_col: str = "doc_id"):

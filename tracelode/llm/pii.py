@@ -19,6 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import carried, named
 
 # Kinds in order, anchors, and the characters of each part.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -122,8 +125,10 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def detect(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of df, with a count for each base kind, base_sha256, spans, and n_added."""
-    rows = df.select(*keep, F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
+    """The columns keep of df (but those named like an output column), with a count for each base kind, base_sha256, spans, and n_added."""
+    own = (*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_added")
+    keep, columns = carried(keep, own)
+    rows = df.select(*columns, F.make_valid_utf8(named(text_col).cast("string")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
@@ -135,10 +140,10 @@ def detect(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
                 counts = [pa.array([sum(s[0] == k for s in f) for f in base], pa.int64()) for k in KINDS[:4]]
                 digest = pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base])
                 added = pa.array([len(f) - len(b) for f, b in zip(found, base, strict=True)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *counts, digest, pa.array([joined(f) for f in found], pa.string()), added], [*keep, *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_added"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *counts, digest, pa.array([joined(f) for f in found], pa.string()), added], [*part.schema.names[: len(keep)], *own])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kinds}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *[T.StructField(c, T.StringType() if c in ("base_sha256", "spans") else T.LongType()) for c in own]])
+    return rows.mapInArrow(run, schema).toDF(*keep, *own)
 
 
 def masked(text: str, anchors=None) -> str:

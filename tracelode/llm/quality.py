@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, give_back, runs_of, utf8
+from .common import carried, code_points, give_back, named, runs_of, utf8
 
 PASSAGE = 512
 #: Labelled documents that the model is fitted on, at most in expectation.
@@ -173,16 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of df, with score, predicted and n_passages."""
-    held = df.sparkSession.sparkContext.broadcast(model)
-    text, at_text = F.col(text_col).cast("string"), keep.index(text_col) if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else None
+    """The columns keep of df (but those named like an output column), with score, predicted and n_passages."""
+    held = df.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.p, model.constant))
+    keep, columns = carried(keep, ("score", "predicted", "n_passages"))
+    text, at_text = named(text_col).cast("string"), keep.index(text_col) if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else None
     # a text that is kept goes to Python once: the last column holds only what make_valid_utf8 changes
     mended = F.make_valid_utf8(text) if at_text is None else F.when(~F.is_valid_utf8(text), F.make_valid_utf8(text))
-    rows = df.select(*keep, mended.alias("__text"))
+    rows = df.select(*columns, mended.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        classes, m = class_table(), held.value
+        classes, m = class_table(), Model(*held.value)
         for batch in batches:
             texts = batch.column(len(keep))
             if at_text is not None:
@@ -193,8 +194,8 @@ def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text")
                 x, owner = encode(raw[at[i] : at[j]], at[i : j + 1] - at[i], classes)
                 out = np.full(j - i, m.constant) if m.p is None else forward(m.p, (x - m.mean) / m.scale, owner)["y"]
                 passages = np.bincount(owner, minlength=j - i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[: len(keep)]], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(passages)], [*keep, "score", "predicted", "n_passages"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[: len(keep)]], pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(passages)], [*batch.schema.names[: len(keep)], "score", "predicted", "n_passages"])
         give_back()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int, n_passages bigint")
+    own = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_passages", T.LongType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], *own])).toDF(*keep, *[f.name for f in own])
