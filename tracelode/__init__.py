@@ -1 +1,8 @@
 """Evidence-graph analytics on PySpark: files and tables become entities and relations, queries run over them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

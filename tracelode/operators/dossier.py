@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import platform
 from ..functions.storage import cut
-from . import graph
+from . import graph, ordering
 from . import phases as forms
 from .packs import GENERIC, Pack
 from .phases import mapped, relation_phase, step_phase  # noqa: F401
@@ -43,16 +43,16 @@ def related(seeds: DataFrame, relations: DataFrame, depth: int = 2) -> DataFrame
 
 
 def citations(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(citation_id, path, line, extractor, navigable, n_owners): distinct places of evidence, numbered by path and line.
+    """(citation_id, path, line, extractor, navigable, n_owners): distinct places of evidence, numbered CIT-001, CIT-002, ... by path, line and extractor over all of them.
 
-    All extractors count, inferred ones too. Numbers are by path hash block and place, so that no task sorts all of them: CIT-<block>-<nnn>.
+    All extractors count, inferred ones too. Numbers come from ranges of the order, so that no task sorts all places.
     """
     e = entities.select(F.explode("files").alias("path"), "line", "extractor", F.col("id").alias("owner"))
     r = relations.select(F.explode("evidence").alias("ref"), "extractor", F.concat_ws("|", "from_id", "rel", "to_id").alias("owner"))
     r = r.select(F.regexp_replace("ref", ":[0-9]+$", "").alias("path"), F.regexp_extract("ref", ":([0-9]+)$", 1).alias("n"), "extractor", "owner").select("path", F.when(F.length("n") > 0, F.col("n").cast("int")).alias("line"), "extractor", "owner")
-    places = e.unionByName(r).groupBy("path", "line", "extractor").agg(F.count_distinct("owner").alias("n_owners"), F.array_sort(F.collect_set("owner")).alias("owners"))
-    n = F.row_number().over(Window.partitionBy("path").orderBy("line", "extractor"))
-    return places.withColumn("navigable", F.col("line").isNotNull() & ~F.col("path").rlike(PSEUDO_PATH)).withColumn("citation_id", F.concat(F.lit("CIT-"), F.upper(F.substring(F.md5("path"), 1, 6)), F.lit("-"), F.lpad(n.cast("string"), 3, "0")))
+    places = e.unionByName(r).groupBy("path", "line", "extractor").agg(F.count_distinct("owner").alias("n_owners"))
+    places = ordering.numbered(places, [F.col("path"), F.coalesce("line", F.lit(0)), F.coalesce("extractor", F.lit(""))], "n")
+    return places.withColumn("navigable", F.col("line").isNotNull() & ~F.col("path").rlike(PSEUDO_PATH)).withColumn("citation_id", ordering.padded(F.col("n"), "CIT-")).drop("n")
 
 
 def phases(relations: DataFrame, entities: DataFrame, by: str = "seed") -> DataFrame:

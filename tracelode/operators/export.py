@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_quote, dot_escape, xml_escape
+from . import ordering
 
 #: Rows that a diagram text is made of at most; beyond, reduce the graph first.
 DIAGRAM_ROWS = 500
 
 
+def sorted_entities(entities: DataFrame) -> DataFrame:
+    """Entities by type, label and id as a dictionary has them, in ranges: files follow each other."""
+    return ordering.ranged(entities, [ordering.natural(c) for c in ("type", "label", "id")] + [F.col("id")])
+
+
+def sorted_relations(relations: DataFrame) -> DataFrame:
+    return ordering.ranged(relations, [ordering.natural(c) for c in ("rel", "from_id", "to_id")] + [F.col("from_id"), F.col("to_id")])
+
+
 def csv_edges(relations: DataFrame, expanded: bool = False) -> DataFrame:
     """Relations with evidence as one text (joined by " | "), or one row for each piece of evidence."""
     if expanded:

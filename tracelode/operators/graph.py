@@ -7,6 +7,8 @@ graph comes to the driver but the count that tells when a walk is over.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,43 +117,128 @@ def on_cycles_pairs(edges: DataFrame, max_depth: int) -> DataFrame:
     return inside.join(back, ["from_id", "to_id"], "left_semi").withColumn("is_back_edge", F.lit(True))
 
 
-def trimmed(pairs: DataFrame) -> DataFrame:
-    """pairs without the edges at nodes that nothing leads to or that lead nowhere, over and over: what is left lies on cycles or between them."""
-    n = pairs.count()
+#: Pointer jumps of one written table.
+JUMPS = 4
+
+
+def raked(pairs: DataFrame) -> DataFrame:
+    """pairs without the edges at nodes that nothing leads to or that lead nowhere: one layer of them."""
+    return pairs.join(pairs.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(pairs.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
+
+
+def chained(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """pairs with chains as single edges, the chains (id, chain, from_id, to_id), and rings (id, component); None if no node is on a chain.
+
+    A node of a chain has one edge in and one out. Every such node points to the next one, and pointers
+    jump over pointers, so that rounds grow with the logarithm of the longest chain. A chain is named after its last node; nodes
+    that never come to an end lie on a ring of their own, which is named after its smallest node.
+    """
+    one_out = pairs.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n"), F.min("to_id").alias("next")).filter("n = 1 and id <> next").select("id", "next")
+    one_in = pairs.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n")).filter("n = 1").select("id")
+    at = cut(one_out.join(one_in, "id").select("id", "next", F.col("id").alias("last"), F.col("id").alias("least")))
+    n = at.count()
+    if not n:
+        return None
+    far = 1
+    while far <= n:
+        for _ in range(JUMPS):
+            on = at.select(F.col("id").alias("next"), F.col("next").alias("n2"), F.col("last").alias("l2"), F.col("least").alias("m2"))
+            at = at.join(on, "next", "left").select("id", F.coalesce("n2", "next").alias("next"), F.coalesce("l2", "last").alias("last"), F.least("least", "m2").alias("least"))
+            far *= 2
+        at = cut(at)
+        if at.join(at.select(F.col("id").alias("next")), "next", "left_semi").isEmpty():
+            break
+    inner = at.select("id")
+    rings = at.join(inner.withColumnRenamed("id", "next"), "next", "left_semi").select("id", F.col("least").alias("component"))
+    ended = at.join(inner.withColumnRenamed("id", "next"), "next", "left_anti")
+    heads = pairs.join(inner.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
+    first = heads.join(ended.select(F.col("id").alias("to_id"), F.col("last").alias("chain"), "next"), "to_id").select("chain", "from_id", F.col("next").alias("to_id"))
+    first = cut(first)
+    rest = heads.join(inner.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id")
+    chains = ended.select("id", F.col("last").alias("chain")).join(first, "chain")
+    return cut(rest.union(first.select("from_id", "to_id")).distinct()), cut(chains), cut(rings)
+
+
+def contracted(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """pairs raked and with chains as edges, over and over, the chains of each time, and rings: what is left has branches at every node. Trees and chains go in rounds that grow with the logarithm of their size."""
+    levels, rings, n = [], [], pairs.count()
     while n:
-        pairs = cut(pairs.join(pairs.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(pairs.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id"))
+        found = chained(pairs)
+        if found is not None:
+            pairs, chains, ring = found
+            levels.append(chains)
+            rings.append(ring)
+        pairs = cut(raked(pairs))
         n, before = pairs.count(), n
         if n == before:
             break
-    return pairs
+    return pairs, levels, rings
+
+
+def coloured(pairs: DataFrame) -> DataFrame:
+    """(id, colour): of each node the smallest node that leads to it; a colour also jumps to the colour of its own node."""
+    colours = cut(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")).distinct().withColumn("colour", F.col("id")))
+    while True:
+        ahead = pairs.join(colours.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("colour").alias("near"))
+        step = colours.join(ahead, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("m"))
+        far = colours.select(F.col("id").alias("m"), F.col("colour").alias("far"))
+        new = cut(step.join(far, "m", "left").select("id", "old", F.least("m", F.coalesce("far", "m")).alias("colour")))
+        colours = new.select("id", "colour")
+        if new.filter("colour <> old").isEmpty():
+            return colours
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(id, component, size): nodes that can reach themselves, by the smallest node that each can reach and be reached from.
 
-    A round colours each node with the smallest node that leads to it. The nodes of a colour that lead back to the node it is named after are its component; the rest, within its colour, goes to the next round. State is one colour a node and never a pair of nodes.
+    Trees and chains are contracted first. Then a round colours each node with the smallest node that leads to it. The nodes of a colour that lead back to the node it is named after are a component; the rest, within its colour, goes to the next round. Nodes of a chain belong to a component if both ends of the chain do. State is one colour a node and never a pair of nodes.
     """
-    pairs = trimmed(cut(edges.select("from_id", "to_id").distinct()))
-    out = None
+    pairs, levels, rings = contracted(cut(edges.select("from_id", "to_id").distinct()))
+    out = [r.select("id", "component") for r in rings]
     while not pairs.isEmpty():
-        colours = cut(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")).distinct().withColumn("colour", F.col("id")))
-        while True:
-            ahead = pairs.join(colours.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("colour").alias("near"))
-            new = cut(colours.join(ahead, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("colour")))
-            colours = new.select("id", "colour")
-            if new.filter("colour <> old").isEmpty():
-                break
+        colours = coloured(pairs)
         c, d = colours.select(F.col("id").alias("from_id"), F.col("colour").alias("c")), colours.select(F.col("id").alias("to_id"), F.col("colour").alias("d"))
         pairs = cut(pairs.join(c, "from_id").join(d, "to_id").filter("c = d").select("from_id", "to_id", "c"))
         roots = pairs.select(F.col("c").alias("id")).distinct()
         found = cut(reach(roots, pairs.select("from_id", "to_id"), "upstream", 999).join(colours, "id").select("id", F.col("colour").alias("component")))
         selves = pairs.filter("from_id = to_id").select(F.col("from_id").alias("id"))
         many = found.groupBy("component").agg(F.count("*").alias("size"))
-        part = cut(found.join(many, "component").join(selves.withColumn("self", F.lit(True)), "id", "left").filter("size > 1 or self").select("id", "component", "size"))
-        out = part if out is None else out.unionByName(part)
+        out.append(cut(found.join(many, "component").join(selves.withColumn("self", F.lit(True)), "id", "left").filter("size > 1 or self").select("id", "component")))
         rest = pairs.join(found.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(found.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-        pairs = trimmed(cut(rest.select("from_id", "to_id")))
-    return out if out is not None else edges.select(F.col("from_id").alias("id"), F.col("from_id").alias("component"), F.lit(0).cast("bigint").alias("size")).limit(0)
+        pairs, more, round_ = contracted(cut(rest.select("from_id", "to_id")))
+        levels, out = levels + more, out + [r.select("id", "component") for r in round_]
+    if not out:
+        return edges.select(F.col("from_id").alias("id"), F.col("from_id").alias("component"), F.lit(0).cast("bigint").alias("size")).limit(0)
+    nodes = cut(reduce(lambda a, b: a.unionByName(b), out))
+    for chains in reversed(levels):  # what was contracted last comes back first
+        a, b = nodes.select(F.col("id").alias("from_id"), "component"), nodes.select(F.col("id").alias("to_id"), F.col("component").alias("d"))
+        nodes = cut(nodes.unionByName(chains.join(a, "from_id").join(b, "to_id").filter("component = d").select("id", "component")))
+    name = nodes.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("size"))
+    return nodes.join(name, "component").select("id", F.col("name").alias("component"), "size")
+
+
+def cycles(edges: DataFrame, longest: int = 64) -> DataFrame:
+    """(component, cycle, length): closed paths, one for each edge that leads back to a node on the shortest way from the smallest node of its component.
+
+    All components are walked at once from their smallest nodes; a node keeps one way, the shortest and then the smallest by ids. A cycle begins and
+    ends at its smallest node. Ways of more than longest nodes are not followed; every component has a cycle through its smallest node if that is no longer.
+    """
+    pairs = cut(edges.select("from_id", "to_id").distinct())
+    of = cut(cycle_nodes(pairs).select("id", "component"))
+    inside = pairs.join(of.select(F.col("id").alias("from_id"), "component"), "from_id").join(of.select(F.col("id").alias("to_id"), F.col("component").alias("d")), "to_id").filter("component = d").select("component", "from_id", "to_id")
+    inside = cut(inside)
+    frontier = cut(of.filter("id = component").select("id", F.array("id").alias("way")))
+    ways = frontier
+    for _ in range(longest - 1):
+        ahead = frontier.join(inside, frontier["id"] == inside["from_id"]).select(F.col("to_id").alias("id"), F.concat("way", F.array("to_id")).alias("way")).groupBy("id").agg(F.min("way").alias("way"))
+        frontier = cut(ahead.join(ways.select("id"), "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        ways = ways.unionByName(frontier)
+    back = inside.join(ways.withColumnRenamed("id", "from_id"), "from_id").withColumn("at", F.array_position("way", F.col("to_id"))).filter("at > 0")
+    ring = back.select("component", F.slice("way", F.col("at").cast("int"), F.size("way")).alias("r")).withColumn("k", F.array_position("r", F.array_min("r")).cast("int"))
+    turned = F.concat(F.slice("r", F.col("k"), F.size("r")), F.slice("r", F.lit(1), F.col("k") - 1), F.array(F.array_min("r")))
+    return ring.select("component", turned.alias("cycle"), F.size("r").alias("length")).distinct()
 
 
 def reverse_trace(seeds: DataFrame, edges: DataFrame, rels: list[str], max_depth: int = 20) -> tuple[DataFrame, DataFrame]:

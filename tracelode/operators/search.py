@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from ..functions.text import RESOLUTION, Scorer, normalize_text, score_text, tokens
+from ..functions.text import RESOLUTION, Scorer, normalize_text, score_text, token_match, tokens
 
 
 def any_of(columns: list[str], test) -> Column:
@@ -117,6 +122,84 @@ def token_search(df: DataFrame, index: DataFrame, aliases: DataFrame, term: str,
     return found
 
 
+# --- stored index ------------------------------------------------------------------------------------
+
+#: Bytes of a row group of the index files: a prefix reads only the groups whose range of tokens it meets.
+GROUP_BYTES = 1 << 20
+GRAM = 2
+
+
+def normal(text: str) -> str:
+    """Upper case without marks, as normalize_text has it."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).upper()
+
+
+def grams_of(token: Column) -> Column:
+    """Distinct runs of GRAM letters of a token with its ends marked."""
+    marked = F.concat(F.lit("^"), token, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - (GRAM - 1)), lambda i: F.substr(marked, i, F.lit(GRAM))))
+
+
+def write_index(df: DataFrame, columns: list[str], folder: str, parts: int | None = None) -> None:
+    """Writes the inverted index of df (id, columns): postings (token, id) in ranges of tokens, so that a prefix prunes files and row groups; words (token, length); and grams (gram, length, token) in ranges of letter pairs."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = {"parquet.block.size": str(GROUP_BYTES)}
+    post = token_index(df, columns).filter("token <> ''").distinct()
+    post.repartitionByRange(n, "token", "id").sortWithinPartitions("token", "id").write.options(**sized).parquet(f"{folder}/postings")
+    words = df.sparkSession.read.parquet(f"{folder}/postings").select("token").distinct().select("token", F.length("token").alias("length"))
+    words.repartitionByRange(n, "length", "token").sortWithinPartitions("length", "token").write.options(**sized).parquet(f"{folder}/words")
+    near = df.sparkSession.read.parquet(f"{folder}/words").select(F.explode(grams_of(F.col("token"))).alias("gram"), "length", "token")
+    near.repartitionByRange(n, "gram", "length", "token").sortWithinPartitions("gram", "length", "token").write.options(**sized).parquet(f"{folder}/grams")
+
+
+@dataclass(frozen=True)
+class Index:
+    postings: DataFrame
+    words: DataFrame
+    grams: DataFrame
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "words", "grams")])
+
+
+def by_prefix(index: Index, term: str) -> DataFrame:
+    """(id) of the entries with a token that begins with the term; the range of tokens reaches the scan."""
+    return index.postings.filter(F.startswith("token", F.lit(normal(term)))).select("id").distinct()
+
+
+def like_tokens(index: Index, asked: str, scorer: Scorer = RESOLUTION) -> DataFrame:
+    """(token) of all indexed tokens that match the asked word: equal, one inside the other, or as similar as the scorer wants.
+
+    An edit changes two letter pairs at most, so a token that is similar shares a pair with the word where the word has more distinct pairs than twice
+    the edits that its similarity allows; such tokens are read by pair and length, others by length. The edit distance is taken of these only.
+    """
+    m, reach = len(asked), 1 - scorer.least_similarity
+    low, high = int(m * scorer.least_similarity), int(m / scorer.least_similarity) + 1
+    pairs = sorted({f"^{asked}$"[i : i + GRAM] for i in range(m + 3 - GRAM)})
+    edits = int(reach * high + 1e-9)
+    near = (F.col("length") >= low) & (F.col("length") <= high)
+    similar = index.grams.filter(F.col("gram").isin(pairs) & near) if len(pairs) > 2 * edits else index.words.filter(near)
+    inside = index.words.filter(F.contains("token", F.lit(asked)) | F.contains(F.lit(asked), F.col("token")))
+    return inside.select("token").union(similar.select("token")).distinct().filter(token_match(F.lit(asked), F.col("token"), scorer))
+
+
+def fuzzy_indexed(df: DataFrame, index: Index, query: str, columns: list[str], scorer: Scorer = RESOLUTION) -> DataFrame:
+    """fuzzy() by way of a stored index of the same columns: only rows with a token like a word of the query's are scored, and rows whose letters without blanks hold those of the query or lie in them.
+
+    Where letters run over the ends of words, one of the words lies in the query, or holds the first or the last half of it at its end or start.
+    """
+    words = [w for w in re.split("[^A-Z0-9]+", normal(query)) if w]
+    asked, bare = [w for w in words if len(w) >= 3 and w not in scorer.stop], "".join(words)
+    if not asked:
+        return df.limit(0).withColumn("score", F.lit(0))
+    found = reduce(lambda a, b: a.union(b), [like_tokens(index, w, scorer) for w in asked])
+    halves = [F.endswith("token", F.lit(bare[:k])) | F.startswith("token", F.lit(bare[-k:])) for k in range(-(-len(bare) // 2), len(bare) + 1)]
+    across = index.words.filter(reduce(lambda a, b: a | b, [F.contains(F.lit(bare), F.col("token")), F.contains("token", F.lit(bare)), *halves])).select("token")
+    ids = index.postings.join(found.union(across).distinct(), "token", "left_semi").select("id").distinct()
+    return fuzzy(df.join(ids, "id", "left_semi"), query, columns, scorer)
+
+
 def domain_pack(values: DataFrame, terms: list[str], least: int = 3) -> DataFrame:
     """(n_terms, special): how many terms occur anywhere in values (value), and whether they are enough for the special pack."""
     text = normalize_text(F.col("value"))

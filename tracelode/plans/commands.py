@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import uuid
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,29 +19,95 @@ from ..operators.extract import cobol, extract, jcl, using
 from ..operators.extract import target as target_repo
 from ..sources import files as sources
 
+MANIFEST = "version int, stamp string, name string, path string"
 PHASES = ("init", "ingest", "model", "map", "verify", "analyze", "modernize")
 
 
 @dataclass
 class Workspace:
-    """Where a project's tables lie."""
+    """A project's tables, in versions that are never changed.
+
+    A table is written to a folder of its own. What belongs together becomes visible at once, by a manifest that is written last and says
+    which folder each table has in a version; a run that fails before leaves the version before readable. One writer at a time is assumed;
+    if two finish at once, the later name of the two manifests counts. Ledgers (append) are not versioned.
+    """
 
     spark: SparkSession
     folder: str
     roots: tuple[str, ...]
+    version: int | None = None  # a fixed version to read; the newest if None
+    known: dict[int, dict[str, str]] | None = field(default=None, repr=False, compare=False)
+    pending: dict[str, str] | None = field(default=None, repr=False, compare=False)
+
+    def versions(self) -> dict[int, dict[str, str]]:
+        """Of each version the folder of each table: a few rows a version."""
+        if self.known is None:
+            try:
+                rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests/*").select("version", "stamp", "name", "path").collect()
+            except AnalysisException as e:
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                rows = []
+            last = {}
+            for r in rows:
+                last[r["version"]] = max(last.get(r["version"], ""), r["stamp"])
+            self.known = {}
+            for r in rows:
+                if r["stamp"] == last[r["version"]]:
+                    self.known.setdefault(r["version"], {})[r["name"]] = r["path"]
+        return self.known
+
+    def refresh(self) -> None:
+        """Looks again for versions that others have written."""
+        self.known = None
+
+    def tables(self) -> dict[str, str]:
+        found = [v for v in self.versions() if self.version is None or v <= self.version]
+        return (self.versions()[max(found)] if found else {}) | (self.pending or {})
+
+    def at(self, version: int) -> Workspace:
+        """The workspace as it was in a version; it can't be written."""
+        return replace(self, version=version, known=self.known, pending=None)
+
+    @contextmanager
+    def change(self):
+        """What is written inside becomes one version, or none if something fails."""
+        if self.version is not None:
+            raise ValueError(f"version {self.version} is fixed: a past version is not written again")
+        if self.pending is not None:  # inside another change
+            yield self
+            return
+        self.pending = {}
+        try:
+            yield self
+            if self.pending:
+                self.publish(self.tables())
+        finally:
+            self.pending = None
+
+    def publish(self, tables: dict[str, str]) -> None:
+        number, stamp = max(self.versions(), default=0) + 1, uuid.uuid4().hex
+        rows = [(number, stamp, name, path) for name, path in sorted(tables.items())]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.folder}/manifests/{number:08d}-{stamp}")
+        self.known = self.versions() | {number: dict(tables)}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(self.tables().get(name) or f"{self.folder}/{name}")
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        cut(df).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        with self.change():
+            path = f"{self.folder}/tables/{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            self.pending[name] = path
         return self.read(name)
 
     def exists(self, name: str) -> bool:
+        if name in self.tables():
+            return True
         try:
-            return bool(self.read(name).columns)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return bool(self.spark.read.parquet(f"{self.folder}/{name}").columns)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return False
             raise
 
@@ -52,6 +121,11 @@ def init(spark: SparkSession, folder: str, roots: list[str]) -> Workspace:
 
 def ingest(ws: Workspace, with_records: bool = True) -> DataFrame:
     """Scans and classifies the roots; extracts what is new or changed, and keeps the records of unchanged files."""
+    with ws.change():
+        return ingested(ws, with_records)
+
+
+def ingested(ws: Workspace, with_records: bool) -> DataFrame:
     found = cut(sources.classify(sources.scan(ws.spark, list(ws.roots))))
     old = ws.read("files") if ws.exists("files") else ws.spark.createDataFrame([], schema.FILES)
     todo = changes.to_process(found, old)
@@ -84,14 +158,16 @@ def build_model(ws: Workspace) -> tuple[DataFrame, DataFrame]:
     calls = relations.filter("from_type = 'program'")
     made = model.build_contracts(calls, ws.read("uses"), relations.filter("rel = 'INCLUDES'"))
     relations = cut(relations.unionByName(made))
-    return ws.write("entities", model.prune_inferred(entities, relations)), ws.write("relations", relations)
+    with ws.change():
+        return ws.write("entities", model.prune_inferred(entities, relations)), ws.write("relations", relations)
 
 
 def build_map(ws: Workspace) -> DataFrame:
     """Batch steps and functional flows."""
     e, r = ws.read("entities"), ws.read("relations")
-    steps = ws.write("steps", flows.batch(e, r, ws.read("conditions")))
-    return ws.write("flows", flows.functional(e, r, steps))
+    with ws.change():
+        steps = ws.write("steps", flows.batch(e, r, ws.read("conditions")))
+        return ws.write("flows", flows.functional(e, r, steps))
 
 
 def find(ws: Workspace, term: str, kind: str | None = None, with_relations: bool = False) -> dict[str, DataFrame]:
@@ -180,7 +256,7 @@ def modernize_verify(ws: Workspace, plan: dict[str, DataFrame], target_root: str
 
 
 def diff(ws: Workspace, other: Workspace) -> dict[str, DataFrame]:
-    """What other has against ws: entities by (name, type), relations by (from, rel, to)."""
+    """What other has against ws, two workspaces or two versions of one (ws.at(1)): entities by (name, type), relations by (from, rel, to)."""
     e = changes.snapshot_diff(ws.read("entities"), other.read("entities"), ["name", "type"], "confidence")
     r = changes.snapshot_diff(ws.read("relations"), other.read("relations"), ["from", "rel", "to"], "confidence")
     return {"entities": e, "relations": r.filter("change <> 'changed'")}
@@ -213,6 +289,7 @@ def export_model(ws: Workspace, form: str, least: float = 0.0, rels: list[str] |
         e = filters.without_inferred(e)
     if types or no_inferred:
         r = graph.induced(r, e)
+    e, r = export.sorted_entities(e), export.sorted_relations(r)
     return {"csv": lambda: export.csv_edges(r), "csv-expanded": lambda: export.csv_edges(r, True), "csv-nodes": lambda: export.csv_nodes(e), "graphml": lambda: export.graphml(e, r), "dot": lambda: export.dot(e, r), "jsonl": lambda: export.jsonl(export.evidence_records(r))}[form]()
 
 

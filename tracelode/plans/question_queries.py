@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import packs
+from ..functions.storage import shared_dir
+from ..operators import dossier, ordering, packs, search
 from ..operators import phases as P
 from ..operators import resolution as R
 from ..sources import tables as T
@@ -297,3 +299,43 @@ SELECT id, category, score FROM b ORDER BY own, place LIMIT 1""")
 def pick_selection(spark, sf):
     ranking, _ = R.candidates(*question(spark, sf), ASKED, depth=2)
     return R.steadied(ranking).select("id", "category", "score")
+
+
+# --- stored index, numbers over all rows ---------------------------------------------------------------
+
+
+def part_index(spark, sf) -> tuple[DataFrame, search.Index]:
+    """Parts (id, name) and the stored index of their names."""
+    p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(p, ["name"], folder)
+    return p, search.read_index(spark, folder)
+
+
+NAMES = "n AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part)"
+
+
+@query(f"WITH {NAMES} SELECT DISTINCT id FROM (SELECT id, unnest(string_split(trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')), ' ')) AS token FROM n) WHERE starts_with(token, 'WI')")
+def fts_prefix(spark, sf):
+    return search.by_prefix(part_index(spark, sf)[1], "wi")
+
+
+@query(f"WITH {NAMES} SELECT id, score FROM (SELECT id, {like_sql('red widgit', ['name'])} AS score FROM n) WHERE score > 0")
+def fuzzy_by_index(spark, sf):
+    p, index = part_index(spark, sf)
+    return search.fuzzy_indexed(p, index, "red widgit", ["name"]).select("id", "score")
+
+
+@query("""WITH r AS (SELECT DISTINCT 'supplier:' || l_suppkey AS path, (l_orderkey % 50)::INT AS line, CASE l_returnflag WHEN 'R' THEN 'jcl' ELSE 'sql' END AS extractor FROM lineitem)
+SELECT path, line, extractor, 'CIT-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS citation_id FROM (SELECT *, row_number() OVER (ORDER BY path, line, extractor) AS n FROM r)""")
+def citation_numbers(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    ref = F.concat_ws(":", F.lit("supplier"), "l_suppkey", (F.col("l_orderkey") % 50))
+    r = li.select(F.lit("READS").alias("rel"), T.key("part", "l_partkey").alias("from_id"), T.key("part", "l_partkey").alias("to_id"), F.array(ref).alias("evidence"), F.when(F.col("l_returnflag") == "R", "jcl").otherwise("sql").alias("extractor"))
+    none = spark.createDataFrame([], "id string, files array<string>, line int, extractor string")
+    return dossier.citations(none, r).select("path", "line", "extractor", "citation_id")
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_type, p_name, p_partkey) AS place FROM part")
+def places_over_all(spark, sf):
+    return ordering.numbered(T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_name"), [F.col("p_type"), F.col("p_name"), F.col("id")], "place").select("id", "place")

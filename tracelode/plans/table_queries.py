@@ -130,6 +130,17 @@ def find_cycles(spark, sf):
     return graph.cycle_nodes(T.calls(spark, sf, CALL_SHARE))
 
 
+WAYS = "w0 AS (SELECT id, [id] AS way FROM k WHERE id = component)" + "".join(f", w{n + 1} AS (SELECT * FROM w{n} UNION ALL SELECT i.to_id, min(list_append(way, i.to_id)) FROM w{n} JOIN i ON i.from_id = w{n}.id WHERE len(way) = {n + 1} AND i.to_id NOT IN (SELECT id FROM w{n}) GROUP BY i.to_id)" for n in range(24))
+
+
+@query(f"""WITH RECURSIVE {CALLS}, r AS (SELECT from_id AS start, to_id AS id FROM c UNION SELECT r.start, c.to_id FROM r JOIN c ON r.id = c.from_id),
+k AS (SELECT a.start AS id, min(a.id) AS component FROM r a JOIN r b ON a.start = b.id AND a.id = b.start GROUP BY a.start), i AS (SELECT from_id, to_id, a.component FROM c JOIN k a ON a.id = from_id JOIN k b ON b.id = to_id WHERE a.component = b.component), {WAYS},
+x AS (SELECT component, list_slice(way, list_position(way, to_id), len(way)) AS r FROM i JOIN w24 ON w24.id = from_id WHERE list_contains(way, to_id)), y AS (SELECT *, list_position(r, list_min(r)) AS p FROM x)
+SELECT DISTINCT component, array_to_string(list_concat(list_concat(list_slice(r, p, len(r)), list_slice(r, 1, p - 1)), [list_min(r)]), ' > ') AS cycle, len(r)::INT AS length FROM y""")
+def list_cycles(spark, sf):
+    return graph.cycles(T.calls(spark, sf, CALL_SHARE)).select("component", F.array_join("cycle", " > ").alias("cycle"), "length")
+
+
 @query(f"WITH RECURSIVE {IMPACT}, u AS (SELECT * FROM m WHERE rel IN ('CALLS', 'CONTAINS')), {walk_sql('nation:3', 2, 'u', 'both')} SELECT id, depth::INT AS depth FROM v ORDER BY depth, id LIMIT 36")
 def expand_subjects(spark, sf):
     return graph.expand(seeds(spark, "nation:3"), impact_edges(spark, sf), ["CALLS", "CONTAINS"], 2, 36)
