@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut, settled
@@ -72,9 +75,9 @@ def within_budget(nodes: DataFrame, edges: DataFrame, profile: Profile, focus: D
     ranked = ranked.join(mark, "id", "left") if mark is not None else ranked.withColumn("__focus", F.lit(None).cast("boolean"))
     ranked = ranked.withColumn("__focus", F.coalesce("__focus", F.lit(False)))
     others = ranked.filter(~F.col("__focus")).orderBy(F.desc("degree"), "id").limit(profile.nodes)  # the limit is the view's
-    kept = cut(ranked.filter("__focus").unionByName(others))
-    size = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("__focus"), F.desc("degree"), "id"))
-    kept = cut(kept.withColumn("__k", size).filter(F.col("__focus") | (F.col("__k") <= profile.nodes)).drop("__k"))  # at most the focus and one budget of rows
+    focused = cut(ranked.filter("__focus"))
+    room = max(0, profile.nodes - focused.count())
+    kept = cut(focused.unionByName(others.orderBy(F.desc("degree"), "id").limit(room)))  # the focus, and a budget of rows
     inside = graph.induced(edges.select("rel", "from_id", "to_id").distinct(), kept)
     ends = kept.select("id", F.col("__focus").cast("int").alias("f"))
     inside = inside.join(F.broadcast(ends.select(F.col("id").alias("from_id"), F.col("f").alias("a"))), "from_id").join(F.broadcast(ends.select(F.col("id").alias("to_id"), F.col("f").alias("b"))), "to_id")  # a budget of rows
@@ -107,3 +110,33 @@ def table_search(entities: DataFrame, relations: DataFrame, name: str) -> tuple[
     table = entities.filter((F.col("type") == "table") & (F.upper("name") == t))
     used = relations.filter(F.col("rel").isin("READS", "WRITES", "UPDATES", "USES") & F.upper("to_id").rlike(r"(^|[:.])\Q" + t + r"\E$"))
     return table, used.select(F.col("from_id").alias("id"), "rel").distinct()
+
+
+def in_time(spark: SparkSession, seconds: float, full: Callable[[], dict[str, DataFrame]], partial: Callable[[], dict[str, DataFrame]]) -> tuple[str, dict[str, DataFrame]]:
+    """("complete", full()) if it ends within so many seconds, else its jobs are cancelled and the result is ("partial", partial()).
+
+    The tables of full are written before it counts as ended, so what comes back is there and not only planned. Jobs are found by a tag of their own: no others are cancelled.
+    """
+    tag, late = f"view-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.05):  # jobs that begin after the first call are met too
+            spark.interruptTag(tag)
+
+    done = threading.Event()
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        out = {k: cut(v) for k, v in full().items()}
+        if not late.is_set():
+            return "complete", out
+    except Exception:  # noqa: BLE001
+        if not late.is_set():  # a failure of its own
+            raise
+    finally:
+        done.set()
+        timer.cancel()
+        spark.removeTag(tag)
+    return "partial", partial()

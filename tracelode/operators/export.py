@@ -89,6 +89,63 @@ def mermaid(relations: DataFrame, title: str = "", limit: int = 80, direction: s
     return "\n".join(out)
 
 
+def _quoted(x) -> str:
+    return str(x).replace('"', "'")
+
+
+def mermaid_batch(steps: DataFrame, job: str) -> str:
+    """Flowchart of a job's steps in order, with what they run, read and write, out of flows.batch rows."""
+    rows = steps.filter(F.upper("job") == job.upper()).orderBy(F.coalesce("seq", F.lit(9999)), "label").limit(DIAGRAM_ROWS).collect()
+    out, before = ["graph TD"], _safe(f"job:{job.upper()}") + f'["JOB: {_quoted(job.upper())}"]'
+    for r in rows:
+        node = _safe(r["step"])
+        out.append(f'  {before} --> {node}["STEP: {_quoted(r["label"])}"]')
+        before = node
+        out += [f'  {node} -->|EXEC| {_safe(p)}["{_quoted(p)}"]' for p in r["programs"] or []]
+        for d in r["datasets"] or []:
+            box = f'{_safe(d["id"])}["{_quoted(d["id"])}"]'
+            out.append(f"  {box} -->|READ| {node}" if d["op"] == "READS" else f"  {node} -->|WRITE| {box}")
+    return "\n".join(out if rows else [*out, f'  none["No steps found for job {_quoted(job.upper())}"]'])
+
+
+def mermaid_phases(phases: DataFrame, seed: str) -> str:
+    """Flowchart of the phases of a seed in order."""
+    rows = phases.filter(F.col("seed") == seed).orderBy("seq").limit(DIAGRAM_ROWS).collect()
+    names = [_safe(f"phase:{r['seq']}") for r in rows]
+    return "\n".join(["flowchart LR", *[f'  {n}["{_quoted(r["label"])}"]' for n, r in zip(names, rows, strict=True)], *[f"  {a} --> {b}" for a, b in zip(names, names[1:], strict=False)]])
+
+
+def mermaid_states(states: DataFrame, seed: str) -> str:
+    """State diagram of a seed's states (semantics.states), from the first on."""
+    rows = states.filter(F.col("seed") == seed).orderBy("place").limit(DIAGRAM_ROWS).collect()
+    names = [_safe(r["id"]) for r in rows]
+    moves = [f"  {a} --> {b}: {'transicao inferida' if r['inferred'] else 'transicao observada'}" for a, b, r in zip(names, names[1:], rows, strict=False)]
+    return "\n".join(["stateDiagram-v2", *([f"  [*] --> {names[0]}"] if names else []), *[f"  {n}: {_quoted(r['label'])}" for n, r in zip(names, rows, strict=True)], *moves])
+
+
+def mermaid_reverse(traces: DataFrame, limit: int = 80) -> str:
+    """Flowchart of reverse traces (terminal, hop, id, rel): from each end back to where it comes from."""
+    rows = traces.select("terminal", "hop", "id", "rel").distinct().orderBy("terminal", "hop").limit(min(limit, DIAGRAM_ROWS)).collect()
+    out, last = ["flowchart RL"], {}
+    for r in rows:
+        if r["hop"] == 0:
+            out.append(f'  {_safe(r["id"])}["{_quoted(r["id"])}"]')
+        elif r["terminal"] in last:
+            out.append(f"  {_safe(last[r['terminal']])} -->|{_quoted(r['rel'])}| {_safe(r['id'])}")
+        last[r["terminal"]] = r["id"]
+    return "\n".join(dict.fromkeys(out))
+
+
+def verify_markdown(report: dict[str, DataFrame], title: str = "Coverage") -> str:
+    """The report of commands.verify as text: totals, histograms, entry points, isolated programs, hotspots and gaps, each up to a number of rows."""
+    total = report["report"].first().asDict()
+    out = [f"# {title}", "", *[f"- {k}: {v}" for k, v in total.items()]]
+    for name in ("types", "rels", "dialects", "buckets", "hotspots", "entrypoints", "isolated", "gaps"):
+        df = report[name]
+        out += ["", f"## {name}", "", markdown_table(df.orderBy(*df.columns), df.columns)]
+    return "\n".join(out)
+
+
 # What a type is called in a component model.
 TECHNOLOGY = {"program": "COBOL program", "job": "Batch job", "table": "Relational table", "dataset": "File", "screen": "Desktop form", "procedure": "Stored procedure"}
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema
 from ..functions.storage import cut
-from ..operators import changes, coverage, dossier, executive as views, export, filters, flows, graph, model, modernize, packs, resolution, search
+from ..operators import changes, coverage, dossier, executive as views, export, filters, flows, graph, model, modernize, packs, resolution, search, semantics
 from ..operators.extract import cobol, extract, jcl, using
 from ..operators.extract import target as target_repo
 from ..sources import files as sources
@@ -126,8 +126,9 @@ def ingest(ws: Workspace, with_records: bool = True) -> DataFrame:
 
 
 def ingested(ws: Workspace, with_records: bool) -> DataFrame:
-    found = cut(sources.classify(sources.scan(ws.spark, list(ws.roots))))
     old = ws.read("files") if ws.exists("files") else ws.spark.createDataFrame([], schema.FILES)
+    read, same = sources.scan_changed(ws.spark, list(ws.roots), old)
+    found = cut(sources.classify(read).unionByName(same, allowMissingColumns=True))
     todo = changes.to_process(found, old)
     if with_records:
         lines = cut(sources.lines(todo.filter("dialect is not null").select("path", "hash", "name", "dialect", sources.decoded(F.col("content")).alias("text"))))
@@ -231,6 +232,8 @@ def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str
         raise ValueError("no question is asked")
     out = dossier.analyze(cut(rows[0]), entities, relations, depth, flows_, ws.read("steps"), taken)
     out["resolution"] = rows[1]
+    members = out["relations"].select("seed", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    out |= semantics.objects(out["phases"], out["phase_items"], out["relations"], entities, members, out["data_model"].filter("type = 'table'"), taken)
     out["lineage"] = views.lineage_summary(out["relations"], entities)
     if trace in ("forward", "reverse"):
         out.pop("traces" if trace == "forward" else "lineage")
@@ -239,9 +242,13 @@ def analyze(ws: Workspace, seed_names: list[str], depth: int = 2, seed_type: str
     return out
 
 
-def focused(ws: Workspace, name: str, profile: str = "focused") -> dict[str, DataFrame]:
-    """The executive view around one name, within the profile's limits."""
-    return views.focused_view(seeds(ws, name), ws.read("entities"), ws.read("relations"), ws.read("flows"), views.PROFILES[profile])
+def focused(ws: Workspace, name: str, profile: str = "focused", seconds: float | None = None) -> dict[str, DataFrame]:
+    """The executive view around one name, within the profile's limits. With seconds, a view that takes longer gives way to that of the partial profile; its status is a table of one row."""
+    view = lambda p: views.focused_view(seeds(ws, name), ws.read("entities"), ws.read("relations"), ws.read("flows"), views.PROFILES[p])
+    if seconds is None:
+        return view(profile)
+    status, out = views.in_time(ws.spark, seconds, lambda: view(profile), lambda: view(f"{profile.removesuffix('_partial')}_partial"))
+    return out | {"status": ws.spark.createDataFrame([(status,)], "status string")}
 
 
 def modernize_plan(ws: Workspace, seed_names: list[str]) -> dict[str, DataFrame]:

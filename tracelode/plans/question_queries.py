@@ -15,6 +15,7 @@ from ..functions.storage import shared_dir
 from ..operators import dossier, ordering, packs, search
 from ..operators import phases as P
 from ..operators import resolution as R
+from ..operators import semantics as S
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,11 +145,14 @@ def roads(spark, sf) -> tuple[DataFrame, DataFrame]:
     return e, r.agg((F.max(line % 8) / 8).alias("confidence"), F.collect_set(F.concat_ws(":", "l_orderkey", "l_linenumber")).alias("evidence"))
 
 
-@query(f"""WITH {ROADS}, k AS (SELECT *, CASE WHEN fp <> tp THEN 3 WHEN rel = 'READS' THEN 1 WHEN rel = 'VALIDATES' THEN 2 WHEN rel = 'UPDATES' OR rel = 'CALLS_SP' THEN 4 WHEN rel = 'WRITES' AND tt IN ('dataset', 'procedure') THEN 5 WHEN rel = 'CALLS' THEN 2 END AS pos FROM r),
+JOURNEY = f"""{ROADS}, k AS (SELECT *, CASE WHEN fp <> tp THEN 3 WHEN rel = 'READS' THEN 1 WHEN rel = 'VALIDATES' THEN 2 WHEN rel = 'UPDATES' OR rel = 'CALLS_SP' THEN 4 WHEN rel = 'WRITES' AND tt IN ('dataset', 'procedure') THEN 5 WHEN rel = 'CALLS' THEN 2 END AS pos FROM r),
 d AS (SELECT DISTINCT seed, pos, ['intake', 'validation', 'handoff', 'persistence', 'output'][pos] AS kind, ['Disponibilidade da entrada principal.', 'Entrada recebida e pronta para validacao.', 'Regra aplicada e fluxo pronto para transitar de plataforma.', 'Resultado consolidado e pronto para gravacao.', 'Persistencia concluida e retorno pronto para emissao.'][pos] AS trigger FROM k WHERE pos > 0),
 i AS (SELECT seed, pos, 'programs' AS field, unnest([fl, tl]) AS value FROM k WHERE rel IN ('CALLS', 'CALLS_SP') AND pos > 0 UNION ALL SELECT seed, pos, 'procedures', tl FROM k WHERE rel = 'CALLS_SP' AND pos > 0 UNION ALL SELECT seed, pos, 'inputs', tl FROM k WHERE rel = 'READS' AND pos > 0
   UNION ALL SELECT seed, pos, 'persistence', tl FROM k WHERE rel IN ('WRITES', 'UPDATES', 'CALLS_SP') AND tt IN ('table', 'procedure') AND pos > 0 UNION ALL SELECT seed, pos, 'outputs', tl FROM k WHERE rel IN ('WRITES', 'CALLS_SP') AND pos > 0 UNION ALL SELECT seed, pos, 'gates', fl || ' VALIDATES ' || tl FROM k WHERE rel = 'VALIDATES' AND pos > 0),
-m AS (SELECT seed, pos, unnest([from_id, to_id]) AS id FROM k WHERE pos > 0){SHOW}""")
+m AS (SELECT seed, pos, unnest([from_id, to_id]) AS id FROM k WHERE pos > 0)"""
+
+
+@query(f"WITH {JOURNEY}{SHOW}")
 def phases_journey(spark, sf):
     entities, relations = roads(spark, sf)
     return shown(P.journey(relations, entities), relations, entities)
@@ -339,3 +343,72 @@ def citation_numbers(spark, sf):
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_type, p_name, p_partkey) AS place FROM part")
 def places_over_all(spark, sf):
     return ordering.numbered(T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_name"), [F.col("p_type"), F.col("p_name"), F.col("id")], "place").select("id", "place")
+
+
+# --- semantic objects ----------------------------------------------------------------------------------
+
+#: The journey's phases have labels by kind; ph: phases with their label, platforms and first names.
+MEANING = JOURNEY + """, ph AS (SELECT d.seed, d.pos, ['Recepcao operacional', 'Validacao e elegibilidade', 'Handoff e integracao', 'Persistencia funcional', 'Entrega e retorno'][d.pos] AS label FROM d),
+pf AS (SELECT DISTINCT k.seed, pos, unnest([fp, tp]) AS p FROM k WHERE pos > 0), pp AS (SELECT seed, pos, list_sort(list(p)) AS platforms FROM pf GROUP BY ALL),
+pi AS (SELECT seed, pos, min(value) FILTER (field = 'inputs') AS first_in, min(value) FILTER (field = 'outputs') AS first_out FROM i GROUP BY ALL),
+pn AS (SELECT *, lead(pos) OVER w AS np, lead(label) OVER w AS nl, lead(platforms) OVER w AS nplat, lead(first_in) OVER w AS nin FROM ph JOIN pp USING (seed, pos) LEFT JOIN pi USING (seed, pos) WINDOW w AS (PARTITION BY seed ORDER BY pos)),
+ho AS (SELECT seed, 'handoff:' || pos || ':' || np AS id, label || ' -> ' || nl AS label, platforms[1] AS from_platform, nplat[1] AS to_platform, coalesce(first_out, nin, 'artefato intermediario') AS artifact FROM pn WHERE np IS NOT NULL AND platforms <> nplat),
+de AS (SELECT DISTINCT i.seed, 'decision:' || i.pos || ':' || value AS id, 'Decisao em ' || ph.label AS label, value AS rule FROM i JOIN ph USING (seed, pos) WHERE field = 'gates' UNION SELECT seed, 'decision:rel:' || from_id || ':VALIDATES:' || to_id, 'VALIDATES ' || fl, fl || ' --VALIDATES--> ' || tl FROM r WHERE rel = 'VALIDATES'),
+tr AS (SELECT seed, 'transfer:' || pos || ':' || lower(value) AS id, value AS label, pos::VARCHAR AS phase, CASE WHEN max((field = 'inputs')::INT) = 1 THEN 'inbound' ELSE 'outbound' END AS direction FROM i WHERE field IN ('inputs', 'outputs') GROUP BY seed, pos, value UNION ALL SELECT seed, 'transfer:' || id, artifact, id, 'handoff' FROM ho)"""
+
+
+def meaning(spark, sf) -> tuple[DataFrame, ...]:
+    """Phases and items of the journey, with relations, entities and members."""
+    entities, relations = roads(spark, sf)
+    out = P.assembled(P.journey(relations, entities), relations, entities)
+    members = relations.select("seed", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return out["phases"], out["items"], relations, entities, members
+
+
+@query(f"WITH {MEANING} SELECT seed, id, label, rule FROM de")
+def decisions(spark, sf):
+    p, i, r, e, _ = meaning(spark, sf)
+    return S.decisions(p, i, r, e).select("seed", "id", "label", "rule")
+
+
+@query(f"WITH {MEANING} SELECT seed, 'business-rule:' || id AS id, rule FROM de UNION ALL SELECT seed, 'business-rule:rel:' || from_id || ':VALIDATES:' || to_id, fl || ' VALIDATES ' || tl FROM r WHERE rel = 'VALIDATES'")
+def business_rules(spark, sf):
+    p, i, r, e, _ = meaning(spark, sf)
+    return S.business_rules(S.decisions(p, i, r, e), r, e).select("seed", "id", "rule")
+
+
+@query(f"WITH {MEANING} SELECT seed, id, label, from_platform, to_platform, artifact FROM ho")
+def handoff_details(spark, sf):
+    p = meaning(spark, sf)[0]
+    return S.handoffs(p).select("seed", "id", "label", "from_platform", "to_platform", "artifact")
+
+
+@query(f"WITH {MEANING} SELECT seed, id, label, phase, direction FROM tr")
+def transfers(spark, sf):
+    p, i, *_ = meaning(spark, sf)
+    return S.transfers(p, i, S.handoffs(p)).select("seed", "id", "label", "phase", "direction")
+
+
+ORDERED = "x AS (SELECT user_id, event_type AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events), y AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY k) AS nxt FROM x WHERE was IS NULL OR was <> s)"
+
+
+@query(f'WITH {ORDERED} SELECT s AS state, nxt AS "next", count(*) AS n, count(DISTINCT user_id) AS subjects FROM y GROUP BY ALL')
+def state_transitions(spark, sf):
+    return S.transitions(T.table(spark, sf, "events"), ["user_id"], ["ts"], "event_type")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role AS s, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations), y AS (SELECT conv_id, s, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM x WHERE was IS NULL OR was <> s)
+SELECT s AS state, count(*) FILTER (nxt IS NOT NULL) AS n_out, count(*) FILTER (nxt IS NULL) AS n_ends, true AS closed, CASE WHEN count(*) FILTER (nxt IS NULL) > 0 THEN 0 ELSE 1 END::INT AS depth FROM y GROUP BY s""")
+def state_machine(spark, sf):
+    return S.machine(S.transitions(T.table(spark, sf, "conversations"), ["conv_id"], ["turn"], "role"))
+
+
+@query(f"""WITH {MEANING}, mem AS (SELECT DISTINCT seed, unnest([from_id, to_id]) AS id FROM r), en2 AS (SELECT id, CASE WHEN id LIKE 'supplier:%' THEN ['program', 'procedure', 'step'][split_part(id, ':', 2)::INT % 3 + 1] ELSE type END AS type, label FROM en WHERE id NOT LIKE 'order:%'),
+wr AS (SELECT to_id AS id, max((rel IN ('WRITES', 'UPDATES'))::INT) AS w FROM r GROUP BY 1),
+g AS (SELECT seed, label AS term, 'ator' AS type, type AS note, 0 AS rank FROM mem JOIN en2 USING (id) WHERE type = 'program' UNION ALL SELECT seed, label, 'stored-procedure', 'procedimento persistente ou integracao de banco', 0 FROM mem JOIN en2 USING (id) WHERE type = 'procedure'
+  UNION ALL SELECT seed, label, 'tabela', 'papel: ' || CASE WHEN w = 1 THEN 'master' ELSE 'domain' END, 0 FROM mem JOIN en2 USING (id) LEFT JOIN wr USING (id) WHERE type = 'table'
+  UNION ALL SELECT seed, unnest(list_concat([['Orquestrador tecnico'], ['Motor de regras'], ['Servico externo'], ['Banco de dados'], ['Consumidor a jusante']][pos], CASE WHEN bd THEN ['Banco de dados'] ELSE [] END || CASE WHEN rg THEN ['Motor de regras'] ELSE [] END)), 'ator', 'phase-actor', 1 FROM (SELECT seed, pos, bool_or(tt IN ('table', 'procedure') OR fp = 'database') AS bd, bool_or(NOT (tt IN ('table', 'procedure') OR fp = 'database')) AS rg FROM k WHERE pos > 0 GROUP BY ALL)),
+o AS (SELECT seed, term, type, arg_min(note, (rank, note)) AS note FROM g GROUP BY ALL) SELECT seed, term, type, note FROM o QUALIFY row_number() OVER (PARTITION BY seed ORDER BY type, term) <= 80""")
+def glossary(spark, sf):
+    p, _, r, e, members = meaning(spark, sf)
+    return S.glossary(p, e, members, dossier.data_model(e, r).filter("type = 'table'"))

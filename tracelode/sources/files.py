@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema
+from ..functions.storage import cut
+from ..functions.text import glob_regex
 
 # Fixed values: (dialect, role) by extension; .txt and .inc are told by their content only.
 EXTENSIONS = {
@@ -17,13 +19,53 @@ SKIP_NAMES = (".git", "node_modules", ".workspace")
 HEAD_BYTES, HEAD_LINES, UTF8_SAMPLE = 2048, 30, 512
 
 
-def scan(spark: SparkSession, paths: list[str], skip: tuple[str, ...] = SKIP_NAMES) -> DataFrame:
-    """All files under the paths (path, name, ext, size, hash, mtime, content) but those in skipped folders."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    df = df.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+#: Changed files with an old time that are read by name; more are found by reading all.
+MOST_PATHS = 1000
+MTIME = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def listed(spark: SparkSession, paths: list[str], skip: tuple[str, ...] = SKIP_NAMES, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """All files under the paths but those in skipped folders or under an excluded glob: (path, name, ext, size, mtime, modified, content). Content is read only where it is selected."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).withColumnRenamed("path", "uri")
+    df = df.withColumn("path", F.regexp_replace("uri", "^file:/*", "/"))
     name = F.element_at(F.split("path", "/"), -1)
     df = df.filter(~F.exists(F.split(F.lower("path"), "/"), lambda p: p.isin(*[s.lower() for s in skip])))
-    return df.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), F.col("length").alias("size"), file_hash(F.col("content")).alias("hash"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), "content")
+    for glob in exclude:
+        df = df.filter(~F.col("path").rlike(glob_regex(glob)))
+    return df.select("uri", "path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), F.col("length").alias("size"), F.date_format("modificationTime", MTIME).alias("mtime"), F.col("modificationTime").alias("modified"), "content")
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    return files.select("path", "name", "ext", "size", file_hash(F.col("content")).alias("hash"), "mtime", "content")
+
+
+def scan(spark: SparkSession, paths: list[str], skip: tuple[str, ...] = SKIP_NAMES, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """All files under the paths (path, name, ext, size, hash, mtime, content) but those in skipped folders or under an excluded glob."""
+    return hashed(listed(spark, paths, skip, exclude))
+
+
+def scan_changed(spark: SparkSession, paths: list[str], previous: DataFrame, skip: tuple[str, ...] = SKIP_NAMES, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(files whose size or time is not that of the previous inventory, as scan gives them; the previous rows of all others).
+
+    First only names, sizes and times are listed. Content is then read by time, which the source applies before it opens a file: files that are
+    as new as the newest known one. Changed files with an older time are read by name if they are MOST_PATHS at most, else among all files.
+    """
+    every = listed(spark, paths, skip, exclude)
+    now = cut(every.select("uri", "path", "size", "mtime", "modified"))
+    known = previous.select("path", "size", "mtime").distinct()
+    same = previous.join(now.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_semi")
+    changed = cut(now.join(known, ["path", "size", "mtime"], "left_anti"))
+    newest = previous.agg(F.max("mtime").alias("m")).first()["m"]
+    if newest is None:
+        return hashed(every), same
+    since = F.to_timestamp(F.lit(newest), MTIME)
+    late = every.filter(F.col("modified") >= since).join(changed.select("path"), "path", "left_semi")
+    old = changed.filter(~(F.col("modified") >= since)).select("uri")
+    few = [r["uri"] for r in old.limit(MOST_PATHS + 1).collect()]
+    if not few:
+        return hashed(late), same
+    rest = listed(spark, few, skip, exclude) if len(few) <= MOST_PATHS else every.join(changed.filter(~(F.col("modified") >= since)).select("path"), "path", "left_semi")
+    return hashed(late).unionByName(hashed(rest)), same
 
 
 def file_hash(content: Column) -> Column:
