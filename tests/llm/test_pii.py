@@ -51,3 +51,37 @@ def test_odd_rows(frame, odd):
 def test_bytes_that_are_no_utf8(spark):
     df = spark.createDataFrame([(1, bytearray(b"\xff a@b.example \xe9"))], "doc_id bigint, text binary")
     assert pii.detect(df, ["doc_id"]).first()["spans"] == "email:2:13"
+
+
+def planted(rng, kind):
+    """A text with one value of an added kind in one of the forms in which such values are written, and the value."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    if kind == "url":
+        host = ".".join(word(2, 9) for _ in range(rng.randint(1, 3))) + rng.choice([".com", ".org", ".de", ".co.uk", ":8080", ""])
+        value = rng.choice(["http://", "https://", "ftp://", "HTTPS://"]) + host + rng.choice(["", "/", f"/{word(1, 8)}/{word(1, 8)}.html", f"/?q={word(1, 5)}&p={digits(2)}", f"/#{word(2, 6)}"])
+        return rng.choice(["", "see ", "(", '"', "<"]) + value + rng.choice(["", " and", ".", ", so", ")", '"', ">"]), value
+    if kind == "account":
+        body = digits(18)
+        check = 98 - int(body + "131400") % 97  # a made-up country DE
+        iban = f"DE{check:02d}{body}"
+        value = rng.choice([digits(rng.randint(6, 14)), f"{digits(3)}-{digits(2)}-{digits(4)}", iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))])
+        return rng.choice(["account", "Account", "acct", "IBAN", "Konto", "SSN", "passport", "cuenta"]) + rng.choice([": ", " ", "=", " #", " no. ", " number ", " nr: ", "_id: ", " is "]) + value + rng.choice(["", ".", " ok", ","]), value
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    value = "".join(rng.choice(alphabet) for _ in range(rng.randint(16, 48)))
+    return rng.choice(["token", "Secret", "password", "API_KEY", "access_key", "apikey"]) + rng.choice([" = ", ": ", "=", ":", "= "]) + rng.choice(["", '"', "'"]) + value + rng.choice(["", '"', "'", " end", ";"]), value
+
+
+def test_recall_of_the_added_kinds():
+    anchors, rng = pii.automaton(), random.Random(12)
+    for kind in ("url", "account", "secret"):
+        hit = false = 0
+        for _ in range(3000):
+            text, value = planted(rng, kind)
+            before = "prose of words, 12 of them; " * rng.randint(0, 2)
+            found = [(s, e) for k, s, e in pii.spans(before + text, anchors) if k == kind]
+            at = len(before) + text.index(value)
+            hit += any(s <= at and e >= at + len(value) for s, e in found)
+            false += any(e <= at or s >= at + len(value) for s, e in found)
+        assert hit >= 0.95 * 3000 and false <= 0.01 * 3000, (kind, hit, false)
+    assert not [x for x in pii.spans("prose of 12345678 words without a cue, at no. 7; an accountant is 44 years old", anchors) if x[0] in pii.KINDS[4:]]

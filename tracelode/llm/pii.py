@@ -36,7 +36,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 URL = re.compile(r"[^\s<>\"'`]+")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#]|\Z)")
-NUMBER = re.compile(r"[\s:#=.\"']{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}|[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])")
+NUMBER = re.compile(r"(?:[\s_-]{0,2}(?i:no|nr|num|number|id|is)\b)?[\s:#=.\"']{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}|[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])")
 VALUE = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_/+.=-]{16,})")
 
 

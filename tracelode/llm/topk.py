@@ -219,7 +219,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, i
     ends = F.array(*[F.lit(x) for x in cut]) if cut else F.array().cast("array<double>")
     above, level = F.size(F.filter(ends, lambda e: e < F.col("norm"))), F.size(F.filter(ends, lambda e: e == F.col("norm")))
     turn_no = F.monotonically_increasing_id()  # deals out vectors of one length, also repeated ones; no bound or result depends on the group that one gets
-    rows = rows.withColumn("cg", ((above + F.pmod(turn_no, level + 1)) * sub + F.pmod(F.floor(turn_no / 7), F.lit(sub))).cast("int"))
+    # Written once: a vector stays in its group when a task of the search is run again.
+    rows = written(rows.withColumn("cg", ((above + F.pmod(turn_no, level + 1)) * sub + F.pmod(F.floor(turn_no / 7), F.lit(sub))).cast("int")), "candidates")
     asked = asked.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_thresholds(seeds, rotation, k, scale), "id bigint, v array<double>, least double, reach double")
     asked = written(asked.withColumn("qg", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(q_groups)).cast("int")), "queries")
     tops = F.array(*[F.lit(x) for x in [*cut, top]])  # the greatest length of each band
