@@ -228,3 +228,36 @@ def test_streaming(ws, spark, tmp_path):
     q = ingest.start(spark, str(ws.root), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/raw_entities")).filter("type = 'program'").count() == 3
+
+
+def test_api(ws):
+    from tracelode.plans import api
+
+    nodes, links = api.graph_view(ws, types=["program", "table"], least=0.1, limit=3)
+    ids = {r["id"] for r in nodes.collect()}
+    assert 0 < len(ids) <= 3 and all(r["from_id"] in ids and r["to_id"] in ids for r in links.collect())
+    one = api.program(ws, "paymain")
+    assert one["entity"].first()["id"] == "program:PAYMAIN" and one["out"].count() > 0 and one["in"].filter("from_id like 'step:%'").count() > 0
+    assert "program:PAYMAIN" in {r["id"] for r in api.find(ws, "paymain").collect()}
+    assert api.jobs(ws).filter("job = 'PAYJOB'").count() == 1 and api.batch(ws, "payjob").count() == api.jobs(ws).selectExpr("sum(size(steps)) as n").first()["n"]
+    assert set(api.stats(ws)) == {"types", "rels"} and api.flow(ws, "PAYMAIN").columns
+    near, far = api.neighborhood(ws, "PAYMAIN"), api.neighborhood(ws, "PAYMAIN", 2, include_homonyms=True)
+    assert 0 < near.count() < far.count()
+
+
+def test_documents_and_renderings(ws):
+    from tracelode.operators import export
+
+    d = commands.doc(ws)
+    assert "program:PAYMAIN" in {r["id"] for r in d["programs"].collect()} and d["jobs"].count() == 1 and d["tables"].count() > 0
+    text = export.verify_markdown(commands.verify(ws), "Pay")
+    assert text.startswith("# Pay") and "## gaps" in text and "notes.txt" in text
+    assert "EXEC" in export.mermaid_batch(ws.read("steps"), "PAYJOB")
+
+
+def test_views_and_semantic_objects(ws):
+    late = commands.focused(ws, "PAYMAIN", "focused", seconds=0.001)
+    assert late["status"].first()["status"] == "partial" and late["subjects"].count() <= 18
+    d = commands.analyze(ws, ["PAYMAIN"], trace="reverse")
+    assert "lineage" not in d and d["resolution"].first()["status"] in ("resolved", "weak") and d["decisions"].count() > 0 and d["glossary"].filter("term = 'PAYMAIN'").count() == 1
+    assert d["phase_items"].count() > 0 and commands.domain(ws, "x").id == "generic"

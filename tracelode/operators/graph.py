@@ -84,8 +84,15 @@ def ends_of(walked: DataFrame, seeds: DataFrame) -> DataFrame:
     return walked.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().join(seeds.select("id"), "id", "left_anti")
 
 
-def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 1, rels: list[str] | None = None, least: float = 0.0, limit: int = 5000) -> DataFrame:
-    """Edges around the seeds, filtered after the walk, one for each (from, to, rel), by depth and ids up to limit."""
+def homonyms(seeds: DataFrame, entities: DataFrame) -> DataFrame:
+    """seeds (id) and all entities that have the name of one, whatever their type."""
+    names = entities.join(seeds.select("id"), "id", "left_semi").select(F.upper("name").alias("n")).distinct()
+    return seeds.select("id").union(entities.withColumn("n", F.upper("name")).join(names, "n", "left_semi").select("id")).distinct()
+
+
+def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 1, rels: list[str] | None = None, least: float = 0.0, limit: int = 5000, entities: DataFrame | None = None) -> DataFrame:
+    """Edges around the seeds (with entities: and around what is called like them), filtered after the walk, one for each (from, to, rel), by depth and ids up to limit."""
+    seeds = cut(homonyms(seeds, entities)) if entities is not None else seeds
     found = traverse(seeds, edges, "both", min(depth, 4))
     if rels:
         found = found.filter(F.col("rel").isin(*rels))

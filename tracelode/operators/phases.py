@@ -67,7 +67,7 @@ QUESTION = (
     ("persistence", "Persistencia", "Gravar os dados de controle ou resultado.", "Cadeia principal concluida.", ("Banco de dados",)),
     ("output", "Saida", "Entregar o artefato final ou intermediario.", "Processamento consolidado.", ("Consumidor a jusante",)),
 )
-MOST_PHASES, MOST_EVIDENCE, SHOWN = 12, 8, 24
+MOST_PHASES, MOST_EVIDENCE, SHOWN = 12, 8, 1000
 #: What a phase of a question without a flow lists at most.
 MOST_LISTED = {"inputs": 12, "persistence": 12, "outputs": 12, "programs": 8, "gates": 6}
 

@@ -47,5 +47,5 @@ def stats(ws: Workspace) -> dict[str, DataFrame]:
     return commands.stats(ws)
 
 
-def neighborhood(ws: Workspace, name: str, depth: int = 1, rels: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    return graph.neighborhood(commands.seeds(ws, name), ws.read("relations"), min(depth, MOST_DEPTH), rels, least, MOST_EDGES)
+def neighborhood(ws: Workspace, name: str, depth: int = 1, rels: list[str] | None = None, least: float = 0.0, include_homonyms: bool = False) -> DataFrame:
+    return graph.neighborhood(commands.seeds(ws, name), ws.read("relations"), min(depth, MOST_DEPTH), rels, least, MOST_EDGES, ws.read("entities") if include_homonyms else None)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.storage import shared_dir
-from ..operators import dossier, ordering, packs, search
+from ..operators import catalog, dossier, executive, export, model, modernize, ordering, packs, search
 from ..operators import phases as P
 from ..operators import resolution as R
 from ..operators import semantics as S
@@ -412,3 +412,95 @@ o AS (SELECT seed, term, type, arg_min(note, (rank, note)) AS note FROM g GROUP
 def glossary(spark, sf):
     p, _, r, e, members = meaning(spark, sf)
     return S.glossary(p, e, members, dossier.data_model(e, r).filter("type = 'table'"))
+
+
+# --- summaries, searches, budgets, contracts, services ---------------------------------------------------
+
+
+@query(f"""WITH {ROADS}, u AS (SELECT seed, rel, from_id, to_id, unnest([CASE WHEN rel = 'READS' THEN {{'k': 'inputs', 'l': tl}} END, CASE WHEN rel IN ('READS', 'CALLS', 'CALLS_SP') THEN {{'k': 'chain', 'l': fl}} END, CASE WHEN rel IN ('CALLS', 'CALLS_SP') THEN {{'k': 'chain', 'l': tl}} END,
+  CASE WHEN rel IN ('WRITES', 'UPDATES', 'CALLS_SP') AND tt IN ('table', 'procedure') THEN {{'k': 'persistence', 'l': tl}} END, CASE WHEN rel = 'WRITES' THEN {{'k': 'outputs', 'l': tl}} END, CASE WHEN rel = 'WRITES' OR (rel IN ('UPDATES', 'CALLS_SP') AND tt IN ('table', 'procedure')) THEN {{'k': 'terminals', 'l': tl}} END]) AS x FROM r),
+c AS (SELECT seed, x.k AS kind, x.l AS label, count(DISTINCT (rel, from_id, to_id)) AS n_relations FROM u WHERE x IS NOT NULL GROUP BY ALL)
+SELECT seed, kind, label, n_relations FROM c QUALIFY row_number() OVER (PARTITION BY seed, kind ORDER BY n_relations DESC, label) <= CASE kind WHEN 'chain' THEN 18 WHEN 'terminals' THEN 8 ELSE 12 END""")
+def lineage_summary(spark, sf):
+    e, r = roads(spark, sf)
+    return executive.lineage_summary(r, e)
+
+
+FOUND = "SELECT 'field' AS what, 'part:' || p_partkey AS id, NULL AS rel FROM part WHERE contains(upper(p_name), '{0}')"
+
+
+@query(f"""{FOUND.format("RED W")} UNION ALL SELECT DISTINCT 'user', 'supplier:' || l_suppkey, NULL FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(upper(p_name), 'RED W')""")
+def field_search(spark, sf):
+    p = T.table(spark, sf, "part")
+    e = p.select(T.key("part", "p_partkey").alias("id"), F.lit("field").alias("type"), F.col("p_name").alias("name"))
+    named = p.select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("field:"), "p_name").alias("to_id"))
+    r = T.table(spark, sf, "lineitem").join(named, "l_partkey").select(T.key("supplier", "l_suppkey").alias("from_id"), "to_id").distinct()
+    fields, users = executive.field_search(e, r, "red w")
+    none = F.lit(None).cast("string").alias("rel")
+    return fields.select(F.lit("field").alias("what"), "id", none).union(users.select(F.lit("user"), "id", none))
+
+
+@query(f"""WITH {ROADS} SELECT 'table' AS what, id, NULL AS rel FROM en WHERE type = 'table' AND label = 'PART7' UNION ALL SELECT DISTINCT 'use', from_id, rel FROM r WHERE to_id = 'part:7' AND rel IN ('READS', 'WRITES', 'UPDATES')""")
+def table_search(spark, sf):
+    e, r = roads(spark, sf)
+    name = F.concat(F.lit("S."), F.col("l"))  # tables under a schema
+    led = r.join(e.select(F.col("id").alias("to_id"), F.col("label").alias("l")), "to_id").select("from_id", "rel", name.alias("to_id"))
+    table, used = executive.table_search(e, led, "part7")
+    return table.select(F.lit("table").alias("what"), "id", F.lit(None).cast("string").alias("rel")).union(used.select(F.lit("use"), "id", "rel"))
+
+
+@query("""SELECT '"part:' || p_partkey || '","part","' || replace(p_name, '"', '""') || '","PART' || p_partkey || '","","' || p_brand || ' | ' || p_type || '","0.5","' || (p_size < 5)::VARCHAR || '"' AS line FROM part""")
+def csv_nodes(spark, sf):
+    p = T.table(spark, sf, "part")
+    e = p.select(T.key("part", "p_partkey").alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.concat(F.lit("PART"), F.col("p_partkey").cast("string")).alias("label"), F.lit(None).cast("string").alias("parent"), F.array("p_brand", "p_type").alias("files"), F.lit(0.5).alias("confidence"), (F.col("p_size") < 5).alias("inferred"))
+    return export.csv_lines(export.csv_nodes(e))
+
+
+@query(f"""WITH {ROADS} SELECT '  <edge source="' || from_id || '" target="' || to_id || '"><data key="rel">' || rel || '</data></edge>' AS line FROM r""")
+def graphml_edges(spark, sf):
+    return export.graphml_edges(roads(spark, sf)[1]).select("line")
+
+
+@query(f"""WITH {ROADS}, g AS (SELECT DISTINCT rel, from_id, to_id FROM r), dg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([from_id, to_id]) AS id FROM (SELECT rel, from_id, to_id FROM r)) GROUP BY id), al AS (SELECT id, coalesce(degree, 0) AS degree, id = 'supplier:3' AS f FROM (SELECT id FROM en WHERE id NOT LIKE 'order:%') LEFT JOIN dg USING (id)),
+ke AS (SELECT id, f FROM al WHERE f UNION ALL (SELECT id, f FROM al WHERE NOT f ORDER BY degree DESC, id LIMIT 39)) SELECT rel, from_id, to_id FROM g JOIN ke a ON a.id = from_id JOIN ke b ON b.id = to_id ORDER BY a.f::INT + b.f::INT DESC, from_id, to_id, rel LIMIT 100""")
+def within_budget(spark, sf):
+    e, r = roads(spark, sf)
+    focus = spark.createDataFrame([("supplier:3",)], "id string")
+    return executive.within_budget(e.select("id", "type"), r, executive.Profile(1, 40, 100), focus)[1]
+
+
+@query("""WITH u AS (SELECT 'P' || l_suppkey AS program, 'S' || l_partkey % 50 AS callee, 'F' || l_linenumber AS field, CASE l_linenumber % 3 WHEN 0 THEN 'BOOKA' WHEN 1 THEN 'BOOKB' END AS copybook, l_returnflag FROM lineitem), c AS (SELECT DISTINCT program, callee FROM u WHERE l_returnflag <> 'N'),
+i AS (SELECT DISTINCT 'S' || p_partkey % 50 AS callee, 'BOOKA' AS copybook FROM part WHERE p_partkey % 50 < 20), f AS (SELECT DISTINCT u.program, u.callee, field, u.copybook, i.copybook IS NOT NULL AS confirmed FROM u JOIN c ON u.program = c.program AND u.callee = c.callee LEFT JOIN i ON i.callee = u.callee AND i.copybook = u.copybook)
+SELECT 'program:' || program AS from_id, 'program:' || callee AS to_id, count(*)::INT AS n_fields, (CASE WHEN bool_or(confirmed) THEN 0.9 WHEN bool_or(copybook IS NOT NULL) THEN 0.7 ELSE 0.5 END)::DOUBLE AS confidence FROM f GROUP BY ALL""")
+def build_contracts(spark, sf):
+    li, p, n = T.table(spark, sf, "lineitem"), T.table(spark, sf, "part"), F.col("l_linenumber") % 3
+    name = lambda word, c: F.concat(F.lit(word), c.cast("string"))
+    u = li.select(name("P", F.col("l_suppkey")).alias("program"), name("S", F.col("l_partkey") % 50).alias("callee"), name("F", F.col("l_linenumber")).alias("field"), F.when(n == 0, "booka").when(n == 1, "bookb").alias("copybook"), "l_returnflag")
+    calls = u.filter("l_returnflag <> 'N'").select(F.lit("CALLS").alias("rel"), F.concat(F.lit("program:"), "program").alias("from_id"), F.concat(F.lit("program:"), "callee").alias("to_id"))
+    includes = p.filter("p_partkey % 50 < 20").select(name("program:S", F.col("p_partkey") % 50).alias("from_id"), F.lit("BookA").alias("to_label"))
+    return model.build_contracts(calls, u.drop("l_returnflag"), includes).select("from_id", "to_id", F.size("fields").alias("n_fields"), "confidence")
+
+
+@query("""WITH w AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS a, upper(split_part(p_name, ' ', 2)) AS b FROM part), v AS (SELECT 'WS-' || a || '-PGM' AS var, a AS target FROM w UNION SELECT 'LK' || a || b || 'PROG', a || b FROM w UNION SELECT a, a FROM w),
+k AS (SELECT DISTINCT a AS name FROM w UNION SELECT a || b FROM w WHERE length(b) > 4) SELECT DISTINCT var, target FROM v JOIN k ON name = target WHERE length(target) >= 3""")
+def resolve_dynamic_heuristic(spark, sf):
+    w = T.table(spark, sf, "part").select(F.upper(F.split("p_name", " ")[0]).alias("a"), F.upper(F.split("p_name", " ")[1]).alias("b")).distinct()
+    names = w.select(F.explode(F.array(F.concat(F.lit("WS-"), "a", F.lit("-PGM")), F.concat(F.lit("LK"), "a", "b", F.lit("PROG")), F.col("a"))).alias("var")).distinct()
+    return model.heuristic_targets(names, w.select(F.col("a").alias("name")).union(w.filter("length(b) > 4").select(F.concat("a", "b"))))
+
+
+@query("SELECT 'DEFINED_IN' AS rel, 'part:' || p_partkey AS from_id, unnest([p_brand, p_type]) AS to_id FROM part")
+def defined_in(spark, sf):
+    return catalog.defined_in(T.table(spark, sf, "part").select(T.key("part", "p_partkey").alias("id"), F.array("p_brand", "p_type").alias("files")))
+
+
+@query(f"""WITH {MEANING}, le AS (SELECT seed, pos, count(DISTINCT value) FILTER (field IN ('programs', 'procedures', 'inputs', 'persistence', 'outputs')) AS n, count(*) FILTER (field = 'persistence') AS np FROM i GROUP BY ALL),
+x9 AS (SELECT d.seed, d.pos, kind, coalesce(n, 0) AS n, coalesce(np, 0) AS np, list_distinct(list_concat(CASE kind WHEN 'intake' THEN ['aks', 'blob_storage', 'app_insights', 'key_vault'] WHEN 'validation' THEN ['aks', 'api_management', 'app_insights', 'key_vault'] WHEN 'handoff' THEN ['aks', 'service_bus', 'api_management', 'app_insights', 'key_vault'] WHEN 'persistence' THEN ['aks', 'azure_sql', 'app_insights', 'key_vault'] ELSE ['aks', 'blob_storage', 'service_bus', 'app_insights', 'key_vault'] END,
+  list_concat(CASE WHEN np > 0 THEN ['azure_sql'] ELSE [] END, CASE WHEN kind <> 'intake' THEN ['api_management'] ELSE [] END))) AS res FROM d LEFT JOIN le USING (seed, pos)),
+y9 AS (SELECT *, least(20, 2 * n) + least(15, 2 * len(res)) + CASE kind WHEN 'handoff' THEN 15 WHEN 'persistence' THEN 18 ELSE 0 END AS risk FROM x9), z9 AS (SELECT *, CASE WHEN risk >= 55 THEN 'high' WHEN risk >= 32 THEN 'medium' ELSE 'low' END AS level FROM y9)
+SELECT seed, kind, array_to_string(list_sort(res), ',') AS resources, CASE WHEN kind = 'handoff' THEN 'acl+event-bridge' ELSE 'batch-adapter' END AS integration, CASE WHEN kind = 'handoff' THEN 'anti-corruption-layer + controlled dual write' WHEN np > 0 THEN 'sync with legacy + cutover by checkpoint' ELSE 'parallel run + strangler routing' END AS coexistence, risk::INT AS risk, level,
+  CASE WHEN kind = 'handoff' THEN 'wave-1' WHEN level = 'low' AND kind = 'validation' THEN 'wave-2' WHEN kind IN ('persistence', 'output') OR level = 'high' THEN 'wave-3' ELSE 'wave-2' END AS wave FROM z9""")
+def modernize_services(spark, sf):
+    p = meaning(spark, sf)[0]
+    s = modernize.services(modernize.risk(modernize.mappings(p)))
+    return s.select("seed", "kind", F.array_join("resources", ",").alias("resources"), "integration", "coexistence", F.col("risk").cast("int").alias("risk"), "level", "wave")

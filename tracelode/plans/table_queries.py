@@ -507,7 +507,7 @@ def extract_links(spark, sf):
 @query("""SELECT page_id, regexp_matches(url, '(?i)://[^/]*\\.[^/]*/.*') AS any_depth, regexp_matches(url, '(?i)/[^/]*1[^/]/') AS one_more, regexp_matches(url, '(?i)utm_') AS plain FROM pages""")
 def exclude_globs(spark, sf):
     some = lambda g: F.col("url").rlike(X.glob_regex(g))
-    return T.table(spark, sf, "pages").select("page_id", some("://*.*/**[0-9]".replace("[0-9]", "")).alias("any_depth"), some("/*1?/").alias("one_more"), some("utm_").alias("plain"))
+    return T.table(spark, sf, "pages").select("page_id", some("://*.*/**").alias("any_depth"), some("/*1?/").alias("one_more"), some("utm_").alias("plain"))
 
 
 @query(f"WITH {ENTITIES} SELECT CASE WHEN type = 'table' THEN 'database' ELSE 'legacy' END AS platform, count(*) AS n FROM e GROUP BY 1")
