@@ -504,3 +504,12 @@ def modernize_services(spark, sf):
     p = meaning(spark, sf)[0]
     s = modernize.services(modernize.risk(modernize.mappings(p)))
     return s.select("seed", "kind", F.array_join("resources", ",").alias("resources"), "integration", "coexistence", F.col("risk").cast("int").alias("risk"), "level", "wave")
+
+
+@query(f"""WITH b AS (SELECT 'part:' || p_partkey AS id, p_size, {like_sql("part1", ["'PART' || p_partkey"])} AS base FROM part)
+SELECT id, (base + CASE WHEN p_size % 2 = 0 THEN 20 ELSE 16 END - CASE WHEN p_size < 5 THEN 28 ELSE 0 END)::INT AS score FROM b WHERE base > 0""")
+def score_entity_all(spark, sf):
+    """Every score, also those that likeness of one word gives."""
+    p = T.table(spark, sf, "part")
+    e = p.select(T.key("part", "p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "table").otherwise("dataset").alias("type"), F.concat(F.lit("PART"), F.col("p_partkey").cast("string")).alias("label"), (F.col("p_size") < 5).alias("inferred"), F.lit(0.9).alias("confidence"))
+    return search.rank_seed(e, "part1").select("id", F.col("score").cast("int").alias("score"))

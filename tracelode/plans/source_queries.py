@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, coverage, dossier, export, flows, modernize, search
+from ..operators import catalog, changes, coverage, dossier, export, flows, modernize, search
 from ..operators.extract import cobol, copybook, jcl, messaging, sql, target, using, vb6
 from ..sources import files
 from ..sources import tables as T
@@ -242,6 +242,21 @@ def upsert(spark, sf):
     return changes.upsert(old, new, ["path"]).select("path", "hash")
 
 
+@query(f"""SELECT '/src/F' || l_suppkey || '.cbl' AS path, {LINE} AS line, CASE l_returnflag WHEN 'R' THEN 'LINK' ELSE 'XCTL' END AS verb, 'S' || l_partkey AS target FROM lineitem WHERE l_returnflag <> 'N'""")
+def lib_x_cobol(spark, sf):
+    return catalog.transactions(transaction_lines(spark, sf))[0].select("path", "line", "verb", "target")
+
+
+@query("""SELECT '/src/F' || s_suppkey || '.cbl' AS path, coalesce(bool_or(l_returnflag <> 'N'), false) AS cics, coalesce(bool_or(l_returnflag = 'N'), false) AS db2, false AS ims FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
+def lib_x_cobol_flags(spark, sf):
+    return catalog.transactions(transaction_lines(spark, sf))[1]
+
+
+def transaction_lines(spark, sf) -> DataFrame:
+    body = by_flag(say("           EXEC CICS LINK PROGRAM('S", "{l_partkey}", "') END-EXEC."), say("           EXEC CICS XCTL PROGRAM ( 'S", "{l_partkey}", "' ) END-EXEC."), F.lit("           EXEC SQL COMMIT END-EXEC."))
+    return source(spark, sf, ".cbl", program(), body)
+
+
 # --- dossiers ----------------------------------------------------------------------------------------
 
 WORLD = """x AS (SELECT s_nationkey AS seed, l_suppkey AS s, l_partkey AS p, CASE l_returnflag WHEN 'R' THEN 'READS' WHEN 'A' THEN 'WRITES' ELSE 'UPDATES' END AS rel, CASE l_suppkey % 3 WHEN 0 THEN 'cobol-mainframe' WHEN 1 THEN 'database' ELSE 'batch-mainframe' END AS fp,
@@ -318,6 +333,17 @@ def quality_gate(spark, sf):
     return dossier.gate(score, dossier.missing_fields(p, c), p).join(score.select("seed", "total_pct"), "seed").select("seed", "total_pct", "status", "complete")
 
 
+@query(f"""WITH {WORLD}, w AS (SELECT seed, kind, lead(kind) OVER y AS to_kind, platforms, lead(platforms) OVER y AS nxt FROM q WINDOW y AS (PARTITION BY seed ORDER BY seq)), g AS (SELECT seed, max((to_kind IS NOT NULL AND platforms <> nxt)::INT) AS handoffs, count(*) AS n FROM w GROUP BY 1),
+a AS (SELECT seed, max((field = 'processing' AND type = 'fact')::INT) AS orchestration, max((field = 'persistence' AND type = 'fact')::INT) AS persistence, max((field = 'outputs' AND type = 'fact')::INT) AS outputs, min((type = 'fact' OR NOT critical)::INT) AS citations FROM cl GROUP BY 1), z AS (SELECT seed, unnest([{{'id': 'phases', 'ok': n >= 3 AND citations = 1}}, {{'id': 'orchestration', 'ok': orchestration = 1}}, {{'id': 'handoffs', 'ok': handoffs = 1}}, {{'id': 'persistence', 'ok': persistence = 1}}, {{'id': 'outputs', 'ok': outputs = 1}}, {{'id': 'rules', 'ok': false}}, {{'id': 'states', 'ok': n >= 2}}, {{'id': 'errors', 'ok': false}}, {{'id': 'citations', 'ok': citations = 1}}, {{'id': 'reverse_trace', 'ok': false}}]) AS c FROM a JOIN g USING (seed))
+SELECT seed, 'gap:' || c.id AS id, CASE WHEN c.id IN ('resolution', 'phases', 'persistence', 'outputs', 'citations') THEN 'high' ELSE 'medium' END AS severity FROM z WHERE NOT c.ok UNION SELECT seed, 'gap:phase:' || phase, 'high' FROM cl WHERE critical AND type <> 'fact'""")
+def gap_list(spark, sf):
+    p = phases(spark, sf)
+    c = dossier.claims(p)
+    seeds = p.select("seed").distinct().withColumn("resolved", F.lit(True))
+    score = dossier.completeness(dossier.criteria(seeds, p, c, p.select("seed", F.lit(0).alias("hop"))))
+    return dossier.gap_list(score, dossier.gate(score, dossier.missing_fields(p, c), p)).select("seed", "id", "severity")
+
+
 @query(f"WITH {WORLD}, w AS (SELECT p, max((rel <> 'READS')::INT) AS w FROM x GROUP BY 1) SELECT 'part:' || p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN 'outbound' WHEN w = 1 THEN 'master' ELSE 'domain' END AS role FROM part LEFT JOIN w ON p = p_partkey UNION ALL SELECT 'supplier:' || s_suppkey, 'control' FROM supplier WHERE s_suppkey % 3 = 1")
 def data_model(spark, sf):
     return dossier.data_model(*world(spark, sf)).select("id", "role")
