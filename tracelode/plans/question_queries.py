@@ -462,11 +462,11 @@ def graphml_edges(spark, sf):
 
 
 @query(f"""WITH {ROADS}, g AS (SELECT DISTINCT rel, from_id, to_id FROM r), dg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([from_id, to_id]) AS id FROM (SELECT rel, from_id, to_id FROM r)) GROUP BY id), al AS (SELECT id, coalesce(degree, 0) AS degree, id = 'supplier:3' AS f FROM (SELECT id FROM en WHERE id NOT LIKE 'order:%') LEFT JOIN dg USING (id)),
-ke AS (SELECT id, f FROM al WHERE f UNION ALL (SELECT id, f FROM al WHERE NOT f ORDER BY degree DESC, id LIMIT 39)) SELECT rel, from_id, to_id FROM g JOIN ke a ON a.id = from_id JOIN ke b ON b.id = to_id ORDER BY a.f::INT + b.f::INT DESC, from_id, to_id, rel LIMIT 100""")
+ke AS (SELECT id, f FROM al WHERE f UNION ALL (SELECT id, f FROM al WHERE NOT f ORDER BY degree DESC, id LIMIT 149)) SELECT rel, from_id, to_id FROM g JOIN ke a ON a.id = from_id JOIN ke b ON b.id = to_id ORDER BY a.f::INT + b.f::INT DESC, from_id, to_id, rel LIMIT 100""")
 def within_budget(spark, sf):
     e, r = roads(spark, sf)
     focus = spark.createDataFrame([("supplier:3",)], "id string")
-    return executive.within_budget(e.select("id", "type"), r, executive.Profile(1, 40, 100), focus)[1]
+    return executive.within_budget(e.select("id", "type"), r, executive.Profile(1, 150, 100), focus)[1]
 
 
 @query("""WITH u AS (SELECT 'P' || l_suppkey AS program, 'S' || l_partkey % 50 AS callee, 'F' || l_linenumber AS field, CASE l_linenumber % 3 WHEN 0 THEN 'BOOKA' WHEN 1 THEN 'BOOKB' END AS copybook, l_returnflag FROM lineitem), c AS (SELECT DISTINCT program, callee FROM u WHERE l_returnflag <> 'N'),
