@@ -217,3 +217,10 @@ def test_messaging_reads_all_lines(spark):
     e, r = messaging.extract(df)
     assert [(x["name"], x["semantic_tags"], x["confidence"]) for x in e.collect()] == [("FEED", ["cnab"], 0.9)]
     assert {(x["rel"], x["from"], x["to"]) for x in r.collect()} == {("SENDS", "FEED", "PAYMAIN"), ("SENDS", "FEED", "PAYOUT")}
+
+
+def test_ends_meet_one_entity_however_many_share_the_name(spark):
+    entities = spark.createDataFrame([(f"part:{k:04}", "part", "SAME", None, k < 5) for k in range(2000)] + [("step:A::S", "step", "S", "A", False), ("step:B::S", "step", "S", "B", True)], "id string, type string, name string, parent string, inferred boolean")
+    ends = spark.createDataFrame([(k, "to", "part", "SAME", "", 0) for k in range(50)] + [(90, "to", "step", "S", "B", 0), (91, "to", "step", "S", "C", 0), (92, "to", "step", "S", "", 0)], "__row int, side string, type string, name string, parent string, preference int")
+    got = [(r["__row"], r["id"], r["q"]) for r in model.of_type(ends, entities).collect()]
+    assert sorted(got) == [(k, "part:0005", 0) for k in range(50)] + [(90, "step:B::S", 0), (92, "step:A::S", 1)]

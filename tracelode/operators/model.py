@@ -42,6 +42,14 @@ def merge_entities(raw: DataFrame) -> DataFrame:
     return schema.shaped(out, schema.ENTITY)
 
 
+def of_type(ends: DataFrame, entities: DataFrame) -> DataFrame:
+    """(__row, side, id, p, q, i) of ends (__row, side, type, name, parent, preference): the entity of that type and name, from the same parent if there is one. An end meets one row, however many entities share its name."""
+    names = entities.select("id", "type", "name", normalize_name(F.col("parent")).alias("parent"), F.struct(F.coalesce("inferred", F.lit(False)).cast("int").alias("i"), "id").alias("best"))
+    anywhere, inside = names.groupBy("type", "name").agg(F.min("best").alias("any")), names.groupBy("type", "name", "parent").agg(F.min("best").alias("own"))
+    met = ends.join(anywhere, ["type", "name"]).join(inside, ["type", "name", "parent"], "left").filter((F.length("parent") == 0) | F.col("own").isNotNull() | ~F.col("type").isin(*identity.SCOPED))
+    return met.withColumn("best", F.coalesce("own", "any")).select("__row", "side", "best.id", F.col("preference").alias("p"), F.col("own").isNull().cast("int").alias("q"), "best.i")
+
+
 def resolve_endpoints(raw: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relations with from_id and to_id, and the entities that had to be inferred.
 
@@ -59,10 +67,8 @@ def resolve_endpoints(raw: DataFrame, entities: DataFrame) -> tuple[DataFrame, D
     typed = ends.filter("given is not null").withColumn("type", F.col("given")).withColumn("preference", F.lit(0))
     # 120 fixed rows on the right
     open_ = ends.filter("given is null").join(F.broadcast(exact), ["side", "rel", "extractor"], "left").withColumn("extractor", F.when(F.col("__own"), F.col("extractor")).otherwise("*")).join(F.broadcast(options), ["side", "rel", "extractor"]).select(*typed.columns)
-    names = entities.select("id", "type", "name", F.coalesce("parent", F.lit("")).alias("eparent"), F.coalesce("inferred", F.lit(False)).alias("inferred"))
-    by_type = typed.unionByName(open_).join(names, ["type", "name"])
-    by_type = by_type.filter((F.length("parent") == 0) | (normalize_name(F.col("eparent")) == F.col("parent")) | ~F.col("type").isin(*identity.SCOPED))
-    by_type = by_type.select("__row", "side", "id", F.col("preference").alias("p"), (normalize_name(F.col("eparent")) != F.col("parent")).cast("int").alias("q"), F.col("inferred").cast("int").alias("i"))
+    by_type = of_type(typed.unionByName(open_), entities)
+    names = entities.select("id", "name")
     single = names.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("name", "id")
     by_name = ends.join(single, "name").select("__row", "side", "id", F.lit(99).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("i")).join(ends.filter("given is not null").select("__row", "side"), ["__row", "side"], "left_anti")
     found = by_type.unionByName(by_name).groupBy("__row", "side").agg(F.min_by("id", F.struct("p", "q", "i", "id")).alias("id"))
