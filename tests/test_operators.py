@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import identity, text
 from tracelode.operators import changes, coverage, dossier, export, graph, model, ordering, search
-from tracelode.operators.extract import copybook, messaging, using
+from tracelode.operators.extract import copybook, jcl, messaging, using
 from tracelode.sources import files
 
 
@@ -224,3 +224,12 @@ def test_ends_meet_one_entity_however_many_share_the_name(spark):
     ends = spark.createDataFrame([(k, "to", "part", "SAME", "", 0) for k in range(50)] + [(90, "to", "step", "S", "B", 0), (91, "to", "step", "S", "C", 0), (92, "to", "step", "S", "", 0)], "__row int, side string, type string, name string, parent string, preference int")
     got = [(r["__row"], r["id"], r["q"]) for r in model.of_type(ends, entities).collect()]
     assert sorted(got) == [(k, "part:0005", 0) for k in range(50)] + [(90, "step:B::S", 0), (92, "step:A::S", 1)]
+
+
+def test_jcl_statements_come_from_one_grouping_of_the_lines(spark):
+    code = ["//* OF THE FILE", "//J JOB (A)", "//* ONE", "//* TWO", "//S1 EXEC PGM=P1,", "//     COND=(4,LT,S0)", "//* BETWEEN", "//     LOST=1", "plain", "//D1 DD DSN=A.B,", "//     DISP=SHR", "//* LAST"]
+    lines = spark.createDataFrame([("/a/x.jcl", "h", "x", k, c) for k, c in enumerate(code, 1)], "path string, hash string, name string, line int, code string")
+    s = jcl.statements(lines)
+    got = [(r["line"], r["op"], r["label"], r["operands"], r["description"], r["comment_lines"]) for r in s.orderBy("line").collect()]
+    assert got == [(2, "JOB", "J", "(A)", "OF THE FILE", [1]), (5, "EXEC", "S1", "PGM=P1, COND=(4,LT,S0)", "ONE TWO", [3, 4]), (10, "DD", "D1", "DSN=A.B, DISP=SHR", None, None)]
+    assert "Join" not in s._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.storage import cut
 from . import records
 
 # Operations, dispositions that write, and words that give tags.
@@ -27,11 +28,17 @@ def statements(lines: DataFrame) -> DataFrame:
     x = x.withColumn("stmt", F.sum((~F.col("more")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("block", F.sum((~F.col("comment")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring("c", 4, 80), r"^[\s*]+", ""), r"^[\s-]+", ""), r"\s+", " "))
-    notes = x.filter("comment").groupBy("path", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))), lambda s: s["t"]).alias("notes"), F.array_sort(F.collect_list("line")).alias("comment_lines"))
     body = F.when(F.col("more"), F.trim(F.substring("c", 3, 80))).otherwise(F.regexp_extract("c", r"^//\S*\s+\S+\s*(.*)$", 1))
+    # comments go to the block that follows them, continuations to the block of their statement: one grouping of the lines gives both
+    own = F.last(F.when(F.col("op").isNotNull(), F.struct("stmt", "block")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("own", own).withColumn("key", F.when(F.col("comment"), F.col("block") + 1).when(card & (F.col("own.stmt") == F.col("stmt")), F.col("own.block"))).filter("key is not null")
     first = lambda c: F.max(F.when(F.col("op").isNotNull(), F.col(c))).alias(c)
-    s = x.filter(~F.col("comment") & card).groupBy("path", "hash", "stmt").agg(first("op"), first("line"), first("block"), F.max(F.when(F.col("op").isNotNull(), F.upper(F.regexp_extract("c", r"^//(\S*)", 1)))).alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", body.alias("b")))), lambda z: z["b"]), " ").alias("operands"))
-    s = s.filter("op is not null").withColumn("key", F.col("block") - 1).join(notes.withColumnRenamed("block", "key"), ["path", "key"], "left")
+    s = x.groupBy("path", "key").agg(
+        first("hash"), first("op"), first("line"), first("block"), F.max(F.when(F.col("op").isNotNull(), F.upper(F.regexp_extract("c", r"^//(\S*)", 1)))).alias("label"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("comment"), F.struct("line", body.alias("b"))))), lambda z: z["b"]), " ").alias("operands"), F.array_sort(F.collect_list(F.when(F.col("comment"), F.struct("line", text.alias("t"))))).alias("said"),
+    ).filter("op is not null")
+    some = F.when(F.size("said") > 0, F.col("said"))
+    s = s.withColumn("notes", F.transform(some, lambda n: n["t"])).withColumn("comment_lines", F.transform(some, lambda n: n["line"])).drop("said")
     return s.withColumn("description", F.when(F.col("op").isin("JOB", "EXEC"), F.array_join(F.filter("notes", lambda n: F.length(n) > 0), " "))).withColumn("operands", F.upper("operands"))
 
 
@@ -54,7 +61,7 @@ def described(s: DataFrame) -> DataFrame:
 
 
 def extract(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = described(placed(lines)).withColumn("file", F.col("path")).withColumn("fileHash", F.col("hash")).withColumn("extractor", F.lit("jcl")).withColumn("ordinal", F.col("line").cast("bigint"))
+    s = cut(described(placed(lines))).withColumn("file", F.col("path")).withColumn("fileHash", F.col("hash")).withColumn("extractor", F.lit("jcl")).withColumn("ordinal", F.col("line").cast("bigint"))
     meta = ["file", "fileHash", "line", "extractor", "ordinal", "description", "description_source", "description_evidence", "semantic_tags"]
     dsn = F.regexp_replace(F.regexp_extract("operands", r"DSN=([A-Z0-9@#$.()+&-]{1,44})", 1), "[()]", "")
     disp = F.regexp_extract("operands", r"DISP=\(?([A-Z]+)", 1)
