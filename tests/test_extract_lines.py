@@ -1,6 +1,6 @@
 """Patterns of the extractors: found on lines of any case, evaluated once a line, state read once a file."""
 
-from tracelode.operators.extract import vb6
+from tracelode.operators.extract import cobol, vb6
 
 
 def lines(spark, path, codes):
@@ -31,3 +31,16 @@ def test_desktop_patterns_stand_once_in_the_plan(spark):
     relations = plan(vb6.extract(lines(spark, "/s/one.frm", DESKTOP))[1])
     for pattern in (r"CommandText\s*=", r"WithEvents\s+", r"Implements\s+"):
         assert relations.count(pattern) == 1, pattern
+
+
+PROGRAM = [f"       {c}" for c in ("PROGRAM-ID. PA.", "PROCEDURE DIVISION.", "MAIN-PARA.", "    MOVE 'PX' TO WS-PROG", "    CALL WS-PROG", "    CALL WS-OTHER", "    PERFORM 100-STEP THRU 100-EXIT", "    IF WS-A = 1", "    GO TO 100-STEP.", "100-STEP.", "    CALL 'PY'")]
+
+
+def test_flow_reads_the_state_of_a_file_once(spark):
+    f = cobol.flow(lines(spark, "/c/a.cbl", PROGRAM))
+    got = {(x["from"], x["to"], x["kind"], x["line"]) for x in f["edges"].collect()}
+    assert got == {
+        ("MAIN-PARA", "PX", "CALL", 5), ("MAIN-PARA", "WS-OTHER", "CALL-DYNAMIC", 6), ("MAIN-PARA", "100-STEP", "PERFORM", 7), ("MAIN-PARA", "100-EXIT", "PERFORM-THRU", 7), ("MAIN-PARA", "MAIN-PARA#IF-8", "IF-BRANCH", 8),
+        ("MAIN-PARA", "100-STEP", "GO-TO", 9), ("100-STEP", "PY", "CALL", 11),
+    }
+    assert plan(f["edges"]).count("LogicalRDD") == 1

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.storage import cut
 from ...sources.files import fixed_columns
 from . import records
 
@@ -33,10 +36,14 @@ def state(lines: DataFrame) -> DataFrame:
     return x.withColumn("in_procedure", F.max(F.startswith("up", F.lit("PROCEDURE DIVISION")).cast("int")).over(w) == 1)
 
 
-def name_after(pattern: str, group: int = 1) -> Column:
-    """The name that a pattern finds; null if there is none or it is reserved."""
-    got = F.regexp_extract("up", pattern, group)
-    return F.when((F.length(got) > 0) & ~got.isin(*RESERVED), got)
+def some(pattern: str, *words: str, group: int = 1) -> Column:
+    """What a pattern finds in the code area, "" for nothing; it is tried only on lines that hold one of the words, as each match does."""
+    return F.when(reduce(lambda a, b: a | b, [F.contains("up", F.lit(w)) for w in words]), F.regexp_extract("up", pattern, group)).otherwise("")
+
+
+def named(c: str, reserved: tuple[str, ...] = RESERVED) -> Column:
+    """A column of some(); null if it is empty or a reserved word."""
+    return F.when((F.length(c) > 0) & ~F.col(c).isin(*reserved), F.col(c))
 
 
 def edge(rel, to: Column, kind, confidence, frm: Column | None = None, from_type: str = "program", dynamic: bool = False) -> Column:
@@ -46,34 +53,34 @@ def edge(rel, to: Column, kind, confidence, frm: Column | None = None, from_type
 
 def line_edges(x: DataFrame) -> DataFrame:
     """Edges of the code lines: the first of call, copy and perform ends a line; the others may all hold."""
-    call, var, copy = F.regexp_extract("up", r"\bCALL\s+['\"]([A-Z0-9@#$-]+)['\"]", 1), F.regexp_extract("up", r"\bCALL\s+" + NAME + r"\b", 1), F.regexp_extract("up", r"\bCOPY\s+([A-Z0-9@#$-]+)", 1)
-    var = F.when((F.length(var) > 0) & ~var.isin(*SQL_RESERVED), var)
-    perform, thru = name_after(r"\bPERFORM\s+" + PARAGRAPH), name_after(r"\bPERFORM\s+[A-Z0-9][A-Z0-9@#$-]{1,29}\s+THRU\s+" + PARAGRAPH)
-    a, b = name_after(r"\bMOVE\s+([A-Z][A-Z0-9@#$-]{2,29})\s+TO\s+[A-Z]"), name_after(r"\bMOVE\s+[A-Z][A-Z0-9@#$-]{2,29}\s+TO\s+([A-Z][A-Z0-9@#$-]{2,29})\b")
-    verb, data = F.regexp_extract("up", r"\b(READ|WRITE|REWRITE)\s+[A-Z]", 1), name_after(r"\b(?:READ|WRITE|REWRITE)\s+" + NAME + r"\b")
-    mode, opened = F.regexp_extract("up", r"\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s", 1), name_after(r"\bOPEN\s+(?:INPUT|OUTPUT|I-O|EXTEND)\s+" + NAME + r"\b")
-    tested, routed = name_after(r"\bIF\s+" + NAME + r"\b"), name_after(r"\bEVALUATE\s+" + NAME + r"\b")
+    # Each pattern is a column of its own, evaluated once a line; the edges only refer to these.
+    code = x.filter(~F.col("comment") & ~F.col("in_sql") & F.col("program").isNotNull() & F.col("declares").isNull() & ~F.startswith("up", F.lit("PROCEDURE DIVISION")))
+    code = code.select("path", "hash", "line", "program", "up").withColumns({
+        "call": some(r"\bCALL\s+['\"]([A-Z0-9@#$-]+)['\"]", "CALL"), "var_": some(r"\bCALL\s+" + NAME + r"\b", "CALL"), "copy": some(r"\bCOPY\s+([A-Z0-9@#$-]+)", "COPY"),
+        "perform_": some(r"\bPERFORM\s+" + PARAGRAPH, "PERFORM"), "thru_": some(r"\bPERFORM\s+[A-Z0-9][A-Z0-9@#$-]{1,29}\s+THRU\s+" + PARAGRAPH, "THRU"),
+        "a_": some(r"\bMOVE\s+([A-Z][A-Z0-9@#$-]{2,29})\s+TO\s+[A-Z]", "MOVE"), "b_": some(r"\bMOVE\s+[A-Z][A-Z0-9@#$-]{2,29}\s+TO\s+([A-Z][A-Z0-9@#$-]{2,29})\b", "MOVE"),
+        "verb": some(r"\b(READ|WRITE|REWRITE)\s+[A-Z]", "READ", "WRITE"), "data_": some(r"\b(?:READ|WRITE|REWRITE)\s+" + NAME + r"\b", "READ", "WRITE"),
+        "mode": some(r"\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s", "OPEN"), "opened_": some(r"\bOPEN\s+(?:INPUT|OUTPUT|I-O|EXTEND)\s+" + NAME + r"\b", "OPEN"),
+        "tested_": some(r"\bIF\s+" + NAME + r"\b", "IF"), "routed_": some(r"\bEVALUATE\s+" + NAME + r"\b", "EVALUATE"), "point": F.col("up").rlike(r"\b(COMMIT|SYNCPOINT|CHECKPOINT)\b"),
+    }).withColumns({"var": named("var_", SQL_RESERVED)} | {c: named(f"{c}_") for c in ("perform", "thru", "a", "b", "data", "opened", "tested", "routed")})
+    call, var, copy, perform, thru, a, b, verb, data, mode, opened, tested, routed = (F.col(c) for c in "call var copy perform thru a b verb data mode opened tested routed".split())
     pick = lambda test, *e: F.when(test, F.array(*e))
-    rest = F.filter(
-        F.array(
+    rest = F.array(
             F.when(a.isNotNull() & b.isNotNull(), edge("TRANSFORMS", b, "field", 0.7, a, "field")),
             F.when(data.isNotNull(), edge(F.when(verb == "READ", "READS").when(verb == "WRITE", "WRITES").otherwise("UPDATES"), data, "dataset", 0.82)),
             F.when(opened.isNotNull(), edge(F.when(mode == "INPUT", "READS").when(mode == "OUTPUT", "WRITES").otherwise("UPDATES"), opened, "dataset", 0.72)),
             F.when(tested.isNotNull(), edge("VALIDATES", tested, "field", 0.72)),
             F.when(routed.isNotNull(), edge("ROUTES_TO", routed, "field", 0.7)),
-            F.when(F.col("up").rlike(r"\b(COMMIT|SYNCPOINT|CHECKPOINT)\b"), edge("CHECKPOINTS", F.lit("CHECKPOINT"), "procedure", 0.68)),
-        ),
-        lambda e: e.isNotNull(),
+            F.when(F.col("point"), edge("CHECKPOINTS", F.lit("CHECKPOINT"), "procedure", 0.68)),
     )
     found = (
         pick(F.length(call) > 0, edge("CALLS", call, "program", 1.0))
         .when(var.isNotNull(), F.array(edge("CALL-DYNAMIC", var, "program", 0.6, dynamic=True)))
         .when(F.length(copy) > 0, F.array(edge("INCLUDES", copy, "copybook", 1.0)))
-        .when(perform.isNotNull(), F.filter(F.array(edge("PERFORMS", perform, "paragraph", 0.85), F.when(thru.isNotNull(), edge("PERFORMS", thru, "paragraph", 0.85))), lambda e: e.isNotNull()))
+        .when(perform.isNotNull(), F.array(edge("PERFORMS", perform, "paragraph", 0.85), F.when(thru.isNotNull(), edge("PERFORMS", thru, "paragraph", 0.85))))
         .otherwise(rest)
     )
-    code = x.filter(~F.col("comment") & ~F.col("in_sql") & F.col("program").isNotNull() & F.col("declares").isNull() & ~F.startswith("up", F.lit("PROCEDURE DIVISION")))
-    return code.select("path", "hash", "line", "program", F.posexplode(found)).select("path", "hash", "line", F.col("program").alias("context"), "pos", "col.*")
+    return code.withColumn("found", found).select("path", "hash", "line", "program", F.posexplode(F.array_compact("found"))).select("path", "hash", "line", F.col("program").alias("context"), "pos", "col.*")
 
 
 def comment_calls(x: DataFrame) -> DataFrame:
@@ -146,26 +153,30 @@ def flow(lines: DataFrame) -> dict[str, DataFrame]:
     head = F.upper(F.regexp_extract(F.substring("code", 8, 65), r"^([A-Za-z0-9][A-Za-z0-9@#$-]*)(?:\s+[Ss][Ee][Cc][Tt][Ii][Oo][Nn])?\s*\.", 1))
     x = x.withColumn("begins", F.when((F.length(head) > 0) & ~head.isin(*RESERVED) & ~F.contains("up", F.lit("DIVISION")), head)).withColumn("at", F.coalesce(F.last("begins", True).over(w), F.lit("MAIN")))
     paragraphs = x.filter("begins is not null").select("path", "hash", "program", F.col("begins").alias("name"), "line")
-    value = F.coalesce(F.when(F.length(F.regexp_extract("up", r"\bMOVE\s+['\"]([A-Z0-9@#$-]+)['\"]\s+TO\s+" + NAME, 1)) > 0, F.struct(F.regexp_extract("up", r"\bMOVE\s+['\"]([A-Z0-9@#$-]+)['\"]\s+TO\s+" + NAME, 2).alias("var"), F.regexp_extract("up", r"\bMOVE\s+['\"]([A-Z0-9@#$-]+)['\"]", 1).alias("value"))), F.when(F.length(F.regexp_extract("up", r"\bSET\s+" + NAME + r"\s+TO\s+['\"]([A-Z0-9@#$-]+)['\"]", 1)) > 0, F.struct(F.regexp_extract("up", r"\bSET\s+" + NAME, 1).alias("var"), F.regexp_extract("up", r"\bTO\s+['\"]([A-Z0-9@#$-]+)['\"]", 1).alias("value"))))
-    values = x.withColumn("v", value).filter("v is not null").select("path", "program", "line", "v.var", "v.value")
-    calls = x.withColumn("lit", F.regexp_extract("up", r"\bCALL\s+['\"]([A-Z0-9@#$-]+)['\"]", 1)).withColumn("var", F.regexp_extract("up", r"\bCALL\s+" + NAME + r"\b", 1))
+    moved, put = r"\bMOVE\s+['\"]([A-Z0-9@#$-]+)['\"]\s+TO\s+" + NAME, r"\bSET\s+" + NAME + r"\s+TO\s+['\"]([A-Z0-9@#$-]+)['\"]"
+    x = x.select("path", "hash", "line", "program", "up", "at").withColumns({
+        "perform_": some(r"\bPERFORM\s+" + PARAGRAPH, "PERFORM"), "thru_": some(r"\bPERFORM\s+[A-Z0-9][A-Z0-9@#$-]{1,29}\s+THRU\s+" + PARAGRAPH, "THRU"), "jump_": some(r"\bGO\s+TO\s+" + PARAGRAPH, "GO"),
+        "lit": some(r"\bCALL\s+['\"]([A-Z0-9@#$-]+)['\"]", "CALL"), "called": some(r"\bCALL\s+" + NAME + r"\b", "CALL"), "moved": some(moved, "MOVE"), "moved_to": some(moved, "MOVE", group=2), "put_to": some(put, "SET"), "put": some(put, "SET", group=2),
+        "b": F.when(F.col("up").rlike(r"^(ELSE )?IF\b"), "IF").when(F.col("up").rlike(r"^ELSE\b"), "ELSE").when(F.col("up").rlike(r"^WHEN\b"), "WHEN"),
+    }).withColumns({c: named(f"{c}_") for c in ("perform", "thru", "jump")})
+    kinds = {"IF": "IF-BRANCH", "ELSE": "ELSE-BRANCH", "WHEN": "EVAL-WHEN"}
+    one = lambda test, to, kind, conf: F.when(test, F.struct(to.alias("to"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.lit(conf).alias("confidence")))
+    # What a line says by itself, in one pass over the lines.
+    found = F.array(
+        *[one(F.col(c).isNotNull(), F.col(c), kind, 1.0) for c, kind in (("perform", "PERFORM"), ("thru", "PERFORM-THRU"), ("jump", "GO-TO"))],
+        one(F.length("lit") > 0, F.col("lit"), "CALL", 1.0),
+        one(F.col("b").isNotNull(), F.concat("at", F.lit("#"), "b", F.lit("-"), F.col("line").cast("string")), F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])[F.col("b")], 0.9),
+    )
+    said = x.withColumn("found", found).select("path", "hash", "program", F.col("at").alias("from"), "line", F.explode(F.array_compact("found")).alias("e")).select("path", "hash", "program", "from", "e.to", "e.kind", "line", "e.confidence")
+    # Calls of variables and literals that are moved: the few lines that meet each other are written once.
+    v = F.when(F.length("moved") > 0, F.struct(F.col("moved_to").alias("var"), F.col("moved").alias("value"))).when(F.length("put") > 0, F.struct(F.col("put_to").alias("var"), F.col("put").alias("value")))
+    few = cut(x.withColumn("v", v).withColumn("var", F.when((F.length("lit") == 0) & (F.length("called") > 0), F.col("called"))).filter("v is not null or var is not null").select("path", "hash", "program", "at", "line", "var", "v"))
+    values, dyn = few.filter("v is not null").select("path", "program", "line", "v.var", "v.value"), few.filter("var is not null").drop("v")
     step = lambda d, to, kind, conf: d.select("path", "hash", "program", F.col("at").alias("from"), to.alias("to"), F.lit(kind).alias("kind"), "line", F.lit(conf).alias("confidence"))
-    named = lambda p: x.withColumn("t", name_after(p)).filter("t is not null")
-    dyn = calls.filter("length(lit) = 0 and length(var) > 0")
     met = dyn.join(values.select("path", "var", "value", F.col("line").alias("def")), ["path", "var"], "left").withColumn("value", F.when(F.col("def") < F.col("line"), F.col("value")))
     known = met.filter("value is not null").select("path", "hash", "program", "at", "line", "value").distinct()
     rest = dyn.join(known.select("path", "line").distinct(), ["path", "line"], "left_anti")
-    branch = x.withColumn("b", F.when(F.col("up").rlike(r"^(ELSE )?IF\b"), "IF").when(F.col("up").rlike(r"^ELSE\b"), "ELSE").when(F.col("up").rlike(r"^WHEN\b"), "WHEN")).filter("b is not null")
-    kinds = {"IF": "IF-BRANCH", "ELSE": "ELSE-BRANCH", "WHEN": "EVAL-WHEN"}
-    edges = (
-        step(named(r"\bPERFORM\s+" + PARAGRAPH), F.col("t"), "PERFORM", 1.0)
-        .unionByName(step(named(r"\bPERFORM\s+[A-Z0-9][A-Z0-9@#$-]{1,29}\s+THRU\s+" + PARAGRAPH), F.col("t"), "PERFORM-THRU", 1.0))
-        .unionByName(step(named(r"\bGO\s+TO\s+" + PARAGRAPH), F.col("t"), "GO-TO", 1.0))
-        .unionByName(step(calls.filter("length(lit) > 0"), F.col("lit"), "CALL", 1.0))
-        .unionByName(step(known, F.col("value"), "CALL", 0.9))
-        .unionByName(step(rest, F.col("var"), "CALL-DYNAMIC", 0.6))
-        .unionByName(branch.select("path", "hash", "program", F.col("at").alias("from"), F.concat("at", F.lit("#"), "b", F.lit("-"), F.col("line").cast("string")).alias("to"), F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])[F.col("b")].alias("kind"), "line", F.lit(0.9).alias("confidence")))
-    )
+    edges = said.unionByName(step(known, F.col("value"), "CALL", 0.9)).unionByName(step(rest, F.col("var"), "CALL-DYNAMIC", 0.6))
     return {"paragraphs": paragraphs, "edges": edges, "var_values": values.select("program", "var", "value").distinct()}
 
 
