@@ -20,3 +20,18 @@ def test_modes_returning_and_phrases():
 def test_level_and_picture():
     lines = ["       PROGRAM-ID. MAIN.", "           COPY RECA.", "       01  REC-A PIC X(10).", "           05 REC-C PIC IS 9(4).", "       PROCEDURE  DIVISION.", "           CALL 'S' USING REC-A REC-C REC-X", "      *    CALL 'T' USING REC-A"]
     assert [(r["program"], r["field"], r["copybook"], r["level"], r["pic"], r["line"]) for r in using.parse(list(enumerate(lines, 1)))] == [("MAIN", "REC-A", "RECA", 1, "X(10)", 6), ("MAIN", "REC-C", "RECA", 5, "9(4)", 6), ("MAIN", "REC-X", None, None, None, 6)]
+
+
+def test_files_are_scanned_in_a_stream_and_may_go_over_a_batch(spark):
+    def codes(k):
+        return [f"       PROGRAM-ID. M{k}.", "       01  REC-A.", "       PROCEDURE DIVISION.", "           CALL 'S' USING", f"             REC-A REC-{k}", "           MOVE REC-A TO REC-B", "           CALL 'T' USING REC-B"]
+
+    df = spark.createDataFrame([(f"/c/{k}.cbl", n, c) for k in range(40) for n, c in enumerate(codes(k), 1)], "path string, line int, code string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = using.uses(df)
+        got = {(r["path"], r["program"], r["callee"], r["field"], r["level"], r["line"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(f"/c/{k}.cbl", f"M{k}", *x) for k in range(40) for x in (("S", "REC-A", 1, 4), ("S", f"REC-{k}", None, 4), ("T", "REC-B", None, 7))}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()  # no call of Python for each file
