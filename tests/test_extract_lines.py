@@ -44,3 +44,10 @@ def test_flow_reads_the_state_of_a_file_once(spark):
         ("MAIN-PARA", "100-STEP", "GO-TO", 9), ("100-STEP", "PY", "CALL", 11),
     }
     assert plan(f["edges"]).count("LogicalRDD") == 1
+
+
+def test_edges_and_notes_come_from_one_pass(spark):
+    r = cobol.extract(lines(spark, "/c/a.cbl", ["      * PB123 - EARLY", *PROGRAM, "      * PC123 - CALLED", "           EXEC SQL SELECT A FROM T1 END-EXEC."]))[1]
+    got = {(x["rel"], x["to"], x["line"], x["confidence"]) for x in r.collect()}
+    assert got >= {("CALLS", "PC123", 13, 0.4), ("READS", "T1", 14, 0.9), ("PERFORMS", "100-EXIT", 8, 0.85)} and not any(to == "PB123" for _, to, _, _ in got)
+    assert plan(r).count("LogicalRDD") == 2

@@ -52,10 +52,11 @@ def edge(rel, to: Column, kind, confidence, frm: Column | None = None, from_type
 
 
 def line_edges(x: DataFrame) -> DataFrame:
-    """Edges of the code lines: the first of call, copy and perform ends a line; the others may all hold."""
+    """Edges of the code lines: the first of call, copy and perform ends a line; the others may all hold. NAME - text in a comment after the program's name is a call with little confidence."""
     # Each pattern is a column of its own, evaluated once a line; the edges only refer to these.
-    code = x.filter(~F.col("comment") & ~F.col("in_sql") & F.col("program").isNotNull() & F.col("declares").isNull() & ~F.startswith("up", F.lit("PROCEDURE DIVISION")))
-    code = code.select("path", "hash", "line", "program", "up").withColumns({
+    code = x.filter(F.col("program").isNotNull() & (F.col("comment") | (~F.col("in_sql") & F.col("declares").isNull() & ~F.startswith("up", F.lit("PROCEDURE DIVISION")))))
+    code = code.select("path", "hash", "line", "program", "up", "comment", "note").withColumns({
+        "noted": F.when(F.col("comment"), F.regexp_extract(F.upper("note"), r"^\s{0,6}([A-Z][A-Z0-9@#$]{2,7})\s+-\s+\S", 1)).otherwise(""),
         "call": some(r"\bCALL\s+['\"]([A-Z0-9@#$-]+)['\"]", "CALL"), "var_": some(r"\bCALL\s+" + NAME + r"\b", "CALL"), "copy": some(r"\bCOPY\s+([A-Z0-9@#$-]+)", "COPY"),
         "perform_": some(r"\bPERFORM\s+" + PARAGRAPH, "PERFORM"), "thru_": some(r"\bPERFORM\s+[A-Z0-9][A-Z0-9@#$-]{1,29}\s+THRU\s+" + PARAGRAPH, "THRU"),
         "a_": some(r"\bMOVE\s+([A-Z][A-Z0-9@#$-]{2,29})\s+TO\s+[A-Z]", "MOVE"), "b_": some(r"\bMOVE\s+[A-Z][A-Z0-9@#$-]{2,29}\s+TO\s+([A-Z][A-Z0-9@#$-]{2,29})\b", "MOVE"),
@@ -74,7 +75,8 @@ def line_edges(x: DataFrame) -> DataFrame:
             F.when(F.col("point"), edge("CHECKPOINTS", F.lit("CHECKPOINT"), "procedure", 0.68)),
     )
     found = (
-        pick(F.length(call) > 0, edge("CALLS", call, "program", 1.0))
+        pick(F.col("comment"), F.when(named("noted").isNotNull(), edge("CALLS", F.col("noted"), "program", 0.4)))
+        .when(F.length(call) > 0, F.array( edge("CALLS", call, "program", 1.0)))
         .when(var.isNotNull(), F.array(edge("CALL-DYNAMIC", var, "program", 0.6, dynamic=True)))
         .when(F.length(copy) > 0, F.array(edge("INCLUDES", copy, "copybook", 1.0)))
         .when(perform.isNotNull(), F.array(edge("PERFORMS", perform, "paragraph", 0.85), F.when(thru.isNotNull(), edge("PERFORMS", thru, "paragraph", 0.85))))
@@ -83,13 +85,6 @@ def line_edges(x: DataFrame) -> DataFrame:
     return code.withColumn("found", found).select("path", "hash", "line", "program", F.posexplode(F.array_compact("found"))).select("path", "hash", "line", F.col("program").alias("context"), "pos", "col.*")
 
 
-def comment_calls(x: DataFrame) -> DataFrame:
-    """NAME - text in a comment after the program's name: a call with little confidence."""
-    got = F.regexp_extract(F.upper("note"), r"^\s{0,6}([A-Z][A-Z0-9@#$]{2,7})\s+-\s+\S", 1)
-    y = x.filter(F.col("comment") & F.col("program").isNotNull()).withColumn("to", got).filter((F.length("to") > 0) & ~F.col("to").isin(*RESERVED))
-    return y.select("path", "hash", "line", F.col("program").alias("context"), F.lit(0).alias("pos"), F.lit("CALLS").alias("rel"), F.col("program").alias("from"), "to", F.lit("program").alias("fromType"), F.lit("program").alias("toType"), F.lit(0.4).alias("confidence"), F.lit(False).alias("dynamic"))
-
-
 def sql_blocks(x: DataFrame) -> DataFrame:
     """(path, hash, line, program, sql): embedded statements, lines joined; one that begins and ends on a line is whole."""
     s = x.filter("in_sql").groupBy("path", "hash", "sql_no").agg(F.min("line").alias("line"), F.max("program").alias("program"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "up"))), lambda z: z["up"]), " ").alias("sql"), F.max("closes").alias("closed"))
@@ -133,7 +128,7 @@ def headers(x: DataFrame) -> DataFrame:
 def extract(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = state(lines)
     sql = sql_blocks(x)
-    edges = line_edges(x).unionByName(comment_calls(x)).unionByName(sql_edges(sql))
+    edges = line_edges(x).unionByName(sql_edges(sql))
     r = edges.withColumn("file", F.col("path")).withColumn("fileHash", F.col("hash")).withColumn("extractor", F.lit("cobol")).withColumn("ordinal", F.col("line") * F.lit(16) + F.col("pos").cast("bigint"))
     programs = x.filter("declares is not null").join(headers(x), "path", "left")
     e = programs.select(F.lit("program").alias("type"), F.col("declares").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("parentType"), F.lit(1.0).alias("confidence"), "path", "hash", "line", "description", F.when(F.col("description").isNotNull(), "cobol_header").alias("description_source"), F.when(F.col("description").isNotNull(), F.array("ref")).alias("description_evidence"), F.col("tags").alias("semantic_tags"))
