@@ -233,3 +233,11 @@ def test_jcl_statements_come_from_one_grouping_of_the_lines(spark):
     got = [(r["line"], r["op"], r["label"], r["operands"], r["description"], r["comment_lines"]) for r in s.orderBy("line").collect()]
     assert got == [(2, "JOB", "J", "(A)", "OF THE FILE", [1]), (5, "EXEC", "S1", "PGM=P1, COND=(4,LT,S0)", "ONE TWO", [3, 4]), (10, "DD", "D1", "DSN=A.B, DISP=SHR", None, None)]
     assert "Join" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_evaluate_the_words_of_a_text_once(spark):
+    """The texts of a value are normalised and split once, however often the score looks at them."""
+    df = spark.range(1).select(text.score_text(F.lit("payment batch"), F.array(F.concat(F.lit("daily paymant x"), F.col("id").cast("string")))).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.first()["s"] == 26 + 14
+    assert plan.count("levenshtein") == 2 and plan.count("paymant") == 1  # one for each branch that looks at words
