@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.storage import cut
 from ..operators import catalog, changes, coverage, dossier, export, flows, modernize, search
 from ..operators.extract import cobol, copybook, jcl, messaging, sql, target, using, vb6
 from ..sources import files
@@ -301,7 +302,7 @@ def phase_claims(spark, sf):
 
 @query(f"WITH {WORLD} SELECT seed, kind, n_processing, n_inputs, n_persistence, n_outputs, 0::BIGINT AS n_decisions FROM q")
 def facts_only(spark, sf):
-    p = phases(spark, sf)
+    p = cut(phases(spark, sf))  # read twice
     return dossier.facts_only(p, dossier.claims(p)).select("seed", "kind", *sizes(), F.size("decisions").cast("bigint").alias("n_decisions"))
 
 
