@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelode.llm import suffix
@@ -81,3 +82,35 @@ def test_a_long_document_is_cut_and_joined(monkeypatch, frame):
     rows = [(1, long[700:2200]), (2, long), (3, long[100:180])]
     got = sorted((tuple(r) for r in suffix.dedup(frame(rows)).collect()), key=str)
     assert got == brute(rows)
+
+
+def shard_of(rows, monkeypatch):
+    """The rows (doc_id, text) as one group whose segments all go to one shard, and what its windows are compared by: bytes of each call."""
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows]), "grp": pa.array([0] * len(rows), pa.int32())})
+    parts = []
+    for g in range(2):  # each half of the rows is a group
+        part = docs.slice(g * len(rows) // 2, len(rows) // 2)
+        start, size, _, _ = suffix.segments(*suffix.ordered(part)[1:], suffix.Powers(1))
+        ids, raw, at = suffix.ordered(part)
+        doc, size = ids[np.searchsorted(at, start, "right") - 1], size + suffix.WINDOW - 1
+        parts.append((len(start), doc.tobytes() + size.astype(np.uint8).tobytes() + raw[suffix.within(start, size)].tobytes()))
+    seen, plain = [], suffix.least_documents
+    monkeypatch.setattr(suffix, "least_documents", lambda text, *a: seen.append(len(text)) or plain(text, *a))
+    out = suffix._decide(pa.table({"shard": pa.array([0, 0], pa.int32()), "grp": pa.array([0, 1], pa.int32()), "n": pa.array([n for n, _ in parts]), "blob": pa.array([b for _, b in parts], pa.binary())}))
+    return out, seen, sum(n for n, _ in parts)
+
+
+def test_only_contents_under_a_shared_least_hash_are_compared(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefghij "), 20000)) for _ in range(3)]
+    out, seen, n = shard_of([(k, t) for k, t in enumerate(texts)] + [(k + 10, t) for k, t in enumerate(texts)], monkeypatch)
+    first, second = (out.column("blob")[k].as_py() for k in range(2))
+    assert len(first) == 0 and len(second) == 12 * n // 2  # all of the copies, none of the originals
+    assert sum(seen) < 2000  # whole copies have nothing to compare
+
+
+def test_stretches_of_hashes_give_what_one_piece_gives(monkeypatch, frame):
+    monkeypatch.setattr(suffix, "STRETCH_BYTES", 200)
+    rows = made(3)
+    got = sorted((tuple(r) for r in suffix.dedup(frame(rows)).collect()), key=str)
+    assert got == brute(rows)

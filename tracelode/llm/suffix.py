@@ -4,9 +4,11 @@ A byte is removed if it lies in a WINDOW-byte string that also starts in a docum
 
 Each window goes to the shard that its least k-gram hash names, so equal windows meet in one
 shard; neighbouring windows with the same least hash travel as one segment. Windows whose least
-hash occurs in one document only can't repeat and stay where they are. A shard of segments is cut
-into pieces of bounded size; each piece gets a suffix array by Larsson-Sadakane refinement and
-common prefixes by Kasai's rule; pieces are merged by binary search of their sorted windows. The
+hash occurs in one document only can't repeat and stay where they are. In a shard, segments of equal
+content are one, and only those that share their least hash with another content are compared: by
+stretches of these hashes, cut into pieces of bounded size; each piece gets a suffix array by
+Larsson-Sadakane refinement and common prefixes by Kasai's rule; pieces of one hash are merged by
+binary search of their sorted windows. The
 smallest document of every window goes back to the documents, which are read in groups of bounded size.
 
 Defined results: null text is empty; a text under WINDOW bytes, or one that repeats only itself,
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, longs, mixed, runs_of, spans_of, text_of, utf8, within
+from .common import longs, mixed, runs_of, spans_of, text_of, utf8, within
 
 WINDOW, GRAM = 50, 19
 SPAN = WINDOW - GRAM + 1  # k-grams of a window, and windows of a segment at most: a mask has 32 bits
 GROUP_BYTES, SHARD_BYTES, PIECE_BYTES = 8 << 20, 4 << 20, 4 << 20
+#: Bytes that a numpy pass hashes at once, and of segments that are compared at once: tables of 64 bits a byte then stay in the cache of a core.
+CHUNK, STRETCH_BYTES = 1 << 17, 1 << 18
 LEAST = 48
 BASE = 0x9FB21C651E98DF25
 LAST = (1 << 63) - 1
@@ -61,7 +65,7 @@ class Powers:
 
 def blocks(at: np.ndarray):
     """(first row, last row, first byte, last window start) of stretches to hash at once; a long row is cut, with windows that go over the cut."""
-    for i, j in runs_of(at):
+    for i, j in runs_of(at, CHUNK):
         if at[j] - at[i] <= 2 * CHUNK:
             yield i, j, int(at[i]), int(at[j])
         else:
@@ -126,14 +130,14 @@ def cuts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
-def distinct_keys(least: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending (bucket, key), and whether two documents here have it."""
+def distinct_keys(least: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Ascending (bucket, key), whether two documents here have it, the order of the rows by it and where it begins in them."""
     bucket, key = keyed(least, buckets)
     code = (bucket.astype(np.uint64) << np.uint64(32)) | key
     order = np.argsort(code, kind="stable")
     code, doc = code[order], doc[order]
     first = cuts(code)
-    return (code[first] >> np.uint64(32)).astype(np.int64), (code[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) if len(first) else np.zeros(0, bool)
+    return (code[first] >> np.uint64(32)).astype(np.int64), (code[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) if len(first) else np.zeros(0, bool), order, first
 
 
 def _offer(buckets: int):
@@ -143,7 +147,7 @@ def _offer(buckets: int):
         ids, raw, at = ordered(docs)
         start, _, least, _ = segments(raw, at, Powers(2 * CHUNK + WINDOW))
         doc = ids[np.searchsorted(at, start, "right") - 1]
-        bucket, key, many = distinct_keys(least, doc, buckets)
+        bucket, key, many, _, _ = distinct_keys(least, doc, buckets)
         first = cuts(bucket)
         blobs = [key[a:b].tobytes() + np.packbits(many[a:b]).tobytes() for a, b in pieces(first, len(key))]
         group = docs.column("grp")[0].as_py()
@@ -179,13 +183,13 @@ def _send(buckets: int, shards: int):
         ids, raw, at = ordered(docs)
         start, size, least, content = segments(raw, at, Powers(2 * CHUNK + WINDOW))
         doc = ids[np.searchsorted(at, start, "right") - 1]
-        bucket, key, _ = distinct_keys(least, doc, buckets)
+        bucket, key, _, by_key, begin = distinct_keys(least, doc, buckets)
         flag, bits = np.zeros(len(key), bool), dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True))
         first = cuts(bucket)
         for a, b in pieces(first, len(key)):
             flag[a:b] = np.unpackbits(np.frombuffer(bits[int(bucket[a])], np.uint8), count=b - a) > 0
-        bk, ky = keyed(least, buckets)
-        mine = flag[np.searchsorted((bucket.astype(np.uint64) << np.uint64(32)) | key, (bk.astype(np.uint64) << np.uint64(32)) | ky)]
+        mine = np.empty(len(least), bool)
+        mine[by_key] = np.repeat(flag, np.diff(np.append(begin, len(least))))
         start, size, least, content, doc = start[mine], size[mine], least[mine], content[mine], doc[mine]
         order = np.lexsort((doc, content))
         order = order[cuts(content[order])]
@@ -311,9 +315,21 @@ def window_keys(part: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(f"S{WINDOW + 1}")
 
 
+def least_grams(text: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Content hash of segments that lie one after another from at, and the least k-gram hash of each: that of its first window, as of all others."""
+    content, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i, j in runs_of(at, CHUNK):
+        totals, start = powers.totals(text[at[i] : at[j]]), at[i:j] - at[i]
+        content.append(powers.hashes(totals, start, np.diff(at[i : j + 1])))
+        low = np.full(j - i, ~np.uint64(0))
+        for k in range(SPAN):
+            low = np.minimum(low, mixed((totals[start + k + GRAM] - totals[start + k]) * powers.down[start + k]))
+        least.append(low)
+    return np.concatenate(content), np.concatenate(least)
+
+
 def _decide(part: pa.Table) -> pa.Table:
     """Of each segment of a shard, by group, the windows that a smaller document has."""
-    powers = Powers(1)
     sizes = longs(part.column("n"))
     docs, lengths, texts = [], [], []
     for n, blob in zip(sizes.tolist(), part.column("blob"), strict=True):
@@ -321,31 +337,39 @@ def _decide(part: pa.Table) -> pa.Table:
         docs.append(np.frombuffer(b, "<i8", n))
         lengths.append(np.frombuffer(b, np.uint8, n, 8 * n).astype(np.int64))
         texts.append(np.frombuffer(b, np.uint8, offset=9 * n))
-    doc, length = np.concatenate(docs), np.concatenate(lengths)
-    start = np.concatenate(([0], np.cumsum(length)[:-1]))
-    content = []
-    for text, size in zip(texts, lengths, strict=True):
-        at = np.concatenate(([0], np.cumsum(size)))
-        for i, j in runs_of(at):
-            content.append(powers.hashes(powers.totals(text[at[i] : at[j]]), at[i:j] - at[i], size[i:j]))
-    text, content = np.concatenate(texts), np.concatenate(content)
+    doc, length, text = np.concatenate(docs), np.concatenate(lengths), np.concatenate(texts)
+    at = np.concatenate(([0], np.cumsum(length)))
+    content, gram = least_grams(text, at, Powers(CHUNK + 2 * WINDOW))
     order = np.lexsort((doc, content))
     first = cuts(content[order])
-    one = order[first]
+    one, copies = order[first], np.diff(np.append(first, len(order)))
     which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    if len(one) == len(order):
-        kept, at, one, which = text, start, np.arange(len(start)), np.arange(len(start))
-    else:
-        kept = text[within(start[one], length[one])]
-        at = np.concatenate(([0], np.cumsum(length[one])[:-1]))
-    count = length[one] - WINDOW + 1
-    least = least_documents(kept, at, count, doc[one])
-    begin = np.concatenate(([0], np.cumsum(count)[:-1]))
-    own = count[which]
-    bit = within(np.zeros(len(own), np.int64), own)
-    hit = least[within(begin[which], own)] < np.repeat(doc, own)
-    mask = np.add.reduceat(np.where(hit, np.int64(1) << bit, 0), np.concatenate(([0], np.cumsum(own)[:-1]))).astype(np.uint32)
+    which[order] = np.repeat(np.arange(len(first)), copies)
+    # all windows of a content repeat with it; others can have them only under the same least hash
+    mask = np.where(doc > doc[one][which], np.uint32(0xFFFFFFFF), np.uint32(0))
+    by_gram = np.argsort(gram[one], kind="stable")
+    edges = cuts(gram[one][by_gram])
+    several = np.repeat(np.diff(np.append(edges, len(one))), np.diff(np.append(edges, len(one)))) > 1
+    met = by_gram[several]
+    count = length[one[met]] - WINDOW + 1
+    if len(met):
+        new = cuts(gram[one[met]])
+        total = np.cumsum(length[one[met]])
+        # stretches of whole hashes; a hash of many segments is a stretch of its own
+        stretch = cuts(total[np.append(new[1:], len(met)) - 1] // STRETCH_BYTES)
+        least = []
+        for a, b in pieces(new[stretch], len(met)):
+            some = one[met[a:b]]
+            kept = text[within(at[some], length[some])]
+            least.append(least_documents(kept, np.concatenate(([0], np.cumsum(length[some])[:-1])), count[a:b], doc[some]))
+        least = np.concatenate(least)
+        begin, place = np.concatenate(([0], np.cumsum(count)[:-1])), np.full(len(one), -1)
+        place[met] = np.arange(len(met))
+        rows = np.flatnonzero(place[which] >= 0)
+        own, k = count[place[which[rows]]], begin[place[which[rows]]]
+        bit = within(np.zeros(len(own), np.int64), own)
+        hit = least[within(k, own)] < np.repeat(doc[rows], own)
+        mask[rows] = np.add.reduceat(np.where(hit, np.int64(1) << bit, 0), np.concatenate(([0], np.cumsum(own)[:-1]))).astype(np.uint32)
     groups, blobs, ends = part.column("grp").to_pylist(), [], np.cumsum(sizes)
     for n, e in zip(sizes.tolist(), ends.tolist(), strict=True):
         some = np.flatnonzero(mask[e - n : e]) + e - n
