@@ -52,3 +52,11 @@ def test_slug_of_whole_text(spark, small):
 def test_pending_of_all_kinds(spark, small):
     want = [("entity", n) for n in ("C1", "P2", "P3", "P4", "S2", "order:2")] + [("relation", "supplier:1|WRITES|part:2")]
     assert rows(spark, "pending_filter", small, "kind", "name") == want
+
+
+def test_merges_read_a_line_once(spark, small):
+    """A join with a table of fixed values is a nested loop that reads all lines once for each of its partitions."""
+    for name in ("merge_relation", "merge_relation_again"):
+        plan = table_queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert rows(spark, "merge_relation_again", small, "rel", "to_id", "evidence", "confidence") == [("READS", "part:1", "1:1", 1.0), ("READS", "part:3", "2:2", 1.0), ("UPDATES", "part:3", "2:1", 0.65), ("WRITES", "part:2", "1:2", 0.3)]

@@ -219,7 +219,7 @@ def flow_confidence(spark, sf):
 
 def access_records(spark, sf):
     """Line items as raw relations whose ends are known."""
-    a = T.accesses(spark, sf).join(spark.createDataFrame([("supplier", "part")], "from_type string, to_type string"))
+    a = T.accesses(spark, sf).withColumn("from_type", F.lit("supplier")).withColumn("to_type", F.lit("part"))
     return a.select("rel", F.col("from_id").alias("from"), F.col("to_id").alias("to"), "from_id", "to_id", "from_type", "to_type", F.col("from_id").alias("from_label"), F.col("to_id").alias("to_label"), F.lit("table").alias("extractor"), "confidence", F.substring_index("evidence", ":", 1).alias("file"), F.substring_index("evidence", ":", -1).cast("int").alias("line"), F.lit(False).alias("dynamic"), F.xxhash64("evidence").alias("ordinal"))
 
 
