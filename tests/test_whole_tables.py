@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tracelode.plans import table_queries
+from tracelode.plans import question_queries, table_queries
 
 TABLES = {
     "documents": "SELECT * FROM (VALUES (1::BIGINT, 'Ein Satz mit mehr als vierzig Zeichen, dann Straße und Ende.'), (2, '--'), (3, NULL)) t(doc_id, text)",
@@ -60,3 +60,16 @@ def test_merges_read_a_line_once(spark, small):
         plan = table_queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(spark, "merge_relation_again", small, "rel", "to_id", "evidence", "confidence") == [("READS", "part:1", "1:1", 1.0), ("READS", "part:3", "2:2", 1.0), ("UPDATES", "part:3", "2:1", 0.65), ("WRITES", "part:2", "1:2", 0.3)]
+
+
+def test_parts_of_flows_are_made_once(spark, monkeypatch):
+    """Parts of flows are written before phases are made of them, and no pair of suppliers is made before the flows are whole."""
+    given, plain = [], question_queries.P.program
+    monkeypatch.setattr(question_queries.P, "program", lambda of, parts: given.append(parts) or plain(of, parts))
+    flows, parts_of = [], question_queries.P.flow_parts
+    monkeypatch.setattr(question_queries.P, "flow_parts", lambda f, e: flows.append(f) or parts_of(f, e))
+    question_queries.QUERIES["phases_program"](spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(given[0]) and "Generate" not in plan(given[0])
+    last = plan(flows[0]).splitlines()
+    assert not any("Aggregate" in x for x in last[: next(i for i, x in enumerate(last) if "Join" in x)])
