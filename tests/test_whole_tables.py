@@ -73,3 +73,13 @@ def test_parts_of_flows_are_made_once(spark, monkeypatch):
     assert "Join" not in plan(given[0]) and "Generate" not in plan(given[0])
     last = plan(flows[0]).splitlines()
     assert not any("Aggregate" in x for x in last[: next(i for i, x in enumerate(last) if "Join" in x)])
+
+
+def test_events_of_batch_steps_are_made_once(spark, monkeypatch):
+    """Items and members of batch phases come from written events, and names and evidence are not ranked where only their numbers are asked for."""
+    given, plain = [], question_queries.P.batch
+    monkeypatch.setattr(question_queries.P, "batch", lambda *a: given.append(plain(*a)) or given[0])
+    out = question_queries.QUERIES["phases_batch"](spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan(t) for t in given[0][1:] for x in ("Join", "Window"))
+    assert "Window" not in plan(out)
