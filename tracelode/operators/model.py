@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, schema
@@ -50,40 +50,49 @@ def of_type(ends: DataFrame, entities: DataFrame) -> DataFrame:
     return met.withColumn("best", F.coalesce("own", "any")).select("__row", "side", "best.id", F.col("preference").alias("p"), F.col("own").isNull().cast("int").alias("q"), "best.i")
 
 
+def end_of(side: str) -> Column:
+    """All that an end of a raw relation is resolved by, as one value; of the file only the key, and only where it is part of an id."""
+    name, given, parent = normalize_name(F.col(f"`{side}`")), F.lower(F.trim(F.col(f"{side}Type"))), normalize_name(F.col(f"{side}Parent"))
+    extractor = F.upper(F.coalesce("extractor", F.lit("")))
+    kind = F.coalesce(given, identity.inferred_type(F.col("rel"), side, extractor, name))
+    by_file = (kind == "sql_script") | (kind.isin(*identity.SCOPED) & (F.length(parent) == 0))
+    return F.struct(F.lit(side).alias("side"), F.col("rel"), extractor.alias("extractor"), name.alias("name"), given.alias("given"), parent.alias("parent"), kind.alias("kind"), F.when(by_file, identity.file_key(F.col("fileHash"), F.col("file"))).alias("at"))
+
+
 def resolve_endpoints(raw: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relations with from_id and to_id, and the entities that had to be inferred.
 
     An end is looked up by its given type and name (and parent), else by the candidate types of its relation in order, else by a name that only one entity has; what is left becomes an inferred entity with confidence 0.3. Real entities go first; inferred ones don't change what another end resolves to.
+    Ends that say the same are resolved once, however many relations have them.
     """
-    spark = raw.sparkSession
-    r = schema.shaped(raw, schema.RAW_RELATION).withColumn("rel", F.upper("rel")).withColumn("__row", F.struct(F.xxhash64(F.struct("*")).alias("a"), F.xxhash64(F.lit(1), F.struct("*")).alias("b")))  # 128 bits: one row, one key
-    ends = None
-    for side in ("from", "to"):
-        e = r.select("__row", "rel", F.upper(F.coalesce("extractor", F.lit(""))).alias("extractor"), F.lit(side).alias("side"), normalize_name(F.col(f"`{side}`")).alias("name"), F.lower(F.trim(F.col(f"{side}Type"))).alias("given"), normalize_name(F.col(f"{side}Parent")).alias("parent"), "file", "fileHash")
-        ends = e if ends is None else ends.unionByName(e)
-    ends = cut(ends.distinct())
+    spark, entities = raw.sparkSession, entities.filter("id is not null")
+    r = schema.shaped(raw, schema.RAW_RELATION).withColumn("rel", F.upper("rel"))
+    r = r.withColumn("__from", end_of("from")).withColumn("__to", end_of("to"))
+    ends = r.select(F.explode(F.array("__from", "__to")).alias("end")).distinct()
+    ends = cut(ends.select("end", F.monotonically_increasing_id().alias("__row"))).select("__row", "end", "end.*")
     options = identity.candidate_types(spark)
     exact = options.filter("extractor <> '*'").select("side", "rel", "extractor").distinct().withColumn("__own", F.lit(True))
-    typed = ends.filter("given is not null").withColumn("type", F.col("given")).withColumn("preference", F.lit(0))
+    typed = ends.filter("given is not null").drop("end").withColumn("type", F.col("given")).withColumn("preference", F.lit(0))
     # 120 fixed rows on the right
-    open_ = ends.filter("given is null").join(F.broadcast(exact), ["side", "rel", "extractor"], "left").withColumn("extractor", F.when(F.col("__own"), F.col("extractor")).otherwise("*")).join(F.broadcast(options), ["side", "rel", "extractor"]).select(*typed.columns)
+    open_ = ends.filter("given is null").drop("end").join(F.broadcast(exact), ["side", "rel", "extractor"], "left").withColumn("extractor", F.when(F.col("__own"), F.col("extractor")).otherwise("*")).join(F.broadcast(options), ["side", "rel", "extractor"]).select(*typed.columns)
     by_type = of_type(typed.unionByName(open_), entities)
     names = entities.select("id", "name")
     single = names.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("name", "id")
-    by_name = ends.join(single, "name").select("__row", "side", "id", F.lit(99).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("i")).join(ends.filter("given is not null").select("__row", "side"), ["__row", "side"], "left_anti")
-    found = by_type.unionByName(by_name).groupBy("__row", "side").agg(F.min_by("id", F.struct("p", "q", "i", "id")).alias("id"))
-    found = cut(found)
-    lost = ends.join(found, ["__row", "side"], "left_anti")
-    kind = F.coalesce(F.col("given"), F.when(F.col("side") == "from", identity.inferred_type(F.col("rel"), "from", F.col("extractor"), F.col("name"))).otherwise(identity.inferred_type(F.col("rel"), "to", F.col("extractor"), F.col("name"))))
-    lost = cut(lost.withColumn("type", kind).withColumn("id", identity.entity_id(F.col("type"), F.col("name"), F.col("parent"), F.col("fileHash"), F.col("file"))))
-    made = lost.groupBy("id").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min(F.when(F.length("parent") > 0, F.col("parent"))).alias("parent"), F.array_sort(F.collect_set("file")).alias("files"))
-    made = made.withColumn("confidence", F.lit(0.3)).withColumn("inferred", F.lit(True)).withColumn("extractor", F.lit("inferred")).withColumn("label", identity.entity_label(F.col("type"), F.col("name"), F.col("parent")))
+    by_name = ends.filter("given is null").join(single, "name").select("__row", "side", "id", F.lit(99).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("i"))
+    found = by_type.unionByName(by_name).groupBy("__row").agg(F.min_by("id", F.struct("p", "q", "i", "id")).alias("id"))
+    own = identity.entity_id(F.col("kind"), F.col("name"), F.col("parent"), F.col("at"), F.lit(None).cast("string"))
+    ids = cut(ends.join(found, "__row", "left").select("end", F.coalesce("id", own).alias("id"), F.col("id").isNull().alias("lost")))
+    lost = ids.filter("lost").select("end", "id", F.col("end.kind").alias("type"), "end.name", "end.parent")
+    made = lost.groupBy("id").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min(F.when(F.length("parent") > 0, F.col("parent"))).alias("parent"))
+    # read only if files are asked for
+    files = r.select(F.explode(F.array("__from", "__to")).alias("end"), "file").join(lost.select("end", "id"), "end").groupBy("id").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    made = made.join(files, "id", "left").withColumn("confidence", F.lit(0.3)).withColumn("inferred", F.lit(True)).withColumn("extractor", F.lit("inferred")).withColumn("label", identity.entity_label(F.col("type"), F.col("name"), F.col("parent")))
     made = schema.shaped(made, schema.ENTITY)
-    ids = found.unionByName(lost.select("__row", "side", "id"))
     about = entities.select("id", "type", "label").unionByName(made.select("id", "type", "label")).dropDuplicates(["id"])
-    ids = ids.join(about, "id")
-    one = lambda side, p: ids.filter(F.col("side") == side).select("__row", F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.col("label").alias(f"{p}_label"))
-    return r.join(one("from", "from"), "__row").join(one("to", "to"), "__row").drop("__row"), made
+    known = ids.join(about, "id", "left").dropDuplicates(["end"])
+    for side in ("from", "to"):
+        r = r.join(known.select(F.col("end").alias(f"__{side}"), F.col("id").alias(f"{side}_id"), F.col("type").alias(f"{side}_type"), F.col("label").alias(f"{side}_label")), f"__{side}", "left")
+    return r.drop("__from", "__to"), made
 
 
 def merge_relations(resolved: DataFrame) -> DataFrame:
