@@ -83,3 +83,36 @@ def test_events_of_batch_steps_are_made_once(spark, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan(t) for t in given[0][1:] for x in ("Join", "Window"))
     assert "Window" not in plan(out)
+
+
+def test_suppliers_of_a_nation_are_not_paired(spark, monkeypatch, tmp_path):
+    """A flow has its entry and the first other supplier by itself; the rest of the nation is a list that is counted once, with the results of the SQL."""
+    for name, ddl, data in (
+        ("supplier", "s_suppkey bigint, s_nationkey int", [(k, k // 7) for k in range(1, 16)]), ("part", "p_partkey bigint, p_size int", [(1, 5), (2, 4), (3, 3)]),
+        ("orders", "o_orderkey bigint", [(1,)]), ("lineitem", "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint", [(1, 1, 1, 2), (1, 2, 2, 2), (1, 3, 3, 5), (1, 4, 2, 9)]),
+    ):
+        spark.createDataFrame(data, ddl).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    given, plain = [], question_queries.P.program
+    monkeypatch.setattr(question_queries.P, "program", lambda of, parts: given.append(parts) or plain(of, parts))
+    df = question_queries.QUERIES["phases_program"](spark, str(tmp_path))
+    assert given[0].filter("part = 'program'").count() == 15 * 2
+    con = duckdb.connect()
+    for name in ("supplier", "part", "orders", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(question_queries.ORACLE["phases_program"]).project(", ".join(df.columns)).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    # lists give the same phases as their members written out, also as rows
+    P = question_queries.P
+    schema = "id string, type string, name string, label string, confidence double, files array<string>, line int"
+    e = spark.createDataFrame([(k, "table" if k == "c" else "program", t, t, c, [k], 1) for k, t, c in (("a", "X", 0.5), ("b", "X", 0.25), ("c", "Y", 1.0), ("d", "Z", 0.75))], schema)
+    r = spark.createDataFrame([("s", "CALLS", "b", "d", 0.5, ["f:1"]), ("t", "CALLS", "c", "q", 1.0, ["f:2"])], "seed string, rel string, from_id string, to_id string, confidence double, evidence array<string>")
+    defs = P.fixed(spark.createDataFrame([("s", 2), ("t", 2)], "seed string, pos int"), P.PROGRAM)
+    items = [("s", 2, "programs", "X"), ("t", 2, "programs", "Z")]
+    members = [("s", 2, "b"), ("t", 2, "d"), ("t", 2, "c")]
+    frame = lambda i, m: (defs, spark.createDataFrame(i, "seed string, pos int, field string, value string"), spark.createDataFrame(m, "seed string, pos int, id string"))
+    uses = spark.createDataFrame([("s", 2, "programs", "l", "a"), ("t", 2, "programs", "l", "c")], "seed string, pos int, field string, list string, but string")
+    lists = spark.createDataFrame([("l", "a", "X"), ("l", "b", "X"), ("l", "c", "Y")], "list string, id string, label string")
+    one = P.assembled(frame(items, members), r, e, (uses, lists))
+    two = P.assembled(frame([*items, ("s", 2, "programs", "Y"), ("t", 2, "programs", "X")], [*members, ("s", 2, "c"), ("t", 2, "a"), ("t", 2, "b")]), r, e)
+    for k in one:
+        assert sorted(map(str, one[k].collect())) == sorted(map(str, two[k].collect())), k
